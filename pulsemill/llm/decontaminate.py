@@ -105,6 +105,33 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [(r.item_id, r.text) for r in mine.collect()]
 
 
+def _search(docs: DataFrame, benchmark: DataFrame, budget: float):
+    """For each block of the benchmark a function that gives a task its matcher."""
+    for items in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(Matcher(items, budget).__dict__)
+
+        def matcher(shared=shared) -> Matcher:
+            own = Matcher([], budget)
+            own.__dict__.update(shared.value)
+            return own
+
+        yield matcher
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item of the benchmark as contaminated() finds them."""
+    at = docs.columns.index("text")
+    for matcher in _search(docs, benchmark, budget):
+
+        def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
+            own = matcher()
+            for batch in batches:
+                yield batch.filter(pa.array([not (t and own.find(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
     """doc_id, item_id, edits, first_word, end_word: the closest passage of every item that a row of docs(doc_id, text)
     holds within int(budget * words) edits; benchmark has (item_id, text).
@@ -113,13 +140,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET)
     if one of its parts is. Rows that repeat a document repeat its matches; empty tables give an empty one; other
     columns are not read. Only a block of ITEMS items is at the driver and in tasks at once.
     """
-    spark, rows, out = docs.sparkSession, docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), None
-    for items in _blocks(benchmark):
-        matcher = spark.sparkContext.broadcast(Matcher(items, budget).__dict__)
+    rows, out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), None
+    for matcher in _search(docs, benchmark, budget):
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
-            own = Matcher([], budget)
-            own.__dict__.update(matcher.value)
+            own = matcher()
             for batch in batches:
                 found = [(i, *m) for i, t in enumerate(batch.column("text").to_pylist()) if t for m in own.find(t)]
                 row, item, edits, first, end = zip(*found) if found else ((),) * 5

@@ -136,3 +136,16 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least `least`; null and empty texts too are judged."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ids = Model(*shared.value), Ids()
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t or "", ids) >= least for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

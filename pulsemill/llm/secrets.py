@@ -146,16 +146,11 @@ def cutoffs(found: DataFrame, rate: float = RATE) -> dict[int, int]:
     return out
 
 
-def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
-    """doc_id, text, spans (start, end in code points, end exclusive; kind, an index of KINDS) for every row of
-    docs(doc_id, text); spans are in order of start, then kind.
-
-    A null text is empty and has none; repeated rows stay; an empty table gives an empty one; other columns are not
-    read. Two passes over the texts: the first gathers the counts of p-values behind the false-discovery control.
-    """
+def _with_spans(docs: DataFrame, rate: float) -> DataFrame:
+    """row (all columns of docs), text, spans. Two passes over the texts: the first counts the p-values."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    suspect = rows.where(F.col("text").rlike(DENSE)).select("text", base_spans(F.col("text")).alias("base"), dense(F.col("text")).alias("dense"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"))
+    suspect = rows.where(F.col("text").rlike(DENSE)).select(base_spans(F.col("text")).alias("base"), dense(F.col("text")).alias("dense"))
     least = cutoffs(_apart(suspect), rate)
     found = _apart(rows.withColumn("base", base_spans(F.col("text"))).withColumn("dense", dense(F.col("text"))))
     bar = F.create_map(*[F.lit(x) for kv in {-1: 0, **least}.items() for x in kv])
@@ -163,7 +158,30 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     random = F.transform(random, lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), d["kind"].alias("kind")))
     order = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     spans = F.transform(F.sort_array(F.transform(F.concat("base", random), order)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return found.select("doc_id", "text", spans.alias("spans"))
+    return found.select("row", "text", spans.alias("spans"))
+
+
+def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
+    """doc_id, text, spans (start, end in code points, end exclusive; kind, an index of KINDS) for every row of
+    docs(doc_id, text); spans are in order of start, then kind.
+
+    A null text is empty and has none; repeated rows stay; an empty table gives an empty one; other columns are not
+    read.
+    """
+    found = _with_spans(docs.select("doc_id", "text"), rate)
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "spans")
+
+
+def redact(docs: DataFrame, rate: float = RATE) -> DataFrame:
+    """docs, with all columns, where the spans of scan() are replaced by a mark; n_chars, if there, follows the text.
+    A text without spans, null too, stays as it is."""
+    found = _with_spans(docs, rate).withColumn("red", redacted(F.col("text"), F.col("spans")))
+    hit = F.size("spans") > 0
+    out = []
+    for c, kind in docs.dtypes:
+        now = {"text": F.col("red"), "n_chars": F.length("red").cast(kind)}.get(c)
+        out.append((F.col("row")[c] if now is None else F.when(hit, now).otherwise(F.col("row")[c])).alias(c))
+    return found.select(*out)
 
 
 def written(spans: Column) -> Column:

@@ -39,7 +39,7 @@ def matrix(column: pa.Array | pa.ChunkedArray, dims: int = 0) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     dims = max(dims, int(sizes.max(initial=0)))
     if (sizes == dims).all():
-        return flat.reshape(-1, dims)
+        return flat.reshape(len(sizes), dims)
     out = np.zeros((len(sizes), dims), np.int64)
     out[np.arange(dims) < sizes[:, None]] = flat
     return out

@@ -2,6 +2,29 @@
 
 from __future__ import annotations
 
+OP2 = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS s, w FROM d WHERE len(w) >= 50), h AS (SELECT doc_id, s, md5(array_to_string(w[s : s + 49], ' ')) AS h FROM g),
+m AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY h) AS first FROM h),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM m WHERE first < doc_id), k AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+a AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d), r AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.i) AS kept FROM a LEFT JOIN c ON c.doc_id = a.doc_id AND c.i = a.i WHERE c.i IS NULL GROUP BY a.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)"""
+
+OP4 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+OP9 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), n AS (SELECT doc_id, x, len(x) // 2 AS n FROM d),
+g AS (SELECT doc_id, unnest(range(0, n - 399)) AS s, x FROM n WHERE n >= 400), h AS (SELECT doc_id, s, md5(substr(x, 2 * s + 1, 800)) AS h FROM g),
+m AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY h) AS c FROM h) WHERE c > 1),
+e AS (SELECT doc_id, s, s > coalesce(max(s + 400) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fresh FROM m),
+i AS (SELECT doc_id, s, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM e), sp AS (SELECT doc_id, k, min(s) AS a, max(s) + 400 AS b FROM i GROUP BY ALL),
+o AS (SELECT doc_id, list({'a': a, 'b': b} ORDER BY a) AS sp FROM sp GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(list_sum(list_transform(sp, lambda z: z.b - z.a)), 0)::BIGINT AS n_removed, coalesce(len(sp), 0)::BIGINT AS n_spans,
+ sha256(unhex(CASE WHEN sp IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(sp) + 1), lambda j: substr(x, CASE WHEN j = 0 THEN 1 ELSE 2 * sp[j].b + 1 END, CASE WHEN j = len(sp) THEN 2 * n ELSE 2 * sp[j + 1].a END - CASE WHEN j = 0 THEN 0 ELSE 2 * sp[j].b END)), '') END)) AS kept_sha256
+FROM n LEFT JOIN o USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": OP2, "op4_exact_top_k": OP4, "op9_suffix_array_dedup": OP9}

@@ -1 +1 @@
-
+"""Readers of device files and writers of results."""

@@ -1 +1 @@
-
+"""Recordings as they come in."""

@@ -60,7 +60,7 @@ def parse_header(lines: list[str], start_ms: int = 0) -> Header:
         elif "recording on:" in line.lower():
             found = _epoch_ms(line.split(":", 1)[1])
             h.start_ms = start_ms if found is None else found
-        elif re.match(r"\s*(sec|min|milli ?sec)", line, re.I) and re.search(r"[\t,]", line):
+        elif re.match(r"\s*(sec|min|m(illi)? ?sec)", line, re.I) and re.search(r"[\t,]", line):
             h.delimiter = "\t" if "\t" in line else ","
             h.columns = [c.strip() for c in line.split(h.delimiter)]
             while h.columns and not h.columns[LAST]:
@@ -76,7 +76,7 @@ def _cells(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
     """cells (array of strings), place (order in the file), of every line whose first cell is a number."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
     cells = F.split(F.regexp_replace("value", "^﻿", ""), re.escape(delimiter))
-    rows = lines.select(F.transform(cells, F.trim).alias("cells"), F.struct("split", "line").alias("place"))
+    rows = lines.select(F.transform(cells, lambda c: F.trim(c)).alias("cells"), F.struct("split", "line").alias("place"))
     return rows.where(F.col("cells")[0].try_cast("double").isNotNull())
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -11,10 +11,14 @@ from .bindings import EV, FS, SM, events, frame_samples, samples
 from .registry import query
 
 REC = "rec_id"
-ALL = Window.partitionBy(REC)
+
 T = f"WITH {EV}"
 
 
+def _whole() -> WindowSpec:
+    return Window.partitionBy(REC)
+
+
 @query(f"""WITH {SM}, u AS (SELECT rec_id, idx, (l_orderkey * 7919 + l_partkey * 104729) & 16777215 AS u FROM sm),
 s AS (SELECT rec_id, idx, CASE WHEN ((u >> 3) & 7) IN (0, 1, 2) THEN floor((CASE WHEN u >= 8388608 THEN u - 16777216 ELSE u END) / 64.0) * (1000.0::DOUBLE / 2621440) END AS v FROM u),
 a AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER b AS bi, last_value(v IGNORE NULLS) OVER b AS bv, first_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER f AS ai, first_value(v IGNORE NULLS) OVER f AS av
@@ -24,7 +28,7 @@ SELECT rec_id, idx, round(v - avg(v) OVER (PARTITION BY rec_id), 6) AS mv FROM l
 def prj01_decode_words(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729
     s = samples(spark, sf).select(REC, "idx", S.decode_word(raw).alias("v"))
-    return fills.interpolate(s, empty=0.0).select(REC, "idx", F.round(F.col("v") - F.avg("v").over(ALL), 6).alias("mv"))
+    return fills.interpolate(s, empty=0.0).select(REC, "idx", F.round(F.col("v") - F.avg("v").over(_whole()), 6).alias("mv"))
 
 
 @query(f"""WITH {SM}, m AS (SELECT *, quantile_cont(v, 0.5) OVER p AS md FROM sm WINDOW p AS (PARTITION BY rec_id)), d AS (SELECT *, quantile_cont(abs(v - md), 0.5) OVER (PARTITION BY rec_id) AS mad, avg(v) OVER (PARTITION BY rec_id) AS mean FROM m)
@@ -43,7 +47,7 @@ SELECT rec_id, idx::BIGINT AS idx, round(CASE WHEN sd > 1e-6 THEN (v - m) / sd E
 def prj03_prj04_prj05_prj06_normalised(spark: SparkSession, sf: str) -> DataFrame:
     """z-score, unit range and share of the maximum of every record, from one sort."""
     v = F.col("v")
-    return frame_samples(spark, sf).select(REC, "idx", F.round(S.z_score(v, ALL), 6).alias("z"), F.round(S.min_max(v, ALL), 6).alias("unit"), F.round(v / F.max(v).over(ALL), 6).alias("of_max"))
+    return frame_samples(spark, sf).select(REC, "idx", F.round(S.z_score(v, _whole()), 6).alias("z"), F.round(S.min_max(v, _whole()), 6).alias("unit"), F.round(v / F.max(v).over(_whole()), 6).alias("of_max"))
 
 
 @query(f"{T} SELECT rec_id, peak_id, TRY_CAST(regexp_extract(props, ':\\s*([^}}]*)', 1) AS DOUBLE) AS k, TRY_CAST(event_type AS DOUBLE) AS none_ FROM ev")
@@ -56,7 +60,7 @@ SKEW = "(avg(v * v * v) - 3 * avg(v) * avg(v * v) + 2 * avg(v) * avg(v) * avg(v)
 
 @query(f"""WITH {FS}, k AS (SELECT rec_id, {SKEW} AS s FROM fs GROUP BY rec_id) SELECT rec_id, idx::BIGINT AS idx, round(CASE WHEN s < -0.1 THEN -v ELSE v END, 6) AS v, s < -0.1 AS inverted FROM fs JOIN k USING (rec_id)""")
 def prj08_prj09_auto_invert(spark: SparkSession, sf: str) -> DataFrame:
-    flip = F.skewness("v").over(ALL) < -0.1
+    flip = F.skewness("v").over(_whole()) < -0.1
     return frame_samples(spark, sf).select(REC, "idx", F.round(F.when(flip, -F.col("v")).otherwise(F.col("v")), 6).alias("v"), flip.alias("inverted"))
 
 

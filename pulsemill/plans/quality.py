@@ -77,7 +77,7 @@ def sqi01_qrs_band_energy(spark: SparkSession, sf: str) -> DataFrame:
     return frame_sqi(spark, sf).select(REC, F.round("ratio", 6).alias("qrs_energy_ratio"), F.round("snr", 5).alias("snr_db"), F.round("skew", 6).alias("skewness"), F.round("kurt", 6).alias("kurtosis"))
 
 
-@query(f"{SQI} SELECT rec_id, nk::DOUBLE AS nk_sqi, round(score, 4) AS score, CASE WHEN round(score, 4) >= 0.65 THEN 'good' WHEN round(score, 4) >= 0.35 THEN 'mediocre' ELSE 'poor' END AS quality_label, round(score, 4) >= 0.35 AS is_usable FROM c")
+@query(f"{SQI} SELECT rec_id, nk::DOUBLE AS nk_sqi, round(score, 4)::DOUBLE AS score, CASE WHEN round(score, 4) >= 0.65 THEN 'good' WHEN round(score, 4) >= 0.35 THEN 'mediocre' ELSE 'poor' END AS quality_label, round(score, 4) >= 0.35 AS is_usable FROM c")
 def sqi02_sqi03_sqi04_composite_quality(spark: SparkSession, sf: str) -> DataFrame:
     s = frame_sqi(spark, sf).withColumn("quality_label", Q.label(F.col("score")))
     return s.select(REC, F.col("nk").alias("nk_sqi"), F.round("score", 4).alias("score"), "quality_label", (F.col("quality_label") != "poor").alias("is_usable"))
@@ -110,7 +110,7 @@ def _rules(spark: SparkSession, sf: str) -> DataFrame:
     return r.withColumn("ecg", Q.ecg_rules(F.col("share"), F.col("snr"), F.col("kurt"), F.col("zcr"))).withColumn("ppg", Q.ppg_rules(F.col("pshare"), F.col("skew"), F.col("entropy"), F.col("kurt")))
 
 
-@query(f"{RULES} SELECT rec_id, round(share, 6) AS ecg_rel_power_qrs, round(snr, 5) AS ecg_snr, round(zcr, 6) AS ecg_zcr, round(ecg, 3) AS ecg_sqi_score, round(pshare, 6) AS ppg_rel_power, round(ent, 6) AS ppg_entropy, round(ppg, 3) AS ppg_sqi_score FROM s")
+@query(f"{RULES} SELECT rec_id, round(share, 6) AS ecg_rel_power_qrs, round(snr, 5) AS ecg_snr, round(zcr, 6) AS ecg_zcr, round(ecg, 3)::DOUBLE AS ecg_sqi_score, round(pshare, 6) AS ppg_rel_power, round(ent, 6) AS ppg_entropy, round(ppg, 3)::DOUBLE AS ppg_sqi_score FROM s")
 def sqi06_sqi07_rule_scores(spark: SparkSession, sf: str) -> DataFrame:
     r = lambda c, n, d: F.round(c, d).alias(n)
     return _rules(spark, sf).select(REC, r("share", "ecg_rel_power_qrs", 6), r("snr", "ecg_snr", 5), r("zcr", "ecg_zcr", 6), r("ecg", "ecg_sqi_score", 3), r("pshare", "ppg_rel_power", 6), r("entropy", "ppg_entropy", 6), r("ppg", "ppg_sqi_score", 3))

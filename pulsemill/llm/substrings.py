@@ -33,7 +33,7 @@ def _cut(text: bytes):
 
 
 def words(window: int = WINDOW) -> Symbols:
-    return Symbols(window, GRAM, _codes, _order, _cut, True)
+    return Symbols(window, GRAM, _codes, _order, _cut, np.uint64, True)
 
 
 def dedup_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -39,7 +39,7 @@ def _cut(text: bytes):
 
 
 def symbols(window: int = WINDOW) -> Symbols:
-    return Symbols(window, GRAM, _codes, _order, _cut, False)
+    return Symbols(window, GRAM, _codes, _order, _cut, np.uint8, False)
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:

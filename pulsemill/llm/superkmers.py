@@ -3,7 +3,8 @@
 A document is a row of symbols: words, or bytes. Its windows are all runs of `window` consecutive symbols. Each
 window is named by a minimiser, the least order value of the grams inside it; equal windows have equal
 minimisers. Consecutive windows that share one form a super-k-mer, which travels to the minimiser's bucket as one
-packed string. A first pass without texts drops the minimisers that cannot hold a repeat.
+packed string. A first pass without texts drops the minimisers that cannot hold a repeat, and settles the super-k-mers
+that are the same string: of each string one goes on, and only where its bucket holds other strings too.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +36,14 @@ NO_ID = (1 << 63) - 1
 class Symbols:
     """window: symbols of a window. codes(text): an array with a uint64 for each symbol. order(codes): for each gram
     its order value, and gram: the symbols of one. cut(text): a function (s, e) -> the packed string of symbols s..e.
-    unpack(packed): codes of a packed string. other_doc: whether a repeat counts only from a smaller doc_id."""
+    width: the type that holds a code. other_doc: whether a repeat counts only from a smaller doc_id."""
 
     window: int
     gram: int
     codes: Callable[[bytes], np.ndarray]
     order: Callable[[np.ndarray], np.ndarray]
     cut: Callable[[bytes], Callable[[int, int], bytes]]
+    width: type
     other_doc: bool
 
 
@@ -81,9 +84,9 @@ def _pieces(codes: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _runs(flat: np.ndarray, sizes: list[int], kind: Symbols) -> tuple[np.ndarray, ...]:
-    """h, piece, first window, end of windows, again, for each run of windows of one piece that share a minimiser.
+    """h, d, piece, first window, end of windows, again, for each run of windows of one piece that share a minimiser.
 
-    again: the minimiser's first place differs between the first and last window. Without that no window of the run
+    d is a hash of the run's symbols. again: the minimiser's first place differs between the first and last window. Without that no window of the run
     equals another one of it, as equal windows hold the minimiser at the same offset.
     """
     value = kind.order(flat) >> np.uint64(PLACE) << np.uint64(PLACE) | np.arange(len(flat) - kind.gram + 1, dtype=np.uint64)
@@ -99,10 +102,13 @@ def _runs(flat: np.ndarray, sizes: list[int], kind: Symbols) -> tuple[np.ndarray
     first = np.flatnonzero(change & inside)
     piece = np.searchsorted(starts, first, "right") - 1
     end = np.minimum(np.append(first[1:], len(flat)), ends[piece] - kind.window + 1)
-    return least[first].view(np.int64), piece, first - starts[piece], end - starts[piece], placed[first] != placed[end - 1]
+    dense = memoryview(flat.astype(kind.width).tobytes())
+    size, more, digest = np.dtype(kind.width).itemsize, kind.window - 1, xxhash.xxh3_64_intdigest
+    d = np.fromiter((digest(dense[a * size : (b + more) * size]) for a, b in zip(first.tolist(), end.tolist())), np.uint64, len(first))
+    return least[first].view(np.int64), d.view(np.int64), piece, first - starts[piece], end - starts[piece], placed[first] != placed[end - 1]
 
 
-RUN = "h long, doc_id long, th long, s long, e long, again boolean"
+RUN = "h long, d long, doc_id long, th long, s long, e long, again boolean"
 
 
 def _find(kind: Symbols):
@@ -114,10 +120,10 @@ def _find(kind: Symbols):
             size = 0
 
             def done() -> pa.RecordBatch:
-                h, piece, s, e, again = _runs(np.concatenate(parts), [len(p) for p in parts], kind)
+                h, d, piece, s, e, again = _runs(np.concatenate(parts), [len(p) for p in parts], kind)
                 row, base = np.array(owner).T
                 at = pa.array(row[piece])
-                return pa.RecordBatch.from_arrays([pa.array(h), ids.take(at), ths.take(at), pa.array(s + base[piece]), pa.array(e + base[piece]), pa.array(again)], ["h", "doc_id", "th", "s", "e", "again"])
+                return pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), ids.take(at), ths.take(at), pa.array(s + base[piece]), pa.array(e + base[piece]), pa.array(again)], ["h", "d", "doc_id", "th", "s", "e", "again"])
 
             for i, text in enumerate(binary(batch.column("text"))):
                 for base, piece in _pieces(kind.codes(text), kind.window):
@@ -174,21 +180,7 @@ def _count(kind: Symbols):
 
     def solve(ids: np.ndarray, empty: np.ndarray, ths: np.ndarray, begin: np.ndarray, bucket: np.ndarray, packed: list[bytes]) -> pa.RecordBatch:
         rank = np.where(empty, NO_ID, ids)
-        # equal strings of a bucket: the first, of the least doc_id, stands for all
-        whole = np.zeros(len(packed), bool)
-        seen: dict[bytes, int] = {}
-        keep = []
-        for i, text in enumerate(packed):
-            j = seen.setdefault(text, i)
-            if i == j:
-                keep.append(i)
-            elif kind.other_doc:
-                whole[i] = rank[i] > rank[j]
-                if rank[i] == rank[j]:
-                    keep.append(i)
-            else:
-                whole[i] = whole[j] = True
-        codes = [kind.codes(packed[i]) for i in keep]
+        codes = [kind.codes(p) for p in packed]
         sizes = np.fromiter(map(len, codes), np.int64, len(codes))
         flat = np.concatenate(codes)
         ends = np.cumsum(sizes)
@@ -196,8 +188,7 @@ def _count(kind: Symbols):
         for e in ends:
             inside[e - kind.window + 1 : e] = False
         at = np.flatnonzero(inside)
-        row = np.repeat(np.arange(len(keep)), sizes)[at]
-        own = np.array(keep)[row]
+        own = np.repeat(np.arange(len(packed)), sizes)[at]
         w1, w2 = (window_hash(flat, kind.window, b)[at] for b in ODD)
         order = np.argsort(w1, kind="stable")  # rows are in order of doc_id, so each class begins with the least
         w1, w2 = w1[order], w2[order]
@@ -208,7 +199,7 @@ def _count(kind: Symbols):
         if kind.other_doc:
             hit = rank[own[order]] > rank[own[order[head]]][cls]
         else:
-            hit = (np.bincount(cls) > 1)[cls] | whole[own[order]]
+            hit = (np.bincount(cls) > 1)[cls]
         marked = np.zeros(len(flat), bool)
         marked[at[order[hit]]] = True
         # spans: runs of marked windows of a row, widened to the symbols that they cover
@@ -216,15 +207,7 @@ def _count(kind: Symbols):
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         r = np.searchsorted(ends, s, "right")
         base = (ends - sizes)[r]
-        rows, s, e = np.array(keep, np.int64)[r], s - base, e - base + kind.window - 1
-        if whole.any():
-            more = np.flatnonzero(whole)
-            if not kind.other_doc:
-                more = more[[seen[packed[i]] != i for i in more]]
-            length = dict(zip(keep, sizes.tolist()))
-            rows = np.concatenate([rows, more])
-            s = np.concatenate([s, np.zeros(len(more), np.int64)])
-            e = np.concatenate([e, np.array([length[seen[packed[i]]] for i in more], np.int64)])
+        rows, s, e = r, s - base, e - base + kind.window - 1
         return pa.RecordBatch.from_arrays([pa.array(ids[rows], mask=empty[rows]), pa.array(ths[rows]), pa.array(begin[rows] + s), pa.array(begin[rows] + e)], ["doc_id", "th", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,20 +243,32 @@ def repeated_spans(docs: DataFrame, kind: Symbols, label: str) -> DataFrame:
     """doc_id, th, s, e: spans of symbols that repeated windows cover, for the rows of keyed(docs)."""
     found = docs.mapInArrow(_find(kind), RUN)
     rank = F.coalesce("doc_id", F.lit(NO_ID))
-    by = found.groupBy("h").agg(F.min(rank).alias("lo"), F.max(rank).alias("hi"), F.sum(F.col("e") - F.col("s") + kind.window - 1).alias("n"), F.count("*").alias("runs"), F.max("again").alias("again"))
-    by = by.where("lo < hi" if kind.other_doc else "runs > 1 or again").select("h", (F.col("n") > HOT).alias("hot"))
-    suspect = materialize(found.join(by, "h").drop("again"), label)
-    hot, spans = suspect.where("hot"), None
+    by = found.groupBy("h").agg(F.min(rank).alias("lo"), F.max(rank).alias("hi"), F.count("*").alias("runs"), F.max("again").alias("again"))
+    by = by.where("lo < hi" if kind.other_doc else "runs > 1 or again").select("h")
+    suspect = materialize(found.join(by, "h"), label)
+
+    # by string: its least document, how often it is there, and the one that stands for it
+    own = F.xxhash64("doc_id", "th", "s")
+    size = F.col("e") - F.col("s") + kind.window - 1
+    strings = suspect.groupBy("h", "d").agg(F.min(rank).alias("lo"), F.count("*").alias("n"), F.min(own).alias("first"), F.max(size).alias("size"), F.max("again").alias("again"))
+    buckets = strings.groupBy("h").agg(F.count("*").alias("strings"), F.sum("size").alias("symbols"), F.max("again").alias("again"))
+    more = (F.col("strings") > 1) if kind.other_doc else (F.col("strings") > 1) | F.col("b.again")
+    marks = strings.alias("a").join(buckets.alias("b"), "h").select("h", "d", "lo", "n", "first", more.alias("more"), (F.col("symbols") > HOT).alias("hot"))
+    whole = rank > F.col("lo") if kind.other_doc else F.col("n") > 1
+    goes = F.col("more") & (rank == F.col("lo") if kind.other_doc else own == F.col("first"))
+    tagged = suspect.join(marks, ["h", "d"]).select("h", "doc_id", "th", "s", "e", "hot", whole.alias("whole"), goes.alias("goes"))
+    tagged = materialize(tagged.where("whole or goes"), label)
+
+    spans = tagged.where("whole").select("doc_id", "th", "s", (F.col("e") + kind.window - 1).alias("e"))
+    packed = _packed(docs, tagged.where("goes and not hot"), kind)
+    spans = spans.union(packed.repartition("h").sortWithinPartitions("h", F.coalesce("doc_id", F.lit(NO_ID))).mapInArrow(_count(kind), SPAN))
+    hot = tagged.where("goes and hot")
     if not hot.isEmpty():
         wide = _packed(docs, hot, kind).mapInArrow(_spread(kind), "w1 long, w2 long, doc_id long, th long, s long")
-        own = F.coalesce("doc_id", F.lit(NO_ID))
-        first = wide.groupBy("w1", "w2").agg(F.min(own).alias("lo"), F.count("*").alias("n"))
-        first = first.where("n > 1")
-        spans = wide.join(first, ["w1", "w2"]).where(own > F.col("lo") if kind.other_doc else F.lit(True))
-        spans = spans.select("doc_id", "th", "s", (F.col("s") + kind.window).alias("e"))
-    packed = _packed(docs, suspect.where("not hot"), kind)
-    counted = packed.repartition("h").sortWithinPartitions("h", F.coalesce("doc_id", F.lit(NO_ID))).mapInArrow(_count(kind), SPAN)
-    return counted.union(spans) if spans is not None else counted
+        first = wide.groupBy("w1", "w2").agg(F.min(rank).alias("lo"), F.count("*").alias("n")).where("n > 1")
+        met = wide.join(first, ["w1", "w2"]).where(rank > F.col("lo") if kind.other_doc else F.lit(True))
+        spans = spans.union(met.select("doc_id", "th", "s", (F.col("s") + kind.window).alias("e")))
+    return spans
 
 
 def _packed(docs: DataFrame, runs: DataFrame, kind: Symbols) -> DataFrame:

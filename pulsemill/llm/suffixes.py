@@ -1,7 +1,9 @@
 """Suffix-array dedup by prefix-free parsing: bytes that repeated strings of 400 bytes cover go.
 
-A rolling hash over GRAM bytes marks triggers, which cut the corpus into phrases; see superkmers.py for how the
-repeats between phrases are found.
+A rolling hash over GRAM bytes marks triggers. The least trigger of each window of bytes cuts the corpus into phrases
+that overlap by a window less a byte; the dictionary holds each distinct phrase once, with its count, and the parse
+says where phrases lie. Phrases that occur twice are settled by the dictionary alone; of the rest, those that share a
+trigger are compared in its bucket (see superkmers.py).
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import binary, keyed
-from .superkmers import Symbols, masks, mix, repeated_spans, with_spans
+from .superkmers import ODD, Symbols, masks, mix, repeated_spans, window_hash, with_spans
 
 WINDOW = 400
-GRAM = 12
+#: Long enough that unrelated texts of one language hardly ever share a gram.
+GRAM = 40
 #: One gram in TRIGGER is a trigger, where a phrase ends and the next begins.
 TRIGGER = 32
 
@@ -27,10 +30,7 @@ def _codes(text: bytes) -> np.ndarray:
 
 def _order(codes: np.ndarray) -> np.ndarray:
     """Order values by which triggers come before all other grams."""
-    two = codes[:-1] | codes[1:] << np.uint64(8)
-    four = two[:-2] | two[2:] << np.uint64(16)
-    n = len(codes) - GRAM + 1
-    x = mix((four[:n] | four[4 : 4 + n] << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) ^ four[8 : 8 + n] * np.uint64(0xD6E8FEB86659FD93))
+    x = mix(window_hash(codes, GRAM, ODD[0]))
     return (x >> np.uint64(1)) | ((x & np.uint64(TRIGGER - 1)) != 0).astype(np.uint64) << np.uint64(63)
 
 

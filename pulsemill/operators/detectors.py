@@ -184,37 +184,47 @@ REGISTRY: dict[str, Callable | None] = {
 }
 
 
-def detect(signals: DataFrame, method: str, kernel: Callable | None = None) -> DataFrame:
-    """rec_id, detector, peaks (array of sample numbers), error for every row of signals(rec_id, fs, x).
+def _detected(rows: list, rates: list, kernel: Callable) -> list[tuple[list[int], str | None]]:
+    """Peaks and error of each row. Rows of one length and rate go together; if that fails, each is tried alone."""
+    out: list[tuple[list[int], str | None]] = [([], "ValueError: no samples")] * len(rows)
+    groups: dict[tuple, list[int]] = {}
+    for i, x in enumerate(rows):
+        if x:
+            groups.setdefault((len(x), rates[i]), []).append(i)
+    for (_, fs), own in groups.items():
+        block = np.array([[0.0 if v is None else v for v in rows[i]] for i in own])
+        try:
+            found = [(p, None) for p in kernel(block, fs)]
+        except Exception:  # noqa: BLE001  which row it was shows below
+            found = []
+            for x in block:
+                try:
+                    found.append((kernel(x[None, :], fs)[0], None))
+                except Exception as e:  # noqa: BLE001  one signal's failure is a row's text
+                    found.append(([], f"{type(e).__name__}: {e}"))
+        for i, f in zip(own, found):
+            out[i] = f
+    return out
 
-    A signal that a detector fails on, or that is null or empty, gives no peaks and the error's text.
-    """
-    run_kernel = kernel or REGISTRY[method]
-    if run_kernel is None:
-        raise ValueError(f"{method} needs a model of yours: pass it as kernel(rows, fs)")
+
+def detect_all(signals: DataFrame, methods: dict[str, Callable]) -> DataFrame:
+    """rec_id, detector, peaks (array of sample numbers), error for every row of signals(rec_id, fs, x) and every method, from
+    one pass over the signals. A signal that a detector fails on, or that is null or empty, has no peaks and the error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            peaks: list[list[int]] = []
-            errors: list[str | None] = []
-            for x, fs in zip(batch.column("x").to_pylist(), batch.column("fs").to_pylist()):
-                try:
-                    if not x:
-                        raise ValueError("no samples")
-                    peaks.append(run_kernel(np.array([[0.0 if v is None else v for v in x]]), fs)[0])
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001  one signal's failure is a row's text
-                    peaks.append([])
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([batch.column(KEY), pa.array([method] * len(peaks)), pa.array(peaks, pa.list_(pa.int64())), pa.array(errors, pa.string())], [KEY, "detector", "peaks", "error"])
+            rows, rates = batch.column("x").to_pylist(), batch.column("fs").to_pylist()
+            for name, kernel in methods.items():
+                peaks, errors = zip(*_detected(rows, rates, kernel)) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([batch.column(KEY), pa.array([name] * len(rows), pa.string()), pa.array(peaks, pa.list_(pa.int64())), pa.array(errors, pa.string())], [KEY, "detector", "peaks", "error"])
 
     kind = dict(signals.dtypes)[KEY]
     return signals.select(KEY, "fs", "x").mapInArrow(run, f"{KEY} {kind}, detector string, peaks array<bigint>, error string")
 
 
-def detect_all(signals: DataFrame, methods: list[str]) -> DataFrame:
-    """The rows of several detectors, one under another."""
-    out = detect(signals, methods[0])
-    for m in methods[1:]:
-        out = out.unionByName(detect(signals, m))
-    return out
+def detect(signals: DataFrame, method: str, kernel: Callable | None = None) -> DataFrame:
+    """detect_all() with one method of the registry, or with a kernel of the caller's under that name."""
+    chosen = kernel or REGISTRY[method]
+    if chosen is None:
+        raise ValueError(f"{method} needs a model of yours: pass it as kernel(rows, fs)")
+    return detect_all(signals, {method: chosen})

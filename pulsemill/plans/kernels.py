@@ -49,7 +49,7 @@ _filter("fill06_fft_resample", lambda x, fs: fl.resample_fft(x, x.shape[1] // 2)
 @query()
 def det01_det14_all_detectors(spark: SparkSession, sf: str) -> DataFrame:
     """Beats of every detector on every frame, one row each, and the error where one fails."""
-    methods = [m for m, k in D.REGISTRY.items() if k]
+    methods = {m: k for m, k in D.REGISTRY.items() if k}
     return D.detect_all(_signals(spark, sf), methods).select("rec_id", "detector", F.size("peaks").alias("n_peaks"), "error")
 
 

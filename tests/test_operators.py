@@ -189,7 +189,7 @@ def test_pulse_detector():
 def test_detect_reports_failures(spark):
     x, at = beats(seconds=5)
     df = spark.createDataFrame([(1, 250.0, x.tolist()), (2, 250.0, []), (3, 250.0, None)], "rec_id long, fs double, x array<double>")
-    got = {(r.rec_id, r.detector): r for r in D.detect_all(df, ["pan_tompkins_full", "two_average"]).collect()}
+    got = {(r.rec_id, r.detector): r for r in D.detect_all(df, {m: D.REGISTRY[m] for m in ("pan_tompkins_full", "two_average")}).collect()}
     assert len(got) == 6 and got[1, "pan_tompkins_full"].error is None and len(got[1, "pan_tompkins_full"].peaks) >= len(at) - 1
     assert got[2, "two_average"].peaks == [] and "no samples" in got[3, "two_average"].error
     with pytest.raises(ValueError, match="model"):

@@ -20,7 +20,7 @@ HEADER = 100
 #: Channel codes of a four-channel export, and words that name a channel in another.
 CODES = {"ECG": "CH2", "PPG": "CH3", "SKT": "CH7", "EDA": "CH16"}
 NAMES = {"ECG": ("ecg", "ekg"), "PPG": ("ppg", "pulse"), "SKT": ("skt", "temperature", "temp"), "EDA": ("eda", "gsr", "electroderm")}
-MDAQ = ("ecg", "eda", "ir", "red", "acc_x", "acc_y", "acc_z", "gyr_x", "gyr_y", "gyr_z", "batt", "isi_us", "relative_humidity", "ambient_temp", "body_temp")
+LOGGER = ("ecg", "eda", "ir", "red", "acc_x", "acc_y", "acc_z", "gyr_x", "gyr_y", "gyr_z", "batt", "isi_us", "relative_humidity", "ambient_temp", "body_temp")
 DATES = ("%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y %H:%M:%S", "%d.%m.%Y %H:%M:%S")
 LAST = -1
 
@@ -101,7 +101,7 @@ def pick_channel(columns: list[str], wanted: str | None, fallback: tuple[str, ..
     return 1
 
 
-def read_biopac(spark: SparkSession, path: str, rec_id: str, channel: str | None = "CH40", start_ms: int = 0, zero_fill: bool = False) -> DataFrame:
+def read_acquisition(spark: SparkSession, path: str, rec_id: str, channel: str | None = "CH40", start_ms: int = 0, zero_fill: bool = False) -> DataFrame:
     """samples(rec_id, channel, idx, ts_ms, v) and fs of a text export, tab or comma. Lines of another width are kept as long
     as they have the channel; zero_fill turns missing samples to zero."""
     h = parse_header(_head(spark, path), start_ms)
@@ -180,7 +180,7 @@ def read_named_rows(spark: SparkSession, path: str, rec_id: str, start_ms: int =
     return rows.groupBy("rec_id", ts.alias("timestamp_ms")).agg(F.max_by(F.map_from_arrays(names, F.slice("cells", 2, n - 1)), "idx").alias("values"))
 
 
-def read_mdaq(spark: SparkSession, folder: str, rec_id: str, start_ms: int = 0) -> DataFrame:
+def read_logger(spark: SparkSession, folder: str, rec_id: str, start_ms: int = 0) -> DataFrame:
     """A folder of 1.csv, 2.csv, ... in numeric order: times are start + floor(running sum of the intervals / 1000); rows of
     fewer than 12 cells are dropped, those without a number in EDA too, but after their interval has counted."""
     lines = spark.read.text(f"{folder.rstrip('/')}/*.csv").select("value", F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.csv$", 1).cast("int").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
@@ -189,7 +189,7 @@ def read_mdaq(spark: SparkSession, folder: str, rec_id: str, start_ms: int = 0)
     rows = rows.withColumn("rec_id", F.lit(rec_id)).withColumn("us", F.sum(F.get("cells", F.lit(11)).try_cast("double")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(order))
     ts = F.lit(start_ms) + F.floor(F.col("us") / 1000)
     good = rows.where(F.get("cells", F.lit(1)).try_cast("double").isNotNull())
-    values = F.struct(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(MDAQ)])
+    values = F.struct(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(LOGGER)])
     last = good.groupBy("rec_id", ts.alias("timestamp_ms")).agg(F.max_by(values, "n").alias("r"))
     return last.select("rec_id", "timestamp_ms", "r.*")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulsemill.sources import devices as V, sinks
 from pulsemill.streaming import online
 
-BIOPAC = """﻿session.acq
+EXPORT = """﻿session.acq
 1 msec/sample
 2 channels
 Recording on: 2025-07-02 10:00:00.000
@@ -33,15 +33,15 @@ def write(path, text):
     return str(path)
 
 
-def test_biopac(spark, tmp_path):
-    p = write(tmp_path / "a.txt", BIOPAC)
-    rows = V.read_biopac(spark, p, "r").orderBy("idx").collect()
+def test_acquisition(spark, tmp_path):
+    p = write(tmp_path / "a.txt", EXPORT)
+    rows = V.read_acquisition(spark, p, "r").orderBy("idx").collect()
     assert [(r.idx, r.ts_ms - START, r.v, r.channel, r.fs) for r in rows] == [(0, 0, 1.0, "CH40", 1000.0), (1, 1, None, "CH40", 1000.0), (2, 2, 3.0, "CH40", 1000.0), (3, 3, None, "CH40", 1000.0), (4, 4, 5.0, "CH40", 1000.0)]
-    assert [r.v for r in V.read_biopac(spark, p, "r", zero_fill=True).orderBy("idx").collect()] == [1.0, 0.0, 3.0, 0.0, 5.0]
+    assert [r.v for r in V.read_acquisition(spark, p, "r", zero_fill=True).orderBy("idx").collect()] == [1.0, 0.0, 3.0, 0.0, 5.0]
     named = V.read_multichannel(spark, p, "r").orderBy("idx").collect()
     assert [r.ECG for r in named] == [0.1, 0.2, 0.3, 0.4, 0.5] and [r.PPG for r in named] == pytest.approx([1.0, 2.0, 3.0, 4.0, 5.0]) and named[0].SKT is None
     with pytest.raises(ValueError, match="column names"):
-        V.read_biopac(spark, write(tmp_path / "none.txt", "nothing\nhere\n"), "r")
+        V.read_acquisition(spark, write(tmp_path / "none.txt", "nothing\nhere\n"), "r")
 
 
 @pytest.mark.parametrize("text", ["2025-07-02 10:00:00.000", "2025-07-02 10:00:00", "07/02/2025 10:00:00", "02.07.2025 10:00:00"])
@@ -76,12 +76,12 @@ def test_belts(spark, tmp_path):
     assert all(r.v == 0.0 for r in V.read_word_belt(spark, flat, "r").collect())
 
 
-def test_mdaq_folder_in_numeric_order(spark, tmp_path):
+def test_logger_folder_in_numeric_order(spark, tmp_path):
     row = lambda ecg, eda, us: ",".join([str(ecg), str(eda)] + ["0"] * 9 + [str(us), "1", "2", "3"])
     write(tmp_path / "10.csv", "h\n" + row(5, 1, 700))
     write(tmp_path / "2.csv", row(3, "bad", 1000) + "\n" + row(4, 1, 1000))
     write(tmp_path / "1.csv", row(1, 1, 500) + "\n1,2,3\n" + row(2, 1, 100))
-    rows = V.read_mdaq(spark, str(tmp_path), "r", 10_000).orderBy("timestamp_ms").collect()
+    rows = V.read_logger(spark, str(tmp_path), "r", 10_000).orderBy("timestamp_ms").collect()
     assert [(r.timestamp_ms, r.ecg) for r in rows] == [(10_000, "2"), (10_002, "4"), (10_003, "5")]
 
 
@@ -111,11 +111,11 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/p").count() == 2
     samples = spark.createDataFrame([("r", t, float(t)) for t in (10, 20, 30)], "rec_id string, timestamp_ms long, v double")
     assigned = spark.createDataFrame([("r", 20, "dose", 3)], "rec_id string, timestamp_ms long, label string, time_diff_ms long")
-    sinks.write_merge(samples, assigned, f"{tmp_path}/m", "biopac")
+    sinks.write_merge(samples, assigned, f"{tmp_path}/m", "reference")
     row = spark.read.csv(f"{tmp_path}/m/label_assignments", header=True).first()
     assert (row.row, row.label, row.time_diff_ms) == ("3", "dose", "3")
-    assert sinks.verify(samples, f"{tmp_path}/m/biopac_labels") == (0, "Verification OK")
-    assert sinks.verify(samples.unionByName(samples.withColumn("timestamp_ms", F.col("timestamp_ms") + 1)), f"{tmp_path}/m/biopac_labels") == (3, "Data Loss Detected")
+    assert sinks.verify(samples, f"{tmp_path}/m/reference_labels") == (0, "Verification OK")
+    assert sinks.verify(samples.unionByName(samples.withColumn("timestamp_ms", F.col("timestamp_ms") + 1)), f"{tmp_path}/m/reference_labels") == (3, "Data Loss Detected")
 
 
 def stream(spark, path, plan, once=False):

@@ -60,14 +60,15 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def covering_masks(radius: int, parts: int = 1, bits: int = BITS, seed: int = 1) -> list[int]:
+def covering_masks(radius: int, parts: int = 1, used: int = BITS, seed: int = 1) -> list[int]:
     """Bit masks such that words within the radius agree under one of them.
 
-    With parts > 1 the positions are dealt into that many blocks; of radius r, some block holds r // parts
+    With used < BITS the masks only look at so many positions; words that differ in more places, but in no more than the
+    radius of these, agree under one of them too. With parts > 1 the positions are dealt into that many blocks; of radius r, some block holds r // parts
     differences at most, and each block gets the covering of that smaller radius.
     """
     rng = np.random.default_rng(seed)
-    order = rng.permutation(bits)
+    order = rng.permutation(BITS)[:used]
     masks = []
     for block in np.array_split(order, parts):
         dims = radius // parts + 1
@@ -137,13 +138,15 @@ def _linker(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = 3, parts: int = 1) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, parts: int = 1, used: int = BITS, accept: int | None = None) -> DataFrame:
     """Edges a, b between distinct fingerprints (fp long) that span the same components as all links within the radius.
 
+    accept: link fingerprints that share a bucket up to this distance, beyond the radius up to which all are found.
+
     Buckets with one fingerprint go. A bucket of over BLOCK fingerprints is cut into blocks and each pair of blocks
     is compared by a task of its own, so that no task holds more than BLOCK or so; links are emitted as trees.
     """
-    masks = covering_masks(radius, parts)
+    masks = covering_masks(radius, parts, used)
     keys = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)]))
     rows = fps.select("fp", keys.alias("x")).select("fp", "x.t", "x.k")
     full = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
@@ -155,19 +158,20 @@ def links(fps: DataFrame, radius: int = 3, parts: int = 1) -> DataFrame:
         rows.withColumn("blocks", F.when(F.col("n") > BLOCK, blocks).otherwise(F.lit(1).cast("long")))
         .withColumn("pair", F.explode(pairs)).select("t", "k", "pair", "fp")
     )
-    return rows.repartition("t", "k", "pair").sortWithinPartitions("t", "k", "pair", "fp").mapInArrow(_linker(radius), "a long, b long")
+    return rows.repartition("t", "k", "pair").sortWithinPartitions("t", "k", "pair", "fp").mapInArrow(_linker(radius if accept is None else accept), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, parts: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, parts: int = 1, used: int = BITS, accept: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs(doc_id, text).
 
-    Documents whose fingerprints differ in at most radius bits are linked; component_id is the least doc_id that
+    Documents whose fingerprints differ in at most radius bits are linked (see links() for parts, used and accept);
+    component_id is the least doc_id that
     can be reached, null only where no linked row has an id. Null and empty texts have fingerprint zero. Rows
     that repeat a doc_id keep one row each; an empty table gives an empty one; other columns are not read.
     """
     fps = materialize(fingerprints(docs, shingle), "simhash")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = materialize(components(links(nodes.select("fp"), radius, parts)), "simhash-roots")
+    roots = materialize(components(links(nodes.select("fp"), radius, parts, used, accept)), "simhash-roots")
     placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = placed.join(named, "root").select("fp", "component_id")

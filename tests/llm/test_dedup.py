@@ -64,6 +64,19 @@ def test_covering_masks_cover(radius, parts):
         assert any(not flipped & m for m in masks)
 
 
+def test_links_beyond_the_radius(spark):
+    """With fewer bits in the keys all links within the radius are found, and none beyond the distance accepted."""
+    rng = np.random.default_rng(4)
+    fps = [int(x) for x in rng.integers(0, 1 << 63, 150)]
+    fps = sorted({x ^ sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for x in fps for k in (0, 3, 8)})
+    found = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), 3, 1, 40, 8)
+    edges = {frozenset((r.a, r.b)) for r in found.collect()}
+    roots = {r.node: r.root for r in graph.components(found).collect()}
+    near = lambda d: {frozenset((a, b)) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= d}
+    assert edges <= near(8) and len(edges) > len(near(3))
+    assert all(len({roots[x] for x in pair}) == 1 for pair in near(3))
+
+
 def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     """Fingerprints of one bucket beyond the block size: same components, and links only as trees."""
     monkeypatch.setattr(simhash, "BLOCK", 32)

@@ -14,7 +14,8 @@ from .common import binary, keyed
 from .superkmers import Symbols, masks, mix, repeated_spans, with_spans
 
 WINDOW = 50
-GRAM = 4
+#: Words; see suffixes.GRAM.
+GRAM = 8
 
 
 def _codes(text: bytes) -> np.ndarray:

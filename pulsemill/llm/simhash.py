@@ -13,51 +13,56 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary, materialize
 from .graph import components
 
 BITS = 64
+#: Columns that hold a fingerprint.
+NARROW, WIDE = ("fp",), ("fp", "more")
 #: A bucket of more distinct fingerprints than this is compared in blocks of half the size, pair by pair of blocks.
 BLOCK = 2048
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> bytes:
-    """The 8 bytes, most significant first, of the majority bits over a text's shingle hashes.
+def fingerprint(text: bytes, shingle: int = 3, wide: bool = False) -> bytes:
+    """The 8 bytes, 16 if wide, most significant first, of the majority bits over a text's shingle hashes.
 
     A-Z are lower-cased; words are runs of bytes other than space and \\t..\\r. A text with fewer words than a
     shingle is one shingle; one without words has fingerprint zero. A bit is set if over half the hashes set it.
     """
+    digest, size_of = (xxhash.xxh3_128_digest, 2 * BITS) if wide else (xxhash.xxh64_digest, BITS)
     words = text.lower().split()
     if not words:
-        return bytes(8)
+        return bytes(size_of // 8)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     start = end - size
     n = max(1, len(words) - shingle + 1)
     starts, ends = start[:n].tolist(), end[-n:].tolist()
-    digest = xxhash.xxh64_digest
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros(size_of, np.int64)
     for at in range(0, n, CHUNK):
         part = b"".join([digest(joined[s:e], 42) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])])
-        ones += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, size_of // 8), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(ones * 2 > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (long) for every row of docs(doc_id, text); a null text has no words."""
+def fingerprints(docs: DataFrame, shingle: int = 3, wide: bool = False) -> DataFrame:
+    """doc_id, fp (long) and, if wide, more (long, the other 64 bits) for every row of docs(doc_id, text); a null text
+    has no words."""
+    sides = WIDE if wide else NARROW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.frombuffer(b"".join(fingerprint(t, shingle) for t in binary(batch.column("text"))), ">i8")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.astype(np.int64))], ["doc_id", "fp"])
+            fps = np.frombuffer(b"".join(fingerprint(t, shingle, wide) for t in binary(batch.column("text"))), ">i8")
+            fps = fps.astype(np.int64).reshape(-1, len(sides))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, fps.T.copy())], ["doc_id", *sides])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *sides)))
 
 
 def covering_masks(radius: int, parts: int = 1, used: int = BITS, seed: int = 1) -> list[int]:
@@ -84,7 +89,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _tree(fps: np.ndarray, radius: int) -> tuple[list, list]:
+def _node(sides: tuple[str, ...]) -> Column:
+    """What names a fingerprint in edges."""
+    return F.col(sides[0]) if len(sides) == 1 else F.xxhash64(*sides)
+
+
+def _near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Whether rows of x and y, a column for each 64 bits, differ in at most so many bits."""
+    return np.bitwise_count(x ^ y).sum(axis=-1) <= most
+
+
+def _tree(fps: np.ndarray, most: int) -> tuple[list, list]:
     """A spanning forest of the links between the fingerprints of one bucket, grown breadth first."""
     left, right = [], []
     rest = fps
@@ -92,17 +107,19 @@ def _tree(fps: np.ndarray, radius: int) -> tuple[list, list]:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             at = front.pop()
-            near = np.bitwise_count(rest ^ at) <= radius
+            near = _near(rest, at, most)
             if near.any():
                 found = rest[near]
-                left += [at] * len(found)
-                right += found.tolist()
+                left.append(np.broadcast_to(at, found.shape))
+                right.append(found)
                 front += list(found)
                 rest = rest[~near]
     return left, right
 
 
-def _linker(radius: int):
+def _linker(most: int, sides: tuple[str, ...]):
+    names = [f"{end}{i}" for end in "ab" for i in range(len(sides))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -110,21 +127,22 @@ def _linker(radius: int):
             change = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
             bounds = np.concatenate([[0], change, [len(rows)]])
             size = np.diff(bounds)
-            fps = np.ascontiguousarray(rows[:, 3]).view(np.uint64)
+            fps = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
             pair = bounds[:-1][size == 2]
             a, b = fps[pair], fps[pair + 1]
-            near = np.bitwise_count(a ^ b) <= radius
+            near = _near(a, b, most)
             left, right = [a[near]], [b[near]]
             for s, n in zip(bounds[:-1][size > 2], size[size > 2]):
-                x, y = _tree(np.unique(fps[s : s + n]), radius)
-                left.append(np.array(x, np.uint64))
-                right.append(np.array(y, np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)], ["a", "b"])
+                x, y = _tree(fps[s : s + n], most)
+                left += x
+                right += y
+            ends = np.concatenate([np.concatenate(left), np.concatenate(right)], axis=1).view(np.int64)
+            return pa.RecordBatch.from_arrays(list(map(pa.array, ends.T.copy())), names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.column_stack([batch.column(c).to_numpy() for c in ("t", "k", "pair", "fp")])
+            rows = np.column_stack([batch.column(c).to_numpy() for c in ("t", "k", "pair", *sides)])
             if held:
                 rows = np.concatenate([*held, rows])
             same = (rows[:, :3] == rows[-1, :3]).all(axis=1)
@@ -135,44 +153,54 @@ def _linker(radius: int):
         if held:
             yield solve(held[0])
 
-    return run
+    return run, ", ".join(f"{c} long" for c in names)
 
 
 def links(fps: DataFrame, radius: int = 3, parts: int = 1, used: int = BITS, accept: int | None = None) -> DataFrame:
-    """Edges a, b between distinct fingerprints (fp long) that span the same components as all links within the radius.
+    """Edges a, b between distinct fingerprints that span the same components as all links within the radius. fps has
+    fp (long), and more (long) if they are wide; an end of an edge is fp, or the hash of both.
 
-    accept: link fingerprints that share a bucket up to this distance, beyond the radius up to which all are found.
+    Wide fingerprints have a covering of the radius for either half: of a pair within 2 * radius + 1 bits, one half is
+    within the radius.
+    accept: link fingerprints that share a bucket up to this distance, beyond that up to which all are found.
 
     Buckets with one fingerprint go. A bucket of over BLOCK fingerprints is cut into blocks and each pair of blocks
     is compared by a task of its own, so that no task holds more than BLOCK or so; links are emitted as trees.
     """
-    masks = covering_masks(radius, parts, used)
-    keys = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)]))
-    rows = fps.select("fp", keys.alias("x")).select("fp", "x.t", "x.k")
+    sides = WIDE if "more" in fps.columns else NARROW
+    masks = [(side, m) for side in sides for m in covering_masks(radius, parts, used)]
+    keys = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("t"), F.col(side).bitwiseAND(F.lit(_signed(m))).alias("k")) for i, (side, m) in enumerate(masks)]))
+    rows = fps.select(*sides, keys.alias("x")).select(*sides, "x.t", "x.k")
     full = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(full, ["t", "k"])
     blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("long")
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    mine = F.pmod(F.xxhash64(*sides), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
     rows = (
         rows.withColumn("blocks", F.when(F.col("n") > BLOCK, blocks).otherwise(F.lit(1).cast("long")))
-        .withColumn("pair", F.explode(pairs)).select("t", "k", "pair", "fp")
+        .withColumn("pair", F.explode(pairs)).select("t", "k", "pair", *sides)
     )
-    return rows.repartition("t", "k", "pair").sortWithinPartitions("t", "k", "pair", "fp").mapInArrow(_linker(radius if accept is None else accept), "a long, b long")
+    most = len(sides) * (radius + 1) - 1 if accept is None else accept
+    run, schema = _linker(most, sides)
+    ends = rows.repartition("t", "k", "pair").sortWithinPartitions("t", "k", "pair", *sides).mapInArrow(run, schema)
+    return ends.select(*[_node(tuple(f"{end}{i}" for i in range(len(sides)))).alias(end) for end in "ab"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, parts: int = 1, used: int = BITS, accept: int | None = None) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row of docs(doc_id, text).
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, parts: int = 1, used: int = BITS, accept: int | None = None, wide: bool = False) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits, 32 if wide), component_id for every row of docs(doc_id, text).
 
-    Documents whose fingerprints differ in at most radius bits are linked (see links() for parts, used and accept);
-    component_id is the least doc_id that
-    can be reached, null only where no linked row has an id. Null and empty texts have fingerprint zero. Rows
-    that repeat a doc_id keep one row each; an empty table gives an empty one; other columns are not read.
+    Documents whose fingerprints differ in at most radius bits, 2 * radius + 1 if wide, are linked (see links() for
+    parts, used and accept); component_id is the least doc_id that can be reached, null only where no linked row has an
+    id. Null and empty texts have fingerprint zero. Rows that repeat a doc_id keep one row each; an empty table gives an
+    empty one; other columns are not read.
     """
-    fps = materialize(fingerprints(docs, shingle), "simhash")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = materialize(components(links(nodes.select("fp"), radius, parts, used, accept)), "simhash-roots")
-    placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    sides = WIDE if wide else NARROW
+    fps = materialize(fingerprints(docs, shingle, wide), "simhash")
+    nodes = fps.groupBy(*sides).agg(F.min("doc_id").alias("least"))
+    roots = materialize(components(links(nodes.select(*sides), radius, parts, used, accept)), "simhash-roots")
+    nodes = nodes.withColumn("own", _node(sides))
+    placed = nodes.join(roots, F.col("own") == F.col("node"), "left").select(*sides, "least", F.coalesce("root", "own").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = placed.join(named, "root").select("fp", "component_id")
-    return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = placed.join(named, "root").select(*sides, "component_id")
+    digits = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in sides])
+    return fps.join(ids, list(sides)).select("doc_id", digits.alias("fingerprint"), "component_id")

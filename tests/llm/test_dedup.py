@@ -50,7 +50,39 @@ def test_near_duplicates(docs, texts, radius, parts):
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
 
 
+def test_wide_near_duplicates(docs, texts):
+    """All links within 2 * radius + 1 of 128 bits are found, and no others without accept."""
+    got = simhash.near_duplicates(docs, radius=2, wide=True).collect()
+    fps = {i: int.from_bytes(simhash.fingerprint((t or "").encode(), wide=True)) for i, (_, t) in enumerate(texts)}
+    roots = components(fps, 5)
+    least = defaultdict(lambda: None)
+    for i, (d, _) in enumerate(texts):
+        if d is not None and (least[roots[i]] is None or d < least[roots[i]]):
+            least[roots[i]] = d
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter((d, f"{fps[i]:032x}", least[roots[i]]) for i, (d, _) in enumerate(texts))
+
+
+def test_wide_links_are_those_within_the_distance(spark):
+    """Near groups around random centres: every link up to 2 * radius + 1 bits, none beyond accept."""
+    rng = np.random.default_rng(8)
+    flip = lambda x, n: x ^ sum(1 << int(b) for b in rng.choice(128, n, replace=False))
+    centres = [int.from_bytes(rng.bytes(16)) for _ in range(60)]
+    fps = sorted({x for c in centres for x in (c, flip(c, 7), flip(c, 20), flip(c, 45))})
+    halves = [tuple(h - (1 << 64) if h >> 63 else h for h in (x >> 64, x & (1 << 64) - 1)) for x in fps]
+    frame = spark.createDataFrame(halves, "fp long, more long")
+    named = {r.n: x for r, x in zip(frame.selectExpr("xxhash64(fp, more) as n").collect(), fps)}
+    found = simhash.links(frame, radius=3, accept=24).collect()
+    roots = {r.node: r.root for r in graph.components(simhash.links(frame, radius=3, accept=24)).collect()}
+    assert found and all((named[r.a] ^ named[r.b]).bit_count() <= 24 for r in found)
+    own = {x: n for n, x in named.items()}
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 7:
+                assert roots[own[a]] == roots[own[b]]
+
+
 def test_near_duplicates_of_nothing(no_docs):
+    assert simhash.near_duplicates(no_docs, wide=True).count() == 0
     found = simhash.near_duplicates(no_docs)
     assert found.columns == ["doc_id", "fingerprint", "component_id"] and found.count() == 0
 

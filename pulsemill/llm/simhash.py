@@ -170,7 +170,9 @@ def links(fps: DataFrame, radius: int = 3, parts: int = 1, used: int = BITS, acc
     sides = WIDE if "more" in fps.columns else NARROW
     masks = [(side, m) for side in sides for m in covering_masks(radius, parts, used)]
     keys = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("t"), F.col(side).bitwiseAND(F.lit(_signed(m))).alias("k")) for i, (side, m) in enumerate(masks)]))
-    rows = fps.select(*sides, keys.alias("x")).select(*sides, "x.t", "x.k")
+    # a partition of small rows grows by the number of tables, so their number is set before that
+    dealt = fps.select(*sides).repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), *sides)
+    rows = dealt.select(*sides, keys.alias("x")).select(*sides, "x.t", "x.k")
     full = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(full, ["t", "k"])
     blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("long")

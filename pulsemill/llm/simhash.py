@@ -28,6 +28,17 @@ BLOCK = 2048
 CHUNK = 1 << 15
 
 
+def shingle_bounds(text: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """A text's words with single spaces, and where its shingles start and end there; see fingerprint()."""
+    words = text.lower().split()
+    if not words:
+        return b"", [], []
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    n = max(1, len(words) - shingle + 1)
+    return b" ".join(words), (end - size)[:n].tolist(), end[-n:].tolist()
+
+
 def fingerprint(text: bytes, shingle: int = 3, wide: bool = False) -> bytes:
     """The 8 bytes, 16 if wide, most significant first, of the majority bits over a text's shingle hashes.
 
@@ -35,15 +46,10 @@ def fingerprint(text: bytes, shingle: int = 3, wide: bool = False) -> bytes:
     shingle is one shingle; one without words has fingerprint zero. A bit is set if over half the hashes set it.
     """
     digest, size_of = (xxhash.xxh3_128_digest, 2 * BITS) if wide else (xxhash.xxh64_digest, BITS)
-    words = text.lower().split()
-    if not words:
+    joined, starts, ends = shingle_bounds(text, shingle)
+    if not starts:
         return bytes(size_of // 8)
-    joined = b" ".join(words)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    start = end - size
-    n = max(1, len(words) - shingle + 1)
-    starts, ends = start[:n].tolist(), end[-n:].tolist()
+    n = len(starts)
     ones = np.zeros(size_of, np.int64)
     for at in range(0, n, CHUNK):
         part = b"".join([digest(joined[s:e], 42) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])])
@@ -156,6 +162,27 @@ def _linker(most: int, sides: tuple[str, ...]):
     return run, ", ".join(f"{c} long" for c in names)
 
 
+def block_pairs(of: Column) -> Column:
+    """The pairs of blocks, by column blocks, that a row with hash `of` belongs to."""
+    mine = F.pmod(of, F.col("blocks"))
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
+
+
+def linked(rows: DataFrame, sides: tuple[str, ...], most: int) -> DataFrame:
+    """Edges a, b as links() gives them between the fingerprints of rows (t, k, *sides) that share t and k and differ in
+    at most so many bits."""
+    full = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(full, ["t", "k"])
+    blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("long")
+    rows = (
+        rows.withColumn("blocks", F.when(F.col("n") > BLOCK, blocks).otherwise(F.lit(1).cast("long")))
+        .withColumn("pair", F.explode(block_pairs(F.xxhash64(*sides)))).select("t", "k", "pair", *sides)
+    )
+    run, schema = _linker(most, sides)
+    ends = rows.repartition("t", "k", "pair").sortWithinPartitions("t", "k", "pair", *sides).mapInArrow(run, schema)
+    return ends.select(*[_node(tuple(f"{end}{i}" for i in range(len(sides)))).alias(end) for end in "ab"])
+
+
 def links(fps: DataFrame, radius: int = 3, parts: int = 1, used: int = BITS, accept: int | None = None) -> DataFrame:
     """Edges a, b between distinct fingerprints that span the same components as all links within the radius. fps has
     fp (long), and more (long) if they are wide; an end of an edge is fp, or the hash of both.
@@ -173,19 +200,8 @@ def links(fps: DataFrame, radius: int = 3, parts: int = 1, used: int = BITS, acc
     # a partition of small rows grows by the number of tables, so their number is set before that
     dealt = fps.select(*sides).repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), *sides)
     rows = dealt.select(*sides, keys.alias("x")).select(*sides, "x.t", "x.k")
-    full = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(full, ["t", "k"])
-    blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("long")
-    mine = F.pmod(F.xxhash64(*sides), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
-    rows = (
-        rows.withColumn("blocks", F.when(F.col("n") > BLOCK, blocks).otherwise(F.lit(1).cast("long")))
-        .withColumn("pair", F.explode(pairs)).select("t", "k", "pair", *sides)
-    )
     most = len(sides) * (radius + 1) - 1 if accept is None else accept
-    run, schema = _linker(most, sides)
-    ends = rows.repartition("t", "k", "pair").sortWithinPartitions("t", "k", "pair", *sides).mapInArrow(run, schema)
-    return ends.select(*[_node(tuple(f"{end}{i}" for i in range(len(sides)))).alias(end) for end in "ab"])
+    return linked(rows, sides, most)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, parts: int = 1, used: int = BITS, accept: int | None = None, wide: bool = False) -> DataFrame:

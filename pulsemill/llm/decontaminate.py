@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 BUDGET = 0.15
 #: Items whose pieces travel to the tasks at once; a larger benchmark goes block by block.
 ITEMS = 20_000
-#: Characters of an item's text; longer items are cut into parts of about this many words that count as one item.
-LONGEST = 512
 WORD = re.compile(r"\w+")
 
 
@@ -66,14 +64,12 @@ class Matcher:
         self.anchors: dict[str, list[tuple[int, int, list[str], int]]] = {}
         for item_id, text in items:
             own = words(text)
-            for part in range(0, len(own), LONGEST):
-                pattern = own[part : part + LONGEST]
-                k = int(len(pattern) * budget)
-                number = len(self.items)
-                self.items.append((item_id, pattern, k))
-                for s, e in pieces(len(pattern), k):
-                    rarest = max(range(s, e), key=lambda i: len(pattern[i]))
-                    self.anchors.setdefault(pattern[rarest], []).append((number, s, pattern[s:e], rarest - s))
+            k = int(len(own) * budget)
+            number = len(self.items)
+            self.items.append((item_id, own, k))
+            for s, e in pieces(len(own), k):
+                rarest = max(range(s, e), key=lambda i: len(own[i]))
+                self.anchors.setdefault(own[rarest], []).append((number, s, own[s:e], rarest - s))
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """item_id, edits, first and last word + 1 (words as in words()) of the best passage of each item."""
@@ -136,9 +132,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET)
     """doc_id, item_id, edits, first_word, end_word: the closest passage of every item that a row of docs(doc_id, text)
     holds within int(budget * words) edits; benchmark has (item_id, text).
 
-    Items and documents that are null or without words match nothing. An item of over LONGEST words counts as found
-    if one of its parts is. Rows that repeat a document repeat its matches; empty tables give an empty one; other
-    columns are not read. Only a block of ITEMS items is at the driver and in tasks at once.
+    Items and documents that are null or without words match nothing. Items of any length are matched whole. Rows that
+    repeat a document repeat its matches; empty tables give an empty one; other columns are not read. Only a block of ITEMS items is at the driver and in tasks at once.
     """
     rows, out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), None
     for matcher in _search(docs, benchmark, budget):

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary, keyed
-from .superkmers import Symbols, masks, mix, repeated_spans, with_spans
+from .hashing import mix
+from .phrases import suffix_ranks
+from .superkmers import Symbols, masks, repeated_spans, with_spans
 
 WINDOW = 50
 #: Words; see suffixes.GRAM.
@@ -34,7 +36,24 @@ def _cut(text: bytes):
 
 
 def words(window: int = WINDOW) -> Symbols:
-    return Symbols(window, GRAM, _codes, _order, _cut, np.uint64, True)
+    def repeats(strings: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorts the windows by their words, each word by its number in a list of all words, so that equal windows meet."""
+        own = [s.split() for s in strings]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        number: dict[bytes, int] = {}
+        flat = np.fromiter((number.setdefault(w, len(number)) for ws in own for w in ws), np.int64, int(sizes.sum()))
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))
+        span, now = suffix_ranks(flat, left, 1, (window + 1) // 2)[-1]  # the first and the last span words cover a window
+        at = np.flatnonzero(left >= window)
+        key = now[at].astype(np.int64) << 32 | now[at + window - span]
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+        cls, document = np.cumsum(new) - 1, rank[np.repeat(np.arange(len(own)), sizes)[at[order]]]
+        marked = np.zeros(len(flat), bool)
+        marked[at[order[document > document[new][cls]]]] = True
+        return sizes, marked
+
+    return Symbols(window, GRAM, _codes, _order, _cut, np.uint64, True, repeats)
 
 
 def dedup_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:

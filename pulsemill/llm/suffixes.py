@@ -1,9 +1,10 @@
 """Suffix-array dedup by prefix-free parsing: bytes that repeated strings of 400 bytes cover go.
 
-A rolling hash over GRAM bytes marks triggers. The least trigger of each window of bytes cuts the corpus into phrases
-that overlap by a window less a byte; the dictionary holds each distinct phrase once, with its count, and the parse
-says where phrases lie. Phrases that occur twice are settled by the dictionary alone; of the rest, those that share a
-trigger are compared in its bucket (see superkmers.py).
+Spark deals the corpus out by rolling-hash triggers: the least trigger of each window of bytes cuts texts into strings that
+overlap by a window less a byte, and equal windows meet under one trigger (see superkmers.py). Strings that occur twice are
+settled by a dictionary of their counts. The rest of each partition is parsed into phrases; the suffix arrays of its dictionary
+and its parse give the order of its windows, and windows that a neighbour shares whole are repeated (see phrases.py). Windows
+of one trigger are all in one partition, so that the order of the whole corpus would show no other repeats.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import binary, keyed
-from .superkmers import ODD, Symbols, masks, mix, repeated_spans, window_hash, with_spans
+from .hashing import ODD, mix, window_hash
+from .phrases import repeated
+from .superkmers import Symbols, masks, repeated_spans, with_spans
 
 WINDOW = 400
 #: Long enough that unrelated texts of one language hardly ever share a gram.
 GRAM = 40
-#: One gram in TRIGGER is a trigger, where a phrase ends and the next begins.
+#: One gram in TRIGGER comes before all others.
 TRIGGER = 32
 
 
@@ -39,7 +42,10 @@ def _cut(text: bytes):
 
 
 def symbols(window: int = WINDOW) -> Symbols:
-    return Symbols(window, GRAM, _codes, _order, _cut, np.uint8, False)
+    def repeats(strings: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromiter(map(len, strings), np.int64, len(strings)), repeated(strings, window)
+
+    return Symbols(window, GRAM, _codes, _order, _cut, np.uint8, False, repeats)
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:

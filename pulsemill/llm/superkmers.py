@@ -18,17 +18,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, materialize, same_doc
+from .common import binary, discard, materialize, same_doc
+from .hashing import ODD, sliding_min, window_hash
 
 #: Windows of one document that are looked at together; longer documents go in pieces.
 SEGMENT = 1 << 19
 #: Symbols gathered before the arrays of a batch are worked on.
 FLAT = 1 << 18
-#: A minimiser whose strings hold more symbols than this goes window by window, by hash, not to one bucket task.
-HOT = 1 << 22
+#: A minimiser whose distinct strings hold more symbols than this goes window by window, by hash, not to one bucket task.
+HOT = 1 << 21
 #: Low bits of an order value that give way to the gram's place in the flat array.
 PLACE = 20
-ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NO_ID = (1 << 63) - 1
 
 
@@ -36,7 +36,9 @@ NO_ID = (1 << 63) - 1
 class Symbols:
     """window: symbols of a window. codes(text): an array with a uint64 for each symbol. order(codes): for each gram
     its order value, and gram: the symbols of one. cut(text): a function (s, e) -> the packed string of symbols s..e.
-    width: the type that holds a code. other_doc: whether a repeat counts only from a smaller doc_id."""
+    width: the type that holds a code. other_doc: whether a repeat counts only from a smaller doc_id.
+    repeats(strings, rank): symbols of each packed string, and for each symbol of all of them whether a repeated window
+    begins there; rank orders the strings' documents, and strings of equal windows come in that order."""
 
     window: int
     gram: int
@@ -45,37 +47,7 @@ class Symbols:
     cut: Callable[[bytes], Callable[[int, int], bytes]]
     width: type
     other_doc: bool
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def window_hash(codes: np.ndarray, window: int, base: int) -> np.ndarray:
-    """Polynomial hash modulo 2**64 of every window, by doubling."""
-    power, span, now, out, done = base, 1, codes, None, 0
-    while True:
-        if window & span:
-            if out is None:
-                out, done = now, span
-            else:  # now covers the first `span` symbols, out the `done` after them
-                n = len(codes) - span - done + 1
-                out = now[:n] + np.uint64(power) * out[span : span + n]
-                done += span
-        if span * 2 > window:
-            return out
-        now = now[: len(now) - span] + np.uint64(power) * now[span:]
-        power, span = power * power % (1 << 64), span * 2
-
-
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    span = 1
-    while span * 2 <= width:
-        x, span = np.minimum(x[:-span], x[span:]), span * 2
-    rest = width - span
-    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+    repeats: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def _pieces(codes: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -143,17 +115,23 @@ def _pack(kind: Symbols):
     """From documents with their suspect runs: packed strings, or, for hot minimisers, one row for each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int | None, int]] = set()  # rows that repeat a document go once
         for batch in batches:
             ids, ths, spans = batch.column("doc_id"), batch.column("th"), batch.column("runs")
+            names = list(zip(ids.to_pylist(), ths.to_pylist()))
             offsets = spans.offsets.to_numpy()
             h, s, e = (spans.values.field(c).to_numpy() for c in ("h", "s", "e"))
-            row, strings = [], []
+            row, own, strings = [], [], []
             for i, text in enumerate(binary(batch.column("text"))):
+                if names[i] in seen:
+                    continue
+                seen.add(names[i])
                 cut = kind.cut(text)
                 for j in range(offsets[i], offsets[i + 1]):
                     row.append(i)
+                    own.append(j)
                     strings.append(cut(s[j], e[j] + kind.window - 1))
-            at, own = pa.array(row, pa.int64()), slice(offsets[0], offsets[-1])
+            at, own = pa.array(row, pa.int64()), np.array(own, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h[own]), ids.take(at), ths.take(at), pa.array(s[own]), pa.array(strings, pa.binary())], ["h", "doc_id", "th", "s", "packed"])
 
     return run
@@ -178,30 +156,9 @@ SPAN = "doc_id long, th long, s long, e long"
 def _count(kind: Symbols):
     """Over rows sorted by bucket and doc_id: the spans of symbols that repeated windows cover."""
 
-    def solve(ids: np.ndarray, empty: np.ndarray, ths: np.ndarray, begin: np.ndarray, bucket: np.ndarray, packed: list[bytes]) -> pa.RecordBatch:
-        rank = np.where(empty, NO_ID, ids)
-        codes = [kind.codes(p) for p in packed]
-        sizes = np.fromiter(map(len, codes), np.int64, len(codes))
-        flat = np.concatenate(codes)
+    def solve(ids: np.ndarray, empty: np.ndarray, ths: np.ndarray, begin: np.ndarray, packed: list[bytes]) -> pa.RecordBatch:
+        sizes, marked = kind.repeats(packed, np.where(empty, NO_ID, ids))
         ends = np.cumsum(sizes)
-        inside = np.ones(len(flat), bool)
-        for e in ends:
-            inside[e - kind.window + 1 : e] = False
-        at = np.flatnonzero(inside)
-        own = np.repeat(np.arange(len(packed)), sizes)[at]
-        w1, w2 = (window_hash(flat, kind.window, b)[at] for b in ODD)
-        order = np.argsort(w1, kind="stable")  # rows are in order of doc_id, so each class begins with the least
-        w1, w2 = w1[order], w2[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-        cls = np.cumsum(new) - 1
-        head = np.flatnonzero(new)
-        if kind.other_doc:
-            hit = rank[own[order]] > rank[own[order[head]]][cls]
-        else:
-            hit = (np.bincount(cls) > 1)[cls]
-        marked = np.zeros(len(flat), bool)
-        marked[at[order[hit]]] = True
         # spans: runs of marked windows of a row, widened to the symbols that they cover
         edge = np.diff(np.concatenate([[0], marked.view(np.int8), [0]]))
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -221,7 +178,7 @@ def _count(kind: Symbols):
             cut = len(bucket) if last else int(np.searchsorted(-(bucket != bucket[-1]).astype(np.int8), 0))
             if cut:
                 p = t.slice(0, cut)
-                yield solve(p.column("doc_id").fill_null(0).to_numpy(), p.column("doc_id").is_null().to_numpy(), p.column("th").to_numpy(), p.column("s").to_numpy(), bucket[:cut], p.column("packed").to_pylist())
+                yield solve(p.column("doc_id").fill_null(0).to_numpy(), p.column("doc_id").is_null().to_numpy(), p.column("th").to_numpy(), p.column("s").to_numpy(), p.column("packed").to_pylist())
             # one copy: a slice would keep all of its table alive
             held = t.slice(cut).take(pa.array(range(len(bucket) - cut))).to_batches() if cut < len(bucket) else []
             size = sum(b.nbytes for b in held)
@@ -241,23 +198,30 @@ def _count(kind: Symbols):
 
 def repeated_spans(docs: DataFrame, kind: Symbols, label: str) -> DataFrame:
     """doc_id, th, s, e: spans of symbols that repeated windows cover, for the rows of keyed(docs)."""
-    found = docs.mapInArrow(_find(kind), RUN)
+    found = materialize(docs.mapInArrow(_find(kind), RUN), label)
     rank = F.coalesce("doc_id", F.lit(NO_ID))
     by = found.groupBy("h").agg(F.min(rank).alias("lo"), F.max(rank).alias("hi"), F.count("*").alias("runs"), F.max("again").alias("again"))
-    by = by.where("lo < hi" if kind.other_doc else "runs > 1 or again").select("h")
+    # what is joined is written first: an aggregate right above a join's exchange would keep Spark from splitting hot keys
+    by = materialize(by.where("lo < hi" if kind.other_doc else "runs > 1 or again").select("h"), label)
     suspect = materialize(found.join(by, "h"), label)
+    discard(found)
+    discard(by)
 
     # by string: its least document, how often it is there, and the one that stands for it
     own = F.xxhash64("doc_id", "th", "s")
     size = F.col("e") - F.col("s") + kind.window - 1
     strings = suspect.groupBy("h", "d").agg(F.min(rank).alias("lo"), F.count("*").alias("n"), F.min(own).alias("first"), F.max(size).alias("size"), F.max("again").alias("again"))
+    strings = materialize(strings, label)
     buckets = strings.groupBy("h").agg(F.count("*").alias("strings"), F.sum("size").alias("symbols"), F.max("again").alias("again"))
+    buckets = materialize(buckets, label)
     more = (F.col("strings") > 1) if kind.other_doc else (F.col("strings") > 1) | F.col("b.again")
     marks = strings.alias("a").join(buckets.alias("b"), "h").select("h", "d", "lo", "n", "first", more.alias("more"), (F.col("symbols") > HOT).alias("hot"))
     whole = rank > F.col("lo") if kind.other_doc else F.col("n") > 1
     goes = F.col("more") & (rank == F.col("lo") if kind.other_doc else own == F.col("first"))
     tagged = suspect.join(marks, ["h", "d"]).select("h", "doc_id", "th", "s", "e", "hot", whole.alias("whole"), goes.alias("goes"))
     tagged = materialize(tagged.where("whole or goes"), label)
+    for done in (suspect, strings, buckets):
+        discard(done)
 
     spans = tagged.where("whole").select("doc_id", "th", "s", (F.col("e") + kind.window - 1).alias("e"))
     packed = _packed(docs, tagged.where("goes and not hot"), kind)
@@ -279,8 +243,8 @@ def _packed(docs: DataFrame, runs: DataFrame, kind: Symbols) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text, spans for every row of keyed(docs)."""
-    got = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    """doc_id, text, spans for every row of keyed(docs). Rows that repeat a document found the same spans, hence the set."""
+    got = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     return docs.join(got, same_doc(docs, got), "left").select(docs["doc_id"], docs["text"], "spans")
 
 

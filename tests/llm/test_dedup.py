@@ -1,11 +1,13 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from pulsemill.llm import graph, simhash, substrings, suffixes, superkmers
+from pulsemill.llm import graph, hashing, phrases, simhash, substrings, suffixes, superkmers
 
 
 def plain_fingerprint(text, k=3):
@@ -190,6 +192,38 @@ def test_small_segments(docs, texts, monkeypatch):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == plain_bytes(texts, 64)
 
 
+def repeated_starts(strings, window):
+    count = Counter(s[i : i + window] for s in strings for i in range(len(s) - window + 1))
+    return [i + window <= len(s) and count[s[i : i + window]] > 1 for s in strings for i in range(len(s))]
+
+
+@pytest.mark.parametrize("letters", [b"a", b"ab", b"abcd", bytes(range(256))])
+@pytest.mark.parametrize("gram,trigger", [(2, 4), (8, 32), (16, 256)])
+def test_parsing_gives_the_order_of_windows(letters, gram, trigger, monkeypatch):
+    """Windows that a neighbour in corpus order shares are those that repeat, whatever the triggers."""
+    monkeypatch.setattr(phrases, "GRAM", gram)
+    monkeypatch.setattr(phrases, "TRIGGER", trigger)
+    rng = random.Random(gram)
+    for _ in range(12):
+        base = [bytes(rng.choice(letters) for _ in range(rng.randrange(1, 900))) for _ in range(4)]
+        part = lambda b, i: b[i : i + rng.randrange(1, 900)]
+        strings = [b"".join(part(b, rng.randrange(len(b))) for b in rng.choices(base, k=rng.randrange(1, 4))) for _ in range(rng.randrange(1, 8))]
+        for window in (5, 64, 400):
+            assert phrases.repeated(strings, window).tolist() == repeated_starts(strings, window)
+
+
+@pytest.mark.parametrize("ids", ["null", "same", "other"])
+def test_thousands_of_equal_rows(spark, ids):
+    """5,000 rows of one text, with null, equal or different ids, and one earlier copy: every row is whole, nothing grows with the square."""
+    text = " ".join(f"word{i * 7919 % 1500}" for i in range(1500))
+    docs = spark.range(5000).select({"null": F.lit(None).cast("long"), "same": F.lit(5).cast("long"), "other": F.col("id") + 5}[ids].alias("doc_id"), F.lit(text).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(1, text)], "doc_id long, text string")).repartition(4)
+    found = suffixes.dedup_bytes(docs).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    assert [tuple(r) for r in found] == [(len(text), len(text), 1, 5001)]
+    found = substrings.dedup_windows(docs).groupBy("n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, found)) == [(1500, 0, 1), (1500, 1500, 5000)]
+
+
 def test_windows_of_nothing(no_docs):
     assert substrings.dedup_windows(no_docs).count() == 0 and suffixes.dedup_bytes(no_docs).count() == 0
 
@@ -197,7 +231,7 @@ def test_windows_of_nothing(no_docs):
 def test_window_hash_and_sliding_min():
     x = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
     for w in (1, 2, 3, 50, 400):
-        h = superkmers.window_hash(x, w, superkmers.ODD[0])
-        want = [sum(int(v) * pow(superkmers.ODD[0], j, 1 << 64) for j, v in enumerate(x[i : i + w])) % (1 << 64) for i in range(len(x) - w + 1)]
+        h = hashing.window_hash(x, w, hashing.ODD[0])
+        want = [sum(int(v) * pow(hashing.ODD[0], j, 1 << 64) for j, v in enumerate(x[i : i + w])) % (1 << 64) for i in range(len(x) - w + 1)]
         assert h.tolist() == want
-        assert superkmers.sliding_min(x, w).tolist() == [x[i : i + w].min() for i in range(len(x) - w + 1)]
+        assert hashing.sliding_min(x, w).tolist() == [x[i : i + w].min() for i in range(len(x) - w + 1)]

@@ -11,8 +11,6 @@ from .registry import query
 from .sequences import RR, WHR, _rr, windowed_hr
 
 REC = "rec_id"
-#: Keeps means of two-digit values off an exact half of the last digit, where engines round apart.
-STEP = 3e-8
 T = f"WITH {EV}"
 
 
@@ -25,25 +23,27 @@ def agg01_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PAIR = f"""{T}, a AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY t_ms, peak_id) AS k FROM ev WHERE event_type = 'click'), b AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY t_ms, peak_id) AS k FROM ev WHERE event_type = 'view'),
-p AS (SELECT rec_id, a.value AS ref, b.value AS test, b.value - a.value AS e FROM a JOIN b USING (rec_id, k))"""
+p AS (SELECT rec_id, a.value AS ref, b.value AS test, b.value - a.value AS e, round(b.value * 100) - round(a.value * 100) AS c FROM a JOIN b USING (rec_id, k))"""
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     n = lambda k, c: peaks(spark, sf, k).withColumn("k", F.row_number().over(W.by("t_ms", "peak_id"))).select(REC, "k", F.col("value").alias(c))
-    return n("click", "ref").join(n("view", "test"), [REC, "k"]).withColumn("e", F.col("test") - F.col("ref"))
+    # c: the error in hundredths, whole numbers whose sums are exact in any order
+    cents = F.round(F.col("test") * 100) - F.round(F.col("ref") * 100)
+    return n("click", "ref").join(n("view", "test"), [REC, "k"]).withColumn("e", F.col("test") - F.col("ref")).withColumn("c", cents)
 
 
-@query(f"""{PAIR} SELECT rec_id, round(avg(e) + 3e-8, 5) AS bias, round(stddev_pop(e), 5) AS sd, round(avg(abs(e)), 5) AS mae, round(sqrt(avg(e * e)), 5) AS rmse, round(100 * avg(abs(e) / ref), 5) AS mape, round(quantile_cont(abs(e), 0.5), 5) AS median_ae FROM p GROUP BY rec_id""")
+@query(f"""{PAIR} SELECT rec_id, avg(c) / 100 AS bias, round(stddev_pop(e), 5) AS sd, avg(abs(c)) / 100 AS mae, round(sqrt(avg(e * e)), 5) AS rmse, round(100 * avg(abs(e) / ref), 5) AS mape, round(quantile_cont(abs(e), 0.5), 5) AS median_ae FROM p GROUP BY rec_id""")
 def agg02_error_block(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("e")
     r = lambda c, n: F.round(F.coalesce(c, F.lit(0.0)), 5).alias(n)
-    return _pairs(spark, sf).groupBy(REC).agg(r(F.avg(e) + STEP, "bias"), r(F.stddev_pop(e), "sd"), r(F.avg(F.abs(e)), "mae"), r(F.sqrt(F.avg(e * e)), "rmse"), r(100 * F.avg(F.abs(e) / F.col("ref")), "mape"), r(F.percentile(F.abs(e), 0.5), "median_ae"))
+    return _pairs(spark, sf).groupBy(REC).agg(F.coalesce(F.avg("c") / 100, F.lit(0.0)).alias("bias"), r(F.stddev_pop(e), "sd"), F.coalesce(F.avg(F.abs("c")) / 100, F.lit(0.0)).alias("mae"), r(F.sqrt(F.avg(e * e)), "rmse"), r(100 * F.avg(F.abs(e) / F.col("ref")), "mape"), r(F.percentile(F.abs(e), 0.5), "median_ae"))
 
 
-@query(f"""{PAIR} SELECT rec_id, round(avg(e) + 3e-8, 5) AS bias, round(avg(e) - 1.96 * stddev_samp(e), 5) AS lo_samp, round(avg(e) + 1.96 * stddev_samp(e), 5) AS hi_samp, round(avg(e) - 1.96 * stddev_pop(e), 5) AS lo_pop, round(avg(e) + 1.96 * stddev_pop(e), 5) AS hi_pop FROM p GROUP BY rec_id""")
+@query(f"""{PAIR} SELECT rec_id, avg(c) / 100 AS bias, round(avg(e) - 1.96 * stddev_samp(e), 5) AS lo_samp, round(avg(e) + 1.96 * stddev_samp(e), 5) AS hi_samp, round(avg(e) - 1.96 * stddev_pop(e), 5) AS lo_pop, round(avg(e) + 1.96 * stddev_pop(e), 5) AS hi_pop FROM p GROUP BY rec_id""")
 def agg04_bland_altman(spark: SparkSession, sf: str) -> DataFrame:
     b, s, p = F.avg("e"), F.stddev_samp("e"), F.stddev_pop("e")
-    return _pairs(spark, sf).groupBy(REC).agg(F.round(b + STEP, 5).alias("bias"), F.round(b - 1.96 * s, 5).alias("lo_samp"), F.round(b + 1.96 * s, 5).alias("hi_samp"), F.round(b - 1.96 * p, 5).alias("lo_pop"), F.round(b + 1.96 * p, 5).alias("hi_pop"))
+    return _pairs(spark, sf).groupBy(REC).agg((F.avg("c") / 100).alias("bias"), F.round(b - 1.96 * s, 5).alias("lo_samp"), F.round(b + 1.96 * s, 5).alias("hi_samp"), F.round(b - 1.96 * p, 5).alias("lo_pop"), F.round(b + 1.96 * p, 5).alias("hi_pop"))
 
 
 @query(f"{PAIR} SELECT rec_id, count(*) AS n, round(corr(ref, test), 6) AS r FROM p GROUP BY rec_id HAVING count(*) > 2")
@@ -226,6 +226,12 @@ def set04_append_rows(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("detector", F.lit("Individual").alias("kind"), "f1").unionByName(e.agg(F.round(F.avg("f1"), 5).alias("f1")).select(F.lit("consensus").alias("detector"), F.lit("Consensus").alias("kind"), "f1"))
 
 
-@query("SELECT vec_id, CASE WHEN vec_id < 1936 * 0.2 THEN 'train' ELSE 'test' END AS part FROM embeddings")
+#: Fixed value: the first row of the test part.
+SPLIT = 1936
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey < {SPLIT} THEN 'train' ELSE 'test' END AS part FROM lineitem")
 def set05_split_by_row(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.when(F.col("vec_id") < 1936 * 0.2, "train").otherwise("test").alias("part"))
+    """Rows numbered below SPLIT are for training, the rest for testing; here an order is a row of the signal table."""
+    part = F.when(F.col("l_orderkey") < SPLIT, "train").otherwise("test")
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", part.alias("part"))

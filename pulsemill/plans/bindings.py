@@ -17,7 +17,7 @@ EV = f"""ev AS (SELECT user_id AS rec_id, event_id AS peak_id,
   (epoch_us(ts) - {START_US}) // {TICK_US} AS t_ms, event_type, value, props FROM events)"""
 SM = """sm AS (SELECT l_suppkey AS rec_id,
   row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS idx,
-  l_extendedprice AS v, l_quantity AS q, l_orderkey, l_partkey FROM lineitem)"""
+  l_extendedprice AS v, round(l_extendedprice * 100) AS c, l_quantity AS q, l_orderkey, l_partkey FROM lineitem)"""
 FR = """fr AS (SELECT vec_id AS rec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"""
 FS = f"""{FR}, fs AS (SELECT rec_id, label, unnest(range(0, len(x))) AS idx, unnest(x) AS v FROM fr)"""
 
@@ -34,11 +34,12 @@ def peaks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_id, idx (from 0), v (price), q (quantity), l_orderkey, l_partkey."""
+    """rec_id, idx (from 0), v (price), c (price in cents: a whole number, so that sums are exact in any order), q (quantity),
+    l_orderkey, l_partkey."""
     order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.col("l_suppkey").alias("rec_id"), (F.row_number().over(order) - 1).cast("long").alias("idx"),
-        F.col("l_extendedprice").alias("v"), F.col("l_quantity").alias("q"), "l_orderkey", "l_partkey")
+        F.col("l_extendedprice").alias("v"), F.round(F.col("l_extendedprice") * 100).alias("c"), F.col("l_quantity").alias("q"), "l_orderkey", "l_partkey")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,11 +21,10 @@ def _detections(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select(REC, F.col("event_type").alias("detector"), F.expr("t_ms div 20").alias("t"))
 
 
-@query(f"{PK}, {DENS} SELECT rec_id, t, round(d, 6) AS density FROM nd WHERE rec_id % 5 = 0 OR d > 0.3")
+@query(f"{PK}, {DENS} SELECT rec_id, t, round(d, 6) AS density FROM nd")
 def con01_sig16_gaussian_density(spark: SparkSession, sf: str) -> DataFrame:
-    """Density of all detectors' beats, of equal weight."""
-    d = C.density(_detections(spark, sf), None, SIGMA)
-    return d.where("rec_id % 5 = 0 or density > 0.3").select(REC, "t", F.round("density", 6).alias("density"))
+    """Density of all detectors' beats, of equal weight, at every place that one reaches."""
+    return C.density(_detections(spark, sf), None, SIGMA).select(REC, "t", F.round("density", 6).alias("density"))
 
 
 @query(f"""WITH {EV}, f AS (SELECT event_type AS detector, round(avg(value) / 500, 6) AS weight FROM ev WHERE event_type <> 'error' GROUP BY ALL), o AS (SELECT detector, coalesce(weight, 0.5) AS weight FROM (SELECT DISTINCT event_type AS detector FROM ev) LEFT JOIN f USING (detector)),

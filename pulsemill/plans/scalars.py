@@ -78,11 +78,11 @@ def prj13_safe_names(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", S.safe_name(url).alias("name"), F.split_part(url, F.lit("/"), F.lit(3)).alias("host"), F.regexp_replace(url, r"\.[A-Za-z0-9]+$", "").alias("stem"))
 
 
-@query(f"""WITH {SM}, q AS (SELECT rec_id, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM sm GROUP BY rec_id) SELECT rec_id, idx, round(least(greatest(v, lo), hi) + 3e-7, 4) AS v FROM sm JOIN q USING (rec_id)""")
+@query(f"""WITH {SM}, q AS (SELECT rec_id, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM sm GROUP BY rec_id) SELECT rec_id, idx, round(least(greatest(v, lo), hi), 6) AS v FROM sm JOIN q USING (rec_id)""")
 def prj14_quantile_clip(spark: SparkSession, sf: str) -> DataFrame:
     s = samples(spark, sf)
     q = s.groupBy(REC).agg(F.percentile("v", F.array(F.lit(0.005), F.lit(0.995))).alias("ends"))
-    return s.join(q, REC).select(REC, "idx", F.round(F.least(F.greatest(F.col("v"), F.col("ends")[0]), F.col("ends")[1]) + 3e-7, 4).alias("v"))
+    return s.join(q, REC).select(REC, "idx", F.round(F.least(F.greatest(F.col("v"), F.col("ends")[0]), F.col("ends")[1]), 6).alias("v"))
 
 
 @query(f"WITH {FS} SELECT rec_id, idx::BIGINT AS idx, round(sin(v), 9) AS s, round(exp(v), 9) AS e, round(log10(abs(v) + 1), 9) AS l, round(sqrt(abs(v)), 9) AS r, sign(v)::INTEGER AS g, round(least(greatest(v, -0.1), 0.1), 9) AS c FROM fs")

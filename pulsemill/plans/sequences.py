@@ -10,9 +10,6 @@ from .bindings import EV, FS, SM, events, frame_samples, peaks, samples
 from .registry import query
 
 REC = "rec_id"
-#: Prices have two digits, so that their means often end in an exact half of the last digit kept; two engines' sums
-#: then round apart. Both sides round after this small step.
-STEP = 3e-7
 ORDER = ["t_ms", "peak_id"]
 T = f"WITH {EV}"
 RR = f"{T}, rr AS (SELECT *, t_ms - lag(t_ms) OVER w AS rr, lead(t_ms) OVER w AS nx FROM ev WINDOW w AS (PARTITION BY rec_id ORDER BY t_ms, peak_id))"
@@ -155,63 +152,65 @@ def win12_windowed_hr(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{T}, vw AS (SELECT * FROM ev WHERE event_type = 'view'), ck AS (SELECT * FROM ev WHERE event_type = 'click'),
 nr AS (SELECT t.rec_id, t.peak_id, any_value(t.t_ms) AS t_ms, arg_min({{'p': r.peak_id, 't': r.t_ms}}, {{'d': abs(r.t_ms - t.t_ms), 't': r.t_ms, 'p': r.peak_id}}) AS m FROM vw t JOIN ck r ON r.rec_id = t.rec_id AND r.t_ms // 5000 = t.t_ms // 5000 GROUP BY t.rec_id, t.peak_id),
 tp AS (SELECT rec_id, t_ms // 5000 AS window_idx, count(DISTINCT m.p) AS tp FROM nr WHERE abs(m.t - t_ms) <= 50 GROUP BY ALL),
-g AS (SELECT rec_id, unnest(range(0, 14)) AS window_idx FROM (SELECT DISTINCT rec_id FROM ev)),
+g AS (SELECT rec_id, unnest(range(0, max(t_ms) // 5000 + 1)) AS window_idx FROM ev GROUP BY rec_id),
 c AS (SELECT rec_id, t_ms // 5000 AS window_idx, count(*) FILTER (event_type = 'click') AS nr, count(*) FILTER (event_type = 'view') AS nt FROM ev WHERE event_type IN ('click', 'view') GROUP BY ALL),
 j AS (SELECT g.rec_id, g.window_idx, coalesce(nr, 0) AS nr, coalesce(nt, 0) AS nt, coalesce(tp, 0) AS tp FROM g LEFT JOIN c USING (rec_id, window_idx) LEFT JOIN tp USING (rec_id, window_idx))
 SELECT rec_id, window_idx, CASE WHEN nr = 0 AND nt = 0 THEN 1.0 WHEN nr = 0 OR nt = 0 THEN 0.0 ELSE round(2.0 * tp / (nr + nt), 4) END::DOUBLE AS f1 FROM j""")
 def win13_windowed_f1(spark: SparkSession, sf: str) -> DataFrame:
-    """F1 of beat matching inside each 5 s window; both sides empty is 1."""
+    """F1 of beat matching inside each 5 s window up to a recording's last event; both sides empty is 1."""
     from ..operators import joins as J
 
-    per = lambda k: peaks(spark, sf, k).where("t_ms < 70000").select(F.struct(F.col(REC).alias("r"), F.expr("t_ms div 5000").alias("w")).alias(REC), "peak_id", "t_ms")
+    per = lambda k: peaks(spark, sf, k).select(F.struct(F.col(REC).alias("r"), F.expr("t_ms div 5000").alias("w")).alias(REC), "peak_id", "t_ms")
     counts = J.beat_counts(per("view"), per("click"), 50).select(F.col("rec_id.r").alias(REC), F.col("rec_id.w").alias("window_idx"), "n_ref", "n_test", "tp")
-    grid = events(spark, sf).select(REC).distinct().select(REC, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(13).cast("long"))).alias("window_idx"))
+    ends = events(spark, sf).groupBy(REC).agg(F.expr("max(t_ms) div 5000").alias("last"))
+    grid = ends.select(REC, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("window_idx"))
     j = grid.join(counts, [REC, "window_idx"], "left").na.fill(0)
     none = F.col("n_ref") + F.col("n_test") == 0
     f1 = F.when(none, 1.0).when((F.col("n_ref") == 0) | (F.col("n_test") == 0), 0.0).otherwise(F.round(2.0 * F.col("tp") / (F.col("n_ref") + F.col("n_test")), 4))
     return j.select(REC, "window_idx", f1.alias("f1"))
 
 
-@query(f"""WITH {SM}, g AS (SELECT rec_id, unnest(range(0, max(idx) + 1 - 64 + 1, 32)) AS s FROM sm GROUP BY rec_id), w AS (SELECT g.rec_id, s, avg(v) AS m FROM g JOIN sm ON sm.rec_id = g.rec_id AND idx >= s AND idx < s + 64 GROUP BY ALL),
-p AS (SELECT sm.rec_id, idx, v - m AS y FROM w JOIN sm ON sm.rec_id = w.rec_id AND idx >= s AND idx < s + 64)
-SELECT rec_id, idx, round(avg(y) + 3e-7, 4) AS y, count(*) AS n FROM p GROUP BY ALL""")
+@query(f"""WITH {SM}, g AS (SELECT rec_id, unnest(range(0, max(idx) + 1 - 64 + 1, 32)) AS s FROM sm GROUP BY rec_id), w AS (SELECT g.rec_id, s, avg(c) AS m FROM g JOIN sm ON sm.rec_id = g.rec_id AND idx >= s AND idx < s + 64 GROUP BY ALL),
+p AS (SELECT sm.rec_id, idx, c - m AS y FROM w JOIN sm ON sm.rec_id = w.rec_id AND idx >= s AND idx < s + 64)
+SELECT rec_id, idx, avg(y) / 100 AS y, count(*) AS n FROM p GROUP BY ALL""")
 def win14_overlap_add_average(spark: SparkSession, sf: str) -> DataFrame:
     """Windows centred on their own mean, averaged where they overlap."""
-    s = samples(spark, sf).select(REC, "idx", "v")
+    s = samples(spark, sf).select(REC, "idx", "c")
     n = s.groupBy(REC).agg(F.count("*").alias("n"))
     w = s.join(n, REC).withColumn("k", F.explode(W.windows_of(F.col("idx"), 64, 32, W.full_windows(F.col("n"), 64, 32))))
-    y = w.withColumn("y", F.col("v") - F.avg("v").over(Window.partitionBy(REC, "k")))
-    return y.groupBy(REC, "idx").agg(F.round(F.avg("y") + STEP, 4).alias("y"), F.count("*").alias("n"))
+    y = w.withColumn("y", F.col("c") - F.avg("c").over(Window.partitionBy(REC, "k")))
+    return y.groupBy(REC, "idx").agg((F.avg("y") / 100).alias("y"), F.count("*").alias("n"))
 
 
 O = "(PARTITION BY rec_id ORDER BY idx"
 
 
-@query(f"WITH {SM} SELECT rec_id, idx, round(coalesce(avg(v) OVER {O} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), v) + 3e-7, 4) AS y FROM sm")
+@query(f"WITH {SM} SELECT rec_id, idx, coalesce(avg(c) OVER {O} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), c) / 100 AS y FROM sm")
 def win15_trailing_moving_average(spark: SparkSession, sf: str) -> DataFrame:
-    y = F.avg("v").over(W.by("idx").rowsBetween(-12, -1))
-    return samples(spark, sf).select(REC, "idx", F.round(F.coalesce(y, F.col("v")) + STEP, 4).alias("y"))
+    """Mean of the up to 12 samples before each one; the first is its own."""
+    y = F.avg("c").over(W.by("idx").rowsBetween(-12, -1))
+    return samples(spark, sf).select(REC, "idx", (F.coalesce(y, F.col("c")) / 100).alias("y"))
 
 
-@query(f"WITH {SM} SELECT rec_id, idx, round(sum(v) OVER {O} ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) / 15 + 3e-7, 4) AS y FROM sm")
+@query(f"WITH {SM} SELECT rec_id, idx, sum(c) OVER {O} ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) / 1500 AS y FROM sm")
 def win16_box_convolution(spark: SparkSession, sf: str) -> DataFrame:
     """Centred box with zeros beyond the ends: the sum over the whole width, not over the rows that are there."""
-    return samples(spark, sf).select(REC, "idx", F.round(F.sum("v").over(W.by("idx").rowsBetween(-7, 7)) / 15 + STEP, 4).alias("y"))
+    return samples(spark, sf).select(REC, "idx", (F.sum("c").over(W.by("idx").rowsBetween(-7, 7)) / 1500).alias("y"))
 
 
 FIR = {"five": ((0, 1), (1, 2), (3, -2), (4, -1)), "four": ((0, 1), (4, -1)), "smooth": ((0, 1), (1, 4), (2, 6), (3, 4), (4, 1))}
 
 
 def _fir_sql(name: str) -> str:
-    return " + ".join(f"{w} * lag(v, {k}, 0) OVER {O})" for k, w in FIR[name])
+    return " + ".join(f"{w} * lag(c, {k}, 0) OVER {O})" for k, w in FIR[name])
 
 
-@query(f"""WITH {SM} SELECT rec_id, idx, round(({_fir_sql('five')}) / 8 + 3e-7, 4) AS five, round({_fir_sql('four')}, 4) AS four, round({_fir_sql('smooth')}, 4) AS smooth, round((lead(v) OVER {O}) - lag(v) OVER {O})) / 2 + 3e-7, 4) AS central FROM sm""")
+@query(f"""WITH {SM} SELECT rec_id, idx, ({_fir_sql('five')}) / 800 AS five, ({_fir_sql('four')}) / 100 AS four, ({_fir_sql('smooth')}) / 100 AS smooth, (lead(c) OVER {O}) - lag(c) OVER {O})) / 200 AS central FROM sm""")
 def win17_fir_derivatives(spark: SparkSession, sf: str) -> DataFrame:
     """FIR filters as sums of lags with zeros before the start."""
     w = W.by("idx")
-    fir = lambda name: sum((F.lag("v", k, 0.0).over(w) * c for k, c in FIR[name]), F.lit(0.0))
-    return samples(spark, sf).select(REC, "idx", F.round(fir("five") / 8 + STEP, 4).alias("five"), F.round(fir("four"), 4).alias("four"), F.round(fir("smooth"), 4).alias("smooth"), F.round((F.lead("v").over(w) - F.lag("v").over(w)) / 2 + STEP, 4).alias("central"))
+    fir = lambda name: sum((F.lag("c", k, 0.0).over(w) * c for k, c in FIR[name]), F.lit(0.0))
+    return samples(spark, sf).select(REC, "idx", (fir("five") / 800).alias("five"), (fir("four") / 100).alias("four"), (fir("smooth") / 100).alias("smooth"), ((F.lead("c").over(w) - F.lag("c").over(w)) / 200).alias("central"))
 
 
 @query(f"WITH {SM}, x AS (SELECT *, lag(v) OVER {O}) AS a, lead(v) OVER {O}) AS b FROM sm) SELECT rec_id, idx, v FROM x WHERE v > a AND v > b")
@@ -254,7 +253,7 @@ def win24_despike_median(spark: SparkSession, sf: str) -> DataFrame:
 
 # fills: a sample is invalid where its order key is divisible by five
 
-NUL = f"WITH {SM}, s AS (SELECT rec_id, idx, CASE WHEN (l_orderkey + l_partkey) % 3 = 0 OR (idx // 30) % 3 = 1 THEN NULL ELSE v END AS v FROM sm)"
+NUL = f"WITH {SM}, s AS (SELECT rec_id, idx, CASE WHEN (l_orderkey + l_partkey) % 3 = 0 OR (idx // 30) % 3 = 1 THEN NULL ELSE c END AS v FROM sm)"
 AROUND = """a AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY idx) AS bi, last_value(v IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY idx) AS bv,
  first_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ai, first_value(v IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS av FROM s),
 l AS (SELECT *, CASE WHEN bi = ai THEN bv ELSE bv + (av - bv) * (idx - bi) / (ai - bi) END AS line FROM a)"""
@@ -262,23 +261,23 @@ l AS (SELECT *, CASE WHEN bi = ai THEN bv ELSE bv + (av - bv) * (idx - bi) / (ai
 
 def _holes(spark: SparkSession, sf: str) -> DataFrame:
     hole = ((F.col("l_orderkey") + F.col("l_partkey")) % 3 == 0) | (F.expr("(idx div 30) % 3") == 1)
-    return samples(spark, sf).select(REC, "idx", F.when(hole, None).otherwise(F.col("v")).alias("v"))
+    return samples(spark, sf).select(REC, "idx", F.when(hole, None).otherwise(F.col("c")).alias("v"))
 
 
-@query(f"{NUL}, {AROUND} SELECT rec_id, idx, round(coalesce(v, line, bv, av, 0) + 3e-7, 4) AS v FROM l")
+@query(f"{NUL}, {AROUND} SELECT rec_id, idx, coalesce(v, line, bv, av, 0) / 100 AS v FROM l")
 def fill01_flt01_linear_interpolation(spark: SparkSession, sf: str) -> DataFrame:
-    return fills.interpolate(_holes(spark, sf), empty=0.0).select(REC, "idx", F.round(F.col("v") + STEP, 4).alias("v"))
+    return fills.interpolate(_holes(spark, sf), empty=0.0).select(REC, "idx", (F.col("v") / 100).alias("v"))
 
 
-@query(f"{NUL}, {AROUND} SELECT rec_id, idx, round(coalesce(v, CASE WHEN idx - bi <= 10 THEN coalesce(line, bv) END, av, bv) + 3e-7, 4) AS v FROM l")
+@query(f"{NUL}, {AROUND} SELECT rec_id, idx, coalesce(v, CASE WHEN idx - bi <= 10 THEN coalesce(line, bv) END, av, bv) / 100 AS v FROM l")
 def fill02_src05_interpolate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    return fills.interpolate_limited(_holes(spark, sf), 10).select(REC, "idx", F.round(F.col("v") + STEP, 4).alias("v"))
+    return fills.interpolate_limited(_holes(spark, sf), 10).select(REC, "idx", (F.col("v") / 100).alias("v"))
 
 
-@query(f"{NUL}, {AROUND} SELECT rec_id, idx, round(coalesce(v, line, bv, av) + 3e-7, 4) AS v FROM l WHERE v IS NULL")
+@query(f"{NUL}, {AROUND} SELECT rec_id, idx, coalesce(v, line, bv, av) / 100 AS v FROM l WHERE v IS NULL")
 def fill03_interpolate_both_ends(spark: SparkSession, sf: str) -> DataFrame:
     holes = _holes(spark, sf).withColumn("was", F.col("v"))
-    return fills.interpolate(holes).where("was is null").select(REC, "idx", F.round(F.col("v") + STEP, 4).alias("v"))
+    return fills.interpolate(holes).where("was is null").select(REC, "idx", (F.col("v") / 100).alias("v"))
 
 
 @query(f"""{T}, p AS (SELECT rec_id, t_ms AS x, avg(value) AS v FROM ev GROUP BY ALL), g AS (SELECT rec_id, unnest(range(min(x), max(x), 500)) AS x FROM p GROUP BY rec_id),

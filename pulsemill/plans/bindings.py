@@ -28,6 +28,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("rec_id"), F.col("event_id").alias("peak_id"), t.alias("t_ms"), "event_type", "value", "props")
 
 
+#: Longer recordings: fifteen users each, on a clock in which an hour is a second.
+LONG_EV = f"""ev AS (SELECT user_id // 15 AS rec_id, event_id AS peak_id, (epoch_us(ts) - {START_US}) // {TICK_US // 10} AS t_ms FROM events)"""
+
+
+def long_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_id, peak_id, t_ms."""
+    t = F.expr(f"(unix_micros(cast(ts AS timestamp)) - {START_US}) div {TICK_US // 10}")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("user_id div 15").alias("rec_id"), F.col("event_id").alias("peak_id"), t.alias("t_ms"))
+
+
 def peaks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """The peaks (or labels, or marks) that are events of one type."""
     return events(spark, sf_dir).where(F.col("event_type") == kind).drop("event_type")

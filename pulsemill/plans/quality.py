@@ -7,11 +7,11 @@ from math import pi
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import quality as Q, spectral as S, windows as W
+from ..operators import joins as J, quality as Q, spectral as S, windows as W
 from .aggregates import BINS, MOM, histogram_entropy
-from .bindings import EV, FR, FS, SM, events, frame_samples, frames, samples
+from .bindings import EV, FR, FS, LONG_EV, SM, frame_samples, frames, long_events, samples
 from .registry import query
-from .sequences import clean_rr, _rr, CLEAN
+from .sequences import CLEAN, clean_rr, intervals
 
 REC = "rec_id"
 #: A frame of 64 samples counts as 1.28 s at 50 Hz.
@@ -160,22 +160,84 @@ def win22_windowed_lag_drift(spark: SparkSession, sf: str) -> DataFrame:
     return r.groupBy(REC).agg(F.max_by("lag", e).alias("lag")).select(F.col("rec_id.rec").alias(REC), F.col("rec_id.k").alias("window_idx"), "lag")
 
 
-FREQ = "(0.001 + i * (0.4 - 0.001) / 99) * 2 * pi()"
-LOMB = f"""{CLEAN}, pt AS (SELECT rec_id, t_ms / 1000.0 AS t, clean AS y FROM k WHERE clean IS NOT NULL), ce AS (SELECT rec_id, t, y - avg(y) OVER (PARTITION BY rec_id) AS y FROM pt),
-u AS (SELECT rec_id, i, sum(sin(2 * w * t)) AS s2, sum(cos(2 * w * t)) AS c2, any_value(w) AS w FROM ce, (SELECT i, {FREQ} AS w FROM range(100) g(i)) GROUP BY ALL), ta AS (SELECT *, atan2(s2, c2) / (2 * w) AS tau FROM u),
-ls AS (SELECT ce.rec_id, i, any_value(w) / (2 * pi()) AS f, 0.5 * (pow(sum(y * cos(w * (t - tau))), 2) / sum(pow(cos(w * (t - tau)), 2)) + pow(sum(y * sin(w * (t - tau))), 2) / sum(pow(sin(w * (t - tau)), 2))) AS p FROM ce JOIN ta USING (rec_id) GROUP BY ce.rec_id, i)"""
-
-
-@query(f"""{LOMB}, bp AS (SELECT rec_id, sum(t) FILTER (f >= 0.04 AND f < 0.15 AND pf >= 0.04) AS lf, sum(t) FILTER (f >= 0.15 AND f < 0.4 AND pf >= 0.15) AS hf, sum(t) AS tp FROM (SELECT rec_id, f, lag(f) OVER w AS pf, (p + lag(p) OVER w) / 2 * (f - lag(f) OVER w) AS t FROM ls WINDOW w AS (PARTITION BY rec_id ORDER BY f)) GROUP BY rec_id)
-SELECT rec_id, round(lf / hf, 5) AS lf_hf, round(tp, 3) AS total_power FROM bp""")
-def sig11_sig12_lomb_scargle_lf_hf(spark: SparkSession, sf: str) -> DataFrame:
-    """Power of the interval series in the low and high band, from 100 frequencies."""
-    beats = clean_rr(_rr(spark, sf)).where("clean is not null").select(REC, (F.col("t_ms") / 1000).alias("t"), F.col("clean").cast("double").alias("y"))
-    freqs = F.array(*[F.lit((0.001 + i * (0.4 - 0.001) / 99) * 2 * pi) for i in range(100)])
-    p = S.lomb_scargle(beats, freqs).select(REC, (F.col("w") / (2 * pi)).alias("f"), "power")
+#: Fixed values of the interval spectrum: window and step in ms, least number of intervals, frequencies, bands in Hz.
+SPAN_MS, STEP_MS, LEAST = 300_000, 30_000, 100
+GRID = (0.001, 0.4, 1000)
+BANDS = {"vlf": (0.0033, 0.04), "lf": (0.04, 0.15), "hf": (0.15, 0.4)}
+#: Keeps the grid's last frequency, 0.4, out of the band that ends there.
+END = 1e-9
+LONG = CLEAN.replace(EV, LONG_EV)
+SINES = """sum(y - m) AS y0, sum(cos(w * t)) AS c, sum(sin(w * t)) AS s, sum(cos(w * t) * cos(w * t)) AS cc, sum(sin(w * t) * sin(w * t)) AS ss, sum(cos(w * t) * sin(w * t)) AS cs, sum((y - m) * cos(w * t)) AS yc, sum((y - m) * sin(w * t)) AS ys"""
+
+
+def _power_sql(cc: str, ss: str, cs: str) -> str:
+    """The periodogram from sums, rotated to where sine and cosine are orthogonal."""
+    rotated = f"SELECT *, {cc} AS a, {ss} AS b, {cs} AS d, atan2(2 * ({cs}), ({cc}) - ({ss})) / 2 AS u FROM sn"
+    return f"""SELECT *, (pow(yc * cos(u) + ys * sin(u), 2) / (a * pow(cos(u), 2) + 2 * d * cos(u) * sin(u) + b * pow(sin(u), 2)) + pow(ys * cos(u) - yc * sin(u), 2) / (b * pow(cos(u), 2) - 2 * d * cos(u) * sin(u) + a * pow(sin(u), 2))) / 2 AS p FROM ({rotated})"""
+
+
+def _band_sql(name: str) -> str:
+    lo, hi = BANDS[name]
+    return f"coalesce(sum(CASE WHEN pf >= {lo} AND f < {hi} - {END} THEN (p + pp) / 2 * (f - pf) END), 0) AS {name}"
+
+
+@query(f"""{LONG}, o AS (SELECT rec_id, peak_id, t_ms, clean, row_number() OVER (PARTITION BY rec_id ORDER BY t_ms, peak_id) AS idx FROM k), e AS (SELECT rec_id, min(t_ms) AS t0, max(t_ms) AS t1 FROM k GROUP BY rec_id),
+g AS (SELECT rec_id, t0, unnest(range(0, (t1 - t0 - {SPAN_MS}) // {STEP_MS} + 1)) AS win FROM e WHERE t1 - t0 >= {SPAN_MS}),
+pt AS (SELECT g.rec_id, win, (t_ms - t0) / 1000.0 AS t, clean::DOUBLE AS y FROM g JOIN k ON k.rec_id = g.rec_id AND t_ms >= t0 + win * {STEP_MS} AND t_ms < t0 + win * {STEP_MS} + {SPAN_MS} WHERE clean IS NOT NULL),
+ok AS (SELECT rec_id, win, avg(y) AS m FROM pt GROUP BY ALL HAVING count(*) > {LEAST}), fq AS (SELECT i, {GRID[0]}::DOUBLE + i * ({GRID[1]}::DOUBLE - {GRID[0]}::DOUBLE) / {GRID[2] - 1} AS f FROM range({GRID[2]}) t(i)),
+sn AS (SELECT pt.rec_id, pt.win, i, any_value(f) AS f, {SINES} FROM (SELECT pt.*, m, i, f, 2 * pi() * f AS w FROM pt JOIN ok USING (rec_id, win), fq) pt GROUP BY pt.rec_id, pt.win, i), ps AS ({_power_sql("cc", "ss", "cs")}),
+bp AS (SELECT rec_id, win, {", ".join(map(_band_sql, BANDS))} FROM (SELECT *, lag(f) OVER w AS pf, lag(p) OVER w AS pp FROM ps WINDOW w AS (PARTITION BY rec_id, win ORDER BY i)) GROUP BY ALL),
+md AS (SELECT bp.rec_id, win, min(idx) AS idx, any_value(CASE WHEN hf > 0 THEN lf / hf END) AS ratio, any_value(vlf + lf + hf) AS tp FROM bp JOIN e USING (rec_id) JOIN o ON o.rec_id = bp.rec_id AND o.t_ms >= t0 + win * {STEP_MS} + {SPAN_MS // 2} GROUP BY ALL),
+at_ AS (SELECT rec_id, idx, arg_max(ratio, win) AS ratio, arg_max(tp, win) AS tp FROM md GROUP BY ALL), s AS (SELECT o.rec_id, peak_id, o.idx, ratio, tp FROM o LEFT JOIN at_ USING (rec_id, idx)),
+a AS (SELECT *, last_value(CASE WHEN tp IS NOT NULL THEN {{'i': idx, 'r': ratio, 't': tp}} END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY idx) AS b, first_value(CASE WHEN tp IS NOT NULL THEN {{'i': idx, 'r': ratio, 't': tp}} END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM s)
+SELECT rec_id, peak_id, round(CASE WHEN b.i = n.i THEN b.r WHEN b IS NULL THEN n.r WHEN n IS NULL THEN b.r ELSE b.r + (n.r - b.r) * (idx - b.i) / (n.i - b.i) END, 6) AS hrv_lfhf, round(CASE WHEN b.i = n.i THEN b.t WHEN b IS NULL THEN n.t WHEN n IS NULL THEN b.t ELSE b.t + (n.t - b.t) * (idx - b.i) / (n.i - b.i) END, 3) AS hrv_tp FROM a""")
+def sig11_lomb_scargle_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Band powers of the interval series in windows of 300 s every 30 s that hold over 100 intervals, given to the first beat at
+    or after a window's middle and filled on the line between.
+
+    A window is ten panes of its step: sines are summed once by pane, and windows add panes up.
+    """
+    from ..operators import fills
+
+    beats = clean_rr(intervals(long_events(spark, sf)))
+    ends = beats.groupBy(REC).agg(F.min("t_ms").alias("t0"), F.max("t_ms").alias("t1"))
+    points = beats.where("clean is not null").join(ends, REC)
+    points = points.select(REC, F.floor((F.col("t_ms") - F.col("t0")) / STEP_MS).alias("pane"), ((F.col("t_ms") - F.col("t0")) / 1000).alias("t"), F.col("clean").cast("double").alias("y"))
+    sums = S.sine_sums(points, S.linear_grid(*GRID), REC, "pane")
+    panes = SPAN_MS // STEP_MS
+    last = F.floor((F.col("t1") - F.col("t0") - SPAN_MS) / STEP_MS)
+    near = F.sequence(F.greatest(F.lit(0), F.col("pane") - panes + 1), F.least(F.col("pane"), last))
+    held = sums.join(ends, REC).where((F.col("pane") - panes + 1 <= last) & (last >= 0)).withColumn("win", F.explode(near))
+    held = held.groupBy(REC, "win", "w").agg(*[F.sum(c).alias(c) for c in ("n", "y", "c", "s", "cc", "cs", "yc", "ys")])
+    # the counts of a window are the same at every frequency at which all its panes have points, which is every one
+    p = S.lomb_power(held.where(F.col("n") > LEAST)).select(F.struct(REC, "win").alias(REC), (F.col("w") / (2 * pi)).alias("f"), "power")
     f = F.col("f")
-    b = S.band_power(p, {"lf": (f >= 0.04) & (f < 0.15), "hf": (f >= 0.15) & (f < 0.4), "tp": F.lit(True)})
-    return b.select(REC, F.round(F.col("lf") / F.col("hf"), 5).alias("lf_hf"), F.round("tp", 3).alias("total_power"))
+    b = S.band_power(p, {k: (f >= lo) & (f < hi - END) for k, (lo, hi) in BANDS.items()}).select(f"{REC}.*", F.when(F.col("hf") > 0, F.col("lf") / F.col("hf")).alias("ratio"), (F.col("vlf") + F.col("lf") + F.col("hf")).alias("tp"))
+    mid = b.join(ends, REC).select(REC, F.col("win").alias("peak_id"), (F.col("t0") + F.col("win") * STEP_MS + SPAN_MS // 2).alias("t_ms"), "win", "ratio", "tp")
+    rows = beats.select(REC, "peak_id", "t_ms", F.row_number().over(W.by("t_ms", "peak_id")).alias("idx"))
+    at = J.first_after(mid, rows, {"idx": "idx"}).where("idx is not null").groupBy(REC, "idx").agg(F.max_by(F.struct("ratio", "tp"), "win").alias("x"))
+    got = rows.join(at, [REC, "idx"], "left").select(REC, "peak_id", "idx", "x.ratio", "x.tp")
+    got = fills.interpolate(fills.interpolate(got, v="ratio"), v="tp")
+    return got.select(REC, "peak_id", F.round("ratio", 6).alias("hrv_lfhf"), F.round("tp", 3).alias("hrv_tp"))
+
+
+#: Fixed values of the other spectrum: the grid's start and end in Hz, its places, and how many of them count.
+WIDE, COUNTED = (0.01, 1.0, 1000), 500
+
+
+@query(f"""{LONG}, e AS (SELECT rec_id, min(t_ms) AS t0 FROM k GROUP BY rec_id), pt AS (SELECT rec_id, (t_ms - t0) / 1000.0 AS t, rr / 1000.0 AS y, avg(rr / 1000.0) OVER (PARTITION BY rec_id) AS m FROM k JOIN e USING (rec_id) WHERE rr IS NOT NULL),
+fq AS (SELECT i, {WIDE[0]}::DOUBLE + i * ({WIDE[1]}::DOUBLE - {WIDE[0]}::DOUBLE) / {WIDE[2]} AS f FROM range({COUNTED}) t(i)), sn AS (SELECT rec_id, i, any_value(f) AS f, count(*) AS n, {SINES} FROM (SELECT *, 2 * pi() * f AS w FROM pt, fq) GROUP BY ALL),
+ps AS ({_power_sql("cc - c * c / n", "ss - s * s / n", "cs - c * s / n")}) SELECT rec_id, round(sum(p) FILTER (f >= 0.04 AND f <= 0.15) / sum(p) FILTER (f >= 0.15 AND f <= 0.4), 6) AS lf_hf FROM ps GROUP BY rec_id""")
+def sig12_lomb_scargle_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """Low over high band of all intervals in seconds, from the first half of a grid up to 1 Hz, a constant fitted too. Powers are
+    summed, and their normalisation cancels out."""
+    beats = intervals(long_events(spark, sf))
+    ends = beats.groupBy(REC).agg(F.min("t_ms").alias("t0"))
+    points = beats.where("rr is not null").join(ends, REC).select(REC, ((F.col("t_ms") - F.col("t0")) / 1000).alias("t"), (F.col("rr") / 1000).alias("y"))
+    grid = F.slice(S.linear_grid(WIDE[0], WIDE[1], WIDE[2] + 1), 1, COUNTED)
+    p = S.lomb_power(S.sine_sums(points, grid, REC), floating=True).withColumn("f", F.col("w") / (2 * pi))
+    total = lambda lo, hi: F.sum(F.when((F.col("f") >= lo - END) & (F.col("f") <= hi + END), F.col("power")))
+    return p.groupBy(REC).agg(F.round(total(0.04, 0.15) / total(0.15, 0.4), 6).alias("lf_hf"))
 
 
 @query(f"""WITH {FR}, e AS (SELECT rec_id, label, i, x[i * 8 + 1 : i * 8 + 8] AS y FROM fr, range(8) t(i)), u AS (SELECT rec_id, label, i, j, y[j + 1] AS v FROM e, range(8) t(j)), tm AS (SELECT rec_id, j, quantile_cont(v, 0.5) AS m FROM u GROUP BY ALL),

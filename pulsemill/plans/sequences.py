@@ -15,8 +15,13 @@ T = f"WITH {EV}"
 RR = f"{T}, rr AS (SELECT *, t_ms - lag(t_ms) OVER w AS rr, lead(t_ms) OVER w AS nx FROM ev WINDOW w AS (PARTITION BY rec_id ORDER BY t_ms, peak_id))"
 
 
+def intervals(beats: DataFrame) -> DataFrame:
+    """beats with rr, the time since the beat before, and nx, the next beat's time."""
+    return beats.withColumn("rr", F.col("t_ms") - F.lag("t_ms").over(W.by(*ORDER))).withColumn("nx", F.lead("t_ms").over(W.by(*ORDER)))
+
+
 def _rr(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).withColumn("rr", F.col("t_ms") - F.lag("t_ms").over(W.by(*ORDER))).withColumn("nx", F.lead("t_ms").over(W.by(*ORDER)))
+    return intervals(events(spark, sf))
 
 
 @query(f"{RR} SELECT rec_id, peak_id, t_ms, rr FROM rr")

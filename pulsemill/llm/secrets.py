@@ -1,41 +1,62 @@
 """Secret scans: fixed patterns, and a randomness test battery over other dense strings. DataFrame functions only.
 
-A dense string is read in the smallest encoding that has all its characters: hexadecimal, base 32, base 36 or base
-64. Three tests ask whether its characters look drawn at random: chi-squared uniformity over the alphabet, the runs of
-the alphabet's lower and upper half, and the serial correlation of neighbours. The least of the three p-values, times
-three, is the string's p-value of being random. Per band of length, the Benjamini-Hochberg rule picks the strings that
-are not random; the rest are spans of kind `random`.
+A dense string is read in the smallest encoding that has all its characters: digits, hexadecimal, letters, base 32, base 36 or
+base 64. Three tests ask whether its characters look drawn at random: chi-squared uniformity over the alphabet, the runs of the
+alphabet's lower and upper half, and the serial correlation of neighbours. A string that one of them rejects is not random.
+
+That a string passes is no discovery yet, as short ordinary strings pass too. The null hypothesis is an ordinary string: its
+characters are drawn as often as in the corpus's texts. Under it, how much likelier the string is when drawn evenly from its
+alphabet, divided by the number of alphabets, has a mean of at most 1, whatever the length, so that this ratio, set to 0 where
+the battery rejects, is an e-value; it needs no approximation for short strings and grows with length. Per band of length, the Benjamini-Hochberg rule for e-values picks
+the strings that are spans of kind `random`: of these, the expected share of ordinary strings is at most RATE, however the
+strings depend on each other. What the battery costs is a random string in 1 / LEVEL.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: The patterns of the base kinds and the least length of what counts.
 KEY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KEY_LEAST = 6
-#: Dense strings: at least so many characters, with a digit and a letter among them.
+#: Dense strings: at least so many characters.
 DENSE_LEAST = 20
-DENSE = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{DENSE_LEAST},}}"
-#: Share of false discoveries among the strings found not random.
+DENSE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{DENSE_LEAST},}}"
+#: Share of ordinary strings among those found random.
 RATE = 0.05
+#: Least p-value of a string that passes the battery.
+LEVEL = 0.01
 #: Upper ends of the length bands.
 BANDS = (24, 32, 48, 64, 128, 256)
-#: p-values are counted in bins of a twentieth of a power of ten, down to 10**-30.
+#: e-values are counted in bins of a tenth of a power of ten, up to 10**60.
 BINS = 600
 KINDS = ("assign", "access", "hex", "random")
+DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+UPPER = LOWER.upper()
 ALPHABETS = (
-    ("0123456789abcdef", r"^[0-9a-f]*$"),
-    ("0123456789ABCDEF", r"^[0-9A-F]*$"),
-    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^[A-Z2-7]*$"),
-    ("0123456789abcdefghijklmnopqrstuvwxyz", r"^[0-9a-z]*$"),
-    ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"^[0-9A-Z]*$"),
-    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^[^_-]*$"),
-    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", r"^.*$"),
+    (DIGITS, r"^[0-9]*$"),
+    (DIGITS + "abcdef", r"^[0-9a-f]*$"),
+    (DIGITS + "ABCDEF", r"^[0-9A-F]*$"),
+    (LOWER, r"^[a-z]*$"),
+    (UPPER, r"^[A-Z]*$"),
+    (UPPER + "234567", r"^[A-Z2-7]*$"),
+    (DIGITS + LOWER, r"^[0-9a-z]*$"),
+    (DIGITS + UPPER, r"^[0-9A-Z]*$"),
+    (UPPER + LOWER, r"^[A-Za-z]*$"),
+    (UPPER + LOWER + DIGITS, r"^[A-Za-z0-9]*$"),
+    (UPPER + LOWER + DIGITS + "+/", r"^[^_-]*$"),
+    (UPPER + LOWER + DIGITS + "-_", r"^[^+/]*$"),
+    (UPPER + LOWER + DIGITS + "+/-_", r"^.*$"),
 )
+#: All characters that count; padding does not.
+LETTERS = ALPHABETS[-1][0]
 SPANS = "array<struct<start:int,end:int,kind:int>>"
 
 
@@ -67,18 +88,45 @@ def _tail(z: Column) -> Column:
     return F.when(z < 0, 1 - upper).otherwise(upper)
 
 
-def p_random(token: Column) -> Column:
-    """p-value of the hypothesis that the token's characters are uniform and independent over its alphabet."""
-    alphabet = F.coalesce(*[F.when(token.rlike(r), F.lit(a)) for a, r in ALPHABETS])
+def alphabet_of(token: Column) -> Column:
+    """Number of the smallest of ALPHABETS that has all characters of the token but for padding at its end."""
+    return F.coalesce(*[F.when(token.rlike(r), F.lit(i)) for i, (_, r) in enumerate(ALPHABETS)])
+
+
+def _codes(token: Column, alphabet: Column) -> Column:
+    """Places of the token's characters in the alphabet, from 1."""
+    letters = F.regexp_extract_all(token, F.lit("(?s)(.)"), 1)
+    return F.filter(F.transform(letters, lambda c: F.instr(alphabet, c)), lambda i: i > 0)
+
+
+def _once(x: Column, f) -> Column:
+    """f(x) with x worked out once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _poisson_tail(k: Column, mean: Column) -> Column:
+    """P(N >= k) for a Poisson N."""
+    start = F.struct(F.exp(-mean).alias("term"), F.lit(0.0).alias("sum"))
+    step = lambda a, i: F.struct((a["term"] * mean / i).alias("term"), (a["sum"] + a["term"]).alias("sum"))
+    below = F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>")), start, step, lambda a: a["sum"])
+    return F.greatest(F.lit(0.0), 1 - below)
+
+
+def p_random(codes: Column, size: Column) -> Column:
+    """p-value of the hypothesis that the codes are uniform and independent over an alphabet of so many characters: the least of
+    three tests' p-values, times three.
+
+    Chi-squared counts pairs of equal characters. With up to one character for each of the alphabet they are too few for the
+    chi-squared distribution, and their number is taken as Poisson; beyond that it is Wilson and Hilferty's approximation.
+    """
 
     def battery(x: Column) -> Column:
         n, m, codes = x["n"], x["m"], x["codes"]
-        counts = F.transform(F.sequence(F.lit(1), m.cast("int")), lambda c: F.size(F.filter(codes, lambda y: y == c)))
-        expected = n / m
-        chi = F.aggregate(counts, F.lit(0.0), lambda a, c: a + (c - expected) * (c - expected) / expected)
-        df = m - 1
-        # Wilson-Hilferty
-        uniform = _tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+        counts = F.transform(F.sequence(F.lit(1), m.cast("int")), lambda c: F.size(F.filter(codes, lambda y: y == c)).cast("double"))
+        pairs_ = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * (c - 1) / 2)
+        chi, df = m / n * (n + 2 * pairs_) - n, m - 1
+        dense_ = _tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+        uniform = F.when(n <= m, _poisson_tail(pairs_, n * (n - 1) / (2 * m))).otherwise(dense_)
         pairs = F.zip_with(F.slice(codes, 1, n.cast("int") - 1), F.slice(codes, 2, n.cast("int") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         turns = F.size(F.filter(pairs, lambda p: (p["a"] * 2 > m) != (p["b"] * 2 > m)))
         high = F.size(F.filter(codes, lambda c: c * 2 > m))
@@ -92,11 +140,18 @@ def p_random(token: Column) -> Column:
         serial = 2 * _tail(F.abs(product) / (spread * F.sqrt(n - 1)))
         return F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial))
 
-    letters = F.regexp_extract_all(F.regexp_replace(token, "=+$", ""), F.lit("(?s)(.)"), 1)
-    codes = F.filter(F.transform(letters, lambda c: F.instr(alphabet, c)), lambda i: i > 0)
-    x = F.struct(codes.alias("codes"), F.size(codes).cast("double").alias("n"), F.length(alphabet).cast("double").alias("m"))
-    # one-element transform: the struct is worked out once
-    return F.element_at(F.transform(F.array(x), lambda y: F.when(y["n"] > 2, battery(y)).otherwise(F.lit(0.0))), 1)
+    x = F.struct(codes.alias("codes"), F.size(codes).cast("double").alias("n"), size.cast("double").alias("m"))
+    return _once(x, lambda y: F.when(y["n"] > 2, battery(y)).otherwise(F.lit(0.0)))
+
+
+def log_e(codes: Column, alphabet: Column, counts: dict[str, int]) -> Column:
+    """Natural logarithm of how much likelier a string is when drawn evenly from its alphabet than when its characters come as
+    often as counted among that alphabet's, less the logarithm of the number of alphabets. codes are places in LETTERS; every
+    character counts once more than it was seen."""
+    seen = {c: counts.get(c, 0) + 1 for c in LETTERS}
+    weight = F.array(*[F.lit(log(seen[c])) for c in LETTERS])
+    even = F.array(*[F.lit(log(sum(seen[c] for c in a) / len(a))) for a, _ in ALPHABETS])
+    return F.aggregate(codes, F.lit(-log(len(ALPHABETS))), lambda acc, i: acc + F.element_at(even, alphabet + 1) - F.element_at(weight, i))
 
 
 def _band(n: Column) -> Column:
@@ -106,19 +161,38 @@ def _band(n: Column) -> Column:
     return out
 
 
-def _bin(p: Column) -> Column:
-    return F.least(F.lit(BINS), F.floor(-20 * F.log10(F.greatest(p, F.lit(1e-300))))).cast("int")
-
-
 def dense(text: Column) -> Column:
-    """Dense strings with the band and p-value bin of each."""
-    other = matches(text, DENSE, KINDS.index("random"))
+    """Dense strings: start, end, kind and the token without padding."""
 
-    def tested(s: Column) -> Column:
+    def cut(s: Column) -> Column:
         token = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), _band(F.length(token)).alias("band"), _bin(p_random(token)).alias("bin"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.regexp_replace(token, "=+$", "").alias("token"))
+
+    return F.transform(matches(text, DENSE, KINDS.index("random")), cut)
+
+
+def tested(found: Column, counts: dict[str, int]) -> Column:
+    """Dense strings with the band of their length and the bin of their e-value; the bin is negative where the battery rejects."""
+
+    letters = F.array(*[F.lit(a) for a, _ in ALPHABETS])
+
+    def test(x: Column) -> Column:
+        s, kind = x["s"], x["kind"]
+        passes = p_random(_codes(s["token"], x["letters"]), F.length(x["letters"])) >= LEVEL
+        e = F.floor(log_e(_codes(s["token"], F.lit(LETTERS)), kind, counts) * (10 / log(10)))
+        bin_ = F.when(passes, F.least(F.lit(BINS), F.greatest(F.lit(0), e))).otherwise(F.lit(-1)).cast("int")
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), _band(s["end"] - s["start"]).alias("band"), bin_.alias("bin"))
+
+    # each step's arrays hold what is worked out once for a string, not once for each of its characters
+    own = F.transform(found, lambda s: F.struct(s.alias("s"), alphabet_of(s["token"]).alias("kind")))
+    own = F.transform(own, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), F.element_at(letters, x["kind"] + 1).alias("letters")))
+    return F.transform(own, test)
+
 
-    return F.transform(other, tested)
+def letter_counts(text: Column) -> Column:
+    """How often each of LETTERS is in a text."""
+    # one byte each
+    return F.array(*[F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS])
 
 
 def base_spans(text: Column) -> Column:
@@ -132,8 +206,8 @@ def _apart(rows: DataFrame) -> DataFrame:
 
 
 def cutoffs(found: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """band -> least bin that counts as not random, by Benjamini-Hochberg over all of a band's strings; at most
-    len(BANDS) + 1 rows of counts by bin reach the driver."""
+    """band -> least bin that is random, by the Benjamini-Hochberg rule for e-values over all of a band's strings: the k largest
+    are picked if each is at least strings / (rate * k). At most len(BANDS) + 1 rows of counts by bin reach the driver."""
     counts = found.select(F.explode("dense").alias("d")).groupBy(F.col("d.band").alias("band"), F.col("d.bin").alias("bin")).count().collect()
     out = {}
     for band in {r.band for r in counts}:
@@ -141,41 +215,46 @@ def cutoffs(found: DataFrame, rate: float = RATE) -> dict[int, int]:
         total, seen = sum(n for _, n in own), 0
         for b, n in own:
             seen += n
-            if 10 ** (-b / 20) <= rate * seen / total:
+            if b >= 0 and 10 ** (b / 10) >= total / (rate * seen):
                 out[band] = b
     return out
 
 
-def _with_spans(docs: DataFrame, rate: float) -> DataFrame:
-    """row (all columns of docs), text, spans. Two passes over the texts: the first counts the p-values."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"))
-    suspect = rows.where(F.col("text").rlike(DENSE)).select(base_spans(F.col("text")).alias("base"), dense(F.col("text")).alias("dense"))
-    least = cutoffs(_apart(suspect), rate)
-    found = _apart(rows.withColumn("base", base_spans(F.col("text"))).withColumn("dense", dense(F.col("text"))))
+def _with_spans(docs: DataFrame, rate: float, keep: list[str]) -> DataFrame:
+    """row (those columns of docs) and spans. Texts are searched once; what was found is written, as the letters of all texts have
+    to be counted before the first string can be judged."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), text.alias("text"))
+    rows = rows.select("row", base_spans(F.col("text")).alias("base"), dense(F.col("text")).alias("dense"), letter_counts(F.col("text")).alias("letters"))
+    rows = materialize(rows, "secrets")
+    sums = rows.agg(*[F.sum(F.col("letters")[i]).alias(str(i)) for i in range(len(LETTERS))]).first()
+    counts = {c: sums[i] or 0 for i, c in enumerate(LETTERS)}
+    found = _apart(rows).withColumn("dense", tested(F.col("dense"), counts))
+    least = cutoffs(found.where(F.size("dense") > 0), rate)
     bar = F.create_map(*[F.lit(x) for kv in {-1: 0, **least}.items() for x in kv])
-    random = F.filter("dense", lambda d: d["bin"] < F.coalesce(F.element_at(bar, d["band"]), F.lit(BINS + 1)))
+    random = F.filter("dense", lambda d: d["bin"] >= F.coalesce(F.element_at(bar, d["band"]), F.lit(BINS + 1)))
     random = F.transform(random, lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), d["kind"].alias("kind")))
     order = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     spans = F.transform(F.sort_array(F.transform(F.concat("base", random), order)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return found.select("row", "text", spans.alias("spans"))
+    return found.select("row", spans.alias("spans"))
 
 
 def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
-    """doc_id, text, spans (start, end in code points, end exclusive; kind, an index of KINDS) for every row of
-    docs(doc_id, text); spans are in order of start, then kind.
+    """doc_id, spans (start, end in code points, end exclusive; kind, an index of KINDS) for every row of docs(doc_id, text);
+    spans are in order of start, then kind.
 
     A null text is empty and has none; repeated rows stay; an empty table gives an empty one; other columns are not
     read.
     """
-    found = _with_spans(docs.select("doc_id", "text"), rate)
-    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "spans")
+    found = _with_spans(docs, rate, ["doc_id"])
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "spans")
 
 
 def redact(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """docs, with all columns, where the spans of scan() are replaced by a mark; n_chars, if there, follows the text.
     A text without spans, null too, stays as it is."""
-    found = _with_spans(docs, rate).withColumn("red", redacted(F.col("text"), F.col("spans")))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    found = _with_spans(docs, rate, docs.columns).withColumn("red", redacted(text, F.col("spans")))
     hit = F.size("spans") > 0
     out = []
     for c, kind in docs.dtypes:

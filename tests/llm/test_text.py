@@ -1,7 +1,9 @@
 import json
+import math
 import random
+import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -137,8 +139,8 @@ def base(text):
 def test_secret_spans(spark, docs, texts, no_docs):
     df = spark.createDataFrame(SECRETS, "doc_id long, text string")
     for got, rows in ((secrets.scan(df).collect(), SECRETS), (secrets.scan(docs).collect(), texts)):
-        found = Counter((r.doc_id, r.text, tuple((s.start, s.kind, s.end) for s in r.spans if s.kind < 3)) for r in got)
-        assert found == Counter((d, t or "", tuple(base(t or ""))) for d, t in rows)
+        found = Counter((r.doc_id, tuple((s.start, s.kind, s.end) for s in r.spans if s.kind < 3)) for r in got)
+        assert found == Counter((d, tuple(base(t or ""))) for d, t in rows)
         for r in got:
             assert [(s.start, s.kind) for s in r.spans] == sorted((s.start, s.kind) for s in r.spans)
             own = [s for s in r.spans if s.kind == 3]
@@ -146,14 +148,93 @@ def test_secret_spans(spark, docs, texts, no_docs):
     assert secrets.scan(no_docs).count() == 0
 
 
-def test_random_strings_are_found_and_words_are_not(spark):
-    rng = random.Random(4)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    rows = [(i, "key " + "".join(rng.choice(alphabet) for _ in range(40)) + " end") for i in range(100)]
-    rows += [(1000 + i, "run " + "ab1" * (8 + i % 9) + " end") for i in range(100)]
-    got = {r.doc_id: [s for s in r.spans if s.kind == 3] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(bool(got[i]) for i in range(100)) >= 85
-    assert not any(got[1000 + i] for i in range(100))
+def plain_p_random(codes, m):
+    """Chi-squared by pairs of equal characters, runs, serial correlation; see secrets.p_random()."""
+    n = len(codes)
+    if n <= 2:
+        return 0.0
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    pairs = sum(c * (c - 1) // 2 for c in Counter(codes).values())
+    if n <= m:
+        mean = n * (n - 1) / (2 * m)
+        uniform = 1 - sum(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(pairs))
+    else:
+        chi, df = m / n * sum(c * c for c in Counter(codes).values()) - n, m - 1
+        uniform = tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = [c * 2 > m for c in codes]
+    a, b = sum(high), n - sum(high)
+    mean = 2 * a * b / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
+    p_runs = 2 * tail(abs(runs - mean) / math.sqrt(var)) if var > 0 else 0.0
+    serial = sum((x - (m + 1) / 2) * (y - (m + 1) / 2) for x, y in zip(codes, codes[1:])) / ((m * m - 1) / 12 * math.sqrt(n - 1))
+    return min(1.0, 3 * min(uniform, p_runs, 2 * tail(abs(serial))))
+
+
+def plain_random_spans(rows, rate=0.05):
+    """doc_id -> random spans, by an independent battery, e-values rounded down to a tenth of a power of ten, and the Benjamini-Hochberg rule."""
+    count = Counter(c for _, t in rows for c in t or "")
+    candidates = []
+    for d, t in rows:
+        own = base(t or "")
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t or ""):
+            if not any(s < m.end() and m.start() < e for s, _, e in own):
+                token = m.group().rstrip("=")
+                alphabet = next(a for a, r in secrets.ALPHABETS if re.search(r, token))
+                codes = [alphabet.index(c) + 1 for c in token if c in alphabet]
+                total = sum(count[c] + 1 for c in alphabet)
+                log_e = sum(math.log(total / len(alphabet) / (count[c] + 1)) for c in token if c in alphabet) - math.log(len(secrets.ALPHABETS))
+                log_e = math.floor(log_e * 10 / math.log(10)) * math.log(10) / 10 + 1e-9
+                band = sum(m.end() - m.start() >= b for b in secrets.BANDS)
+                candidates.append((band, log_e if plain_p_random(codes, len(alphabet)) >= 0.01 else -math.inf, d, m.start(), m.end()))
+    out = defaultdict(list)
+    for band in {c[0] for c in candidates}:
+        own = sorted((c for c in candidates if c[0] == band), key=lambda c: -c[1])
+        k = max((i for i, c in enumerate(own, 1) if c[1] >= math.log(len(own) / (rate * i))), default=0)
+        for _, _, d, s, e in own[:k]:
+            out[d].append((s, e))
+    return {d: sorted(x) for d, x in out.items()}
+
+
+def planted_strings(share):
+    """Random strings of every length band and alphabet among ordinary ones: slugs, names, paths, dates, numbers, long words."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("etaoinshrdlucmfwypvbgkjqxz", [12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 3, 2, 2, 2, 2, 2, 1, 1, 2, 1, 0.2, 0.1, 0.1, 0.1], k=rng.randrange(2, 10)))
+    cut = lambda f, n: f[:n].ljust(n, "x")
+    rows, random_ids = [], set()
+    for i in range(700):
+        n = rng.choice([20, 22, 28, 40, 56, 100, 200, 300])
+        words = [word() for _ in range(n)]
+        ordinary = [cut("-".join(words), n), cut("/".join(words), n), cut("".join(w.title() for w in words), n), cut("".join(words), n), "".join(rng.choices("0123456789", k=n)), "2024-" * (n // 5) + "x"]
+        if rng.random() < share:
+            token = "".join(rng.choices(rng.choice([secrets.LETTERS[:62], secrets.LETTERS[:64], secrets.LOWER + secrets.DIGITS, secrets.UPPER + "234567"]), k=n))
+            random_ids.add(i)
+        else:
+            token = rng.choice(ordinary)
+        rows.append((i, " ".join(word() for _ in range(40)) + f" ({token}) " + " ".join(word() for _ in range(20))))
+    return rows, random_ids
+
+
+@pytest.mark.parametrize("share", [0.5, 0.05])
+def test_random_strings_by_brute_force(spark, share):
+    """Every span as an independent battery finds it; random strings are found, and few of the spans are ordinary."""
+    rows, random_ids = planted_strings(share)
+    rows += [(9000, None), (9001, ""), (9002, "=" * 30), (9003, "+" * 25), (9004, "é" * 40), (9005, rows[3][1]), (9005, rows[3][1])]
+    got = defaultdict(list)
+    for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id] += [(s.start, s.end) for s in r.spans if s.kind == 3]
+    assert {d: sorted(x) for d, x in got.items() if x} == plain_random_spans(rows)
+    found = {d for d, x in got.items() if x and d < 9000}
+    assert len(found & random_ids) >= 0.9 * len(random_ids)
+    assert len(found - random_ids) <= 0.1 * len(found)
+
+
+def test_battery_levels():
+    """Of strings that are random over their alphabet the battery rejects about as many as its level says, short ones too."""
+    rng = random.Random(9)
+    for m, n in ((10, 20), (16, 20), (36, 24), (62, 20), (64, 40), (64, 100), (64, 300)):
+        rejected = sum(plain_p_random([rng.randrange(m) + 1 for _ in range(n)], m) < 0.01 for _ in range(3000))
+        assert rejected <= 0.02 * 3000
 
 
 def test_redaction_keeps_columns(spark):

@@ -211,7 +211,7 @@ def planted_strings(share):
             random_ids.add(i)
         else:
             token = rng.choice(ordinary)
-        rows.append((i, " ".join(word() for _ in range(40)) + f" ({token}) " + " ".join(word() for _ in range(20))))
+        rows.append((i, " ".join(word() for _ in range(250)) + f" ({token}) " + " ".join(word() for _ in range(20))))
     return rows, random_ids
 
 

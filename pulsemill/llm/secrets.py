@@ -5,7 +5,7 @@ base 64. Three tests ask whether its characters look drawn at random: chi-square
 alphabet's lower and upper half, and the serial correlation of neighbours. A string that one of them rejects is not random.
 
 That a string passes is no discovery yet, as short ordinary strings pass too. The null hypothesis is an ordinary string: its
-characters are drawn as often as in the corpus's texts. Under it, how much likelier the string is when drawn evenly from its
+characters are drawn as often as in the corpus's texts outside dense strings. Under it, how much likelier the string is when drawn evenly from its
 alphabet, divided by the number of alphabets, has a mean of at most 1, whatever the length, so that this ratio, set to 0 where
 the battery rejects, is an e-value; it needs no approximation for short strings and grows with length. Per band of length, the Benjamini-Hochberg rule for e-values picks
 the strings that are spans of kind `random`: of these, the expected share of ordinary strings is at most RATE, however the
@@ -33,6 +33,8 @@ DENSE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{DENSE_LEAST},}}"
 RATE = 0.05
 #: Least p-value of a string that passes the battery.
 LEVEL = 0.01
+#: Share of a letter's count that also goes to its other case.
+OTHER_CASE = 0.01
 #: Upper ends of the length bands.
 BANDS = (24, 32, 48, 64, 128, 256)
 #: e-values are counted in bins of a tenth of a power of ten, up to 10**60.
@@ -144,11 +146,17 @@ def p_random(codes: Column, size: Column) -> Column:
     return _once(x, lambda y: F.when(y["n"] > 2, battery(y)).otherwise(F.lit(0.0)))
 
 
+def ordinary(counts: dict[str, int]) -> dict[str, float]:
+    """Weight of each of LETTERS in an ordinary string: how often it was seen, and a little more, so that all can be: one, and
+    for a letter of one case a part of what both cases were seen."""
+    both = lambda c: counts.get(c.lower(), 0) + counts.get(c.upper(), 0) if c.isalpha() else 0
+    return {c: counts.get(c, 0) + 1 + OTHER_CASE * both(c) for c in LETTERS}
+
+
 def log_e(codes: Column, alphabet: Column, counts: dict[str, int]) -> Column:
     """Natural logarithm of how much likelier a string is when drawn evenly from its alphabet than when its characters come as
-    often as counted among that alphabet's, less the logarithm of the number of alphabets. codes are places in LETTERS; every
-    character counts once more than it was seen."""
-    seen = {c: counts.get(c, 0) + 1 for c in LETTERS}
+    often as counted among that alphabet's, less the logarithm of the number of alphabets. codes are places in LETTERS."""
+    seen = ordinary(counts)
     weight = F.array(*[F.lit(log(seen[c])) for c in LETTERS])
     even = F.array(*[F.lit(log(sum(seen[c] for c in a) / len(a))) for a, _ in ALPHABETS])
     return F.aggregate(codes, F.lit(-log(len(ALPHABETS))), lambda acc, i: acc + F.element_at(even, alphabet + 1) - F.element_at(weight, i))
@@ -190,7 +198,8 @@ def tested(found: Column, counts: dict[str, int]) -> Column:
 
 
 def letter_counts(text: Column) -> Column:
-    """How often each of LETTERS is in a text."""
+    """How often each of LETTERS is in a text outside its dense strings."""
+    text = F.when(text.rlike(DENSE), F.regexp_replace(text, DENSE, "")).otherwise(text)
     # one byte each
     return F.array(*[F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS])
 

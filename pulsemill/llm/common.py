@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the Arrow batch size to ARROW_ROWS unless the session already asks for less."""
+    """Lower the Arrow batch size to ARROW_ROWS unless the session already asks for less. It stays lowered: a plan reads it when it
+    runs, which is after the query that made it has returned."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > ARROW_ROWS:
@@ -29,8 +31,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set (local tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set and all executors are on this machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (path or _own_dir()).rstrip("/")
 
 
 @functools.cache

@@ -217,8 +217,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, parts: i
     nodes = fps.groupBy(*sides).agg(F.min("doc_id").alias("least"))
     roots = materialize(components(links(nodes.select(*sides), radius, parts, used, accept)), "simhash-roots")
     nodes = nodes.withColumn("own", _node(sides))
-    placed = nodes.join(roots, F.col("own") == F.col("node"), "left").select(*sides, "least", F.coalesce("root", "own").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = materialize(nodes.join(roots, F.col("own") == F.col("node"), "left").select(*sides, "least", F.coalesce("root", "own").alias("root")), "simhash-placed")
+    # written first: an aggregate right above the join's exchange would keep Spark from splitting a large root
+    named = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
     ids = placed.join(named, "root").select(*sides, "component_id")
     digits = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in sides])
     return fps.join(ids, list(sides)).select("doc_id", digits.alias("fingerprint"), "component_id")

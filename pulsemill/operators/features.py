@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import KEY, by
@@ -58,3 +58,19 @@ def accepted_delays(delays: Column, keep: int = 10, least: int = 3, most: float
         return F.when(bad, acc).otherwise(F.concat(acc, F.array(x)))
 
     return F.aggregate(delays, F.slice(delays, 1, 0), step)
+
+
+def onsets(samples: DataFrame, crests: DataFrame, back: int) -> DataFrame:
+    """rec_id, peak, onset for crests(rec_id, peak) of samples(rec_id, idx, v): the place of the least sample, of equal ones the
+    first, from the peak before, or from `back` samples before the first peak. A peak with no sample before it has none.
+
+    A sample belongs to the first peak after it, found in one sort of both by recording.
+    """
+    w = by("_at", "_side")
+    both = samples.select(KEY, F.col("idx").alias("_at"), F.lit(1).alias("_side"), F.col("v").alias("_v")).unionByName(crests.select(KEY, F.col("peak").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("double").alias("_v")))
+    mark = F.when(F.col("_side") == 0, F.col("_at"))
+    after = F.first(mark, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    before = F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = both.withColumn("peak", after).withColumn("_before", before).where("_side = 1 and peak is not null")
+    rows = rows.where(F.col("_before").isNotNull() | (F.col("_at") >= F.col("peak") - back))
+    return rows.groupBy(KEY, "peak").agg(F.min_by("_at", F.struct("_v", "_at")).alias("onset"))

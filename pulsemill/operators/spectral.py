@@ -82,19 +82,27 @@ def lomb_power(sums: DataFrame, floating: bool = False) -> DataFrame:
 
 def xcorr(pairs: DataFrame, n: int, max_lag: int, method: str = "squared") -> DataFrame:
     """rec_id, lag, r for pairs(rec_id, a, b) of arrays of n samples: correlation of b with a moved by each lag, with the
-    mean removed before and after the transform, over the root of both energies. squared does not see polarity."""
+    mean removed before and after the transform, over the root of both energies. squared does not see polarity; whole
+    correlates the samples as they are, over both standard deviations."""
 
     def centred(x: Column) -> Column:
         mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
         return F.transform(x, lambda v: v - mean)
 
     def ready(x: Column) -> Column:
+        if method == "whole":
+            return x
         x = centred(x)
         return centred(F.transform(x, lambda v: v * v)) if method == "squared" else x
 
     energy = lambda x: F.aggregate(F.col(x), F.lit(0.0), lambda s, v: s + v * v)
     rows = pairs.select(KEY, ready(F.col("a")).alias("a"), ready(F.col("b")).alias("b"))
-    rows = rows.withColumn("e", F.sqrt(energy("a") * energy("b")) + 1e-12).withColumn("lag", F.explode(F.array(*[F.lit(k) for k in range(-max_lag, max_lag + 1)])))
+    if method == "whole":
+        spread = lambda x: F.aggregate(centred(F.col(x)), F.lit(0.0), lambda s, v: s + v * v)
+        norm = F.sqrt(spread("a") * spread("b")) + 1e-9
+    else:
+        norm = F.sqrt(energy("a") * energy("b")) + 1e-12
+    rows = rows.withColumn("e", norm).withColumn("lag", F.explode(F.array(*[F.lit(k) for k in range(-max_lag, max_lag + 1)])))
     # b[i + lag] against a[i]
     x = F.slice("a", F.greatest(F.lit(0), -F.col("lag")) + 1, n - F.abs("lag"))
     y = F.slice("b", F.greatest(F.lit(0), F.col("lag")) + 1, n - F.abs("lag"))

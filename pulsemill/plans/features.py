@@ -53,6 +53,20 @@ def con03_pk02_det19_gated_merge(spark: SparkSession, sf: str) -> DataFrame:
     return sorted_.select(REC, F.explode(C.thinned(F.col("ts"), 200)).alias("t_ms"))
 
 
+#: Peaks of a frame that an onset is looked for before: local maxima over a level.
+CREST = 0.1
+
+
+@query(f"""WITH {FS}, p AS (SELECT rec_id, idx AS p, lag(idx) OVER (PARTITION BY rec_id ORDER BY idx) AS q FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM fs WINDOW w AS (PARTITION BY rec_id ORDER BY idx)) WHERE v > a AND v > b AND v > {CREST})
+SELECT p.rec_id, p::BIGINT AS peak, arg_min(idx, {{'v': v, 'i': idx}})::BIGINT AS onset FROM p JOIN fs ON fs.rec_id = p.rec_id AND idx >= coalesce(q, greatest(0, p - 50)) AND idx < p GROUP BY p.rec_id, p""")
+def det17_onsets_between_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    """The least sample since the peak before, or in the second before the first peak, as each peak's onset."""
+    s = frame_samples(spark, sf).select(REC, "idx", "v")
+    near = s.withColumn("a", F.lag("v").over(W.by("idx"))).withColumn("b", F.lead("v").over(W.by("idx")))
+    crests = near.where((F.col("v") > F.col("a")) & (F.col("v") > F.col("b")) & (F.col("v") > CREST)).select(REC, F.col("idx").alias("peak"))
+    return P.onsets(s, crests, 50)
+
+
 PULSE = f"""WITH {FS}, o AS (SELECT rec_id, arg_min(idx, {{'v': v, 'i': idx}}) AS onset FROM fs WHERE idx < 32 GROUP BY rec_id), p AS (SELECT o.rec_id, onset, arg_max(idx, {{'v': v, 'i': -idx}}) AS peak FROM fs JOIN o USING (rec_id) WHERE idx > onset AND idx < onset + 24 GROUP BY ALL),
 n AS (SELECT fs.rec_id, idx, v, onset, peak FROM fs JOIN p USING (rec_id) WHERE idx >= onset)"""
 

@@ -7,7 +7,7 @@ from math import pi
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import joins as J, quality as Q, spectral as S, windows as W
+from ..operators import joins as J, quality as Q, spectral as S, sync as Y, windows as W
 from .aggregates import BINS, MOM, histogram_entropy
 from .bindings import EV, FR, FS, LONG_EV, SM, frame_samples, frames, long_events, samples
 from .registry import query
@@ -138,12 +138,42 @@ d AS (SELECT rec_id, list_transform(a, lambda v: v - list_avg(a)) AS a, list_tra
 r AS (SELECT rec_id, k AS lag, sum(a[i + 1] * b[i + k + 1]) AS r FROM d, range(-10, 11) t(k), range(64) u(i) WHERE i + k BETWEEN 0 AND 63 GROUP BY ALL),
 e AS (SELECT rec_id, sqrt(list_sum(list_transform(a, lambda v: v * v)) * list_sum(list_transform(b, lambda v: v * v))) + 1e-12 AS e FROM d)
 SELECT rec_id, arg_max(lag, {{'r': round(r / e, 9), 'k': -lag}})::INTEGER AS lag, round(max(r / e), 6) AS r FROM r JOIN e USING (rec_id) GROUP BY rec_id""")
-def xco01_xco02_polarity_invariant_lag(spark: SparkSession, sf: str) -> DataFrame:
+def xco01_polarity_invariant_lag(spark: SparkSession, sf: str) -> DataFrame:
     """The lag of best correlation between a frame and the next one; neighbours meet by an equi-join on the next id."""
     a = frames(spark, sf).select(REC, F.col("x").alias("a"))
     b = frames(spark, sf).select((F.col(REC) - 1).alias(REC), F.col("x").alias("b"))
-    r = S.xcorr(a.join(b, REC), 64, 10)
-    return r.groupBy(REC).agg(F.max_by("lag", F.struct(F.round("r", 9).alias("r"), (-F.col("lag")).alias("k"))).alias("lag"), F.round(F.max("r"), 6).alias("r"))
+    return Y.best_lag(a.join(b, REC), 64, 10).withColumn("r", F.round("r", 6))
+
+
+@query(f"""WITH {FR}, p AS (SELECT a.rec_id, a.x AS a, b.x AS b FROM fr a JOIN fr b ON b.rec_id = a.rec_id + 1), r AS (SELECT rec_id, k AS lag, sum(a[i + k + 1] * b[i + 1]) AS r FROM p, range(-25, 25) t(k), range(64) u(i) WHERE i + k BETWEEN 0 AND 63 GROUP BY ALL),
+e AS (SELECT rec_id, list_stddev_pop(a) * list_stddev_pop(b) * 64 + 1e-9 AS e FROM p) SELECT rec_id, arg_max(lag, {{'r': round(r / e, 9), 'k': -lag}})::INTEGER AS lag, round(max(r / e), 6) AS r FROM r JOIN e USING (rec_id) GROUP BY rec_id""")
+def xco02_raw_fine_lag(spark: SparkSession, sf: str) -> DataFrame:
+    """Lag of the plain samples within half a second either way, the upper end not tried."""
+    a = frames(spark, sf).select(REC, F.col("x").alias("b"))
+    b = frames(spark, sf).select((F.col(REC) - 1).alias(REC), F.col("x").alias("a"))
+    return Y.best_lag(a.join(b, REC), 64, int(RATE / 2), "whole", closed=False).withColumn("r", F.round("r", 6))
+
+
+LAG_SQL = """lg AS (SELECT rec_id, arg_max(lag, {'r': round(r / e, 9), 'k': -lag}) AS lag FROM r JOIN e USING (rec_id) GROUP BY rec_id)"""
+
+
+@query(f"""WITH {FR}, p AS (SELECT a.rec_id, a.x AS a, b.x AS b FROM fr a JOIN fr b ON b.rec_id = a.rec_id + 1), c AS (SELECT rec_id, list_transform(a, lambda v: pow(v - list_avg(a), 2)) AS a, list_transform(b, lambda v: pow(v - list_avg(b), 2)) AS b FROM p),
+d AS (SELECT rec_id, list_transform(a, lambda v: v - list_avg(a)) AS a, list_transform(b, lambda v: v - list_avg(b)) AS b FROM c),
+r AS (SELECT rec_id, k AS lag, sum(a[i + 1] * b[i + k + 1]) AS r FROM d, range(-10, 11) t(k), range(64) u(i) WHERE i + k BETWEEN 0 AND 63 GROUP BY ALL),
+e AS (SELECT rec_id, sqrt(list_sum(list_transform(a, lambda v: v * v)) * list_sum(list_transform(b, lambda v: v * v))) + 1e-12 AS e FROM d), {LAG_SQL},
+g AS (SELECT p.rec_id, i, a[i + 1] AS ref, (i + lag) AS at_, b FROM p JOIN lg USING (rec_id), range(64) t(i) WHERE i + lag BETWEEN 0 AND 62)
+SELECT rec_id, i / 50.0 AS x, round(ref, 6) AS ref, round(CASE WHEN at_ % 2 = 0 THEN b[at_ + 1] WHEN i = 0 THEN b[at_ + 2] WHEN i = 63 THEN b[at_] ELSE (b[at_] + b[at_ + 2]) / 2 END, 6) AS other FROM g""")
+def xco03_synchronised(spark: SparkSession, sf: str) -> DataFrame:
+    """The next frame, of which every second sample is there, moved by the lag of both and read at this frame's samples."""
+    s = frame_samples(spark, sf)
+    a = frames(spark, sf).select(REC, F.col("x").alias("a"))
+    b = frames(spark, sf).select((F.col(REC) - 1).alias(REC), F.col("x").alias("b"))
+    shift = Y.best_lag(a.join(b, REC), 64, 10).select(REC, (F.col("lag") / RATE).alias("shift"))
+    other = s.where("idx % 2 = 0").select((F.col(REC) - 1).alias(REC), (F.col("idx") / RATE).alias("x"), "v")
+    # places in whole samples, so that both sides meet on the same ones
+    at = lambda df: df.withColumn("x", F.round(F.col("x") * RATE))
+    found = Y.aligned(at(s.select(REC, (F.col("idx") / RATE).alias("x"), "v")), at(other), shift.withColumn("shift", F.round(F.col("shift") * RATE)))
+    return found.select(REC, (F.col("x") / RATE).alias("x"), F.round("ref", 6).alias("ref"), F.round("other", 6).alias("other"))
 
 
 @query(f"""WITH {FR}, p AS (SELECT a.rec_id, a.x AS a, b.x AS b FROM fr a JOIN fr b ON b.rec_id = a.rec_id + 1), w AS (SELECT rec_id, s // 16 AS window_idx, a[s + 1 : s + 32] AS a, b[s + 1 : s + 32] AS b FROM p, range(0, 33, 16) t(s)),

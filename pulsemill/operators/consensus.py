@@ -40,3 +40,17 @@ def thinned(times: Column, gap: int, inclusive: bool = False) -> Column:
         return F.when((F.size(acc) == 0) | (far >= gap if inclusive else far > gap), F.concat(acc, F.array(t))).otherwise(acc)
 
     return F.aggregate(times, F.array().cast("array<bigint>"), step)
+
+
+def thin(peaks: DataFrame, gap: int) -> DataFrame:
+    """rec_id, t_ms: of each recording's distinct peaks those more than `gap` after the last one kept.
+
+    A peak more than `gap` after the one before it is kept whatever was kept earlier, so each run of closer peaks is folded
+    alone, and no array holds more than a run.
+    """
+    w = by("t_ms")
+    times = peaks.select(KEY, "t_ms").distinct()
+    apart = F.col("t_ms") - F.lag("t_ms").over(w) > gap
+    runs = times.withColumn("_first", F.coalesce(apart, F.lit(True)).cast("long")).withColumn("_run", F.sum("_first").over(w))
+    held = runs.groupBy(KEY, "_run").agg(F.array_sort(F.collect_list("t_ms")).alias("_ts"))
+    return held.select(KEY, F.explode(thinned(F.col("_ts"), gap)).alias("t_ms"))

@@ -7,6 +7,7 @@ a row small whatever the recording's length.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,7 @@ def filtered(signals: DataFrame, kernel: Kernel) -> DataFrame:
         for batch in batches:
             out = [None if x is None else list(x) for x in batch.column(names.index("x")).to_pylist()]
             rates = batch.column(names.index("fs")).to_pylist()
-            groups: dict[tuple, list[int]] = {}
-            for i, x in enumerate(out):
-                if x:
-                    groups.setdefault((len(x), rates[i]), []).append(i)
-            for (_, fs), rows in groups.items():
+            for (_, fs), rows in _alike(out, rates).items():
                 done = kernel(np.array([[0.0 if v is None else v for v in out[i]] for i in rows]), fs)
                 for i, y in zip(rows, done):
                     out[i] = y
@@ -70,18 +67,126 @@ def notch_comb(f: float = 50.0, q: float = 30.0) -> Kernel:
     return run
 
 
-def ecg_chain(x: np.ndarray, fs: float) -> np.ndarray:
-    """Notch, band-pass and soft wavelet threshold, in the order of the preprocessing driver."""
-    return fl.denoise(bandpass()(notch()(x, fs), fs))
+def ecg_filter(low: float = 0.5, high: float = 40.0, mains: float = 50.0, order: int = 2) -> Kernel:
+    """Invalid samples filled, high-pass, notches at the mains frequency and its multiples, low-pass."""
+    return lambda x, fs: fl.single(notch_comb(mains)(fl.single(fl.filled(x), fs, order, low=low), fs), fs, order, high=high)
 
 
-def ppg_chain(x: np.ndarray, fs: float) -> np.ndarray:
-    """Line removed, 0.5-8 Hz, z-score."""
-    t = np.arange(x.shape[1]) - (x.shape[1] - 1) / 2
-    x = x - x.mean(axis=1, keepdims=True)
-    x = x - np.outer((x @ t) / max((t * t).sum(), 1e-12), t)
-    x = fl.bandpass(x, fs, 0.5, 8.0)
-    return x / np.maximum(x.std(axis=1, keepdims=True), 1e-8)
+def ppg_filter(low: float = 0.5, high: float = 8.0, order: int = 4, spike: int = 5, line: bool = True, score: bool = True) -> Kernel:
+    """Invalid samples filled, spikes out by a running median (0: not), line removed, band-pass, z-score unless the signal is flat."""
+
+    def run(x: np.ndarray, fs: float) -> np.ndarray:
+        x = fl.filled(x)
+        x = fl.running_median(x, spike) if spike else x
+        x = fl.bandpass(fl.detrended(x) if line else x, fs, low, high, order)
+        spread = x.std(axis=1, keepdims=True)
+        return np.where(spread > 1e-6, (x - x.mean(axis=1, keepdims=True)) / np.maximum(spread, 1e-6), x) if score else x
+
+    return run
+
+
+#: The variant with a narrower, steeper band and a wider median.
+ROBUST_PPG = {"low": 0.8, "high": 5.0, "order": 6, "spike": 9}
+
+
+def resampled(kernel: Kernel, rate: float) -> Kernel:
+    """The kernel after resampling to another rate."""
+    return lambda x, fs: kernel(fl.resample_ratio(x, int(round(rate)), int(round(fs))), rate)
+
+
+def pipeline_standard(x: np.ndarray, fs: float) -> np.ndarray:
+    """Notch, band-pass, baseline."""
+    return fl.baseline_removed(bandpass()(notch()(x, fs), fs), fs)
+
+
+def pipeline_band(x: np.ndarray, fs: float) -> np.ndarray:
+    """The standard pipeline, then a band of 5 to 40 Hz by a filter."""
+    return fl.bandpass(pipeline_standard(x, fs), fs, 5.0, 40.0)
+
+
+def pipeline_wavelet(x: np.ndarray, fs: float) -> np.ndarray:
+    """The standard pipeline, then that band by wavelets of its frequencies."""
+    return fl.morlet_band(pipeline_standard(x, fs), fs, 5.0, min(40.0, 0.49 * fs))
+
+
+PIPELINES: dict[str, Kernel] = {"A": pipeline_standard, "B": pipeline_band, "C": pipeline_wavelet}
+
+
+@dataclass(frozen=True)
+class Preprocess:
+    """Steps of preprocessed(); None or False leaves one out. wavelet: "denoise" or "band"."""
+
+    notch: float | None = 60.0
+    band: tuple[float, float] | None = (0.5, 40.0)
+    baseline: bool = True
+    wavelet: str | None = None
+    auto_invert: bool = True
+    skew: float = -0.1
+
+
+def _prepared(x: np.ndarray, fs: float, how: Preprocess) -> tuple[np.ndarray, list[list[str]]]:
+    invalid = ~np.isfinite(x).all(axis=1)
+    x, steps = fl.filled(x), []
+    if how.notch:
+        x, steps = notch(how.notch)(x, fs), [*steps, f"notch_{how.notch:g}Hz"]
+    if how.band:
+        x, steps = bandpass(*how.band)(x, fs), [*steps, "bandpass_{:g}-{:g}Hz".format(*how.band)]
+    if how.baseline:
+        x, steps = fl.baseline_removed(x, fs), [*steps, "baseline_removal"]
+    if how.wavelet:
+        x, steps = (fl.denoise(x) if how.wavelet == "denoise" else fl.morlet_band(x, fs, 5.0, min(40.0, 0.49 * fs))), [*steps, f"wavelet_{how.wavelet}"]
+    said = [["interpolate_invalid"] * bool(bad) + steps for bad in invalid]
+    if how.auto_invert:
+        c = x - x.mean(axis=1, keepdims=True)
+        down = (c**3).mean(axis=1) < how.skew * np.maximum((c**2).mean(axis=1), 1e-300) ** 1.5
+        x = np.where(down[:, None], -x, x)
+        said = [own + ["auto_inverted"] * bool(d) for own, d in zip(said, down)]
+    return x, said
+
+
+def preprocessed(signals: DataFrame, how: Preprocess = Preprocess()) -> DataFrame:
+    """signals with x after the steps, steps (their names) and inverted. Null and non-finite samples are filled; a null or empty
+    signal stays and has no steps."""
+    names = signals.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, rates = batch.column(names.index("x")).to_pylist(), batch.column(names.index("fs")).to_pylist()
+            out, steps = list(rows), [[] for _ in rows]
+            for (_, fs), own in _alike(rows, rates).items():
+                done, said = _prepared(np.array([[np.nan if v is None else v for v in rows[i]] for i in own]), fs, how)
+                for i, y, t in zip(own, done, said):
+                    out[i], steps[i] = y, t
+            columns = [pa.array(out, pa.list_(pa.float64())) if c == "x" else batch.column(k) for k, c in enumerate(names)]
+            flipped = pa.array(["auto_inverted" in t for t in steps])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(steps, pa.list_(pa.string())), flipped], [*names, "steps", "inverted"])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in signals.dtypes)
+    return signals.mapInArrow(run, f"{schema}, steps array<string>, inverted boolean")
+
+
+def front_end(kernel: Callable, spread: float = 1.5) -> Callable:
+    """A detector whose peaks are kept within so many standard deviations of their median height, where there are three."""
+
+    def run(x: np.ndarray, fs: float) -> list[list[int]]:
+        out = []
+        for row, peaks in zip(x, kernel(x, fs)):
+            at = np.array(peaks, int)
+            if len(at) >= 3:
+                at = at[np.abs(row[at] - np.median(row[at])) <= spread * row[at].std()]
+            out.append(at.tolist())
+        return out
+
+    return run
+
+
+def _alike(rows: list, rates: list) -> dict[tuple, list[int]]:
+    """Rows that are neither null nor empty, by length and rate."""
+    groups: dict[tuple, list[int]] = {}
+    for i, x in enumerate(rows):
+        if x:
+            groups.setdefault((len(x), rates[i]), []).append(i)
+    return groups
 
 
 def _mean(x: np.ndarray, n: int) -> np.ndarray:
@@ -101,15 +206,24 @@ def pan_tompkins(x: np.ndarray, fs: float) -> list[list[int]]:
     return _each(_mean(np.diff(y, axis=1, prepend=y[:, :1]) ** 2, int(0.12 * fs)), fs, th.levels)
 
 
-def pan_tompkins_full(x: np.ndarray, fs: float) -> list[list[int]]:
-    """Zero-phase band, five-point derivative, 150 ms integration, and each beat moved to the largest sample near it."""
+def integrated(x: np.ndarray, fs: float) -> np.ndarray:
+    """Zero-phase band, five-point derivative, square, mean over 150 ms."""
     y = fl.bandpass(x, fs, 5, 15, 2)
     d = np.stack([np.convolve(r, np.array([1, 2, 0, -2, -1]) * fs / 8, "same") for r in y])
     w = max(1, int(0.15 * fs))
-    m = np.stack([np.convolve(r, np.ones(w) / w, "same") for r in d * d])
+    return np.stack([np.convolve(r, np.ones(w) / w, "same") for r in d * d])
+
+
+def pan_tompkins_full(x: np.ndarray, fs: float) -> list[list[int]]:
+    """Beats of the integrated signal, each moved to the largest sample near it."""
     reach = max(1, int(0.05 * fs))
-    near = lambda r, p: max(0, p - reach) + int(np.abs(r[max(0, p - reach) : p + reach + 1]).argmax())
-    return [sorted({near(r, p) for p in peaks}) for r, peaks in zip(x, _each(m, fs, th.levels))]
+    near = lambda r, p: max(0, p - reach) + int(np.abs(r[max(0, p - reach) : p + reach]).argmax())
+    return [[near(r, p) for p in peaks] for r, peaks in zip(x, _each(integrated(x, fs), fs, th.signal_and_noise))]
+
+
+def twave_region(x: np.ndarray, fs: float) -> list[list[int]]:
+    """Start, end and secondary peaks of the part of each signal in which T waves stand out most; see secondary_region()."""
+    return [th.secondary_region(m, beats, fs) for m, beats in zip(integrated(x, fs), pan_tompkins_full(x, fs))]
 
 
 def hamilton(x: np.ndarray, fs: float) -> list[list[int]]:
@@ -118,17 +232,22 @@ def hamilton(x: np.ndarray, fs: float) -> list[list[int]]:
 
 
 def christov(x: np.ndarray, fs: float) -> list[list[int]]:
-    y = _mean(_mean(x, int(0.02 * fs)), int(0.028 * fs))
-    steep = np.abs(np.gradient(y, axis=1))
-    return _each(_mean(steep, int(0.04 * fs)), fs, th.falling)
+    """Mean over 20 ms, over 28 ms, of the slope over 40 ms, less what these reach over at the start."""
+    widths = [max(1, int(w * fs)) for w in (0.02, 0.028, 0.04)]
+    y = _mean(_mean(x, widths[0]), widths[1])
+    m = _mean(np.abs(y[:, 2:] - y[:, :-2]), widths[2])
+    m[:, : sum(widths)] = 0
+    return _each(m, fs, th.steep_slope)
 
 
 def engzee(x: np.ndarray, fs: float) -> list[list[int]]:
-    if 52 < fs / 2:
-        x = fl.run(fl.notch(50, 12.5, fs), x)
-    d = x - np.concatenate([np.repeat(x[:, :1], 4, axis=1), x[:, :-4]], axis=1)
+    """Mains out, difference over four samples, binomial low-pass, silent for the first 200 ms."""
+    y = fl.run(fl.notch(50, 12.5, fs), x) if 52 < fs / 2 else x
+    d = np.zeros_like(y)
+    d[:, 4:] = y[:, 4:] - y[:, :-4]
     low = np.stack([np.convolve(r, [1, 4, 6, 4, 1])[: len(r)] for r in d])
-    return _each(np.abs(low), fs, th.falling)
+    low[:, : int(0.2 * fs)] = 0
+    return [th.rise_and_fall(m, r, fs) for m, r in zip(low, x)]
 
 
 def two_average(x: np.ndarray, fs: float) -> list[list[int]]:
@@ -187,11 +306,7 @@ REGISTRY: dict[str, Callable | None] = {
 def _detected(rows: list, rates: list, kernel: Callable) -> list[tuple[list[int], str | None]]:
     """Peaks and error of each row. Rows of one length and rate go together; if that fails, each is tried alone."""
     out: list[tuple[list[int], str | None]] = [([], "ValueError: no samples")] * len(rows)
-    groups: dict[tuple, list[int]] = {}
-    for i, x in enumerate(rows):
-        if x:
-            groups.setdefault((len(x), rates[i]), []).append(i)
-    for (_, fs), own in groups.items():
+    for (_, fs), own in _alike(rows, rates).items():
         block = np.array([[0.0 if v is None else v for v in rows[i]] for i in own])
         try:
             found = [(p, None) for p in kernel(block, fs)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -226,6 +228,14 @@ def set04_append_rows(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("detector", F.lit("Individual").alias("kind"), "f1").unionByName(e.agg(F.round(F.avg("f1"), 5).alias("f1")).select(F.lit("consensus").alias("detector"), F.lit("Consensus").alias("kind"), "f1"))
 
 
+@query(f"{T} SELECT rec_id, t_ms, value FROM ev")
+def set03_chunk_concat(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of a table, read one by one, as one table again; Spark runs them as one scan of each."""
+    kinds = ("view", "signup", "error", "click", "purchase")
+    chunks = [peaks(spark, sf, k).select(REC, "t_ms", "value") for k in kinds]
+    return reduce(DataFrame.unionByName, chunks)
+
+
 #: Fixed value: the first row of the test part.
 SPLIT = 1936
 

@@ -49,8 +49,7 @@ def con03_pk02_det19_gated_merge(spark: SparkSession, sf: str) -> DataFrame:
     ev = events(spark, sf).withColumn("slot", F.expr("case when t_ms < 2500 then -1 else (t_ms - 2500) div 5000 end"))
     ens = F.coalesce("usable", F.lit(False))
     own = ev.join(w, [REC, "slot"], "left").where(F.col("event_type") == F.when(ens, "click").otherwise("view"))
-    sorted_ = own.groupBy(REC).agg(F.array_sort(F.collect_set("t_ms")).alias("ts"))
-    return sorted_.select(REC, F.explode(C.thinned(F.col("ts"), 200)).alias("t_ms"))
+    return C.thin(own, 200)
 
 
 #: Peaks of a frame that an onset is looked for before: local maxima over a level.

@@ -1,4 +1,8 @@
-"""SIG, DET, FILL-05/06, PK, SQI-09 and AUG: what needs a recurrence, a transform or randomness. No SQL twin."""
+"""SIG, PRE, DET, FILL-05/06, PK, SQI-09, WIN-25 and AUG: what needs a recurrence, a transform or randomness.
+
+Filters run on frames of 64 samples. Those that are cascades of second-order sections, or sums of taps, have a SQL twin, in which
+the recurrence is a recursive query.
+"""
 
 from __future__ import annotations
 
@@ -8,55 +12,145 @@ from pyspark.sql import functions as F
 
 from ..functions import filters as fl
 from ..operators import augment as A, detectors as D
-from .bindings import frames, samples
+from .bindings import FR, frames, samples
 from .registry import query
 
-RATE = 50.0
+RATE, N = 50.0, 64
 
 
-def _signals(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames of 256 samples and a halo of 64 of every supplier's series, at 50 Hz."""
-    s = D.frame(samples(spark, sf).select("rec_id", "idx", "v"), RATE, 256, 64)
-    return s.select(F.concat_ws("-", "rec_id", "frame_idx").alias("rec_id"), "fs", "x")
+def _frames(spark: SparkSession, sf: str) -> DataFrame:
+    return frames(spark, sf).select("rec_id", F.lit(RATE).alias("fs"), "x")
+
+
+def _values(signals: DataFrame) -> DataFrame:
+    return signals.select("rec_id", F.posexplode("x").alias("idx", "v")).select("rec_id", F.col("idx").cast("long").alias("idx"), (F.round("v", 6) + 0.0).alias("v"))  # no negative zeros
+
+
+def _cascade(src: str, out: str, sos: np.ndarray, steady: np.ndarray | None = None) -> str:
+    """CTEs that run second-order sections over src(rec_id, x), to out(rec_id, x)."""
+    k = len(sos)
+    starts = ", ".join(f"{0.0 if steady is None else float(steady[i][j])!r}::DOUBLE * x[1] AS z{i}{j}" for i in range(k) for j in (0, 1))
+    rows = f"SELECT r.*, s.x[r.i + 1] AS v0 FROM {out}_r r JOIN {src} s USING (rec_id) WHERE r.i < len(s.x)"
+    for i, section in enumerate(sos):
+        b0, b1, b2, _, a1, a2 = (f"{float(c)!r}::DOUBLE" for c in section)
+        rows = f"SELECT *, {b0} * v{i} + z{i}0 AS v{i + 1} FROM ({rows})"
+        rows = f"SELECT *, {b1} * v{i} - {a1} * v{i + 1} + z{i}1 AS n{i}0, {b2} * v{i} - {a2} * v{i + 1} AS n{i}1 FROM ({rows})"
+    states = ", ".join(f"n{i}{j}" for i in range(k) for j in (0, 1))
+    return f"""{out}_r AS (SELECT rec_id, 0 AS i, NULL::DOUBLE AS y, {starts} FROM {src} UNION ALL SELECT rec_id, i + 1, v{k}, {states} FROM ({rows})),
+{out} AS (SELECT rec_id, list(y ORDER BY i) AS x FROM {out}_r WHERE i > 0 GROUP BY rec_id)"""
+
+
+def _there_and_back(src: str, out: str, sos: np.ndarray, n: int = N) -> str:
+    """CTEs of the zero-phase run with odd extension at the ends."""
+    taps = 2 * len(sos) + 1 - min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum())
+    pad, z = int(min(3 * taps, n - 1)), fl.steady(sos)
+    wide = f"""{out}_w AS (SELECT rec_id, list_transform(range({pad}), lambda i: 2 * x[1] - x[{pad + 1} - i]) || x || list_transform(range({pad}), lambda i: 2 * x[{n}] - x[{n - 1} - i]) AS x FROM {src})"""
+    back = f"{out}_v AS (SELECT rec_id, list_reverse(x) AS x FROM {out}_f)"
+    return ", ".join([wide, _cascade(f"{out}_w", f"{out}_f", sos, z), back, _cascade(f"{out}_v", f"{out}_b", sos, z), f"{out} AS (SELECT rec_id, list_reverse(x)[{pad + 1} : {pad + n}] AS x FROM {out}_b)"])
 
 
-def _summary(signals: DataFrame) -> DataFrame:
-    return signals.select("rec_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v), 3).alias("energy"))
+def _chain(*sections: np.ndarray) -> str:
+    """SQL of zero-phase filters, one after another, over the frames."""
+    names = ["fr", *[f"s{i}" for i in range(len(sections))]]
+    return _listed([_there_and_back(a, b, sos) for a, b, sos in zip(names, names[1:], sections)], names[-1])
 
 
-def _filter(name: str, kernel):
+def _listed(tables: list[str], last: str) -> str:
+    return f"WITH RECURSIVE {FR}, {', '.join(tables)} SELECT rec_id, unnest(range(len(x)))::BIGINT AS idx, round(unnest(x), 6) + 0.0::DOUBLE AS v FROM {last}"
+
+
+def _taps_sql(up: int, down: int) -> str:
+    """Polyphase resampling as sums of the taps that meet a sample."""
+    half, taps = fl.resample_taps(up, down)
+    n = -(-N * up // down)
+    listed = "[" + ", ".join(f"{float(t)!r}::DOUBLE" for t in taps) + "]"
+    row = f"list_sum(list_transform(range({N}), lambda k: CASE WHEN j * {down} - k * {up} BETWEEN {-half} AND {half} THEN x[k + 1] * t[j * {down} - k * {up} + {half + 1}] ELSE 0 END))"
+    return _listed([f"tp AS (SELECT {listed} AS t)", f"rs AS (SELECT rec_id, list_transform(range({n}), lambda j: {row}) AS x FROM fr, tp)"], "rs")
+
+
+def _filter(name: str, kernel, sql: str | None = None):
     def f(spark: SparkSession, sf: str) -> DataFrame:
-        return _summary(D.filtered(_signals(spark, sf), kernel))
+        return _values(D.filtered(_frames(spark, sf), kernel))
 
     f.__name__ = name
-    query()(f)
+    query(sql)(f)
 
 
-_filter("sig01_notch", D.notch(15.0))
-_filter("sig02_notch_comb", D.notch_comb(10.0))
-_filter("sig03_bandpass", D.bandpass(0.5, 20.0))
-_filter("sig04_pre01_pre03_ecg_chain", D.ecg_chain)
-_filter("sig05_pre02_ppg_chain", D.ppg_chain)
-_filter("sig07_causal_filter", lambda x, fs: fl.run(fl.butter(2, 5, 15, fs), x))
+_notch = lambda *f: [fl.notch(x, 30.0, RATE) for x in f]
+_filter("sig01_notch", D.notch(15.0), _chain(*_notch(15.0)))
+_filter("sig02_notch_comb", D.notch_comb(10.0), _chain(*_notch(10.0, 20.0)))
+_filter("sig03_bandpass", D.bandpass(0.5, 20.0), _chain(fl.butter(4, 0.5, 20.0, RATE)))
+_filter("sig04_ecg_filter", D.ecg_filter(0.5, 20.0, 10.0), _chain(fl.butter(2, 0.5, None, RATE), *_notch(10.0, 20.0), fl.butter(2, None, 20.0, RATE)))
+_filter("sig05_ppg_filter", D.ppg_filter())
+_filter("sig05_ppg_filter_robust", D.ppg_filter(**D.ROBUST_PPG))
+_filter("sig07_causal_filter", lambda x, fs: fl.run(fl.butter(2, 5, 15, fs), x), _listed([_cascade("fr", "y", fl.butter(2, 5, 15, RATE))], "y"))
 _filter("sig08_envelope", lambda x, fs: fl.envelope(x - x.mean(axis=1, keepdims=True)))
 _filter("sig13_morlet_band", lambda x, fs: fl.morlet_band(x, fs, 0.5, 20.0))
 _filter("sig14_wavelet_denoise", lambda x, fs: fl.denoise(x))
 _filter("sig15_stationary_wavelet", lambda x, fs: fl.stationary_details(x, fl.DB3, 3)[2])
-_filter("fill05_polyphase_resample", lambda x, fs: fl.resample_ratio(x, 3, 2))
+_filter("fill05_polyphase_resample", lambda x, fs: fl.resample_ratio(x, 3, 2), _taps_sql(3, 2))
 _filter("fill06_fft_resample", lambda x, fs: fl.resample_fft(x, x.shape[1] // 2))
+_filter("pre02_resample_then_filter", D.resampled(D.ppg_filter(), 100.0))
+
+
+@query()
+def pre01_preprocessed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every frame filled, notched, band-passed, without its baseline and upright, and the steps that did it."""
+    x = _frames(spark, sf).withColumn("x", F.transform("x", lambda v, i: F.when((i + F.col("rec_id")) % 7 == 0, None).otherwise(v)))
+    done = D.preprocessed(x, D.Preprocess(notch=15.0, band=(0.5, 20.0)))
+    return done.select("rec_id", "steps", "inverted", F.posexplode("x").alias("idx", "v")).withColumn("v", F.round("v", 6))
+
+
+@query()
+def pre03_pipelines(spark: SparkSession, sf: str) -> DataFrame:
+    """The three pipelines side by side."""
+    parts = [_values(D.filtered(_frames(spark, sf), k)).withColumnRenamed("v", name) for name, k in D.PIPELINES.items()]
+    return parts[0].join(parts[1], ["rec_id", "idx"]).join(parts[2], ["rec_id", "idx"])
+
+
+#: Samples of a frame of the detectors' signals, and of its halo on either side.
+SIZE, HALO = 256, 64
+
+
+def _signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames with halos of every supplier's series, at 50 Hz; rec_id names the frame, too."""
+    s = D.frame(samples(spark, sf).select("rec_id", "idx", "v"), RATE, SIZE, HALO)
+    return s.withColumn("rec_id", F.struct("rec_id", "frame_idx", "start_idx"))
+
+
+def _own_peaks(found: DataFrame) -> DataFrame:
+    """Beats with their place in the whole series, each from the frame that it lies in, not from a halo."""
+    rows = found.select("rec_id.*", *[c for c in found.columns if c not in ("rec_id", "peaks")], F.explode("peaks").alias("p"))
+    return rows.withColumn("peak_idx", F.col("start_idx") + F.col("p")).where(F.floor(F.col("peak_idx") / SIZE) == F.col("frame_idx")).drop("frame_idx", "start_idx", "p")
 
 
 @query()
 def det01_det14_all_detectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Beats of every detector on every frame, one row each, and the error where one fails."""
+    """Beats of every detector in every series, and a row without a beat, but with the error, for a frame where one fails."""
     methods = {m: k for m, k in D.REGISTRY.items() if k}
-    return D.detect_all(_signals(spark, sf), methods).select("rec_id", "detector", F.size("peaks").alias("n_peaks"), "error")
+    found = D.detect_all(_signals(spark, sf), methods)
+    failed = found.where("error is not null").select("rec_id.rec_id", "detector", "error", F.lit(None).cast("long").alias("peak_idx"))
+    return _own_peaks(found).select("rec_id", "detector", "error", "peak_idx").unionByName(failed)
+
+
+@query()
+def det16_front_end(spark: SparkSession, sf: str) -> DataFrame:
+    """Beats of one detector without those of unusual height."""
+    return _own_peaks(D.detect(_signals(spark, sf), "front_end", D.front_end(D.pan_tompkins_full))).select("rec_id", "detector", "peak_idx")
 
 
 @query()
 def pk01_find_peaks(spark: SparkSession, sf: str) -> DataFrame:
     peaks = D.detect(_signals(spark, sf), "prominent", lambda x, fs: [fl.find_peaks(r, float(r.mean()), 5, float(r.std())).tolist() for r in x])
-    return peaks.select("rec_id", F.posexplode("peaks").alias("k", "peak_idx"))
+    return _own_peaks(peaks).select("rec_id", "peak_idx")
+
+
+@query()
+def win25_twave_region(spark: SparkSession, sf: str) -> DataFrame:
+    """The part of each frame in which secondary peaks stand out most, with their number and first place."""
+    found = D.detect(_signals(spark, sf), "twave", D.twave_region).select(F.col("rec_id").alias("key"), "peaks")
+    place = lambda k: F.try_element_at("peaks", F.lit(k)) + F.col("key.start_idx")
+    return found.select("key.rec_id", "key.frame_idx", place(1).alias("start"), place(2).alias("end"), (F.size("peaks") - 2).alias("n_secondary"), place(3).alias("first"))
 
 
 @query()

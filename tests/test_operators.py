@@ -245,4 +245,88 @@ def test_composite_quality_thresholds(spark):
 
 def test_scalogram_of_short_signals():
     assert th.scalogram_maxima(np.ones(2), 20).tolist() == [] and th.blocks(np.zeros(5), np.ones(5), np.zeros(5), 10) == []
-    assert th.levels(np.zeros(100), 50) == [] and th.falling(np.zeros(0), 50) == []
+    assert th.levels(np.zeros(100), 50) == [] and th.steep_slope(np.zeros(0), 50) == [] == th.rise_and_fall(np.zeros(0), np.zeros(0), 50)
+
+
+def test_preprocessing_says_what_it_did(spark):
+    t = np.arange(2000) / 250.0
+    beat = lambda sign: sign * np.exp(-(((t % 0.8) - 0.4) / 0.02) ** 2) + 0.3 * np.sin(2 * np.pi * 60 * t) + t
+    up, down = beat(1.0), beat(-1.0)
+    holes = up.copy().tolist()
+    holes[100:110] = [None] * 5 + [float("nan")] * 5
+    rows = [(1, 250.0, up.tolist()), (2, 250.0, down.tolist()), (3, 250.0, holes), (4, 250.0, []), (5, 250.0, None)]
+    got = {r.rec_id: r for r in D.preprocessed(spark.createDataFrame(rows, "rec_id long, fs double, x array<double>")).collect()}
+    plain = ["notch_60Hz", "bandpass_0.5-40Hz", "baseline_removal"]
+    assert got[1].steps == plain and not got[1].inverted
+    assert got[2].steps == [*plain, "auto_inverted"] and got[2].inverted
+    assert got[3].steps == ["interpolate_invalid", *plain] and np.allclose(got[3].x[300:], got[1].x[300:], atol=0.05)
+    # mains and trend are turned over, too, where they are left
+    assert np.corrcoef(got[1].x[300:-300], got[2].x[300:-300])[0, 1] > 0.95 and got[4].x == [] == got[4].steps and got[5].x is None
+    off = D.Preprocess(notch=None, band=None, baseline=False, auto_invert=False)
+    assert {r.rec_id: r.x for r in D.preprocessed(spark.createDataFrame(rows[:1], "rec_id long, fs double, x array<double>"), off).collect()}[1] == up.tolist()
+
+
+def test_filter_chains():
+    t = np.arange(2500) / 250.0
+    slow, wave, mains = 2 * np.sin(2 * np.pi * 0.05 * t), np.sin(2 * np.pi * 8 * t), np.sin(2 * np.pi * 50 * t)
+    inner = slice(500, -500)
+    got = D.ecg_filter()((slow + wave + mains)[None, :], 250.0)[0]
+    assert np.abs(got - wave)[inner].max() < 0.1
+    spikes = np.zeros(2500)
+    spikes[::400] = 50
+    pulse = np.sin(2 * np.pi * 1.5 * t)
+    for how in ({}, D.ROBUST_PPG):
+        got = D.ppg_filter(**how)((pulse + 0.5 * t + spikes)[None, :], 250.0)[0]
+        assert abs(got.mean()) < 0.01 and abs(got.std() - 1) < 0.01 and np.corrcoef(got[inner], pulse[inner])[0, 1] > 0.98
+    assert D.resampled(D.ppg_filter(), 100.0)(pulse[None, :], 250.0).shape == (1, 1000)
+    for k in D.PIPELINES.values():
+        assert k((wave + mains)[None, :], 250.0).shape == (1, 2500)
+
+
+def test_front_end_drops_unusual_heights():
+    x, at = beats(seconds=30)
+    x[at[5]] *= 6
+    plain, kept = (np.array(k(x[None, :], 250.0)[0]) for k in (D.pan_tompkins_full, D.front_end(D.pan_tompkins_full)))
+    assert len(kept) == len(plain) - 1 and np.abs(kept - at[5]).min() > 50
+
+
+def test_secondary_peaks_show_where_t_waves_are():
+    x = np.zeros(4000)
+    marks = list(range(200, 3900, 200))
+    x[marks] = 10.0
+    x[np.array(marks[8:13]) + 75] = 3.0
+    start, end, *found = th.secondary_region(x, marks, 250.0)
+    assert start in marks[5:9] and end == start + 1000 and set(found) <= {m + 75 for m in marks} and len(found) == 4
+    assert th.secondary_region(x, marks[:3], 250.0) == [0, 1250]
+
+
+def test_alignment_moves_and_clips(spark):
+    from pulsemill.operators import sync
+
+    ref = spark.createDataFrame([(1, float(i), float(i)) for i in range(20)], "rec_id long, x double, v double")
+    other = spark.createDataFrame([(1, i * 2.0, i * 20.0) for i in range(10)], "rec_id long, x double, v double")
+    shift = lambda s: spark.createDataFrame([(1, s)], "rec_id long, shift double")
+    got = {r.x: r.other for r in sync.aligned(ref, other, shift(4.0)).collect()}
+    assert got == {float(i): (i + 4) * 10.0 for i in range(15)}
+    with pytest.raises(Exception, match="no overlap"):
+        sync.aligned(ref, other, shift(100.0)).collect()
+
+
+def test_onsets_lie_between_peaks(spark):
+    v = [5, 1, 2, 9, 3, 0, 4, 8, 7]
+    s = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(v)], "rec_id long, idx long, v double")
+    crests = spark.createDataFrame([(1, 3), (1, 7), (2, 4)], "rec_id long, peak long")
+    assert {(r.peak, r.onset) for r in P.onsets(s, crests, 3).collect()} == {(3, 1), (7, 5)}
+
+
+def test_thinning_by_runs_is_the_fold(spark):
+    rng = np.random.default_rng(5)
+    rows = [(r, int(t)) for r in range(4) for t in np.cumsum(rng.integers(1, 260, 200))]
+    want = set()
+    for r in range(4):
+        last = None
+        for t in sorted({t for q, t in rows if q == r}):
+            if last is None or t - last > 200:
+                want.add((r, t))
+                last = t
+    assert {tuple(x) for x in consensus.thin(spark.createDataFrame(rows, "rec_id long, t_ms long"), 200).collect()} == want

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 #: Edits allowed for each word of an item.
 BUDGET = 0.15
-#: Items whose pieces travel to the tasks at once; a larger benchmark goes block by block.
-ITEMS = 20_000
+#: Items, and characters of them, that travel to the tasks at once; a larger benchmark goes block by block. An item of more
+#: characters is a block of its own.
+ITEMS, CHARS = 20_000, 1 << 24
 WORD = re.compile(r"\w+")
 
 
@@ -95,7 +96,8 @@ class Matcher:
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
-    n = max(1, ceil(rows.count() / ITEMS))
+    items, chars = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
+    n = max(1, ceil(items / ITEMS), ceil((chars or 0) / CHARS))
     for block in range(n):
         mine = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block) if n > 1 else rows
         yield [(r.item_id, r.text) for r in mine.collect()]
@@ -133,7 +135,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET)
     holds within int(budget * words) edits; benchmark has (item_id, text).
 
     Items and documents that are null or without words match nothing. Items of any length are matched whole. Rows that
-    repeat a document repeat its matches; empty tables give an empty one; other columns are not read. Only a block of ITEMS items is at the driver and in tasks at once.
+    repeat a document repeat its matches; empty tables give an empty one; other columns are not read. Only a block of about ITEMS
+    items and CHARS characters is at the driver and in tasks at once.
     """
     rows, out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), None
     for matcher in _search(docs, benchmark, budget):

@@ -228,8 +228,9 @@ def repeated_spans(docs: DataFrame, kind: Symbols, label: str) -> DataFrame:
     spans = spans.union(packed.repartition("h").sortWithinPartitions("h", F.coalesce("doc_id", F.lit(NO_ID))).mapInArrow(_count(kind), SPAN))
     hot = tagged.where("goes and hot")
     if not hot.isEmpty():
-        wide = materialize(_packed(docs, hot, kind).mapInArrow(_spread(kind), "w1 long, w2 long, doc_id long, th long, s long"), label)
-        first = materialize(wide.groupBy("w1", "w2").agg(F.min(rank).alias("lo"), F.count("*").alias("n")).where("n > 1"), label)
+        # not written first: in one plan with the rest the texts are shuffled once
+        wide = _packed(docs, hot, kind).mapInArrow(_spread(kind), "w1 long, w2 long, doc_id long, th long, s long")
+        first = wide.groupBy("w1", "w2").agg(F.min(rank).alias("lo"), F.count("*").alias("n")).where("n > 1")
         met = wide.join(first, ["w1", "w2"]).where(rank > F.col("lo") if kind.other_doc else F.lit(True))
         spans = spans.union(met.select("doc_id", "th", "s", (F.col("s") + kind.window).alias("e")))
     return spans

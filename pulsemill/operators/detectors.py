@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters as fl, thresholds as th
@@ -343,3 +343,19 @@ def detect(signals: DataFrame, method: str, kernel: Callable | None = None) -> D
     if chosen is None:
         raise ValueError(f"{method} needs a model of yours: pass it as kernel(rows, fs)")
     return detect_all(signals, {method: chosen})
+
+
+class DetectBeats:
+    """Rows of detect_beats(fs, x, method), a table function for SQL: peak_idx of every beat of one signal."""
+
+    def eval(self, fs: float, x: list[float], method: str) -> Iterator[tuple[int]]:
+        kernel = REGISTRY[method]
+        if kernel is None:
+            raise ValueError(f"{method} needs a model of yours")
+        if x:
+            yield from ((int(p),) for p in kernel(np.array([[0.0 if v is None else v for v in x]]), float(fs))[0])
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make detect_beats known to SQL: SELECT ... FROM signals, LATERAL detect_beats(fs, x, 'hamilton')."""
+    spark.udtf.register("detect_beats", F.udtf(DetectBeats, returnType="peak_idx long"))

@@ -19,6 +19,7 @@ T = f"WITH {EV}"
 @query(f"""{WHR} SELECT rec_id, count(*) AS n_windows, count(*) FILTER (n_peaks >= 4) AS n_usable, round(100.0 * count(*) FILTER (n_peaks >= 4) / greatest(count(*), 1), 4) AS pct_usable,
  round(avg(hr_bpm) FILTER (hr_bpm > 0), 4) AS mean_hr, round(stddev_pop(hr_bpm) FILTER (hr_bpm > 0), 4) AS std_hr FROM whr GROUP BY rec_id""")
 def agg01_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows, usable ones and the heart rate of each recording."""
     hr = F.when(F.col("hr_bpm") > 0, F.col("hr_bpm"))
     usable = F.count_if(F.col("n_peaks") >= 4)
     return windowed_hr(events(spark, sf)).groupBy(REC).agg(F.count("*").alias("n_windows"), usable.alias("n_usable"), F.round(100 * usable / F.greatest(F.count("*"), F.lit(1)), 4).alias("pct_usable"), F.round(F.avg(hr), 4).alias("mean_hr"), F.round(F.stddev_pop(hr), 4).alias("std_hr"))
@@ -37,6 +38,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""{PAIR} SELECT rec_id, avg(c) / 100 AS bias, round(stddev_pop(e), 5) AS sd, avg(abs(c)) / 100 AS mae, round(sqrt(avg(e * e)), 5) AS rmse, round(100 * avg(abs(e) / ref), 5) AS mape, round(quantile_cont(abs(e), 0.5), 5) AS median_ae FROM p GROUP BY rec_id""")
 def agg02_error_block(spark: SparkSession, sf: str) -> DataFrame:
+    """Error of the test's values against the reference's, pair by pair in order: bias, spread, absolute, squared and relative means, median."""
     e = F.col("e")
     r = lambda c, n: F.round(F.coalesce(c, F.lit(0.0)), 5).alias(n)
     return _pairs(spark, sf).groupBy(REC).agg(F.coalesce(F.avg("c") / 100, F.lit(0.0)).alias("bias"), r(F.stddev_pop(e), "sd"), F.coalesce(F.avg(F.abs("c")) / 100, F.lit(0.0)).alias("mae"), r(F.sqrt(F.avg(e * e)), "rmse"), r(100 * F.avg(F.abs(e) / F.col("ref")), "mape"), r(F.percentile(F.abs(e), 0.5), "median_ae"))
@@ -44,12 +46,14 @@ def agg02_error_block(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""{PAIR} SELECT rec_id, avg(c) / 100 AS bias, round(avg(e) - 1.96 * stddev_samp(e), 5) AS lo_samp, round(avg(e) + 1.96 * stddev_samp(e), 5) AS hi_samp, round(avg(e) - 1.96 * stddev_pop(e), 5) AS lo_pop, round(avg(e) + 1.96 * stddev_pop(e), 5) AS hi_pop FROM p GROUP BY rec_id""")
 def agg04_bland_altman(spark: SparkSession, sf: str) -> DataFrame:
+    """Bias and limits of agreement, from the spread of a sample and of a population."""
     b, s, p = F.avg("e"), F.stddev_samp("e"), F.stddev_pop("e")
     return _pairs(spark, sf).groupBy(REC).agg((F.avg("c") / 100).alias("bias"), F.round(b - 1.96 * s, 5).alias("lo_samp"), F.round(b + 1.96 * s, 5).alias("hi_samp"), F.round(b - 1.96 * p, 5).alias("lo_pop"), F.round(b + 1.96 * p, 5).alias("hi_pop"))
 
 
 @query(f"{PAIR} SELECT rec_id, count(*) AS n, round(corr(ref, test), 6) AS r FROM p GROUP BY rec_id HAVING count(*) > 2")
 def agg05_pearson(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlation of the pairs of recordings with three or more."""
     return _pairs(spark, sf).groupBy(REC).agg(F.count("*").alias("n"), F.round(F.corr("ref", "test"), 6).alias("r")).where("n > 2")
 
 
@@ -58,11 +62,13 @@ MOM = "avg(v) AS m1, avg(v * v) AS m2, avg(v * v * v) AS m3, avg(v * v * v * v)
 
 @query(f"""WITH {FS}, m AS (SELECT rec_id, {MOM} FROM fs GROUP BY rec_id) SELECT rec_id, round((m3 - 3 * m1 * m2 + 2 * pow(m1, 3)) / pow(m2 - m1 * m1, 1.5), 6) AS skew, round((m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * pow(m1, 4)) / pow(m2 - m1 * m1, 2) - 3, 6) AS kurt FROM m""")
 def agg06_skew_kurtosis(spark: SparkSession, sf: str) -> DataFrame:
+    """Population skewness and excess kurtosis of each frame."""
     return frame_samples(spark, sf).groupBy(REC).agg(F.round(F.skewness("v"), 6).alias("skew"), F.round(F.kurtosis("v"), 6).alias("kurt"))
 
 
 @query(f"""WITH {FS}, c AS (SELECT rec_id, idx, sign(v - avg(v) OVER (PARTITION BY rec_id)) AS s FROM fs), d AS (SELECT rec_id, abs(s - lag(s) OVER (PARTITION BY rec_id ORDER BY idx)) AS d FROM c) SELECT rec_id, round(sum(d) / (2 * count(*)), 6) AS zcr FROM d GROUP BY rec_id""")
 def agg07_zero_crossings(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of samples at which a frame less its mean changes sign."""
     c = frame_samples(spark, sf).withColumn("s", F.signum(F.col("v") - F.avg("v").over(Window.partitionBy(REC))))
     return c.withColumn("d", F.abs(F.col("s") - F.lag("s").over(W.by("idx")))).groupBy(REC).agg(F.round(F.sum("d") / (2 * F.count("*")), 6).alias("zcr"))
 
@@ -86,6 +92,7 @@ def histogram_entropy(s: DataFrame) -> DataFrame:
 
 @query(f"WITH {FS}, {BINS} SELECT rec_id, bins, round(-sum(c / 64.0 * ln(c / 64.0)), 6) AS entropy FROM c GROUP BY ALL")
 def agg08_histogram_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """Entropy of the density over bins whose number the samples choose."""
     return histogram_entropy(frame_samples(spark, sf).select(REC, "v")).select(REC, "bins", F.round("entropy", 6).alias("entropy"))
 
 
@@ -110,6 +117,7 @@ def agg09_time_domain_hrv(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""{WHR} SELECT rec_id, count(*) AS n_windows, count(*) FILTER (n_peaks > 0) AS worn, count(*) FILTER (n_peaks >= 6) AS good, 5 * count(*) FILTER (n_peaks >= 6) AS good_s, round(100.0 * count(*) FILTER (n_peaks >= 6) / nullif(count(*) FILTER (n_peaks > 0), 0), 4) AS yield_worn, round(100.0 * count(*) FILTER (n_peaks >= 6) / count(*), 4) AS yield_total FROM whr GROUP BY rec_id""")
 def agg10_yield(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows and seconds that were worn, and that were good."""
     n, worn, good = F.count("*"), F.count_if(F.col("n_peaks") > 0), F.count_if(F.col("n_peaks") >= 6)
     return windowed_hr(events(spark, sf)).groupBy(REC).agg(n.alias("n_windows"), worn.alias("worn"), good.alias("good"), (5 * good).alias("good_s"), F.round(F.try_divide(100 * good, worn), 4).alias("yield_worn"), F.round(100 * good / n, 4).alias("yield_total"))
 
@@ -157,6 +165,7 @@ def agg14_flt10_median_delay(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""{"WITH " + FR}, k AS (SELECT label, rec_id % 3 AS pipeline, list_max(x) AS top FROM fr) SELECT label, round(avg(top) FILTER (pipeline = 0), 6) AS p0, round(avg(top) FILTER (pipeline = 1), 6) AS p1, round(avg(top) FILTER (pipeline = 2), 6) AS p2, round(avg(top), 6) AS mean FROM k GROUP BY label""")
 def agg15_agg21_pivot_mean_by_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """A column for each pipeline, and the mean over them."""
     from .bindings import frames
 
     k = frames(spark, sf).select("label", F.expr("rec_id % 3").alias("pipeline"), F.array_max("x").alias("top"))
@@ -166,6 +175,7 @@ def agg15_agg21_pivot_mean_by_pipeline(spark: SparkSession, sf: str) -> DataFram
 
 @query(f"""{T}, l AS (SELECT doc_id % 150 AS rec_id, avg(quality) AS sqi FROM labels GROUP BY ALL) SELECT CASE WHEN sqi < 0.9 THEN 'low' ELSE 'high' END AS band, count(*) AS n, round(avg(value), 5) AS mean FROM ev JOIN l ON ev.rec_id % 150 = l.rec_id GROUP BY ALL""")
 def agg16_means_by_quality_band(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean value of beats in recordings of low and of high quality."""
     l = spark.read.parquet(f"{sf}/labels.parquet").groupBy(F.expr("doc_id % 150").alias("r")).agg(F.avg("quality").alias("sqi"))
     j = events(spark, sf).join(l, F.expr("rec_id % 150 = r"))
     return j.groupBy(F.when(F.col("sqi") < 0.9, "low").otherwise("high").alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 5).alias("mean"))
@@ -173,12 +183,14 @@ def agg16_means_by_quality_band(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{T}, n AS (SELECT rec_id, count(*) AS n FROM ev GROUP BY rec_id) SELECT n // 10 AS bin, count(*) AS records, sum(n)::BIGINT AS beats FROM n GROUP BY ALL")
 def agg17_agg22_beat_count_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Recordings by their number of beats in tens, and all their beats."""
     n = events(spark, sf).groupBy(REC).agg(F.count("*").alias("n"))
     return n.groupBy(F.expr("n div 10").alias("bin")).agg(F.count("*").alias("records"), F.sum("n").alias("beats"))
 
 
 @query(f"""{T} SELECT rec_id, round((max(t_ms) - min(t_ms)) / 3600000.0, 9) AS hours, round((max(t_ms) - min(t_ms)) / 3600000.0 / (count(*) * 0.001), 6) AS hours_per_s FROM ev GROUP BY rec_id""")
 def agg20_throughput(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours of signal for each second of computing."""
     hours = (F.max("t_ms") - F.min("t_ms")) / 3600000
     return events(spark, sf).groupBy(REC).agg(F.round(hours, 9).alias("hours"), F.round(hours / (F.count("*") * 0.001), 6).alias("hours_per_s"))
 
@@ -198,32 +210,38 @@ def top01_ranked_by_f1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{EVAL} SELECT detector, f1 FROM f WHERE detector <> 'error' ORDER BY f1 DESC, detector LIMIT 3")
 def top02_top_n_without_one(spark: SparkSession, sf: str) -> DataFrame:
+    """The three best detectors but for one."""
     return _eval(spark, sf).where("detector <> 'error'").select("detector", "f1").orderBy(F.desc("f1"), "detector").limit(3)
 
 
 @query(f"{T} SELECT rec_id, count(*) AS n FROM ev GROUP BY rec_id ORDER BY n DESC, rec_id LIMIT 3")
 def top03_most_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    """The three recordings with the most peaks."""
     return events(spark, sf).groupBy(REC).agg(F.count("*").alias("n")).orderBy(F.desc("n"), REC).limit(3)
 
 
 @query(f"{T}, r AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY t_ms, peak_id) AS k FROM ev) SELECT rec_id, peak_id, k::INTEGER AS k FROM r WHERE k <= 5")
 def top04_first_beats(spark: SparkSession, sf: str) -> DataFrame:
+    """The first five beats of each recording."""
     return events(spark, sf).withColumn("k", F.row_number().over(W.by("t_ms", "peak_id"))).where("k <= 5").select(REC, "peak_id", "k")
 
 
 @query(f"WITH {SM} SELECT rec_id, arg_max(idx, {{'v': v, 'i': -idx}}) AS at_max, arg_min(idx, {{'v': v, 'i': idx}}) AS at_min FROM sm GROUP BY rec_id")
 def top05_argmax_argmin(spark: SparkSession, sf: str) -> DataFrame:
+    """Places of the largest and the least sample, of equal ones the first."""
     i = F.col("idx")
     return samples(spark, sf).groupBy(REC).agg(F.max_by("idx", F.struct("v", (-i).alias("i"))).alias("at_max"), F.min_by("idx", F.struct("v", i.alias("i"))).alias("at_min"))
 
 
 @query(f"{T} SELECT rec_id, t_ms FROM ev WHERE event_type = 'view' UNION SELECT rec_id, t_ms FROM ev WHERE event_type = 'click'")
 def set01_union_of_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Peaks that either of two detectors found, once each."""
     return peaks(spark, sf, "view").select(REC, "t_ms").union(peaks(spark, sf, "click").select(REC, "t_ms")).distinct()
 
 
 @query(f"{EVAL} SELECT detector, 'Individual' AS kind, f1 FROM f UNION ALL SELECT 'consensus', 'Consensus', round(avg(f1), 5) FROM f")
 def set04_append_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every detector's score, and a row for the consensus of all."""
     e = _eval(spark, sf)
     return e.select("detector", F.lit("Individual").alias("kind"), "f1").unionByName(e.agg(F.round(F.avg("f1"), 5).alias("f1")).select(F.lit("consensus").alias("detector"), F.lit("Consensus").alias("kind"), "f1"))
 

@@ -81,6 +81,7 @@ def _pulse(spark: SparkSession, sf: str) -> DataFrame:
 b AS (SELECT rec_id, any_value(onset) AS onset, arg_max({{'i': idx, 'v': v, 's': s}}, {{'s': s, 'i': -idx}}) AS b, arg_min(v, idx) AS base FROM g GROUP BY rec_id)
 SELECT rec_id, round(CASE WHEN b.s > 0 THEN b.i + (base - b.v) / b.s ELSE onset END, 6) AS foot FROM b""")
 def fea02_det18_tangent_foot(spark: SparkSession, sf: str) -> DataFrame:
+    """Foot of a pulse, where the tangent of its steepest rise meets the level of the onset."""
     return P.tangent_foot(_pulse(spark, sf)).select(REC, F.round(F.col("foot").cast("double"), 6).alias("foot"))
 
 
@@ -89,11 +90,13 @@ r AS (SELECT rec_id, any_value(amp) AS amp, any_value(onset) AS onset, any_value
 w AS (SELECT rec_id, amp, CASE WHEN f.i = peak THEN peak ELSE f.i - 1 + (f.l - f.b) / (f.v - f.b) END - CASE WHEN r.i = onset THEN onset ELSE r.i - 1 + (r.l - r.b) / (r.v - r.b) END AS w FROM r)
 SELECT rec_id, round(CASE WHEN amp > 0 AND w > 0 THEN w END, 6) AS pw50 FROM w""")
 def fea03_half_width(spark: SparkSession, sf: str) -> DataFrame:
+    """Width at half of the height, between samples on the line."""
     return P.half_width(_pulse(spark, sf)).select(REC, F.round("pw50", 6).alias("pw50"))
 
 
 @query(f"{PULSE} SELECT rec_id, (any_value(peak) - any_value(onset))::BIGINT AS rise_time, round(max(v) FILTER (idx = peak) - max(v) FILTER (idx = onset), 6) AS rise_amp FROM n GROUP BY rec_id")
 def fea04_rise(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples and height from onset to peak."""
     at = lambda c: F.max(F.when(F.col("idx") == F.col(c), F.col("v")))
     return _pulse(spark, sf).groupBy(REC).agg((F.first("peak") - F.first("onset")).cast("long").alias("rise_time"), F.round(at("peak") - at("onset"), 6).alias("rise_amp"))
 

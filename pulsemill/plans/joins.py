@@ -63,6 +63,7 @@ def joi03_nearest_on_resampled_grid(spark: SparkSession, sf: str) -> DataFrame:
   FROM pu s LEFT JOIN vw v USING (rec_id) GROUP BY ALL)
 SELECT rec_id, peak_id, t_ms, coalesce(nx, ls) AS beat_id, CASE WHEN nx IS NOT NULL THEN 'Next Beat (Forward)' WHEN ls IS NOT NULL THEN 'Last Beat (Fallback)' ELSE 'No Beats' END AS note FROM n""")
 def joi04_forward_else_last(spark: SparkSession, sf: str) -> DataFrame:
+    """The next beat at or after each mark, or else the last one."""
     beats = peaks(spark, sf, "view")
     nx = J.first_after(peaks(spark, sf, "purchase").select(REC, "peak_id", "t_ms"), beats, {"peak_id": "nx"})
     last = beats.groupBy(REC).agg(F.max_by("peak_id", F.struct("t_ms", "peak_id")).alias("ls"))
@@ -115,12 +116,14 @@ def _matches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{T}, {MATCH} SELECT * FROM bc")
 def joi08_beat_match_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Reference and test beats, and test beats nearest to a reference within the tolerance, one to one."""
     return _matches(spark, sf)
 
 
 @query(f"""{T}, {MATCH}, r AS (SELECT *, tp / (tp + fn + 1e-9) AS s, tp / (tp + fp + 1e-9) AS p FROM bc)
 SELECT rec_id, tp, fp, fn, round(s, 4) AS se, round(p, 4) AS ppv, round(2 * s * p / (s + p + 1e-9), 4) AS f1 FROM r""")
 def agg03_se_ppv_f1(spark: SparkSession, sf: str) -> DataFrame:
+    """Sensitivity, precision and F1 of the matches."""
     return _matches(spark, sf).select(REC, "tp", "fp", "fn", *J.rates(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
@@ -224,6 +227,7 @@ def joi12_r_peak_onset_peak_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""{T} SELECT o.rec_id, o.peak_id AS onset_id, o.t_ms AS onset_ms, arg_min(p.peak_id, {{'t': p.t_ms, 'p': p.peak_id}}) AS peak_id FROM ck o JOIN vw p ON p.rec_id = o.rec_id AND p.t_ms > o.t_ms GROUP BY ALL""")
 def joi13_onset_next_peak(spark: SparkSession, sf: str) -> DataFrame:
+    """The first peak after each onset."""
     got = J.first_after(peaks(spark, sf, "click").select(REC, "peak_id", "t_ms"), peaks(spark, sf, "view"), {"peak_id": "next_id"}, strict=True)
     return got.where("next_id is not null").select(REC, F.col("peak_id").alias("onset_id"), F.col("t_ms").alias("onset_ms"), F.col("next_id").alias("peak_id"))
 
@@ -235,6 +239,7 @@ def _numbered(df: DataFrame) -> DataFrame:
 @query(f"""{T}, a AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY t_ms, peak_id) AS k FROM ck), b AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY t_ms, peak_id) AS k FROM vw)
 SELECT a.rec_id, a.k::INTEGER AS k, a.t_ms AS ref_ms, b.t_ms AS test_ms, round(b.value - a.value, 6) AS diff FROM a JOIN b USING (rec_id, k)""")
 def joi14_positional_zip(spark: SparkSession, sf: str) -> DataFrame:
+    """Two lists of beats side by side by their place, as far as the shorter one goes."""
     a = _numbered(peaks(spark, sf, "click")).select(REC, "k", F.col("t_ms").alias("ref_ms"), F.col("value").alias("va"))
     b = _numbered(peaks(spark, sf, "view")).select(REC, "k", F.col("t_ms").alias("test_ms"), F.col("value").alias("vb"))
     return a.join(b, [REC, "k"]).select(REC, "k", "ref_ms", "test_ms", F.round(F.col("vb") - F.col("va"), 6).alias("diff"))
@@ -243,6 +248,7 @@ def joi14_positional_zip(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{T}, e AS (SELECT rec_id, max(t_ms) AS hi FROM vw GROUP BY rec_id)
 SELECT r.rec_id, r.peak_id AS ref_id, r.t_ms AS ref_ms, arg_min(v.peak_id, {{'d': abs(v.t_ms - r.t_ms), 't': v.t_ms, 'p': v.peak_id}}) AS peak_id FROM ck r JOIN e USING (rec_id) JOIN vw v USING (rec_id) WHERE r.t_ms <= hi GROUP BY ALL""")
 def joi15_nearest_sample_within_span(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest sample to each time that lies inside the signal's span."""
     belt = peaks(spark, sf, "view").select(REC, "peak_id", "t_ms")
     end = belt.groupBy(REC).agg(F.max("t_ms").alias("hi"))
     refs = peaks(spark, sf, "click").select(REC, "peak_id", "t_ms").join(end, REC).where("t_ms <= hi")
@@ -261,6 +267,7 @@ def joi16_overlap_clip(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {FS}, p AS (SELECT rec_id, arg_max(idx, {{'v': v, 'i': -idx}}) AS peak_idx FROM fs GROUP BY rec_id)
 SELECT rec_id, peak_idx::BIGINT AS peak_idx, round(v, 6) AS v FROM p JOIN fs USING (rec_id) WHERE idx = peak_idx""")
 def joi17_sample_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The sample at each peak."""
     s = frame_samples(spark, sf)
     p = s.groupBy(REC).agg(F.max_by("idx", F.struct("v", (-F.col("idx")).alias("i"))).alias("peak_idx"))
     return p.join(s, (p[REC] == s[REC]) & (p["peak_idx"] == s["idx"])).select(p[REC], "peak_idx", F.round("v", 6).alias("v"))

@@ -141,6 +141,7 @@ def det16_front_end(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def pk01_find_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Local maxima over the mean, five samples apart, as prominent as the spread."""
     peaks = D.detect(_signals(spark, sf), "prominent", lambda x, fs: [fl.find_peaks(r, float(r.mean()), 5, float(r.std())).tolist() for r in x])
     return _own_peaks(peaks).select("rec_id", "peak_idx")
 

@@ -20,6 +20,7 @@ RATE, SEGMENT = 50.0, 32
 
 @query(f"""WITH {SM}, l AS (SELECT rec_id, regr_slope(v, idx) AS b, regr_intercept(v, idx) AS a FROM sm GROUP BY rec_id) SELECT rec_id, idx, round(v - (a + b * idx), 4) AS v FROM sm JOIN l USING (rec_id)""")
 def sig06_linear_detrend(spark: SparkSession, sf: str) -> DataFrame:
+    """Each series less its least-squares line."""
     s = samples(spark, sf).select(REC, "idx", "v")
     line = s.groupBy(REC).agg(F.regr_slope("v", "idx").alias("b"), F.regr_intercept("v", "idx").alias("a"))
     return s.join(line, REC).select(REC, "idx", F.round(F.col("v") - (F.col("a") + F.col("b") * F.col("idx")), 4).alias("v"))
@@ -40,6 +41,7 @@ def _spectrum(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {FR}, {WELCH} SELECT rec_id, f, round(p, 9) AS power FROM ws")
 def sig09_welch_density(spark: SparkSession, sf: str) -> DataFrame:
+    """Spectral density of each frame by Welch's method."""
     return _spectrum(spark, sf).select(REC, "f", F.round("power", 9).alias("power"))
 
 
@@ -54,6 +56,7 @@ def _bands(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {FR}, {WELCH}, {BANDS_SQL} SELECT rec_id, round(total, 8) AS total, round(qrs, 8) AS qrs, round(noise, 8) AS noise, round(coalesce(pulse, 0), 8) AS pulse FROM {JOIN_BANDS}")
 def sig10_band_power(spark: SparkSession, sf: str) -> DataFrame:
+    """Power of bands as trapezoids between their frequencies."""
     return _bands(spark, sf).select(REC, *[F.round(c, 8).alias(c) for c in ("total", "qrs", "noise", "pulse")])
 
 
@@ -74,11 +77,13 @@ def frame_sqi(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{SQI} SELECT rec_id, round(ratio, 6) AS qrs_energy_ratio, round(snr, 5) AS snr_db, round(skew, 6) AS skewness, round(kurt, 6) AS kurtosis FROM c")
 def sqi01_qrs_band_energy(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of the QRS band, its signal-to-noise ratio, skewness and kurtosis."""
     return frame_sqi(spark, sf).select(REC, F.round("ratio", 6).alias("qrs_energy_ratio"), F.round("snr", 5).alias("snr_db"), F.round("skew", 6).alias("skewness"), F.round("kurt", 6).alias("kurtosis"))
 
 
 @query(f"{SQI} SELECT rec_id, nk::DOUBLE AS nk_sqi, round(score, 4)::DOUBLE AS score, CASE WHEN round(score, 4) >= 0.65 THEN 'good' WHEN round(score, 4) >= 0.35 THEN 'mediocre' ELSE 'poor' END AS quality_label, round(score, 4) >= 0.35 AS is_usable FROM c")
 def sqi02_sqi03_sqi04_composite_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Score, label and use of each frame."""
     s = frame_sqi(spark, sf).withColumn("quality_label", Q.label(F.col("score")))
     return s.select(REC, F.col("nk").alias("nk_sqi"), F.round("score", 4).alias("score"), "quality_label", (F.col("quality_label") != "poor").alias("is_usable"))
 
@@ -87,6 +92,7 @@ def sqi02_sqi03_sqi04_composite_quality(spark: SparkSession, sf: str) -> DataFra
 m AS (SELECT g.rec_id, s // 50 AS window_idx, {MOM} FROM g JOIN n ON n.rec_id = g.rec_id AND idx >= s AND idx < s + 100 GROUP BY ALL), k AS (SELECT rec_id, window_idx, (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * pow(m1, 4)) / pow(m2 - m1 * m1, 2) - 3 AS k FROM m)
 SELECT rec_id, window_idx, (CASE WHEN k > 8 THEN 0.1 WHEN k > 5 THEN 0.4 WHEN k > 3 THEN 0.7 ELSE 1.0 END)::DOUBLE AS stepped, round(greatest(0.1, least(1.0, 1 - (k - 2) / 10)), 5)::DOUBLE AS linear FROM k""")
 def sqi05_kurtosis_sqi(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of each window from its kurtosis, in steps and on a line."""
     s = samples(spark, sf).select(REC, "idx", "v")
     n = s.groupBy(REC).agg(F.count("*").alias("n"))
     w = s.join(n, REC).withColumn("window_idx", F.explode(W.windows_of(F.col("idx"), 100, 50, W.full_windows(F.col("n"), 100, 50, False))))
@@ -112,12 +118,14 @@ def _rules(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{RULES} SELECT rec_id, round(share, 6) AS ecg_rel_power_qrs, round(snr, 5) AS ecg_snr, round(zcr, 6) AS ecg_zcr, round(ecg, 3)::DOUBLE AS ecg_sqi_score, round(pshare, 6) AS ppg_rel_power, round(ent, 6) AS ppg_entropy, round(ppg, 3)::DOUBLE AS ppg_sqi_score FROM s")
 def sqi06_sqi07_rule_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores by rules for electric and for optical signals."""
     r = lambda c, n, d: F.round(c, d).alias(n)
     return _rules(spark, sf).select(REC, r("share", "ecg_rel_power_qrs", 6), r("snr", "ecg_snr", 5), r("zcr", "ecg_zcr", 6), r("ecg", "ecg_sqi_score", 3), r("pshare", "ppg_rel_power", 6), r("entropy", "ppg_entropy", 6), r("ppg", "ppg_sqi_score", 3))
 
 
 @query(f"{RULES} SELECT rec_id, round(ecg, 3) >= 0.2 AND kurt >= -1 AS ecg_pass, round(ppg, 3) >= 0.2 AND ent >= 1.5 AND abs(skew) >= 0.05 AND skew > 0 AS ppg_pass, round(ecg, 3) >= 0.2 AND kurt >= -1 AND round(ppg, 3) >= 0.2 AND ent >= 1.5 AND abs(skew) >= 0.05 AND skew > 0 AS is_good FROM s")
 def sqi08_pass_fail_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Which rules a frame passes."""
     ecg = (F.round("ecg", 3) >= 0.2) & (F.col("kurt") >= -1)
     ppg = (F.round("ppg", 3) >= 0.2) & (F.col("entropy") >= 1.5) & (F.abs("skew") >= 0.05) & (F.col("skew") > 0)
     return _rules(spark, sf).select(REC, ecg.alias("ecg_pass"), ppg.alias("ppg_pass"), (ecg & ppg).alias("is_good"))
@@ -180,6 +188,7 @@ def xco03_synchronised(spark: SparkSession, sf: str) -> DataFrame:
 d AS (SELECT rec_id, window_idx, list_transform(a, lambda v: v - list_avg(a)) AS a, list_transform(b, lambda v: v - list_avg(b)) AS b FROM w), r AS (SELECT rec_id, window_idx, k AS lag, sum(a[i + 1] * b[i + k + 1]) AS r FROM d, range(-5, 6) t(k), range(32) u(i) WHERE i + k BETWEEN 0 AND 31 GROUP BY ALL)
 SELECT rec_id, window_idx::INTEGER AS window_idx, arg_max(lag, {{'r': round(r, 9), 'k': -lag}})::INTEGER AS lag FROM r GROUP BY ALL""")
 def win22_windowed_lag_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Lag of a frame and the next one in each of three windows."""
     a = frames(spark, sf).select(REC, F.col("x").alias("a"))
     b = frames(spark, sf).select((F.col(REC) - 1).alias(REC), F.col("x").alias("b"))
     parts = F.array(*[F.struct(F.lit(i).alias("k"), F.slice("a", s + 1, 32).alias("a"), F.slice("b", s + 1, 32).alias("b")) for i, s in enumerate((0, 16, 32))])

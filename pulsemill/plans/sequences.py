@@ -26,6 +26,7 @@ def _rr(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{RR} SELECT rec_id, peak_id, t_ms, rr FROM rr")
 def win01_first_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """Time since the beat before."""
     return _rr(spark, sf).select(REC, "peak_id", "t_ms", "rr")
 
 
@@ -48,6 +49,7 @@ x AS (SELECT rec_id, idx AS at_, hr FROM n UNION ALL SELECT rec_id, -1 - idx, hr
 m AS (SELECT rec_id, at_, quantile_cont(hr, 0.5) OVER (PARTITION BY rec_id ORDER BY at_ ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM x)
 SELECT n.rec_id, n.peak_id, round(CASE WHEN n < 5 THEN hr ELSE m END, 6) AS hr FROM n JOIN m ON m.rec_id = n.rec_id AND m.at_ = n.idx""")
 def win03_median5_smoothing(spark: SparkSession, sf: str) -> DataFrame:
+    """Heart rate under a running median of five with mirrored edges."""
     hr = _hr(spark, sf).withColumn("idx", (F.row_number().over(W.by("t_s", "peak_id")) - 1).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy(REC)))
     got = W.median_filter(hr.withColumnRenamed("hr", "v"), 5, "m")
     return got.select(REC, "peak_id", F.round(F.when(F.col("n") < 5, F.col("v")).otherwise(F.col("m")), 6).alias("hr"))
@@ -69,6 +71,7 @@ def clean_rr(beats: DataFrame) -> DataFrame:
 
 @query(f"{CLEAN} SELECT rec_id, peak_id, t_ms, r AS rr_bounded, clean AS rr_clean FROM k")
 def win04_flt03_rolling_median_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals within bounds, and those near the median of their neighbours."""
     return clean_rr(_rr(spark, sf)).select(REC, "peak_id", "t_ms", F.col("r").alias("rr_bounded"), F.col("clean").alias("rr_clean"))
 
 
@@ -85,11 +88,13 @@ def _hrv(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{HRV} SELECT rec_id, peak_id, t_ms, round(sdnn, 5) AS sdnn, round(rmssd, 5) AS rmssd FROM v")
 def win05_win06_fea05_rolling_sdnn_rmssd(spark: SparkSession, sf: str) -> DataFrame:
+    """Spread, and root mean square of differences, of the last and next 25 intervals."""
     return _hrv(spark, sf).select(REC, "peak_id", "t_ms", F.round("sdnn", 5).alias("sdnn"), F.round("rmssd", 5).alias("rmssd"))
 
 
 @query(f"{HRV} SELECT rec_id, peak_id, round(trend, 5) AS trend FROM v")
 def win07_rolling_mean_trend(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean of those intervals."""
     return _hrv(spark, sf).select(REC, "peak_id", F.round("trend", 5).alias("trend"))
 
 
@@ -109,11 +114,13 @@ def _sliding(spark: SparkSession, sf: str, size: int, stride: int, closed: bool)
 
 @query(f"WITH {SM}, {_grid_sql(100, 50, '+ 1')}")
 def win08_sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of 100 samples every 50, up to the end."""
     return _sliding(spark, sf, 100, 50, True)
 
 
 @query(f"WITH {SM}, {_grid_sql(100, 20, '')}")
 def win09_sliding_windows_open_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows that end before the last sample."""
     return _sliding(spark, sf, 100, 20, False)
 
 
@@ -130,6 +137,7 @@ def win10_coverage_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{T} SELECT rec_id, t_ms // 3600 AS window_idx, count(*) AS n_beats, min(t_ms % 3600) AS first_at, max(t_ms % 3600) AS last_at FROM ev GROUP BY ALL")
 def win11_tumbling_windows_rebased(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows side by side, with times counted from their start."""
     at = F.expr("t_ms % 3600")
     return events(spark, sf).groupBy(REC, F.expr("t_ms div 3600").alias("window_idx")).agg(F.count("*").alias("n_beats"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
 
@@ -151,6 +159,7 @@ def windowed_hr(beats: DataFrame, size: int = 10000, stride: int = 5000) -> Data
 
 @query(f"{WHR} SELECT * FROM whr")
 def win12_windowed_hr(spark: SparkSession, sf: str) -> DataFrame:
+    """Heart rate of windows of 10 s every 5 s."""
     return windowed_hr(events(spark, sf))
 
 
@@ -220,6 +229,7 @@ def win17_fir_derivatives(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SM}, x AS (SELECT *, lag(v) OVER {O}) AS a, lead(v) OVER {O}) AS b FROM sm) SELECT rec_id, idx, v FROM x WHERE v > a AND v > b")
 def win18_local_maxima(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples over both neighbours."""
     x = samples(spark, sf).withColumn("a", F.lag("v").over(W.by("idx"))).withColumn("b", F.lead("v").over(W.by("idx")))
     return x.where("v > a and v > b").select(REC, "idx", "v")
 
@@ -233,6 +243,7 @@ def win20_src07_cumulative_clock(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {FS}, x AS (SELECT *, (v > 0)::INT - lag((v > 0)::INT) OVER (PARTITION BY rec_id ORDER BY idx) AS d FROM fs) SELECT rec_id, idx::BIGINT AS idx FROM x WHERE d > 0")
 def win21_rising_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Places at which a mark goes on."""
     on = (F.col("v") > 0).cast("int")
     return frame_samples(spark, sf).withColumn("d", on - F.lag(on).over(W.by("idx"))).where("d > 0").select(REC, "idx")
 
@@ -253,6 +264,7 @@ def win23_double_median_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {FS}, s0 AS (SELECT rec_id, idx, v, 64 AS n FROM fs), {MIR.format(n='m1', v=MED, s='s0', k=2)} SELECT rec_id, at_::BIGINT AS idx, round(y, 6) AS v FROM m1 WHERE at_ BETWEEN 0 AND n - 1")
 def win24_despike_median(spark: SparkSession, sf: str) -> DataFrame:
+    """Running median of five with mirrored edges."""
     return W.median_filter(frame_samples(spark, sf).select(REC, "idx", "v"), 5).select(REC, "idx", F.round("v", 6).alias("v"))
 
 
@@ -271,16 +283,19 @@ def _holes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{NUL}, {AROUND} SELECT rec_id, idx, coalesce(v, line, bv, av, 0) / 100 AS v FROM l")
 def fill01_flt01_linear_interpolation(spark: SparkSession, sf: str) -> DataFrame:
+    """Invalid samples on the line between valid ones, held at the ends."""
     return fills.interpolate(_holes(spark, sf), empty=0.0).select(REC, "idx", (F.col("v") / 100).alias("v"))
 
 
 @query(f"{NUL}, {AROUND} SELECT rec_id, idx, coalesce(v, CASE WHEN idx - bi <= 10 THEN coalesce(line, bv) END, av, bv) / 100 AS v FROM l")
 def fill02_src05_interpolate_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """At most ten of each gap on the line, the rest from the next valid sample."""
     return fills.interpolate_limited(_holes(spark, sf), 10).select(REC, "idx", (F.col("v") / 100).alias("v"))
 
 
 @query(f"{NUL}, {AROUND} SELECT rec_id, idx, coalesce(v, line, bv, av) / 100 AS v FROM l WHERE v IS NULL")
 def fill03_interpolate_both_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """What was invalid, filled from both sides."""
     holes = _holes(spark, sf).withColumn("was", F.col("v"))
     return fills.interpolate(holes).where("was is null").select(REC, "idx", (F.col("v") / 100).alias("v"))
 
@@ -297,6 +312,7 @@ def fill04_fill08_resample_linear_grid(spark: SparkSession, sf: str) -> DataFram
 
 @query(f"WITH {SM} SELECT rec_id, idx, (1704067200000 + trunc(idx * 1000.0 / 256))::BIGINT AS ts_ms FROM sm")
 def fill07_prj10_regenerated_timestamps(spark: SparkSession, sf: str) -> DataFrame:
+    """Times of samples at a fixed rate, cut to whole milliseconds."""
     return samples(spark, sf).select(REC, "idx", (F.lit(1704067200000) + (F.col("idx") * 1000.0 / 256)).cast("long").alias("ts_ms"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Digits of the columns of reports; others go as they are.
@@ -49,6 +49,16 @@ def write_parquet(df: DataFrame, path: str, by: str = "rec_id") -> None:
     df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def write_shards(records: DataFrame, path: str, rows: int = 1000) -> None:
+    """Training records, arrays as they are, in Parquet files of at most so many rows each."""
+    records.write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """file, n_rows of every file that was written there."""
+    return spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n_rows"))
+
+
 def write_intervals(beats: DataFrame, path: str) -> None:
     """Intervals in seconds to five digits, one a line, in a folder for each recording."""
     lines = beats.where("rr_ms is not null").select("rec_id", "t_ms", F.format_string("%.5f", F.col("rr_ms") / 1000).alias("value"))

@@ -330,3 +330,19 @@ def test_thinning_by_runs_is_the_fold(spark):
                 want.add((r, t))
                 last = t
     assert {tuple(x) for x in consensus.thin(spark.createDataFrame(rows, "rec_id long, t_ms long"), 200).collect()} == want
+
+
+def test_table_function(spark):
+    x, at = beats(seconds=10)
+    D.register_functions(spark)
+    spark.createDataFrame([(1, 250.0, x.tolist()), (2, 250.0, None)], "rec_id long, fs double, x array<double>").createOrReplaceTempView("signals_")
+    got = [r.peak_idx for r in spark.sql("SELECT rec_id, peak_idx FROM signals_, LATERAL detect_beats(fs, x, 'pan_tompkins_full') ORDER BY peak_idx").collect()]
+    assert got == D.pan_tompkins_full(x[None, :], 250.0)[0]
+
+
+def test_shards_and_manifest(spark, tmp_path):
+    from pulsemill.sources import sinks
+
+    df = spark.range(25).selectExpr("id as rec_id", "array(1.0D, 2.0D) as x").coalesce(1)
+    sinks.write_shards(df, str(tmp_path / "s"), 10)
+    assert sorted(r.n_rows for r in sinks.manifest(spark, str(tmp_path / "s")).collect()) == [5, 10, 10]

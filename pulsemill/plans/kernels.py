@@ -68,6 +68,29 @@ def _taps_sql(up: int, down: int) -> str:
     return _listed([f"tp AS (SELECT {listed} AS t)", f"rs AS (SELECT rec_id, list_transform(range({n}), lambda j: {row}) AS x FROM fr, tp)"], "rs")
 
 
+def _spectrum_sql(gain: list[float], value: str, n: int = N, scale: float = 1 / N, centred: bool = False) -> str:
+    """Fourier sums of a frame, times a gain for each frequency, and the sums back at n places: a is real, b imaginary."""
+    angle = lambda i, of: f"2 * pi() * k * {i} / {of}"
+    v = "v - avg(v) OVER (PARTITION BY rec_id)" if centred else "v"
+    return f"""WITH {FR}, g AS (SELECT unnest(range({len(gain)})) AS k, unnest([{", ".join(f"{float(x)!r}::DOUBLE" for x in gain)}]) AS g), fs AS (SELECT rec_id, i, {v} AS v FROM (SELECT rec_id, unnest(range({N})) AS i, unnest(x) AS v FROM fr)),
+ft AS (SELECT rec_id, k, any_value(g) * sum(v * cos({angle("i", N)})) AS re, -any_value(g) * sum(v * sin({angle("i", N)})) AS im FROM fs, g GROUP BY ALL),
+bk AS (SELECT rec_id, j, {scale!r}::DOUBLE * sum(re * cos({angle("j", n)}) - im * sin({angle("j", n)})) AS a, {scale!r}::DOUBLE * sum(re * sin({angle("j", n)}) + im * cos({angle("j", n)})) AS b FROM ft, range({n}) t(j) GROUP BY ALL)
+SELECT rec_id, j::BIGINT AS idx, round({value}, 6) + 0.0::DOUBLE AS v FROM bk"""
+
+
+def _stationary_sql(level: int) -> str:
+    """Detail of one level of the undecimated transform: sums of taps over places that wrap around."""
+    low = np.array(fl.DB3[::-1])
+    high = low[::-1] * np.where(np.arange(len(low)) % 2, -1, 1)
+    tables, last = [], "fr"
+    for i in range(level):
+        taps = high if i == level - 1 else low
+        row = " + ".join(f"{float(c)!r}::DOUBLE * x[(n + {k << i}) % {N} + 1]" for k, c in enumerate(taps))
+        tables.append(f"w{i} AS (SELECT rec_id, list_transform(range({N}), lambda n: ({row}) / sqrt(2)) AS x FROM {last})")
+        last = f"w{i}"
+    return _listed(tables, last)
+
+
 def _filter(name: str, kernel, sql: str | None = None):
     def f(spark: SparkSession, sf: str) -> DataFrame:
         return _values(D.filtered(_frames(spark, sf), kernel))
@@ -84,12 +107,12 @@ _filter("sig04_ecg_filter", D.ecg_filter(0.5, 20.0, 10.0), _chain(fl.butter(2, 0
 _filter("sig05_ppg_filter", D.ppg_filter())
 _filter("sig05_ppg_filter_robust", D.ppg_filter(**D.ROBUST_PPG))
 _filter("sig07_causal_filter", lambda x, fs: fl.run(fl.butter(2, 5, 15, fs), x), _listed([_cascade("fr", "y", fl.butter(2, 5, 15, RATE))], "y"))
-_filter("sig08_envelope", lambda x, fs: fl.envelope(x - x.mean(axis=1, keepdims=True)))
-_filter("sig13_morlet_band", lambda x, fs: fl.morlet_band(x, fs, 0.5, 20.0))
+_filter("sig08_envelope", lambda x, fs: fl.envelope(x - x.mean(axis=1, keepdims=True)), _spectrum_sql([1.0] + [2.0] * 31 + [1.0] + [0.0] * 31, "sqrt(a * a + b * b)", centred=True))
+_filter("sig13_morlet_band", lambda x, fs: fl.morlet_band(x, fs, 0.5, 20.0), _spectrum_sql(fl.morlet_gain(N, RATE, 0.5, 20.0).tolist(), "a"))
 _filter("sig14_wavelet_denoise", lambda x, fs: fl.denoise(x))
-_filter("sig15_stationary_wavelet", lambda x, fs: fl.stationary_details(x, fl.DB3, 3)[2])
+_filter("sig15_stationary_wavelet", lambda x, fs: fl.stationary_details(x, fl.DB3, 3)[2], _stationary_sql(3))
 _filter("fill05_polyphase_resample", lambda x, fs: fl.resample_ratio(x, 3, 2), _taps_sql(3, 2))
-_filter("fill06_fft_resample", lambda x, fs: fl.resample_fft(x, x.shape[1] // 2))
+_filter("fill06_fft_resample", lambda x, fs: fl.resample_fft(x, x.shape[1] // 2), _spectrum_sql([1.0] + [2.0] * 15 + [2.0], "a", n=N // 2))
 _filter("pre02_resample_then_filter", D.resampled(D.ppg_filter(), 100.0))
 
 

@@ -240,10 +240,13 @@ def test_battery_levels():
 
 
 def test_redaction_keeps_columns(spark):
-    df = spark.createDataFrame([(d, t, "en", len(t or "")) for d, t in SECRETS], "doc_id long, text string, spans string, n_chars long")
+    df = spark.createDataFrame([(d, t, str(i), len(t or "")) for i, (d, t) in enumerate(SECRETS)], "doc_id long, text string, spans string, n_chars long")
     got = secrets.redact(df)
     assert got.schema == df.schema
-    for r, (d, t) in zip(got.collect(), SECRETS):
+    found = {int(r.spans): r for r in got.collect()}
+    assert len(found) == len(SECRETS)
+    for i, (d, t) in enumerate(SECRETS):
+        r = found[i]
         assert r.doc_id == d and (r.text == t if not base(t or "") else "[SECRET]" in r.text and r.n_chars == len(r.text))
 
 

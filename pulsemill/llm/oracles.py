@@ -26,6 +26,19 @@ SELECT doc_id, n AS n_bytes, coalesce(list_sum(list_transform(sp, lambda z: z.b
 FROM n LEFT JOIN o USING (doc_id)"""
 
 
+OP11 = r"""WITH w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS a FROM (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase
+  FROM w, range(1, 5) AS s(size) WHERE len(w) >= size) GROUP BY ALL HAVING count(*) >= 30),
+p AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+e AS (SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS tail FROM p, range(1, 4) AS t(k) WHERE k < size),
+c AS (SELECT e.*, x.a AS l, y.a AS r, (2000000::HUGEINT * e.a) // (x.a + y.a) AS score FROM e JOIN f x ON x.lang = e.lang AND x.phrase = e.head JOIN f y ON y.lang = e.lang AND y.phrase = e.tail),
+s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (SELECT lang, array_to_string(w[i : i + z - 1], ' ') AS phrase, max(a) AS longer FROM p, range(2, 4) AS t(z), range(1, 4) AS u(i) WHERE z < size AND i + z - 1 <= size GROUP BY ALL),
+r AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank FROM s LEFT JOIN h ON h.lang = s.lang AND h.phrase = s.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT r.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM r JOIN n USING (lang) WHERE rank <= 2000"""
+
 OP12 = r"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
 g AS (SELECT DISTINCT lang, source FROM d),
 t AS (SELECT k, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
@@ -49,4 +62,6 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2, "op4_exact_top_k": OP4, "op9_suffix_array_dedup": OP9, "op12_source_divergence": OP12, "op13_line_dedup": OP13}
+    return {
+        "op2_substring_dedup": OP2, "op4_exact_top_k": OP4, "op9_suffix_array_dedup": OP9, "op11_phrase_collocations": OP11, "op12_source_divergence": OP12, "op13_line_dedup": OP13,
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, knn, lines, pieces, quality, secrets, simhash, substrings, suffixes, tokencounts
+from . import chat, collocations, decontaminate, divergence, knn, lines, pieces, quality, secrets, simhash, substrings, suffixes, tokencounts
 from .common import small_batches, table
 
 
@@ -90,6 +90,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return divergence.source_divergence(table(spark, sf_dir, "documents"))

@@ -52,6 +52,20 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("v"), F.round(F.col("l_extendedprice") * 100).alias("c"), F.col("l_quantity").alias("q"), "l_orderkey", "l_partkey")
 
 
+#: Signals of 20 samples a second: prices as they are, smoothed, or added up, by turns of 150 samples.
+SIGNAL_FS = 20.0
+SG = f"""{SM}, sg AS (SELECT rec_id, idx, CASE (rec_id + idx // 150) % 3 WHEN 0 THEN c WHEN 1 THEN sum(c) OVER (PARTITION BY rec_id ORDER BY idx ROWS 3 PRECEDING) / 4
+  ELSE sum(c) OVER (PARTITION BY rec_id ORDER BY idx) END / 100 AS v FROM sm)"""
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_id, idx, v."""
+    w = Window.partitionBy("rec_id").orderBy("idx")
+    turn = F.expr("(rec_id + idx div 150) % 3")
+    v = F.when(turn == 0, F.col("c")).when(turn == 1, F.sum("c").over(w.rowsBetween(-3, 0)) / 4).otherwise(F.sum("c").over(w))
+    return samples(spark, sf_dir).select("rec_id", "idx", (v / 100).alias("v"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec_id, label, x: arrays of 64 samples."""
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("rec_id"), "label", F.col("embedding").cast("array<double>").alias("x"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import consensus as C, features as P, joins as J, windows as W
 from .bindings import EV, FS, events, frame_samples, peaks
+from .quality import WSQI, signal_quality
 from .registry import query
-from .sequences import WHR, windowed_hr
 
 REC = "rec_id"
 SIGMA = 5.0
@@ -37,15 +37,15 @@ def con02_weighted_consensus_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return C.local_peaks(C.density(_detections(spark, sf), f, SIGMA), 0.4).select(REC, "t", F.round("density", 6).alias("density"))
 
 
-GATE = f"""{WHR}, w AS (SELECT rec_id, start_ms + 5000 AS mid, n_peaks >= 5 AS usable FROM whr), gt AS (SELECT e.rec_id, e.t_ms, e.event_type, coalesce(bool_or(w.usable), false) AS ensemble FROM ev e LEFT JOIN w ON w.rec_id = e.rec_id AND e.t_ms >= w.mid - 2500 AND e.t_ms < w.mid + 2500 GROUP BY e.rec_id, e.peak_id, e.t_ms, e.event_type),
+GATE = f"""WITH {EV}, {WSQI}, gt AS (SELECT e.rec_id, e.t_ms, e.event_type, coalesce(bool_or(w.is_usable), false) AS ensemble FROM ev e LEFT JOIN wq w ON w.rec_id = e.rec_id AND e.t_ms >= window_idx * 5000 + 2500 AND e.t_ms < window_idx * 5000 + 7500 GROUP BY e.rec_id, e.peak_id, e.t_ms, e.event_type),
 u AS (SELECT DISTINCT rec_id, t_ms FROM gt WHERE event_type = CASE WHEN ensemble THEN 'click' ELSE 'view' END)"""
 
 
 @query(f"""WITH RECURSIVE {GATE.removeprefix('WITH ')}, o AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY t_ms) AS k FROM u), r AS (SELECT rec_id, k, t_ms, t_ms AS last, true AS keep FROM o WHERE k = 1
  UNION ALL SELECT o.rec_id, o.k, o.t_ms, CASE WHEN o.t_ms - r.last > 200 THEN o.t_ms ELSE r.last END, o.t_ms - r.last > 200 FROM r JOIN o ON o.rec_id = r.rec_id AND o.k = r.k + 1) SELECT rec_id, t_ms FROM r WHERE keep""")
 def con03_pk02_det19_gated_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Beats of one detector in good windows and of another elsewhere, thinned to one in 200 ms."""
-    w = windowed_hr(events(spark, sf)).select(REC, F.expr("(start_ms + 2500) div 5000").alias("slot"), (F.col("n_peaks") >= 5).alias("usable"))
+    """Beats of one detector within 2.5 s of the middle of a window of usable signal and of another elsewhere, thinned to one in 200 ms."""
+    w = signal_quality(spark, sf).select(REC, F.col("window_idx").alias("slot"), F.col("is_usable").alias("usable"))
     ev = events(spark, sf).withColumn("slot", F.expr("case when t_ms < 2500 then -1 else (t_ms - 2500) div 5000 end"))
     ens = F.coalesce("usable", F.lit(False))
     own = ev.join(w, [REC, "slot"], "left").where(F.col("event_type") == F.when(ens, "click").otherwise("view"))
@@ -118,15 +118,17 @@ def fea01_pulse_arrival_time(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {EV}, v AS (SELECT * FROM ev WHERE event_type = 'view'), p AS (SELECT * FROM ev WHERE event_type = 'purchase'), n AS (SELECT v.rec_id, v.peak_id, v.t_ms, v.value, max(p.t_ms) FILTER (p.t_ms <= v.t_ms) AS d, min(p.t_ms) AS f, count(p.t_ms) FILTER (p.t_ms <= v.t_ms) AS k FROM v JOIN p USING (rec_id) GROUP BY ALL)
-SELECT rec_id, k AS dose_no, count(*) AS beats, round(min((t_ms - coalesce(d, f)) / 1000.0), 3) AS first_s, round(max((t_ms - coalesce(d, f)) / 1000.0), 3) AS last_s, round(avg(value), 4) AS mean FROM n GROUP BY ALL""")
+SELECT rec_id, k AS dose_no, count(*) AS beats, round(min((t_ms - coalesce(d, f)) / 1000.0), 3) AS first_s, round(max((t_ms - coalesce(d, f)) / 1000.0), 3) AS last_s,
+ ((200 * sum(round(value * 100)::BIGINT) + count(*)) // (2 * count(*))) / 10000.0 AS mean FROM n GROUP BY ALL""")
 def fea06_snk05_by_medication(spark: SparkSession, sf: str) -> DataFrame:
-    """Beats summed up by the dose that they follow."""
+    """Beats summed up by the dose that they follow; means of whole cents, rounded as whole numbers, are the same in any order."""
     doses = peaks(spark, sf, "purchase").withColumn("k", F.row_number().over(W.by("t_ms", "peak_id")))
     first = doses.groupBy(REC).agg(F.min("t_ms").alias("f"))
     # of doses at one time the last in order has the highest number
     got = J.last_before(peaks(spark, sf, "view").select(REC, "peak_id", "t_ms", "value"), doses, {"t_ms": "d", "k": "k"}).join(first, REC)
     since = (F.col("t_ms") - F.coalesce("d", "f")) / 1000
-    return got.groupBy(REC, F.coalesce("k", F.lit(0)).cast("long").alias("dose_no")).agg(F.count("*").alias("beats"), F.round(F.min(since), 3).alias("first_s"), F.round(F.max(since), 3).alias("last_s"), F.round(F.avg("value"), 4).alias("mean"))
+    mean = F.expr("(200 * sum(cast(round(value * 100) AS bigint)) + count(*)) div (2 * count(*)) / 10000")
+    return got.groupBy(REC, F.coalesce("k", F.lit(0)).cast("long").alias("dose_no")).agg(F.count("*").alias("beats"), F.round(F.min(since), 3).alias("first_s"), F.round(F.max(since), 3).alias("last_s"), mean.alias("mean"))
 
 
 @query(f"""WITH {FS}, p AS (SELECT rec_id, idx AS p FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM fs WINDOW w AS (PARTITION BY rec_id ORDER BY idx)) WHERE v > a AND v > b AND v > 0.15), d AS (SELECT fs.rec_id, idx, coalesce(min(abs(idx - p)), 64) AS d FROM fs LEFT JOIN p USING (rec_id) GROUP BY ALL)

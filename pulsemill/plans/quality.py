@@ -7,9 +7,9 @@ from math import pi
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import joins as J, quality as Q, spectral as S, sync as Y, windows as W
+from ..operators import joins as J, quality as Q, spectral as S, sync as Y, windowed as D, windows as W
 from .aggregates import BINS, MOM, histogram_entropy
-from .bindings import EV, FR, FS, LONG_EV, SM, frame_samples, frames, long_events, samples
+from .bindings import EV, FR, FS, LONG_EV, SG, SIGNAL_FS, SM, events, frame_samples, frames, long_events, samples, signals
 from .registry import query
 from .sequences import CLEAN, clean_rr, intervals
 
@@ -88,6 +88,39 @@ def sqi02_sqi03_sqi04_composite_quality(spark: SparkSession, sf: str) -> DataFra
     return s.select(REC, F.col("nk").alias("nk_sqi"), F.round("score", 4).alias("score"), "quality_label", (F.col("quality_label") != "poor").alias("is_usable"))
 
 
+#: Quality of windows of 200 samples every 100, with spectra of 40 samples every 20.
+WSQI = f"""{SG}, sw AS (SELECT rec_id, unnest(range(0, (max(idx) + 1 - 200) // 100 + 1)) AS window_idx FROM sg GROUP BY rec_id HAVING max(idx) + 1 >= 200),
+ss AS (SELECT sw.rec_id, window_idx, j, idx - window_idx * 100 - j * 20 AS i, v FROM sw, range(9) t(j) JOIN sg ON sg.rec_id = sw.rec_id AND idx >= window_idx * 100 + j * 20 AND idx < window_idx * 100 + j * 20 + 40),
+sy AS (SELECT *, (v - avg(v) OVER (PARTITION BY rec_id, window_idx, j)) * (0.5 - 0.5 * cos(2 * pi() * i / 40)) AS y FROM ss), sf AS (SELECT rec_id, window_idx, j, k, sum(y * cos(2 * pi() * i * k / 40)) AS re, sum(y * sin(2 * pi() * i * k / 40)) AS im FROM sy, range(1, 21) f(k) GROUP BY ALL),
+sp AS (SELECT rec_id, window_idx, k, avg(CASE WHEN k = 20 THEN 1 ELSE 2 END * (re * re + im * im) / (20.0 * (SELECT sum(pow(0.5 - 0.5 * cos(2 * pi() * i / 40), 2)) FROM range(40) u(i)))) AS p FROM sf GROUP BY ALL),
+sb AS (SELECT rec_id, window_idx, sum(t) AS total, sum(t) FILTER (k > 10) AS qrs, sum(t) FILTER (k < 10) AS noise FROM (SELECT *, (p + lag(p) OVER (PARTITION BY rec_id, window_idx ORDER BY k)) / 4 AS t FROM sp) GROUP BY ALL),
+sm2 AS (SELECT rec_id, window_idx, sum(d * d) / 200 AS m2, sum(d * d * d) / 200 AS m3, sum(d * d * d * d) / 200 AS m4 FROM (SELECT sw.rec_id, window_idx, v - avg(v) OVER (PARTITION BY sw.rec_id, window_idx) AS d FROM sw JOIN sg ON sg.rec_id = sw.rec_id AND idx >= window_idx * 100 AND idx < window_idx * 100 + 200) GROUP BY ALL),
+se AS (SELECT rec_id, window_idx, CASE WHEN total > 0 THEN qrs / total ELSE 0 END AS ratio, CASE WHEN noise > 0 THEN 10 * log10(qrs / noise) ELSE 0 END AS snr, CASE WHEN m2 > 0 THEN m4 / (m2 * m2) - 3 END AS kurt, CASE WHEN m2 > 0 THEN m3 / pow(m2, 1.5) END AS skew FROM sb JOIN sm2 USING (rec_id, window_idx)),
+sn AS (SELECT *, CASE WHEN kurt > 8 THEN 0.1 WHEN kurt > 5 THEN 0.4 WHEN kurt > 3 THEN 0.7 ELSE 0.9 END AS nk FROM se),
+sc AS (SELECT *, round((CASE WHEN ratio >= 0.25 THEN 0.4 WHEN ratio >= 0.15 THEN 0.25 WHEN ratio > 0.1 THEN 0.1 ELSE 0 END) + (CASE WHEN snr > 0 THEN 0.2 WHEN snr > -5 THEN 0.15 WHEN snr > -10 THEN 0.05 ELSE 0 END) + (CASE WHEN kurt > 2.5 AND kurt < 8 THEN 0.2 WHEN kurt > 1.5 AND kurt < 12 THEN 0.1 ELSE 0 END) + (CASE WHEN nk > 0.7 THEN 0.2 WHEN nk > 0.4 THEN 0.1 WHEN nk > 0.2 THEN 0.05 ELSE 0 END), 4)::DOUBLE AS score FROM sn),
+wq AS (SELECT *, CASE WHEN score >= 0.65 THEN 'good' WHEN score >= 0.35 THEN 'mediocre' ELSE 'poor' END AS quality_label, score >= 0.35 AS is_usable FROM sc)"""
+
+
+def signal_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return D.window_sqi(signals(spark, sf), SIGNAL_FS)
+
+
+@query(f"""WITH {WSQI} SELECT rec_id, window_idx, window_idx * 100 AS start_sample, window_idx * 100 + 200 AS end_sample, window_idx * 5000 AS start_ms, window_idx * 5000 + 9950 AS end_ms, window_idx * 5000 + 5000 AS center_ms, round(ratio, 6) AS qrs_energy_ratio, round(snr, 5) AS snr_db, round(kurt, 6) AS kurtosis, round(skew, 6) AS skewness, nk::DOUBLE AS nk_sqi, score, quality_label, is_usable FROM wq""")
+def sqi04_windowed_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of windows of 10 s every 5 s of whole recordings."""
+    digits = {"qrs_energy_ratio": 6, "snr_db": 5, "kurtosis": 6, "skewness": 6, "score": 4}
+    return signal_quality(spark, sf).withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+@query(f"""WITH {EV}, {WSQI}, bt AS (SELECT rec_id, t_ms, lead(t_ms) OVER (PARTITION BY rec_id ORDER BY t_ms, peak_id) AS nx FROM ev),
+bh AS (SELECT w.rec_id, window_idx, count(*) AS n_peaks, median(60000.0 / (nx - t_ms)) FILTER (nx < window_idx * 5000 + 10000 AND nx - t_ms > 240 AND nx - t_ms < 2000) AS hr FROM wq w JOIN bt b ON b.rec_id = w.rec_id AND t_ms >= window_idx * 5000 AND t_ms < window_idx * 5000 + 10000 WHERE is_usable GROUP BY ALL)
+SELECT rec_id, window_idx, window_idx * 5000 AS start_ms, quality_label, is_usable, coalesce(n_peaks, 0) AS n_peaks, round(coalesce(hr, 0), 4)::DOUBLE AS hr_bpm FROM wq LEFT JOIN bh USING (rec_id, window_idx)""")
+def sqi_gated_windowed_hr(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship plan: signal quality of every window, and beats and median rate of those of usable quality."""
+    got = D.gated_windows(signal_quality(spark, sf), events(spark, sf), SIGNAL_FS)
+    return got.select(REC, "window_idx", "start_ms", "quality_label", "is_usable", "n_peaks", F.round("hr_bpm", 4).alias("hr_bpm"))
+
+
 @query(f"""WITH {SM}, g AS (SELECT rec_id, unnest(range(0, max(idx) + 1 - 100, 50)) AS s FROM sm GROUP BY rec_id), p AS (SELECT rec_id, avg(v) AS a, max(v) AS b FROM sm GROUP BY rec_id), n AS (SELECT sm.rec_id, idx, (v - a) / b AS v FROM sm JOIN p USING (rec_id)),
 m AS (SELECT g.rec_id, s // 50 AS window_idx, {MOM} FROM g JOIN n ON n.rec_id = g.rec_id AND idx >= s AND idx < s + 100 GROUP BY ALL), k AS (SELECT rec_id, window_idx, (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * pow(m1, 4)) / pow(m2 - m1 * m1, 2) - 3 AS k FROM m)
 SELECT rec_id, window_idx, (CASE WHEN k > 8 THEN 0.1 WHEN k > 5 THEN 0.4 WHEN k > 3 THEN 0.7 ELSE 1.0 END)::DOUBLE AS stepped, round(greatest(0.1, least(1.0, 1 - (k - 2) / 10)), 5)::DOUBLE AS linear FROM k""")

@@ -326,10 +326,3 @@ def set02_src11_stitch_with_gap_rows(spark: SparkSession, sf: str) -> DataFrame:
     step = F.lit(500).cast("long")
     gaps = _rr(spark, sf).where(guard.cast("long") > 1000).select(REC, F.explode(F.sequence(F.col("t_ms") + step, F.col("nx") - 1, step)).alias("t_ms"), F.lit(None).cast("double").alias("v"), F.lit(True).alias("gap"))
     return rows.unionByName(gaps)
-
-
-@query(f"""{WHR} SELECT rec_id, window_idx, start_ms, n_peaks, hr_bpm, CASE WHEN n_peaks >= 8 THEN 'good' WHEN n_peaks >= 4 THEN 'mediocre' ELSE 'poor' END AS quality_label, n_peaks >= 4 AS is_usable FROM whr""")
-def sqi_gated_windowed_hr(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship plan: heart rate of every window, and whether its beats suffice to use it."""
-    label = F.when(F.col("n_peaks") >= 8, "good").when(F.col("n_peaks") >= 4, "mediocre").otherwise("poor")
-    return windowed_hr(events(spark, sf)).withColumn("quality_label", label).withColumn("is_usable", F.col("n_peaks") >= 4)

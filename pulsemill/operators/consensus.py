@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import folds, scan
 from .spectral import KEY, gaussian_density
 from .windows import by
 
@@ -32,25 +33,14 @@ def local_peaks(density: DataFrame, height: float) -> DataFrame:
     return near.where((F.col("density") > F.col("_a")) & (F.col("density") >= F.col("_b")) & (F.col("density") >= height)).drop("_a", "_b")
 
 
-def thinned(times: Column, gap: int, inclusive: bool = False) -> Column:
-    """Of a sorted array those at least (inclusive) or more than `gap` after the last one kept."""
-
-    def step(acc: Column, t: Column) -> Column:
-        far = t - F.element_at(acc, -1)
-        return F.when((F.size(acc) == 0) | (far >= gap if inclusive else far > gap), F.concat(acc, F.array(t))).otherwise(acc)
-
-    return F.aggregate(times, F.array().cast("array<bigint>"), step)
-
-
-def thin(peaks: DataFrame, gap: int) -> DataFrame:
+def thin(peaks: DataFrame, gap: int, width: float = scan.RANGE_MS) -> DataFrame:
     """rec_id, t_ms: of each recording's distinct peaks those more than `gap` after the last one kept.
 
-    A peak more than `gap` after the one before it is kept whatever was kept earlier, so each run of closer peaks is folded
-    alone, and no array holds more than a run.
+    A peak more than `gap` after the one before it is kept whatever was kept earlier, so a recording falls into runs of closer
+    peaks, found range by range; each run is folded by itself, with the last kept time as its state.
     """
-    w = by("t_ms")
-    times = peaks.select(KEY, "t_ms").distinct()
-    apart = F.col("t_ms") - F.lag("t_ms").over(w) > gap
-    runs = times.withColumn("_first", F.coalesce(apart, F.lit(True)).cast("long")).withColumn("_run", F.sum("_first").over(w))
-    held = runs.groupBy(KEY, "_run").agg(F.array_sort(F.collect_list("t_ms")).alias("_ts"))
-    return held.select(KEY, F.explode(thinned(F.col("_ts"), gap)).alias("t_ms"))
+    at = scan.every("t_ms", width)
+    times = scan.previous(peaks.select(KEY, "t_ms").distinct(), ["t_ms"], at, {"_last": F.col("t_ms")})
+    far = F.coalesce(F.col("t_ms") - F.col("_last") > gap, F.lit(True))
+    runs = scan.running(times, ["t_ms"], at, {"_run": far.cast("long")}).drop("_last")
+    return folds.fold(runs, [KEY, "_run"], ["t_ms"], "t_ms", folds.apart(gap)).drop("_run")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import folds, scan
 from .windows import KEY, by
 
 
@@ -47,30 +48,21 @@ def half_width(inside: DataFrame) -> DataFrame:
     return c.select(KEY, F.when((F.col("amp") > 0) & (width > 0), width).alias("pw50"))
 
 
-def accepted_delays(delays: Column, keep: int = 10, least: int = 3, most: float = 20.0) -> Column:
-    """Of an array of struct(peak_id, pat) in order, those accepted: once `least` are, a delay more than `most` from the mean
-    of the last `keep` accepted ones is not."""
-
-    def step(acc: Column, x: Column) -> Column:
-        recent = F.slice(acc, F.greatest(F.lit(1), F.size(acc) - keep + 1), keep)
-        mean = F.aggregate(recent, F.lit(0.0), lambda s, y: s + y["pat"]) / F.size(recent)
-        bad = (F.size(acc) >= least) & (F.abs(x["pat"] - mean) > most)
-        return F.when(bad, acc).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(delays, F.slice(delays, 1, 0), step)
+def accepted_delays(delays: DataFrame, order: list[str], keep: int = 10, least: int = 3, most: float = 20.0) -> DataFrame:
+    """Of delays(rec_id, pat, ...) those accepted, in the order of the columns `order`: once `least` are, a delay more than `most` from
+    the mean of the last `keep` accepted ones is not."""
+    return folds.fold(delays, [KEY], order, "pat", folds.steady(keep, least, most))
 
 
 def onsets(samples: DataFrame, crests: DataFrame, back: int) -> DataFrame:
     """rec_id, peak, onset for crests(rec_id, peak) of samples(rec_id, idx, v): the place of the least sample, of equal ones the
     first, from the peak before, or from `back` samples before the first peak. A peak with no sample before it has none.
 
-    A sample belongs to the first peak after it, found in one sort of both by recording.
+    A sample belongs to the first peak after it, found in one sort of both, range by range of a recording.
     """
-    w = by("_at", "_side")
     both = samples.select(KEY, F.col("idx").alias("_at"), F.lit(1).alias("_side"), F.col("v").alias("_v")).unionByName(crests.select(KEY, F.col("peak").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("double").alias("_v")))
-    mark = F.when(F.col("_side") == 0, F.col("_at"))
-    after = F.first(mark, True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    before = F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = both.withColumn("peak", after).withColumn("_before", before).where("_side = 1 and peak is not null")
+    mark, order, at = F.when(F.col("_side") == 0, F.col("_at")), ["_at", "_side"], scan.every("_at", scan.RANGE_SAMPLES)
+    # a sample at a peak's own place comes after its mark, and so belongs to the next one
+    rows = scan.carried(scan.carried(both, order, at, {"_before": mark}), order, at, {"peak": mark}, forward=True).where("_side = 1 and peak is not null")
     rows = rows.where(F.col("_before").isNotNull() | (F.col("_at") >= F.col("peak") - back))
     return rows.groupBy(KEY, "peak").agg(F.min_by("_at", F.struct("_v", "_at")).alias("onset"))

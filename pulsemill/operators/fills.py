@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import KEY, by
+from . import scan
+from .windows import KEY
 
 
-def _around(df: DataFrame, x: str, v: str, order: tuple[str, ...] = ()) -> DataFrame:
+def _around(df: DataFrame, x: str, v: str, order: tuple[str, ...] = (), width: float = scan.RANGE_SAMPLES) -> DataFrame:
+    """df with _b and _a, the place and value of the last valid sample at or before a row and of the first at or after it."""
     own = F.when(F.col(v).isNotNull(), F.struct(F.col(x).alias("x"), F.col(v).alias("v")))
-    w = by(*(order or (x,)))
-    return df.withColumn("_b", F.last(own, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_a", F.first(own, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    order, at = list(order or (x,)), scan.every(x, width)
+    return scan.carried(scan.carried(df, order, at, {"_b": own}), order, at, {"_a": own}, forward=True)
 
 
 def _line(at: Column) -> Column:
@@ -19,10 +21,10 @@ def _line(at: Column) -> Column:
     return F.when(b["x"] == a["x"], b["v"]).otherwise(b["v"] + (a["v"] - b["v"]) * (at - b["x"]) / (a["x"] - b["x"]))
 
 
-def interpolate(df: DataFrame, x: str = "idx", v: str = "v", empty: float | None = None) -> DataFrame:
+def interpolate(df: DataFrame, x: str = "idx", v: str = "v", empty: float | None = None, width: float = scan.RANGE_SAMPLES) -> DataFrame:
     """Nulls on the line between their valid neighbours, constant beyond the ends; `empty` where none is valid."""
     filled = F.coalesce(F.col(v), _line(F.col(x)), F.col("_b")["v"], F.col("_a")["v"], F.lit(empty).cast("double"))
-    return _around(df, x, v).withColumn(v, filled).drop("_b", "_a")
+    return _around(df, x, v, width=width).withColumn(v, filled).drop("_b", "_a")
 
 
 def interpolate_limited(df: DataFrame, limit: int, x: str = "idx", v: str = "v") -> DataFrame:

@@ -2,14 +2,16 @@
 
 Range joins are equi-joins on the recording and a time bucket: the side with the interval is repeated for the buckets
 that it touches, so that no plan compares all pairs of a recording. As-of joins are one sort of the union of both
-sides. Peaks are (rec_id, peak_id, t_ms); ties on the clock go by peak_id.
+sides, range by range of the clock. Peaks are (rec_id, peak_id, t_ms); ties on the clock go by peak_id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+
 KEY = "rec_id"
 
 
@@ -30,34 +32,28 @@ def band_join(left: DataFrame, right: DataFrame, lo: str, hi: str, at: str, widt
     return named.join(hit, "_row", how).drop("_row")
 
 
-def last_before(rows: DataFrame, marks: DataFrame, out: dict[str, str], at: str = "t_ms", order: str = "peak_id", strict: bool = False) -> DataFrame:
+def last_before(rows: DataFrame, marks: DataFrame, out: dict[str, str], at: str = "t_ms", order: str = "peak_id", strict: bool = False, width: float = scan.RANGE_MS) -> DataFrame:
     """As-of, backward: rows with the columns of the latest mark at or before them (strict: before them).
 
-    out: mark column -> name of the new column. marks need rec_id, `at` and `order`.
+    out: mark column -> name of the new column. marks need rec_id, `at` and `order`. Tasks sort ranges of `width` of the clock.
     """
-    return _asof(rows, marks, out, at, order, False, strict)
+    return _asof(rows, marks, out, at, order, False, strict, width)
 
 
-def first_after(rows: DataFrame, marks: DataFrame, out: dict[str, str], at: str = "t_ms", order: str = "peak_id", strict: bool = False) -> DataFrame:
+def first_after(rows: DataFrame, marks: DataFrame, out: dict[str, str], at: str = "t_ms", order: str = "peak_id", strict: bool = False, width: float = scan.RANGE_MS) -> DataFrame:
     """As-of, forward: rows with the columns of the first mark at or after them (strict: after them)."""
-    return _asof(rows, marks, out, at, order, True, strict)
+    return _asof(rows, marks, out, at, order, True, strict, width)
 
 
-def _asof(rows: DataFrame, marks: DataFrame, out: dict[str, str], at: str, order: str, forward: bool, strict: bool) -> DataFrame:
+def _asof(rows: DataFrame, marks: DataFrame, out: dict[str, str], at: str, order: str, forward: bool, strict: bool, width: float) -> DataFrame:
     own = F.struct(*[F.col(c) for c in rows.columns])
     mark = F.struct(*[F.col(c).alias(n) for c, n in out.items()])
-    side = rows.select(KEY, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.col(order).cast("string").alias("_tie"), own.alias("_row"), F.lit(None).alias("_mark"), F.col(order).alias("_order"))
-    other = marks.select(KEY, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.lit("").alias("_tie"), F.lit(None).alias("_row"), mark.alias("_mark"), F.col(order).alias("_order"))
-    # at equal times marks come first where they count, last where the join is strict
-    tie = F.col("_side").desc() if strict else F.col("_side").asc()
-    if forward:
-        # sorted by falling time; of marks at one time the least in order is the nearest, so it comes last
-        by = Window.partitionBy(KEY).orderBy(F.col("_at").desc(), tie, F.col("_order").desc())
-    else:
-        by = Window.partitionBy(KEY).orderBy(F.col("_at").asc(), tie, F.col("_order").asc())
-    frame = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = side.unionByName(other).withColumn("_got", F.last("_mark", True).over(frame)).where("_side = 1")
-    return got.select("_row.*", "_got.*")
+    # at equal times a mark stands where the scan sees it, or, if the join is strict, where it doesn't
+    first = forward == strict
+    side = rows.select(KEY, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.col(order).alias("_order"), own.alias("_row"), F.lit(None).alias("_mark"))
+    other = marks.select(KEY, F.col(at).alias("_at"), F.lit(0 if first else 2).alias("_side"), F.col(order).alias("_order"), F.lit(None).alias("_row"), mark.alias("_mark"))
+    both = scan.carried(side.unionByName(other), ["_at", "_side", "_order"], scan.every("_at", width), {"_got": F.col("_mark")}, forward)
+    return both.where("_side = 1").select("_row.*", "_got.*")
 
 
 def nearest(rows: DataFrame, refs: DataFrame, out: dict[str, str], at: str = "t_ms", order: str = "peak_id") -> DataFrame:

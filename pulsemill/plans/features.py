@@ -112,9 +112,8 @@ def fea01_pulse_arrival_time(spark: SparkSession, sf: str) -> DataFrame:
     """Delay from each R peak to its first foot 100-400 ms later, without jumps off the last ten accepted ones."""
     beats = peaks(spark, sf, "view").select(REC, "peak_id", F.col("t_ms").alias("r_ms"), (F.col("t_ms") + 100).alias("t_ms"))
     a = J.first_after(beats, peaks(spark, sf, "click"), {"t_ms": "foot"}).where("foot <= r_ms + 400")
-    row = F.struct("r_ms", "peak_id", (F.col("foot") - F.col("r_ms")).cast("double").alias("pat"))
-    ordered = a.groupBy(REC).agg(F.array_sort(F.collect_list(row)).alias("xs"))
-    return ordered.select(REC, F.explode(P.accepted_delays(F.col("xs"))).alias("x")).select(REC, "x.peak_id", F.col("x.pat").alias("pat_ms"))
+    delays = a.select(REC, "r_ms", "peak_id", (F.col("foot") - F.col("r_ms")).cast("double").alias("pat"))
+    return P.accepted_delays(delays, ["r_ms", "peak_id"]).select(REC, "peak_id", F.col("pat").alias("pat_ms"))
 
 
 @query(f"""WITH {EV}, v AS (SELECT * FROM ev WHERE event_type = 'view'), p AS (SELECT * FROM ev WHERE event_type = 'purchase'), n AS (SELECT v.rec_id, v.peak_id, v.t_ms, v.value, max(p.t_ms) FILTER (p.t_ms <= v.t_ms) AS d, min(p.t_ms) AS f, count(p.t_ms) FILTER (p.t_ms <= v.t_ms) AS k FROM v JOIN p USING (rec_id) GROUP BY ALL)

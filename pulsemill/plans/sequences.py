@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import fills, windows as W
+from ..operators import fills, scan, windows as W
 from .bindings import EV, FS, SM, events, frame_samples, peaks, samples
 from .registry import query
 
@@ -237,8 +237,8 @@ def win18_local_maxima(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {SM} SELECT rec_id, idx, (1704067200000 + (sum((q * 1000)::BIGINT) OVER {O}) // 1000))::BIGINT AS ts_ms FROM sm")
 def win20_src07_cumulative_clock(spark: SparkSession, sf: str) -> DataFrame:
     """A clock from intervals in microseconds: start + floor(running sum / 1000)."""
-    us = F.sum((F.col("q") * 1000).cast("long")).over(W.by("idx"))
-    return samples(spark, sf).select(REC, "idx", (F.lit(1704067200000) + F.floor(us / 1000)).cast("long").alias("ts_ms"))
+    s = scan.running(samples(spark, sf), ["idx"], scan.every("idx", scan.RANGE_SAMPLES), {"us": (F.col("q") * 1000).cast("long")})
+    return s.select(REC, "idx", (F.lit(1704067200000) + F.floor(F.col("us") / 1000)).cast("long").alias("ts_ms"))
 
 
 @query(f"WITH {FS}, x AS (SELECT *, (v > 0)::INT - lag((v > 0)::INT) OVER (PARTITION BY rec_id ORDER BY idx) AS d FROM fs) SELECT rec_id, idx::BIGINT AS idx FROM x WHERE d > 0")

@@ -10,11 +10,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import fills
+from ..operators import fills, scan
 
 HEADER = 100
 #: Channel codes of a four-channel export, and words that name a channel in another.
@@ -85,7 +85,15 @@ def _number(i: int) -> Column:
 
 
 def _indexed(rows: DataFrame, *order: str) -> DataFrame:
-    return rows.withColumn("idx", (F.row_number().over(Window.partitionBy("rec_id").orderBy(*order)) - 1).cast("long"))
+    """rows of one recording with idx, their number in the order of `order`: of place, or of a time column and place. A task counts a
+    split of the file, or a span of time that holds about RANGE_SAMPLES rows."""
+    if order[0] == "place":
+        at = F.col("place.split")
+    else:
+        n, lo, hi = rows.agg(F.count("*"), F.min(order[0]), F.max(order[0])).first()
+        width = float(hi - lo) / max(1, n // scan.RANGE_SAMPLES) if n else 0.0
+        at = F.floor((F.col(order[0]) - lo) / width) if width else F.lit(0)
+    return scan.running(rows, list(order), at, {}, "idx")
 
 
 def pick_channel(columns: list[str], wanted: str | None, fallback: tuple[str, ...]) -> int:
@@ -136,19 +144,20 @@ def read_word_belt(spark: SparkSession, path: str, rec_id: str, mode: str = "nor
     0 and 100 ms if more than five remain, else 125."""
     rows = _cells(spark, path, ",").select(F.lit(rec_id).alias("rec_id"), _number(0).cast("long").alias("ts_ms"), F.element_at("cells", LAST).try_cast("double").alias("v"), "place")
     rows = _indexed(rows, "ts_ms", "place")
-    step = F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy("rec_id").orderBy("idx"))
-    n, mid = rows.withColumn("d", step).where("d > 0 and d < 100").agg(F.count("d"), F.percentile("d", 0.5)).first()
-    fs = 1000.0 / mid if n > 5 else 125.0
-    all_ = Window.partitionBy("rec_id")
+    steps = scan.previous(rows, ["idx"], scan.every("idx", scan.RANGE_SAMPLES), {"d": F.col("ts_ms")}).withColumn("d", F.col("ts_ms") - F.col("d")).where("d > 0 and d < 100")
+    fs = steps.groupBy("rec_id").agg(F.when(F.count("*") > 5, 1000.0 / F.percentile("d", 0.5)).alias("fs"))
     if scale is not None:
         rows = rows.withColumn("v", scale(F.col("v")))
     elif mode == "convert":
-        rows = fills.interpolate(rows.withColumn("v", S.decode_word(F.col("v").cast("long"))), empty=0.0).withColumn("v", F.col("v") - F.avg("v").over(all_))
+        rows = fills.interpolate(rows.withColumn("v", S.decode_word(F.col("v").cast("long"))), empty=0.0)
+        rows = rows.join(rows.groupBy("rec_id").agg(F.avg("v").alias("mean")), "rec_id").withColumn("v", F.col("v") - F.col("mean"))
     elif mode == "normalize":
-        md = rows.agg(F.percentile("v", 0.5)).first()[0] or 0.0
-        mad, mean = rows.agg(F.percentile(F.abs(F.col("v") - md), 0.5), F.avg("v")).first()
-        rows = rows.withColumn("v", (F.col("v") - md) / (1.4826 * mad) if mad and mad > 1e-9 else F.col("v") - (mean or 0.0))
-    return rows.select("rec_id", F.lit("ECG").alias("channel"), "idx", "ts_ms", "v", F.lit(fs).alias("fs"))
+        middle = rows.groupBy("rec_id").agg(F.percentile("v", 0.5).alias("md"), F.avg("v").alias("mean"))
+        off = rows.join(middle, "rec_id").groupBy("rec_id", "md", "mean").agg(F.percentile(F.abs(F.col("v") - F.col("md")), 0.5).alias("mad"))
+        scaled = F.try_divide(F.col("v") - F.col("md"), 1.4826 * F.col("mad"))
+        rows = rows.join(off, "rec_id").withColumn("v", F.when(F.col("mad") > 1e-9, scaled).otherwise(F.col("v") - F.col("mean")))
+    rows = rows.join(fs, "rec_id", "left").withColumn("fs", F.coalesce("fs", F.lit(125.0)))
+    return rows.select("rec_id", F.lit("ECG").alias("channel"), "idx", "ts_ms", "v", "fs")
 
 
 def read_multichannel(spark: SparkSession, path: str, rec_id: str, start_ms: int = 0, limit: int = 10) -> DataFrame:
@@ -185,8 +194,8 @@ def read_logger(spark: SparkSession, folder: str, rec_id: str, start_ms: int = 0
     fewer than 12 cells are dropped, those without a number in EDA too, but after their interval has counted."""
     lines = spark.read.text(f"{folder.rstrip('/')}/*.csv").select("value", F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.csv$", 1).cast("int").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
     rows = lines.withColumn("cells", F.split("value", ",")).where((F.size("cells") >= 12) & F.get("cells", F.lit(11)).try_cast("double").isNotNull())
-    order = Window.partitionBy("rec_id").orderBy("file", "split", "line")
-    rows = rows.withColumn("rec_id", F.lit(rec_id)).withColumn("us", F.sum(F.get("cells", F.lit(11)).try_cast("double")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(order))
+    rows = rows.withColumn("rec_id", F.lit(rec_id))
+    rows = scan.running(rows, ["file", "split", "line"], F.struct("file", "split"), {"us": F.get("cells", F.lit(11)).try_cast("double")}, "n")
     ts = F.lit(start_ms) + F.floor(F.col("us") / 1000)
     good = rows.where(F.get("cells", F.lit(1)).try_cast("double").isNotNull())
     values = F.struct(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(LOGGER)])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import scan
+
 #: Digits of the columns of reports; others go as they are.
 DIGITS = {"time_s": 4, "hr_bpm": 2, "rr_ms": 2, "qrs_energy_ratio": 4, "snr_db": 2, "kurtosis": 3, "skewness": 3, "nk_sqi": 3, "ref_hr": 2, "test_hr": 2, "error": 2}
 
@@ -36,9 +38,7 @@ def write_comparison(windows: DataFrame, summary: DataFrame, path: str) -> None:
 def write_merge(samples: DataFrame, assigned: DataFrame, path: str, name: str) -> None:
     """samples(rec_id, timestamp_ms, ...) with the label of each, and the assignments (rec_id, timestamp_ms, label,
     time_diff_ms) with the row that each went to, counted from 1 below the header."""
-    from pyspark.sql import Window
-
-    rows = samples.withColumn("row", (F.row_number().over(Window.partitionBy("rec_id").orderBy("timestamp_ms")) + 1).cast("long"))
+    rows = scan.running(samples, ["timestamp_ms"], scan.every("timestamp_ms", scan.RANGE_MS), {}, "row").withColumn("row", F.col("row") + 2)
     own = assigned.select("rec_id", "timestamp_ms", "label", "time_diff_ms")
     both = rows.join(own, ["rec_id", "timestamp_ms"], "left")
     write_csv(both.drop("row", "time_diff_ms").na.fill("", ["label"]), f"{path}/{name}_labels")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytewords import bounds, cut, grouped, lowered, packed
-from .common import binary, discard, materialize
+from .common import arrow_rows, binary, discard, materialize
 from .hashing import ODD, mix
 
 LONGEST = 4
@@ -27,8 +27,10 @@ LONGEST = 4
 ROW_BYTES = 1 << 20
 #: A bitmap has 2**bits bits: one for about eight words of the corpus, and no more than 16 MB.
 LEAST_BITS, MOST_BITS = 16, 27
-#: Bucket counts that a task gathers before it hands them on.
-HELD = 1 << 20
+#: Bucket counts that a task gathers before it hands them on, and buckets whose counts travel together.
+HELD, BLOCK = 1 << 20, 1 << 12
+#: Encoded rows that a Python worker is handed at once.
+ROWS = 8
 BREAKS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 #: Groups that the phrases of a lang are dealt into before the first of each, and then of all, are taken.
 SALTS = 64
@@ -140,8 +142,8 @@ def distinct(keys: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.n
 
 
 def _pass(k: int, bits: int, apriori: Broadcast | None, buckets: Broadcast | None):
-    """Rows (lang, phrase, bucket, n): counts of phrases of k words, without bucket, and of buckets of k + 1 words, without phrase."""
-    names = ["lang", "phrase", "bucket", "n"]
+    """Rows (lang, phrase, n), the counts of phrases of k words, and (block, data), counts of buckets of phrases of k + 1 words: data has
+    the places in a block of BLOCK buckets as uint16 and then their counts as uint32."""
 
     def of_row(lang: str, skip: int, words: list[bytes], ids: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Phrases, their counts, and the buckets of longer ones, repeats included."""
@@ -167,31 +169,58 @@ def _pass(k: int, bits: int, apriori: Broadcast | None, buckets: Broadcast | Non
         at, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
         return at, np.bincount(back.ravel(), np.concatenate([n for _, n in held]), len(at)).astype(np.int64)
 
-    def bucket_rows(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        at, n = summed(held)
-        for lo in range(0, len(at), 1 << 16):
-            part = at[lo : lo + (1 << 16)].astype(np.int32)
-            none = pa.nulls(len(part), pa.string())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(part), pa.array(n[lo : lo + (1 << 16)])], names)
+    def rows(lang: str | None, phrases: list[bytes], n: np.ndarray, block: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+        size = len(phrases) + len(data)
+        columns = [pa.array([lang] * size, pa.string()), pa.array(phrases or [None] * size, pa.binary()).cast(pa.string()), pa.array(n if phrases else [None] * size, pa.int64()), pa.array(block if data else [None] * size, pa.int32()), pa.array(data or [None] * size, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n", "block", "data"])
+
+    def bucket_rows(at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        block, place = (at // BLOCK).astype(np.int32), (at % BLOCK).astype(np.uint16)
+        n = np.minimum(n, (1 << 32) - 1).astype(np.uint32)
+        cuts = np.flatnonzero(np.diff(block, prepend=-1))
+        data = [p.tobytes() + c.tobytes() for p, c in zip(np.split(place, cuts[1:]), np.split(n, cuts[1:]))]
+        for lo in range(0, len(cuts), 1 << 12):
+            yield rows(None, [], n, block[cuts[lo : lo + (1 << 12)]], data[lo : lo + (1 << 12)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("lang", "skip", "words", "ids"))
-            for lang, skip, words, ids in zip(*columns):
+            for i in range(batch.num_rows):
+                lang, skip, words, ids = (batch.column(c)[i].as_py() for c in ("lang", "skip", "words", "ids"))
                 phrases, n, more = of_row(lang, skip, words.split(b"\n"), np.frombuffer(ids, np.int32))
-                for lo in range(0, len(phrases), 1 << 15):
-                    part = pa.array(phrases[lo : lo + (1 << 15)], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.nulls(len(part), pa.int32()), pa.array(n[lo : lo + (1 << 15)].astype(np.int64))], names)
+                for lo in range(0, len(phrases), 1 << 14):
+                    yield rows(lang, phrases[lo : lo + (1 << 14)], n[lo : lo + (1 << 14)], n, [])
                 if len(more):
                     held.append(np.unique(more, return_counts=True))
                 if sum(len(x) for x, _ in held) > HELD:
                     held = [summed(held)]
                     if len(held[0][0]) > HELD // 2:
-                        yield from bucket_rows(held)
+                        yield from bucket_rows(*held[0])
                         held = []
         if held:
-            yield from bucket_rows(held)
+            yield from bucket_rows(*summed(held))
+
+    return run
+
+
+def _full_buckets(least: int):
+    """block, data: a bit for each bucket whose counts sum up to `least` or more, from rows sorted by block."""
+
+    def made(block: int, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(counts >= least, bitorder="little").tobytes()], pa.binary())], ["block", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counts = None, np.zeros(BLOCK, np.int64)
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                if block != now:
+                    if now is not None:
+                        yield made(now, counts)
+                    now, counts = block, np.zeros(BLOCK, np.int64)
+                k = len(data) // 6
+                counts[np.frombuffer(data, np.uint16, k)] += np.frombuffer(data, np.uint32, k, 2 * k)
+        if now is not None:
+            yield made(now, counts)
 
     return run
 
@@ -213,14 +242,24 @@ def _places(bits: int):
     return run
 
 
-def _bitmap(spark: SparkSession, places: DataFrame, bits: int) -> Broadcast:
-    """The bits of places(bucket), broadcast: 2**bits bits, of which the words of 64 with any bit set come to the driver."""
+def _apriori(spark: SparkSession, phrases: DataFrame, bits: int) -> Broadcast:
+    """A bit for each of the phrases, broadcast: 2**bits bits, of which the words of 64 with any bit set come to the driver."""
+    places = phrases.mapInArrow(_places(bits), "bucket int")
     words = places.groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bucket & 63)")).alias("value")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words.column("word").to_numpy()] = words.column("value").to_numpy()
     return spark.sparkContext.broadcast(out.view(np.uint8))
 
 
+def _buckets(spark: SparkSession, counts: DataFrame, least: int, bits: int) -> Broadcast:
+    """A bit for each full bucket, broadcast: 2**bits bits in blocks."""
+    found = counts.repartition("block").sortWithinPartitions("block").mapInArrow(_full_buckets(least), "block int, data binary").toArrow()
+    out = np.zeros(max(BLOCK, 1 << bits) // 8, np.uint8)
+    for block, data in zip(found.column("block").to_pylist(), found.column("data").to_pylist()):
+        out[block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)] = np.frombuffer(data, np.uint8)
+    return spark.sparkContext.broadcast(out[: (1 << bits) // 8])
+
+
 def frequent_phrases(docs: DataFrame, least: int = 30, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
     """Written tables (lang, phrase, words, a) of all phrases of up to LONGEST words that occur `least` times or more, and (lang, n) of the
     words there are."""
@@ -231,12 +270,15 @@ def frequent_phrases(docs: DataFrame, least: int = 30, most_bits: int = MOST_BIT
     bits = min(most_bits, max(LEAST_BITS, math.ceil(math.log2(max(1, total / 8)))))
     found, apriori, buckets = [], None, None
     for k in range(1, LONGEST + 1):
-        counts = rows.mapInArrow(_pass(k, bits, apriori, buckets), "lang string, phrase string, bucket int, n long")
-        level = materialize(counts.groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least), f"collocations-{k}")
-        found.append(level.where("phrase IS NOT NULL").select("lang", "phrase", F.lit(k).alias("words"), F.col("n").alias("a")))
+        with arrow_rows(spark, ROWS):
+            counts = materialize(rows.mapInArrow(_pass(k, bits, apriori, buckets), "lang string, phrase string, n long, block int, data binary"), f"collocations-pass-{k}")
+        sums = counts.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+        level = materialize(sums, f"collocations-{k}")
+        found.append(level.select("lang", "phrase", F.lit(k).alias("words"), "a"))
         if k < LONGEST:
-            apriori = _bitmap(spark, found[-1].mapInArrow(_places(bits), "bucket int"), bits)
-            buckets = _bitmap(spark, level.where("phrase IS NULL").select("bucket"), bits)
+            apriori = _apriori(spark, level.select("lang", "phrase"), bits)
+            buckets = _buckets(spark, counts.where("block IS NOT NULL").select("block", "data"), least, bits)
+        discard(counts)
     discard(rows)
     table = found[0]
     for level in found[1:]:

@@ -256,6 +256,7 @@ def test_phrases(spark, monkeypatch, least, top, small):
     if small:  # few bits that many phrases share, and little that is held
         monkeypatch.setattr(collocations, "LEAST_BITS", 6)
         monkeypatch.setattr(collocations, "HELD", 20)
+        monkeypatch.setattr(collocations, "BLOCK", 16)
         bits = 7
     assert got_phrases(collocations.collocations(docs, least, top, bits)) == brute_phrases(rows, least, top)
 

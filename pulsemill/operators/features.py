@@ -63,6 +63,6 @@ def onsets(samples: DataFrame, crests: DataFrame, back: int) -> DataFrame:
     both = samples.select(KEY, F.col("idx").alias("_at"), F.lit(1).alias("_side"), F.col("v").alias("_v")).unionByName(crests.select(KEY, F.col("peak").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("double").alias("_v")))
     mark, order, at = F.when(F.col("_side") == 0, F.col("_at")), ["_at", "_side"], scan.every("_at", scan.RANGE_SAMPLES)
     # a sample at a peak's own place comes after its mark, and so belongs to the next one
-    rows = scan.carried(scan.carried(both, order, at, {"_before": mark}), order, at, {"peak": mark}, forward=True).where("_side = 1 and peak is not null")
+    rows = scan.carried(both, order, at, {"_before": mark}, {"peak": mark}).where("_side = 1 and peak is not null")
     rows = rows.where(F.col("_before").isNotNull() | (F.col("_at") >= F.col("peak") - back))
     return rows.groupBy(KEY, "peak").agg(F.min_by("_at", F.struct("_v", "_at")).alias("onset"))

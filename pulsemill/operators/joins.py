@@ -52,7 +52,8 @@ def _asof(rows: DataFrame, marks: DataFrame, out: dict[str, str], at: str, order
     first = forward == strict
     side = rows.select(KEY, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.col(order).alias("_order"), own.alias("_row"), F.lit(None).alias("_mark"))
     other = marks.select(KEY, F.col(at).alias("_at"), F.lit(0 if first else 2).alias("_side"), F.col(order).alias("_order"), F.lit(None).alias("_row"), mark.alias("_mark"))
-    both = scan.carried(side.unionByName(other), ["_at", "_side", "_order"], scan.every("_at", width), {"_got": F.col("_mark")}, forward)
+    got = {"_got": F.col("_mark")}
+    both = scan.carried(side.unionByName(other), ["_at", "_side", "_order"], scan.every("_at", width), None if forward else got, got if forward else None, other)
     return both.where("_side = 1").select("_row.*", "_got.*")
 
 

@@ -47,27 +47,34 @@ def running(rows: DataFrame, order: list[str], at: Column, sums: dict[str, Colum
     return own.withColumns(out).drop(RANGE, *[f"_{k}_{n}" for n in values for k in "xo"])
 
 
-def carried(rows: DataFrame, order: list[str], at: Column, marks: dict[str, Column], forward: bool = False) -> DataFrame:
-    """rows with, for each of marks (new column -> value, null where a row is no mark), the last value at or before the row in the
-    order of the columns `order`, or, forward, the first at or after it; `at` numbers ranges in that order."""
-    rows = by_range(rows, at).withColumns({f"_m_{n}": x for n, x in marks.items()})
-    w = Window.partitionBy(RANGE).orderBy(*order)
-    if forward:
-        local = lambda c: F.first(c, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        beyond = lambda c: F.first(c, True).over(_along().rowsBetween(1, Window.unboundedFollowing))
-        pick = F.min_by
-    else:
-        local = lambda c: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        beyond = lambda c: F.last(c, True).over(_along().rowsBetween(Window.unboundedPreceding, -1))
-        pick = F.max_by
-    own = rows
-    for n in marks:
-        # the ranges there are need no more than the clock, so that nothing above it is worked out for them
-        ends = rows.where(F.col(f"_m_{n}").isNotNull()).groupBy(RANGE).agg(pick(f"_m_{n}", F.struct(*order)).alias(f"_e_{n}"))
-        edges = rows.select(RANGE).distinct().join(ends, RANGE, "left").select(RANGE, beyond(f"_e_{n}").alias(f"_c_{n}"))
-        own = own.withColumn(f"_l_{n}", local(f"_m_{n}")).join(edges, RANGE, "left")
-    out = {n: F.coalesce(f"_l_{n}", f"_c_{n}") for n in marks}
-    return own.withColumns(out).drop(RANGE, *[f"_{k}_{n}" for n in marks for k in "mlc"])
+def carried(rows: DataFrame, order: list[str], at: Column, back: dict[str, Column] | None = None, ahead: dict[str, Column] | None = None, marked: DataFrame | None = None) -> DataFrame:
+    """rows with, for each of back (new column -> value, null where a row is no mark), the last value at or before the row in the
+    order of the columns `order`, and for each of ahead the first at or after it; `at` numbers ranges in that order. Marks of
+    both are told in one scan. marked: those of rows that can be marks, where they are known apart, so that what else there
+    is need not be worked out twice."""
+    values = {("b", n): x for n, x in (back or {}).items()} | {("a", n): x for n, x in (ahead or {}).items()}
+    of = {key: f"_{key[0]}_{key[1]}" for key in values}
+    ready = lambda df: by_range(df, at).withColumns({f"_m{of[k]}": x for k, x in values.items()})
+    rows, w = ready(rows), Window.partitionBy(RANGE).orderBy(*order)
+    place = lambda k: F.when(F.col(f"_m{of[k]}").isNotNull(), F.struct(*order))
+    ends = (rows if marked is None else ready(marked)).groupBy(RANGE).agg(*[(F.max_by if k[0] == "b" else F.min_by)(f"_m{of[k]}", place(k)).alias(f"_e{of[k]}") for k in values])
+    if marked is not None:
+        ends = rows.select(RANGE).distinct().join(ends, RANGE, "left")
+
+    def beyond(k: tuple[str, str]) -> Column:
+        if k[0] == "b":
+            return F.last(f"_e{of[k]}", True).over(_along().rowsBetween(Window.unboundedPreceding, -1))
+        return F.first(f"_e{of[k]}", True).over(_along().rowsBetween(1, Window.unboundedFollowing))
+
+    def local(k: tuple[str, str]) -> Column:
+        if k[0] == "b":
+            return F.last(f"_m{of[k]}", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return F.first(f"_m{of[k]}", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+
+    edges = ends.select(RANGE, *[beyond(k).alias(f"_c{of[k]}") for k in values])
+    own = rows.withColumns({f"_l{of[k]}": local(k) for k in values}).join(edges, RANGE, "left")
+    out = {n: F.coalesce(f"_l{of[side, n]}", f"_c{of[side, n]}") for side, n in values}
+    return own.withColumns(out).drop(RANGE, *[f"_{x}{of[k]}" for k in values for x in "mlc"])
 
 
 def previous(rows: DataFrame, order: list[str], at: Column, values: dict[str, Column]) -> DataFrame:

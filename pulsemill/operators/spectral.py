@@ -52,34 +52,6 @@ def band_power(spectrum: DataFrame, bands: dict[str, Column]) -> DataFrame:
     return out.groupBy(KEY).agg(*[F.coalesce(F.sum(f"_{n}"), F.lit(0.0)).alias(n) for n in bands])
 
 
-def linear_grid(start: float, end: float, n: int) -> Column:
-    """Array of n angular frequencies, evenly from start to end in Hz."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (start + i * (end - start) / (n - 1)) * (2 * pi))
-
-
-def sine_sums(points: DataFrame, freqs: Column, *keys: str) -> DataFrame:
-    """n, y, c, s, cc, cs, yc, ys by the keys and w: sums of points(*keys, t, y) with the sine s and cosine c of w * t, for the
-    angular frequencies w of the array `freqs`. Sums of neighbouring groups add up to those of a window over them."""
-    rows = points.select(*keys, "t", "y", F.explode(freqs).alias("w"))
-    rows = rows.select(*keys, "w", "y", F.cos(F.col("w") * F.col("t")).alias("c"), F.sin(F.col("w") * F.col("t")).alias("s"))
-    total = {"y": F.col("y"), "c": F.col("c"), "s": F.col("s"), "cc": F.col("c") * F.col("c"), "cs": F.col("c") * F.col("s"), "yc": F.col("y") * F.col("c"), "ys": F.col("y") * F.col("s")}
-    return rows.groupBy(*keys, "w").agg(F.count("*").alias("n"), *[F.sum(x).alias(k) for k, x in total.items()])
-
-
-def lomb_power(sums: DataFrame, floating: bool = False) -> DataFrame:
-    """sums = sine_sums() with `power`, the Lomb-Scargle periodogram of y less its mean; floating: with a constant fitted at
-    every frequency besides, not normalised by the variance of y."""
-    n, c, s = F.col("n"), F.col("c"), F.col("s")
-    yc, ys = F.col("yc") - F.col("y") / n * c, F.col("ys") - F.col("y") / n * s
-    cc, cs, ss = F.col("cc"), F.col("cs"), n - F.col("cc")
-    if floating:
-        cc, cs, ss = cc - c * c / n, cs - c * s / n, ss - s * s / n
-    tau = F.atan2(2 * cs, cc - ss) / 2
-    rows = sums.select("*", yc.alias("_yc"), ys.alias("_ys"), cc.alias("_cc"), cs.alias("_cs"), ss.alias("_ss"), F.cos(tau).alias("_ct"), F.sin(tau).alias("_st"))
-    part = lambda a, b, sign: F.expr(f"pow(_yc * {a} + {sign} * _ys * {b}, 2) / (_cc * {a} * {a} + {sign} * 2 * _cs * {a} * {b} + _ss * {b} * {b})")
-    return rows.withColumn("power", (part("_ct", "_st", 1) + part("_st", "_ct", -1)) / 2).drop("_yc", "_ys", "_cc", "_cs", "_ss", "_ct", "_st")
-
-
 def xcorr(pairs: DataFrame, n: int, max_lag: int, method: str = "squared") -> DataFrame:
     """rec_id, lag, r for pairs(rec_id, a, b) of arrays of n samples: correlation of b with a moved by each lag, with the
     mean removed before and after the transform, over the root of both energies. squared does not see polarity; whole

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from math import pi
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import joins as J, quality as Q, spectral as S, sync as Y, windowed as D, windows as W
+from ..operators import joins as J, periodogram as L, quality as Q, spectral as S, sync as Y, windowed as D, windows as W
 from .aggregates import BINS, MOM, histogram_entropy
 from .bindings import EV, FR, FS, LONG_EV, SG, SIGNAL_FS, SM, events, frame_samples, frames, long_events, samples, signals
 from .registry import query
@@ -265,31 +263,24 @@ a AS (SELECT *, last_value(CASE WHEN tp IS NOT NULL THEN {{'i': idx, 'r': ratio,
 SELECT rec_id, peak_id, round(CASE WHEN b.i = n.i THEN b.r WHEN b IS NULL THEN n.r WHEN n IS NULL THEN b.r ELSE b.r + (n.r - b.r) * (idx - b.i) / (n.i - b.i) END, 6) AS hrv_lfhf, round(CASE WHEN b.i = n.i THEN b.t WHEN b IS NULL THEN n.t WHEN n IS NULL THEN b.t ELSE b.t + (n.t - b.t) * (idx - b.i) / (n.i - b.i) END, 3) AS hrv_tp FROM a""")
 def sig11_lomb_scargle_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Band powers of the interval series in windows of 300 s every 30 s that hold over 100 intervals, given to the first beat at
-    or after a window's middle and filled on the line between.
-
-    A window is ten panes of its step: sines are summed once by pane, and windows add panes up.
-    """
+    or after a window's middle and filled on the line between."""
     from ..operators import fills
 
     beats = clean_rr(intervals(long_events(spark, sf)))
-    ends = beats.groupBy(REC).agg(F.min("t_ms").alias("t0"), F.max("t_ms").alias("t1"))
-    points = beats.where("clean is not null").join(ends, REC)
-    points = points.select(REC, F.floor((F.col("t_ms") - F.col("t0")) / STEP_MS).alias("pane"), ((F.col("t_ms") - F.col("t0")) / 1000).alias("t"), F.col("clean").cast("double").alias("y"))
-    sums = S.sine_sums(points, S.linear_grid(*GRID), REC, "pane")
-    panes = SPAN_MS // STEP_MS
-    last = F.floor((F.col("t1") - F.col("t0") - SPAN_MS) / STEP_MS)
-    near = F.sequence(F.greatest(F.lit(0), F.col("pane") - panes + 1), F.least(F.col("pane"), last))
-    held = sums.join(ends, REC).where((F.col("pane") - panes + 1 <= last) & (last >= 0)).withColumn("win", F.explode(near))
-    held = held.groupBy(REC, "win", "w").agg(*[F.sum(c).alias(c) for c in ("n", "y", "c", "s", "cc", "cs", "yc", "ys")])
-    # the counts of a window are the same at every frequency at which all its panes have points, which is every one
-    p = S.lomb_power(held.where(F.col("n") > LEAST)).select(F.struct(REC, "win").alias(REC), (F.col("w") / (2 * pi)).alias("f"), "power")
-    f = F.col("f")
-    b = S.band_power(p, {k: (f >= lo) & (f < hi - END) for k, (lo, hi) in BANDS.items()}).select(f"{REC}.*", F.when(F.col("hf") > 0, F.col("lf") / F.col("hf")).alias("ratio"), (F.col("vlf") + F.col("lf") + F.col("hf")).alias("tp"))
-    mid = b.join(ends, REC).select(REC, F.col("win").alias("peak_id"), (F.col("t0") + F.col("win") * STEP_MS + SPAN_MS // 2).alias("t_ms"), "win", "ratio", "tp")
-    rows = beats.select(REC, "peak_id", "t_ms", F.row_number().over(W.by("t_ms", "peak_id")).alias("idx"))
-    at = J.first_after(mid, rows, {"idx": "idx"}).where("idx is not null").groupBy(REC, "idx").agg(F.max_by(F.struct("ratio", "tp"), "win").alias("x"))
+    ends = beats.groupBy(REC).agg(F.min("t_ms").alias("t0"), F.max("t_ms").alias("t1")).withColumn("count", W.full_windows(F.col("t1") - F.col("t0"), SPAN_MS, STEP_MS))
+    points = beats.where("clean is not null").join(ends, REC).select(REC, (F.col("t_ms") - F.col("t0")).alias("t_ms"), F.col("clean").cast("double").alias("y"), "count")
+    bands = {name: (lo, hi - END) for name, (lo, hi) in BANDS.items()}
+    p = L.window_bands(points, L.Frequencies(GRID[0], (GRID[1] - GRID[0]) / (GRID[2] - 1), GRID[2]), SPAN_MS, STEP_MS, LEAST, bands)
+    b = p.select(REC, "win", F.when(F.col("hf") > 0, F.try_divide("lf", "hf")).alias("ratio"), (F.col("vlf") + F.col("lf") + F.col("hf")).alias("tp"))
+    # the windows whose middle lies after the beat before and not after this one, by their number
+    mid = lambda t: F.floor((F.col(t) - F.col("t0") - SPAN_MS // 2) / STEP_MS)
+    order = W.by("t_ms", "peak_id")
+    rows = beats.select(REC, "peak_id", "t_ms", F.row_number().over(order).alias("idx"), F.lag("t_ms").over(order).alias("before"))
+    first, last = F.greatest(F.coalesce(mid("before") + 1, F.lit(0)), F.lit(0)), F.least(mid("t_ms"), F.col("count") - 1)
+    wins = rows.join(ends, REC).select(REC, "idx", F.explode(F.when(first <= last, F.sequence(first, last))).alias("win"))
+    at = wins.join(b, [REC, "win"]).groupBy(REC, "idx").agg(F.max_by(F.struct("ratio", "tp"), "win").alias("x"))
     got = rows.join(at, [REC, "idx"], "left").select(REC, "peak_id", "idx", "x.ratio", "x.tp")
-    got = fills.interpolate(fills.interpolate(got, v="ratio"), v="tp")
+    got = fills.interpolate(got, v=["ratio", "tp"])
     return got.select(REC, "peak_id", F.round("ratio", 6).alias("hrv_lfhf"), F.round("tp", 3).alias("hrv_tp"))
 
 
@@ -305,9 +296,9 @@ def sig12_lomb_scargle_ratio(spark: SparkSession, sf: str) -> DataFrame:
     summed, and their normalisation cancels out."""
     beats = intervals(long_events(spark, sf))
     ends = beats.groupBy(REC).agg(F.min("t_ms").alias("t0"))
-    points = beats.where("rr is not null").join(ends, REC).select(REC, ((F.col("t_ms") - F.col("t0")) / 1000).alias("t"), (F.col("rr") / 1000).alias("y"))
-    grid = F.slice(S.linear_grid(WIDE[0], WIDE[1], WIDE[2] + 1), 1, COUNTED)
-    p = S.lomb_power(S.sine_sums(points, grid, REC), floating=True).withColumn("f", F.col("w") / (2 * pi))
+    points = beats.where("rr is not null").join(ends, REC).select(REC, (F.col("t_ms") - F.col("t0")).alias("t_ms"), (F.col("rr") / 1000).alias("y"))
+    freqs = L.Frequencies(WIDE[0], (WIDE[1] - WIDE[0]) / WIDE[2], COUNTED)
+    p = L.whole_power(points, freqs, 3_600_000, floating=True).select(REC, F.posexplode("power").alias("i", "power")).withColumn("f", freqs.start + F.col("i") * freqs.step)
     total = lambda lo, hi: F.sum(F.when((F.col("f") >= lo - END) & (F.col("f") <= hi + END), F.col("power")))
     return p.groupBy(REC).agg(F.round(total(0.04, 0.15) / total(0.15, 0.4), 6).alias("lf_hf"))
 

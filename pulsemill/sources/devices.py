@@ -172,8 +172,7 @@ def read_multichannel(spark: SparkSession, path: str, rec_id: str, start_ms: int
                 at.setdefault(name, i)
     rows = _cells(spark, path, h.delimiter).select(F.lit(rec_id).alias("rec_id"), _number(0).alias("t"), "place", *[(_number(at[n]) if n in at else F.lit(None).cast("double")).alias(n) for n in CODES])
     rows = _indexed(rows, "t", "place")
-    for n in at:
-        rows = fills.interpolate_limited(rows, limit, "idx", n)
+    rows = fills.interpolate_limited(rows, limit, "idx", list(at)) if at else rows
     return rows.select("rec_id", "idx", (F.lit(h.start_ms) + F.col("idx") * (1000.0 / h.fs)).cast("long").alias("timestamp_ms"), *CODES)
 
 

@@ -43,7 +43,8 @@ def test_sums_and_numbers(table, rows, width):
 def test_marks_are_carried_both_ways(table, rows, width):
     got = {}
     for forward in (False, True):
-        found = scan.carried(table, ["t_ms", "peak_id"], scan.every("t_ms", width), {"m": F.when(F.col("v") > 2, F.col("peak_id"))}, forward)
+        mark = {"m": F.when(F.col("v") > 2, F.col("peak_id"))}
+        found = scan.carried(table, ["t_ms", "peak_id"], scan.every("t_ms", width), None if forward else mark, mark if forward else None)
         got[forward] = {r.peak_id: r.m for r in found.collect()}
     before = {r.peak_id: r.p for r in scan.previous(table, ["t_ms", "peak_id"], scan.every("t_ms", width), {"p": F.col("peak_id")}).collect()}
     for rec in "abc":

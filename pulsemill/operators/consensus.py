@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import folds, scan
+from . import folds
+from .peaks import find_peaks
 from .spectral import KEY, gaussian_density
 from .windows import by
 
 
-def density(peaks: DataFrame, weights: DataFrame | None, sigma: float, missing: float = 0.5) -> DataFrame:
-    """rec_id, t, density (of the recording's maximum) for peaks(rec_id, detector, t); weights(detector, weight) are
-    shared out to a sum of one, a detector without one counting as `missing`."""
+def density(peaks: DataFrame, weights: DataFrame | None, sigma: float, missing: float = 0.5, lengths: DataFrame | None = None) -> DataFrame:
+    """rec_id, t, density (of the recording's maximum) for peaks(rec_id, detector, t), of which those of one detector at one place
+    count once; weights(detector, weight) are shared out to a sum of one, a detector without one counting as `missing`.
+    lengths: as in gaussian_density()."""
+    peaks = peaks.select(KEY, "detector", "t").distinct()
     if weights is None:
         weighted = peaks.withColumn("w", F.lit(1.0))
     else:
@@ -20,27 +23,26 @@ def density(peaks: DataFrame, weights: DataFrame | None, sigma: float, missing:
         total = own.agg((F.sum("weight") + 1e-9).alias("total"))
         share = own.join(F.broadcast(total)).select("detector", (F.col("weight") / F.col("total")).alias("w"))  # one row for each detector
         weighted = peaks.join(share, "detector")
-    d = gaussian_density(weighted.where("w > 0"), sigma)
+    d = gaussian_density(weighted.where("w > 0"), sigma, lengths=lengths)
     top = d.groupBy(KEY).agg(F.max("density").alias("top"))
     return d.join(top, KEY).select(KEY, "t", (F.col("density") / F.col("top")).alias("density"))
 
 
-def local_peaks(density: DataFrame, height: float) -> DataFrame:
-    """Places whose density is over both neighbours' and at least the height; a place without a row has none."""
-    w = by("t")
-    side = lambda f, k: F.when(f("t").over(w) == F.col("t") + k, f("density").over(w)).otherwise(0.0)
-    near = density.withColumn("_a", side(F.lag, -1)).withColumn("_b", side(F.lead, 1))
-    return near.where((F.col("density") > F.col("_a")) & (F.col("density") >= F.col("_b")) & (F.col("density") >= height)).drop("_a", "_b")
+def consensus_peaks(density: DataFrame, lengths: DataFrame, height: float = 0.4, distance: int = 15, digits: int = 9) -> DataFrame:
+    """rec_id, t, density of the peaks of density(rec_id, t, density) of at least a height, at least a distance apart, the highest
+    staying. Places without a row have none; a peak at either end of a recording is none. Densities are compared to so many
+    digits, so that sums in another order have the same peaks."""
+    d = density.select(KEY, "t", F.round("density", digits).alias("density"))
+    return find_peaks(d, height, distance, "t", "density", missing=0.0, lengths=lengths)
 
 
-def thin(peaks: DataFrame, gap: int, width: float = scan.RANGE_MS) -> DataFrame:
+def thin(peaks: DataFrame, gap: int) -> DataFrame:
     """rec_id, t_ms: of each recording's distinct peaks those more than `gap` after the last one kept.
 
     A peak more than `gap` after the one before it is kept whatever was kept earlier, so a recording falls into runs of closer
-    peaks, found range by range; each run is folded by itself, with the last kept time as its state.
+    peaks; each run is folded by itself, with the last kept time as its state.
     """
-    at = scan.every("t_ms", width)
-    times = scan.previous(peaks.select(KEY, "t_ms").distinct(), ["t_ms"], at, {"_last": F.col("t_ms")})
-    far = F.coalesce(F.col("t_ms") - F.col("_last") > gap, F.lit(True))
-    runs = scan.running(times, ["t_ms"], at, {"_run": far.cast("long")}).drop("_last")
+    w = by("t_ms")
+    times = peaks.select(KEY, "t_ms").distinct()
+    runs = times.withColumn("_far", F.coalesce(F.col("t_ms") - F.lag("t_ms").over(w) > gap, F.lit(True)).cast("long")).withColumn("_run", F.sum("_far").over(w)).drop("_far")
     return folds.fold(runs, [KEY, "_run"], ["t_ms"], "t_ms", folds.apart(gap)).drop("_run")

@@ -77,11 +77,15 @@ def carried(rows: DataFrame, order: list[str], at: Column, back: dict[str, Colum
     return own.withColumns(out).drop(RANGE, *[f"_{x}{of[k]}" for k in values for x in "mlc"])
 
 
-def previous(rows: DataFrame, order: list[str], at: Column, values: dict[str, Column]) -> DataFrame:
-    """rows with, for each of values (new column -> value), that of the row before in the order of the columns `order`."""
-    rows = by_range(rows, at).withColumn("_v", F.struct(*[x.alias(n) for n, x in values.items()]))
-    ends = rows.groupBy(RANGE).agg(F.max_by("_v", F.struct(*order)).alias("_e"))
-    edges = ends.select(RANGE, F.lag("_e").over(_along()).alias("_e"))
-    own = rows.withColumn("_p", F.lag("_v").over(Window.partitionBy(RANGE).orderBy(*order))).join(edges, RANGE, "left")
-    got = F.coalesce("_p", "_e")
-    return own.withColumns({n: got[n] for n in values}).drop(RANGE, "_v", "_p", "_e")
+def previous(rows: DataFrame, order: list[str], at: Column, values: dict[str, Column], ahead: dict[str, Column] | None = None) -> DataFrame:
+    """rows with, for each of values (new column -> value), that of the row before in the order of the columns `order`, and for each
+    of ahead that of the row after."""
+    sides = {"_p": (values, F.lag, F.max_by), "_n": (ahead or {}, F.lead, F.min_by)}
+    sides = {c: x for c, x in sides.items() if x[0]}
+    rows = by_range(rows, at).withColumns({f"_v{c}": F.struct(*[x.alias(n) for n, x in of.items()]) for c, (of, _, _) in sides.items()})
+    ends = rows.groupBy(RANGE).agg(*[pick(f"_v{c}", F.struct(*order)).alias(f"_e{c}") for c, (_, _, pick) in sides.items()])
+    edges = ends.select(RANGE, *[step(f"_e{c}").over(_along()).alias(f"_e{c}") for c, (_, step, _) in sides.items()])
+    w = Window.partitionBy(RANGE).orderBy(*order)
+    own = rows.withColumns({c: step(f"_v{c}").over(w) for c, (_, step, _) in sides.items()}).join(edges, RANGE, "left")
+    got = {n: F.coalesce(c, f"_e{c}")[n] for c, (of, _, _) in sides.items() for n in of}
+    return own.withColumns(got).drop(RANGE, *[f"{x}{c}" for c in sides for x in ("_v", "", "_e")])

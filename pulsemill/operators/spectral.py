@@ -82,12 +82,18 @@ def xcorr(pairs: DataFrame, n: int, max_lag: int, method: str = "squared") -> Da
     return rows.select(KEY, "lag", (r / F.col("e")).alias("r"))
 
 
-def gaussian_density(peaks: DataFrame, sigma: float, weight: str = "w") -> DataFrame:
-    """rec_id, t, density at whole times around peaks(rec_id, t, w): spikes smoothed by a Gaussian cut at four sigma.
+def gaussian_density(peaks: DataFrame, sigma: float, weight: str = "w", lengths: DataFrame | None = None) -> DataFrame:
+    """rec_id, t, density at whole times around peaks(rec_id, t, w): spikes smoothed by a Gaussian cut at four sigma. With lengths(rec_id,
+    n) what reaches beyond place 0 or n - 1 is reflected there (c b a | a b c), and peaks beyond are no peaks.
 
     A peak reaches 8 sigma + 1 places, so it is spread by a sequence and summed; no join of samples and peaks.
     """
     reach = int(4 * sigma + 0.5)
     total = sum(pow(2.718281828459045, -k * k / (2 * sigma * sigma)) for k in range(-reach, reach + 1))
+    t = F.col("t") + F.col("k")
+    if lengths is not None:
+        peaks = peaks.join(lengths.select(KEY, "n"), KEY).where("t >= 0 and t < n")
+        turned = F.pmod(t, 2 * F.col("n"))
+        t = F.when(turned < F.col("n"), turned).otherwise(2 * F.col("n") - 1 - turned)
     spread = peaks.withColumn("k", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-    return spread.groupBy(KEY, (F.col("t") + F.col("k")).alias("t")).agg((F.sum(F.col(weight) * F.exp(-F.col("k") * F.col("k") / (2 * sigma * sigma))) / total).alias("density"))
+    return spread.groupBy(KEY, t.alias("t")).agg((F.sum(F.col(weight) * F.exp(-F.col("k") * F.col("k") / (2 * sigma * sigma))) / total).alias("density"))

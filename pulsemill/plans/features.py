@@ -12,8 +12,11 @@ from .registry import query
 
 REC = "rec_id"
 SIGMA = 5.0
-DENS = """k AS (SELECT unnest(range(-20, 21)) AS k), tot AS (SELECT sum(exp(-k * k / 50.0)) AS tot FROM k),
-dn AS (SELECT rec_id, t + k AS t, sum(w * exp(-k * k / 50.0)) / any_value(tot) AS d FROM pk, k, tot GROUP BY ALL), nd AS (SELECT rec_id, t, d / max(d) OVER (PARTITION BY rec_id) AS d FROM dn)"""
+#: A place is 20 ms; peaks are 300 ms apart.
+APART = 15
+DENS = """k AS (SELECT unnest(range(-20, 21)) AS k), tot AS (SELECT sum(exp(-k * k / 50.0)) AS tot FROM k), ln AS (SELECT rec_id, max(t_ms // 20) + 1 AS n FROM ev GROUP BY rec_id),
+dn AS (SELECT rec_id, CASE WHEN x < n THEN x ELSE 2 * n - 1 - x END AS t, sum(w * exp(-k * k / 50.0)) / any_value(tot) AS d FROM (SELECT rec_id, w, k, n, ((t + k) % (2 * n) + 2 * n) % (2 * n) AS x FROM (SELECT DISTINCT * FROM pk) JOIN ln USING (rec_id), k), tot GROUP BY ALL),
+nd AS (SELECT rec_id, t, d / max(d) OVER (PARTITION BY rec_id) AS d FROM dn)"""
 PK = f"WITH {EV}, pk AS (SELECT rec_id, event_type AS detector, t_ms // 20 AS t, 1.0 AS w FROM ev)"
 
 
@@ -21,20 +24,42 @@ def _detections(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select(REC, F.col("event_type").alias("detector"), F.expr("t_ms div 20").alias("t"))
 
 
+def _lengths(spark: SparkSession, sf: str) -> DataFrame:
+    return events(spark, sf).groupBy(REC).agg(F.expr("max(t_ms) div 20 + 1").alias("n"))
+
+
 @query(f"{PK}, {DENS} SELECT rec_id, t, round(d, 6) AS density FROM nd")
 def con01_sig16_gaussian_density(spark: SparkSession, sf: str) -> DataFrame:
-    """Density of all detectors' beats, of equal weight, at every place that one reaches."""
-    return C.density(_detections(spark, sf), None, SIGMA).select(REC, "t", F.round("density", 6).alias("density"))
+    """Density of all detectors' beats, of equal weight, at every place that one reaches, reflected at a recording's ends."""
+    return C.density(_detections(spark, sf), None, SIGMA, lengths=_lengths(spark, sf)).select(REC, "t", F.round("density", 6).alias("density"))
+
+
+WEIGHTS = """f AS (SELECT event_type AS detector, ((40 * sum(round(value * 100)::BIGINT) + count(*)) // (2 * count(*))) / 1000000.0 AS weight FROM ev WHERE event_type <> 'error' GROUP BY ALL), o AS (SELECT detector, coalesce(weight, 0.5) AS weight FROM (SELECT DISTINCT event_type AS detector FROM ev) LEFT JOIN f USING (detector))"""
+#: Peaks of a density in SQL: of each round those that are highest within reach stay, and remove their neighbours.
+CONSENSUS = f"""q AS (SELECT rec_id, t, round(d, 9) AS d FROM nd), z AS (SELECT rec_id, t, max(d) AS d FROM (SELECT * FROM q UNION ALL SELECT rec_id, t + s, 0 FROM q JOIN ln USING (rec_id), (VALUES (-1), (1)) v(s) WHERE t + s >= 0 AND t + s < n) GROUP BY ALL),
+b AS (SELECT rec_id, t, d, t - 1 = lag(t) OVER w AND lag(d) OVER w = d AS same, t - 1 = lag(t) OVER w AND lag(d) OVER w < d AS up, t + 1 = lead(t) OVER w AND lead(d) OVER w = d AS level, t + 1 = lead(t) OVER w AND lead(d) OVER w < d AS down FROM z WINDOW w AS (PARTITION BY rec_id ORDER BY t)),
+m AS (SELECT rec_id, (min(t) + max(t)) // 2 AS t, any_value(d) AS d FROM (SELECT *, sum((NOT coalesce(same, false))::INT) OVER (PARTITION BY rec_id ORDER BY t) AS run FROM b) GROUP BY rec_id, run HAVING coalesce(bool_or(up), false) AND coalesce(bool_or(down), false) AND any_value(d) >= 0.4),
+i AS (SELECT *, sum(far) OVER (PARTITION BY rec_id ORDER BY t) AS island FROM (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY rec_id ORDER BY t) >= {APART})::INT, 1) AS far FROM m)),
+c AS (SELECT rec_id, island, list({{'d': d, 't': t}} ORDER BY d DESC, t DESC) AS xs FROM i GROUP BY ALL),
+h AS (SELECT rec_id, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: abs(y.t - x[1].t) < {APART})) > 0 THEN kept ELSE list_concat(kept, x) END)) AS x FROM c)
+SELECT rec_id, x.t AS t, round(x.d, 6) AS density FROM h"""
+
+
+@query(f"{PK}, {DENS}, {CONSENSUS}")
+def con01_consensus_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Peaks of the density of all detectors' beats, 300 ms apart."""
+    n = _lengths(spark, sf)
+    return C.consensus_peaks(C.density(_detections(spark, sf), None, SIGMA, lengths=n), n, 0.4, APART).select(REC, "t", F.round("density", 6).alias("density"))
 
 
-@query(f"""WITH {EV}, f AS (SELECT event_type AS detector, round(avg(value) / 500, 6) AS weight FROM ev WHERE event_type <> 'error' GROUP BY ALL), o AS (SELECT detector, coalesce(weight, 0.5) AS weight FROM (SELECT DISTINCT event_type AS detector FROM ev) LEFT JOIN f USING (detector)),
-pk AS (SELECT rec_id, t_ms // 20 AS t, weight / (SELECT sum(weight) + 1e-9 FROM o) AS w FROM ev JOIN o ON o.detector = ev.event_type), {DENS},
-n AS (SELECT *, CASE WHEN lag(t) OVER w = t - 1 THEN lag(d) OVER w ELSE 0 END AS a, CASE WHEN lead(t) OVER w = t + 1 THEN lead(d) OVER w ELSE 0 END AS b FROM nd WINDOW w AS (PARTITION BY rec_id ORDER BY t))
-SELECT rec_id, t, round(d, 6) AS density FROM n WHERE d > a AND d >= b AND d >= 0.4""")
+@query(f"""WITH {EV}, {WEIGHTS}, pk AS (SELECT rec_id, event_type AS detector, t_ms // 20 AS t, weight / (SELECT sum(weight) + 1e-9 FROM o) AS w FROM ev JOIN o ON o.detector = ev.event_type), {DENS}, {CONSENSUS}""")
 def con02_weighted_consensus_peaks(spark: SparkSession, sf: str) -> DataFrame:
-    """Peaks of the density with weights by score; one detector has no score."""
-    f = events(spark, sf).where("event_type <> 'error'").groupBy(F.col("event_type").alias("detector")).agg(F.round(F.avg("value") / 500, 6).alias("weight"))
-    return C.local_peaks(C.density(_detections(spark, sf), f, SIGMA), 0.4).select(REC, "t", F.round("density", 6).alias("density"))
+    """Peaks, 300 ms apart, of the density weighted by each detector's score; one detector has none and counts one half. Scores
+    are means of whole cents, rounded as whole numbers."""
+    score = F.expr("(40 * sum(cast(round(value * 100) AS bigint)) + count(*)) div (2 * count(*)) / 1000000")
+    f = events(spark, sf).where("event_type <> 'error'").groupBy(F.col("event_type").alias("detector")).agg(score.alias("weight"))
+    n = _lengths(spark, sf)
+    return C.consensus_peaks(C.density(_detections(spark, sf), f, SIGMA, lengths=n), n, 0.4, APART).select(REC, "t", F.round("density", 6).alias("density"))
 
 
 GATE = f"""WITH {EV}, {WSQI}, gt AS (SELECT e.rec_id, e.t_ms, e.event_type, coalesce(bool_or(w.is_usable), false) AS ensemble FROM ev e LEFT JOIN wq w ON w.rec_id = e.rec_id AND e.t_ms >= window_idx * 5000 + 2500 AND e.t_ms < window_idx * 5000 + 7500 GROUP BY e.rec_id, e.peak_id, e.t_ms, e.event_type),
@@ -56,49 +81,59 @@ def con03_pk02_det19_gated_merge(spark: SparkSession, sf: str) -> DataFrame:
 CREST = 0.1
 
 
+def _crests(s: DataFrame) -> DataFrame:
+    near = s.withColumn("a", F.lag("v").over(W.by("idx"))).withColumn("b", F.lead("v").over(W.by("idx")))
+    return near.where((F.col("v") > F.col("a")) & (F.col("v") > F.col("b")) & (F.col("v") > CREST)).select(REC, F.col("idx").alias("peak"))
+
+
 @query(f"""WITH {FS}, p AS (SELECT rec_id, idx AS p, lag(idx) OVER (PARTITION BY rec_id ORDER BY idx) AS q FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM fs WINDOW w AS (PARTITION BY rec_id ORDER BY idx)) WHERE v > a AND v > b AND v > {CREST})
 SELECT p.rec_id, p::BIGINT AS peak, arg_min(idx, {{'v': v, 'i': idx}})::BIGINT AS onset FROM p JOIN fs ON fs.rec_id = p.rec_id AND idx >= coalesce(q, greatest(0, p - 50)) AND idx < p GROUP BY p.rec_id, p""")
 def det17_onsets_between_peaks(spark: SparkSession, sf: str) -> DataFrame:
     """The least sample since the peak before, or in the second before the first peak, as each peak's onset."""
     s = frame_samples(spark, sf).select(REC, "idx", "v")
-    near = s.withColumn("a", F.lag("v").over(W.by("idx"))).withColumn("b", F.lead("v").over(W.by("idx")))
-    crests = near.where((F.col("v") > F.col("a")) & (F.col("v") > F.col("b")) & (F.col("v") > CREST)).select(REC, F.col("idx").alias("peak"))
-    return P.onsets(s, crests, 50)
+    return P.onsets(s, _crests(s), 50)
 
 
-PULSE = f"""WITH {FS}, o AS (SELECT rec_id, arg_min(idx, {{'v': v, 'i': idx}}) AS onset FROM fs WHERE idx < 32 GROUP BY rec_id), p AS (SELECT o.rec_id, onset, arg_max(idx, {{'v': v, 'i': -idx}}) AS peak FROM fs JOIN o USING (rec_id) WHERE idx > onset AND idx < onset + 24 GROUP BY ALL),
-n AS (SELECT fs.rec_id, idx, v, onset, peak FROM fs JOIN p USING (rec_id) WHERE idx >= onset)"""
+PULSE = f"""WITH {FS}, cr AS (SELECT rec_id, idx AS p, lag(idx) OVER (PARTITION BY rec_id ORDER BY idx) AS q FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM fs WINDOW w AS (PARTITION BY rec_id ORDER BY idx)) WHERE v > a AND v > b AND v > {CREST}),
+ri AS (SELECT cr.rec_id, p AS peak, arg_min(idx, {{'v': v, 'i': idx}}) AS onset FROM cr JOIN fs ON fs.rec_id = cr.rec_id AND idx >= coalesce(q, greatest(0, p - 50)) AND idx < p GROUP BY cr.rec_id, p),
+pu AS (SELECT *, coalesce(lead(onset) OVER (PARTITION BY rec_id ORDER BY peak), peak) AS ending FROM ri), n AS (SELECT fs.rec_id, onset, peak, idx, v FROM pu JOIN fs ON fs.rec_id = pu.rec_id AND idx BETWEEN onset AND ending)"""
 
 
-def _pulse(spark: SparkSession, sf: str) -> DataFrame:
+def _inside(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of all pulses of frames."""
     s = frame_samples(spark, sf).select(REC, "idx", "v")
-    o = s.where("idx < 32").groupBy(REC).agg(F.min_by("idx", F.struct("v", "idx")).alias("onset"))
-    p = s.join(o, REC).where("idx > onset and idx < onset + 24").groupBy(REC, "onset").agg(F.max_by("idx", F.struct("v", (-F.col("idx")).alias("i"))).alias("peak"))
-    return P.pulse_samples(s, p.withColumn("end", F.lit(63)))
+    return P.pulse_samples(s, P.pulses(P.onsets(s, _crests(s), 50)))
 
 
-@query(f"""{PULSE}, g AS (SELECT *, CASE WHEN idx = onset THEN lead(v) OVER w - v WHEN idx = peak THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END AS s FROM n WHERE idx <= peak WINDOW w AS (PARTITION BY rec_id ORDER BY idx)),
-b AS (SELECT rec_id, any_value(onset) AS onset, arg_max({{'i': idx, 'v': v, 's': s}}, {{'s': s, 'i': -idx}}) AS b, arg_min(v, idx) AS base FROM g GROUP BY rec_id)
-SELECT rec_id, round(CASE WHEN b.s > 0 THEN b.i + (base - b.v) / b.s ELSE onset END, 6) AS foot FROM b""")
+@query(f"""{PULSE}, g AS (SELECT *, CASE WHEN idx = onset THEN lead(v) OVER w - v WHEN idx = peak THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END AS s FROM n WHERE idx <= peak WINDOW w AS (PARTITION BY rec_id, onset ORDER BY idx)),
+b AS (SELECT rec_id, onset, peak, arg_max({{'i': idx, 'v': v, 's': s}}, {{'s': s, 'i': -idx}}) AS b, arg_min(v, idx) AS base FROM g GROUP BY ALL)
+SELECT rec_id, onset::BIGINT AS onset, round(CASE WHEN b.s > 0 THEN b.i + (base - b.v) / b.s ELSE onset END, 6) AS foot FROM b""")
 def fea02_det18_tangent_foot(spark: SparkSession, sf: str) -> DataFrame:
-    """Foot of a pulse, where the tangent of its steepest rise meets the level of the onset."""
-    return P.tangent_foot(_pulse(spark, sf)).select(REC, F.round(F.col("foot").cast("double"), 6).alias("foot"))
+    """Foot of every pulse, where the tangent of its steepest rise meets the level of the onset."""
+    return P.tangent_foot(_inside(spark, sf)).select(REC, "onset", F.round(F.col("foot").cast("double"), 6).alias("foot"))
+
+
+@query(f"""{PULSE}, g AS (SELECT *, lead(v) OVER (PARTITION BY rec_id, onset ORDER BY idx) - v AS s FROM n WHERE idx <= peak),
+b AS (SELECT rec_id, onset, peak, arg_max({{'i': idx, 'v': v, 's': s}}, {{'s': s, 'i': -idx}}) FILTER (s IS NOT NULL) AS b, arg_min(v, idx) AS base FROM g GROUP BY ALL),
+t AS (SELECT *, trunc(b.i + (base - b.v) / nullif(b.s, 0)) AS at_ FROM b) SELECT rec_id, onset::BIGINT AS onset, CASE WHEN peak - onset BETWEEN 3 AND 50 AND b.s > 0 AND at_ >= onset AND at_ < peak THEN at_ ELSE onset END::BIGINT AS refined FROM t""")
+def det18_refined_onsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Onset of every pulse, moved to where the tangent of its steepest step meets its level."""
+    return P.refined_onsets(_inside(spark, sf), 50.0).select(REC, "onset", "refined")
 
 
-@query(f"""{PULSE}, e AS (SELECT rec_id, max(v) FILTER (idx = onset) AS lo, max(v) FILTER (idx = peak) AS hi FROM n GROUP BY rec_id), x AS (SELECT n.*, lo + 0.5 * (hi - lo) AS lvl, hi - lo AS amp, lag(v) OVER (PARTITION BY n.rec_id ORDER BY idx) AS bf FROM n JOIN e USING (rec_id)),
-r AS (SELECT rec_id, any_value(amp) AS amp, any_value(onset) AS onset, any_value(peak) AS peak, arg_min({{'i': idx, 'v': v, 'b': bf, 'l': lvl}}, idx) FILTER (idx <= peak AND v >= lvl) AS r, arg_min({{'i': idx, 'v': v, 'b': bf, 'l': lvl}}, idx) FILTER (idx >= peak AND v <= lvl) AS f FROM x GROUP BY rec_id),
-w AS (SELECT rec_id, amp, CASE WHEN f.i = peak THEN peak ELSE f.i - 1 + (f.l - f.b) / (f.v - f.b) END - CASE WHEN r.i = onset THEN onset ELSE r.i - 1 + (r.l - r.b) / (r.v - r.b) END AS w FROM r)
-SELECT rec_id, round(CASE WHEN amp > 0 AND w > 0 THEN w END, 6) AS pw50 FROM w""")
+@query(f"""{PULSE}, e AS (SELECT rec_id, onset, max(v) FILTER (idx = onset) AS lo, max(v) FILTER (idx = peak) AS hi FROM n GROUP BY ALL), x AS (SELECT n.*, lo + 0.5 * (hi - lo) AS lvl, hi - lo AS amp, lag(v) OVER (PARTITION BY n.rec_id, n.onset ORDER BY idx) AS bf FROM n JOIN e USING (rec_id, onset)),
+r AS (SELECT rec_id, onset, peak, any_value(amp) AS amp, arg_min({{'i': idx, 'v': v, 'b': bf, 'l': lvl}}, idx) FILTER (idx <= peak AND v >= lvl) AS r, arg_min({{'i': idx, 'v': v, 'b': bf, 'l': lvl}}, idx) FILTER (idx >= peak AND v <= lvl) AS f FROM x GROUP BY ALL),
+w AS (SELECT rec_id, onset, amp, CASE WHEN f.i = peak THEN peak ELSE f.i - 1 + (f.l - f.b) / (f.v - f.b) END - CASE WHEN r.i = onset THEN onset ELSE r.i - 1 + (r.l - r.b) / (r.v - r.b) END AS w FROM r)
+SELECT rec_id, onset::BIGINT AS onset, round(CASE WHEN amp > 0 AND w > 0 THEN w END, 6) AS pw50 FROM w""")
 def fea03_half_width(spark: SparkSession, sf: str) -> DataFrame:
-    """Width at half of the height, between samples on the line."""
-    return P.half_width(_pulse(spark, sf)).select(REC, F.round("pw50", 6).alias("pw50"))
+    """Width of every pulse at half of its height, between samples on the line."""
+    return P.half_width(_inside(spark, sf)).select(REC, "onset", F.round("pw50", 6).alias("pw50"))
 
 
-@query(f"{PULSE} SELECT rec_id, (any_value(peak) - any_value(onset))::BIGINT AS rise_time, round(max(v) FILTER (idx = peak) - max(v) FILTER (idx = onset), 6) AS rise_amp FROM n GROUP BY rec_id")
+@query(f"{PULSE} SELECT rec_id, onset::BIGINT AS onset, (peak - onset)::BIGINT AS rise_time, round(max(v) FILTER (idx = peak) - max(v) FILTER (idx = onset), 6) AS rise_amp FROM n GROUP BY rec_id, onset, peak")
 def fea04_rise(spark: SparkSession, sf: str) -> DataFrame:
-    """Samples and height from onset to peak."""
-    at = lambda c: F.max(F.when(F.col("idx") == F.col(c), F.col("v")))
-    return _pulse(spark, sf).groupBy(REC).agg((F.first("peak") - F.first("onset")).cast("long").alias("rise_time"), F.round(at("peak") - at("onset"), 6).alias("rise_amp"))
+    """Samples and height from each pulse's onset to its peak."""
+    return P.rise(_inside(spark, sf)).select(REC, "onset", "rise_time", F.round("rise_amp", 6).alias("rise_amp"))
 
 
 PAT = f"""WITH RECURSIVE {EV}, vw AS (SELECT * FROM ev WHERE event_type = 'view'), ck AS (SELECT * FROM ev WHERE event_type = 'click'),

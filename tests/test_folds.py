@@ -36,12 +36,11 @@ def tiny_batches(spark):
     spark.conf.set(key, was)
 
 
-@pytest.mark.parametrize("width", [40, 3_600_000])
-def test_thin(spark, tiny_batches, width):
+def test_thin(spark, tiny_batches):
     rng = random.Random(3)
     rows = [(rec, rng.randrange(0, 4000)) for rec in (1, 2, None) for _ in range(150)] + [(5, 10), (5, 10), (6, 0), (6, 200), (6, 201)]
     df = spark.createDataFrame(rows, "rec_id long, t_ms long").repartition(8)
-    got = [(r.rec_id, r.t_ms) for r in consensus.thin(df, 20, width).collect()]
+    got = [(r.rec_id, r.t_ms) for r in consensus.thin(df, 20).collect()]
     want = [(rec, t) for rec in {r for r, _ in rows} for t in plain_thin([t for r, t in rows if r == rec], 20)]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sorted(r.t_ms for r in consensus.thin(df.where("rec_id = 6"), 200).collect()) == [0, 201]

@@ -87,6 +87,44 @@ def spaced(peaks: DataFrame, distance: int, at: str = "idx", v: str = "v") -> Da
     return dealt.mapInArrow(run, rows.schema).drop("_island")
 
 
+def _lowest(column: str):
+    """For the peaks among rows sorted by recording and place, the least value since the last higher one, or since the recording's
+    start. The state is a stack of the values that no later one has passed, each with the least value since the one below it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stack = None, []
+        for batch in batches:
+            out = []
+            columns = (batch.column(c).to_pylist() for c in (KEY, "_v", "_peak"))
+            for rec, x, peak in zip(*columns):
+                if rec != now:
+                    now, stack = rec, []
+                least = x
+                while stack and stack[-1][0] <= x:
+                    least = min(least, stack.pop()[1])
+                stack.append((x, least))
+                if peak:
+                    out.append(least)
+            if out:
+                of = batch.filter(batch.column("_peak"))
+                yield pa.RecordBatch.from_arrays([of.column(KEY), of.column("_at"), of.column("_v"), pa.array(out, pa.float64())], [KEY, "_at", "_v", column])
+
+    return run
+
+
+def prominences(signal: DataFrame, peaks: DataFrame, at: str = "idx", v: str = "v") -> DataFrame:
+    """rec_id, at, v, prominence of peaks(rec_id, at) of signal(rec_id, at, v): the height over the higher of the least values on either
+    side, as far as the next higher sample. A recording streams through one task, from either end."""
+    valid = signal.where(F.col(v).isNotNull() & ~F.isnan(v)).select(KEY, F.col(at).cast("long").alias("_at"), F.col(v).cast("double").alias("_v"))
+    rows = valid.join(peaks.select(KEY, F.col(at).cast("long").alias("_at"), F.lit(True).alias("_peak")), [KEY, "_at"], "left").withColumn("_peak", F.coalesce("_peak", F.lit(False)))
+    dealt = rows.repartition(KEY)
+    kind = signal.schema[KEY].dataType.simpleString()
+    left = dealt.sortWithinPartitions(KEY, "_at").mapInArrow(_lowest("_left"), f"{KEY} {kind}, _at long, _v double, _left double")
+    right = dealt.sortWithinPartitions(KEY, F.desc("_at")).mapInArrow(_lowest("_right"), f"{KEY} {kind}, _at long, _v double, _right double")
+    both = left.join(right.drop("_v"), [KEY, "_at"])
+    return both.select(KEY, F.col("_at").alias(at), F.col("_v").alias(v), (F.col("_v") - F.greatest("_left", "_right")).alias("prominence"))
+
+
 def find_peaks(signal: DataFrame, height: float | None = None, distance: int | None = None, at: str = "idx", v: str = "v", **gaps) -> DataFrame:
     """rec_id, at, v of the local_maxima() of at least a height that are at least a distance apart, the highest staying."""
     found = local_maxima(signal, at, v, **gaps)

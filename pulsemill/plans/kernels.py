@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters as fl
-from ..operators import augment as A, detectors as D
-from .bindings import FR, frames, samples
+from ..operators import augment as A, detectors as D, peaks as K
+from .bindings import FR, SM, frames, samples
 from .registry import query
 
 RATE, N = 50.0, 64
@@ -162,11 +162,22 @@ def det16_front_end(spark: SparkSession, sf: str) -> DataFrame:
     return _own_peaks(D.detect(_signals(spark, sf), "front_end", D.front_end(D.pan_tompkins_full))).select("rec_id", "detector", "peak_idx")
 
 
-@query()
+@query(f"""WITH {SM}, st AS (SELECT rec_id, sum(c) / count(*) AS mean, stddev_pop(c) AS sd FROM sm GROUP BY rec_id),
+b AS (SELECT rec_id, idx, c, lag(c) OVER w AS a, lead(c) OVER w AS z FROM sm WINDOW w AS (PARTITION BY rec_id ORDER BY idx)), g AS (SELECT *, sum((a IS NULL OR a <> c)::INT) OVER (PARTITION BY rec_id ORDER BY idx) AS run FROM b),
+m AS (SELECT rec_id, (min(idx) + max(idx)) // 2 AS t, any_value(c) AS d FROM g JOIN st USING (rec_id) GROUP BY rec_id, run HAVING coalesce(bool_or(a < c), false) AND coalesce(bool_or(z < c), false) AND any_value(c) >= any_value(mean)),
+i AS (SELECT *, sum(far) OVER (PARTITION BY rec_id ORDER BY t) AS island FROM (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY rec_id ORDER BY t) >= 5)::INT, 1) AS far FROM m)),
+c AS (SELECT rec_id, island, list({{'d': d, 't': t}} ORDER BY d DESC, t DESC) AS xs FROM i GROUP BY ALL),
+h AS (SELECT rec_id, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: abs(y.t - x[1].t) < 5)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS x FROM c),
+p AS (SELECT rec_id, x.t AS t, x.d AS d FROM h), e AS (SELECT p.rec_id, t, d, max(idx) FILTER (idx < t AND c > d) AS lo, min(idx) FILTER (idx > t AND c > d) AS hi FROM p JOIN sm USING (rec_id) GROUP BY ALL),
+q AS (SELECT e.rec_id, t, d, min(c) FILTER (idx <= t AND idx > coalesce(lo, -1)) AS lm, min(c) FILTER (idx >= t AND idx < coalesce(hi, 1e18)) AS rm FROM e JOIN sm USING (rec_id) GROUP BY e.rec_id, t, d)
+SELECT q.rec_id, t::BIGINT AS peak_idx, (d - greatest(lm, rm)) / 100 AS prominence FROM q JOIN st USING (rec_id) WHERE d - greatest(lm, rm) >= sd""")
 def pk01_find_peaks(spark: SparkSession, sf: str) -> DataFrame:
-    """Local maxima over the mean, five samples apart, as prominent as the spread."""
-    peaks = D.detect(_signals(spark, sf), "prominent", lambda x, fs: [fl.find_peaks(r, float(r.mean()), 5, float(r.std())).tolist() for r in x])
-    return _own_peaks(peaks).select("rec_id", "peak_idx")
+    """Local maxima of whole recordings over their mean, five samples apart, as prominent as their spread."""
+    s = samples(spark, sf).select("rec_id", "idx", F.col("c").alias("v"))
+    spread = s.groupBy("rec_id").agg((F.sum("v") / F.count("*")).alias("mean"), F.stddev_pop("v").alias("sd"))
+    high = K.local_maxima(s).join(spread, "rec_id").where("v >= mean").select("rec_id", "idx", "v")
+    found = K.prominences(s, K.spaced(high, 5)).join(spread, "rec_id").where("prominence >= sd")
+    return found.select("rec_id", F.col("idx").alias("peak_idx"), (F.col("prominence") / 100).alias("prominence"))
 
 
 @query()

@@ -146,3 +146,20 @@ def test_density_is_reflected_at_the_ends(spark, n):
 def test_without_lengths_a_density_goes_on(spark):
     df = spark.createDataFrame([("r", 2, 1.0)], "rec_id string, t long, w double")
     assert spectral.gaussian_density(df, 5.0).count() == 41
+
+
+def test_prominences(spark):
+    rng = random.Random(9)
+    data = {"a": [float(rng.randrange(9)) for _ in range(300)], "b": [0.0, 3.0, 1.0, 3.0, 0.5, 2.0, 0.0], "c": [1.0, 2.0, 1.5]}
+    df = spark.createDataFrame([(r, i, v) for r, x in data.items() for i, v in enumerate(x)], "rec_id string, idx long, v double").repartition(5)
+    got = {(r.rec_id, r.idx): r.prominence for r in peaks.prominences(df, peaks.local_maxima(df)).collect()}
+    want = {}
+    for r, x in data.items():
+        for p in plain_maxima(x):
+            left, right = p, p
+            while left > 0 and x[left - 1] <= x[p]:
+                left -= 1
+            while right < len(x) - 1 and x[right + 1] <= x[p]:
+                right += 1
+            want[r, p] = x[p] - max(min(x[left : p + 1]), min(x[p : right + 1]))
+    assert got == want and want["b", 1] == 3.0 and want["b", 5] == 1.5

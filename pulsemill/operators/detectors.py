@@ -221,11 +221,6 @@ def pan_tompkins_full(x: np.ndarray, fs: float) -> list[list[int]]:
     return [[near(r, p) for p in peaks] for r, peaks in zip(x, _each(integrated(x, fs), fs, th.signal_and_noise))]
 
 
-def twave_region(x: np.ndarray, fs: float) -> list[list[int]]:
-    """Start, end and secondary peaks of the part of each signal in which T waves stand out most; see secondary_region()."""
-    return [th.secondary_region(m, beats, fs) for m, beats in zip(integrated(x, fs), pan_tompkins_full(x, fs))]
-
-
 def hamilton(x: np.ndarray, fs: float) -> list[list[int]]:
     y = fl.run(fl.butter(1, 8, 16, fs), x)
     return _each(_mean(np.abs(np.diff(y, axis=1, prepend=y[:, :1])), int(0.08 * fs)), fs, th.recent_means)

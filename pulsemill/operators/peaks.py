@@ -87,42 +87,64 @@ def spaced(peaks: DataFrame, distance: int, at: str = "idx", v: str = "v") -> Da
     return dealt.mapInArrow(run, rows.schema).drop("_island")
 
 
-def _lowest(column: str):
-    """For the peaks among rows sorted by recording and place, the least value since the last higher one, or since the recording's
-    start. The state is a stack of the values that no later one has passed, each with the least value since the one below it."""
+class _Skyline:
+    """The values that no later one has passed, each with what is needed to tell its prominence once one passes it: the least value on
+    its left as far as the next higher one, the least one since the value below it on the stack, and the least one behind it."""
+
+    def __init__(self) -> None:
+        self.stack: list[list] = []
+
+    def add(self, at: int, x: float, peak: bool) -> list[tuple[int, float, float]]:
+        """(at, x, prominence) of the peaks that x is higher than."""
+        found, span = [], x
+        while self.stack and self.stack[-1][1] < x:
+            span = min(span, self._pop(found))
+        top = self.stack[-1] if self.stack else None
+        left = min(span, top[2], top[4]) if top and top[1] == x else span
+        self.stack.append([at, x, left, span, x, peak])
+        return found
+
+    def _pop(self, found: list) -> float:
+        at, x, left, span, behind, peak = self.stack.pop()
+        if peak:
+            found.append((at, x, x - max(left, behind)))
+        span = min(span, behind)
+        if self.stack:
+            self.stack[-1][4] = min(self.stack[-1][4], span)
+        return span
+
+    def end(self) -> list[tuple[int, float, float]]:
+        found: list[tuple[int, float, float]] = []
+        while self.stack:
+            self._pop(found)
+        return found
+
+
+def prominences(signal: DataFrame, peaks: DataFrame, at: str = "idx", v: str = "v") -> DataFrame:
+    """rec_id, at, v, prominence of peaks(rec_id, at) of signal(rec_id, at, v): the height over the higher of the least values on either
+    side, as far as the next higher sample. A recording streams through one task, which holds its skyline."""
+    valid = signal.where(F.col(v).isNotNull() & ~F.isnan(v)).select(KEY, F.col(at).cast("long").alias("_at"), F.col(v).cast("double").alias("_v"))
+    rows = valid.join(peaks.select(KEY, F.col(at).cast("long").alias("_at"), F.lit(True).alias("_peak")), [KEY, "_at"], "left").withColumn("_peak", F.coalesce("_peak", F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, stack = None, []
+        now, sky, kind = None, _Skyline(), None
         for batch in batches:
-            out = []
-            columns = (batch.column(c).to_pylist() for c in (KEY, "_v", "_peak"))
-            for rec, x, peak in zip(*columns):
+            kind, out = batch.schema.field(KEY).type, []
+            for rec, place, x, peak in zip(*(batch.column(c).to_pylist() for c in (KEY, "_at", "_v", "_peak"))):
                 if rec != now:
-                    now, stack = rec, []
-                least = x
-                while stack and stack[-1][0] <= x:
-                    least = min(least, stack.pop()[1])
-                stack.append((x, least))
-                if peak:
-                    out.append(least)
+                    out += [(now, *f) for f in sky.end()]
+                    now, sky = rec, _Skyline()
+                out += [(rec, *f) for f in sky.add(place, x, peak)]
             if out:
-                of = batch.filter(batch.column("_peak"))
-                yield pa.RecordBatch.from_arrays([of.column(KEY), of.column("_at"), of.column("_v"), pa.array(out, pa.float64())], [KEY, "_at", "_v", column])
-
-    return run
+                yield made(out, kind)
+        if last := [(now, *f) for f in sky.end()]:
+            yield made(last, kind)
 
+    def made(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (kind, pa.int64(), pa.float64(), pa.float64()))], [KEY, at, v, "prominence"])
 
-def prominences(signal: DataFrame, peaks: DataFrame, at: str = "idx", v: str = "v") -> DataFrame:
-    """rec_id, at, v, prominence of peaks(rec_id, at) of signal(rec_id, at, v): the height over the higher of the least values on either
-    side, as far as the next higher sample. A recording streams through one task, from either end."""
-    valid = signal.where(F.col(v).isNotNull() & ~F.isnan(v)).select(KEY, F.col(at).cast("long").alias("_at"), F.col(v).cast("double").alias("_v"))
-    rows = valid.join(peaks.select(KEY, F.col(at).cast("long").alias("_at"), F.lit(True).alias("_peak")), [KEY, "_at"], "left").withColumn("_peak", F.coalesce("_peak", F.lit(False)))
-    dealt = rows.repartition(KEY)
     kind = signal.schema[KEY].dataType.simpleString()
-    left = dealt.sortWithinPartitions(KEY, "_at").mapInArrow(_lowest("_left"), f"{KEY} {kind}, _at long, _v double, _left double")
-    right = dealt.sortWithinPartitions(KEY, F.desc("_at")).mapInArrow(_lowest("_right"), f"{KEY} {kind}, _at long, _v double, _right double")
-    both = left.join(right.drop("_v"), [KEY, "_at"])
-    return both.select(KEY, F.col("_at").alias(at), F.col("_v").alias(v), (F.col("_v") - F.greatest("_left", "_right")).alias("prominence"))
+    return rows.repartition(KEY).sortWithinPartitions(KEY, "_at").mapInArrow(run, f"{KEY} {kind}, `{at}` long, `{v}` double, prominence double")
 
 
 def find_peaks(signal: DataFrame, height: float | None = None, distance: int | None = None, at: str = "idx", v: str = "v", **gaps) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters as fl
-from ..operators import augment as A, detectors as D, peaks as K
+from ..operators import augment as A, detectors as D, peaks as K, secondary as T
 from .bindings import FR, SM, frames, samples
 from .registry import query
 
@@ -180,12 +180,25 @@ def pk01_find_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("rec_id", F.col("idx").alias("peak_idx"), (F.col("prominence") / 100).alias("prominence"))
 
 
-@query()
+@query(f"""WITH {SM}, st AS (SELECT rec_id, sum(c) / count(*) AS mean, count(*) AS n FROM sm GROUP BY rec_id), ap AS (SELECT rec_id, idx AS t, c AS d FROM (SELECT *, lag(c) OVER w AS a, lead(c) OVER w AS z FROM sm WINDOW w AS (PARTITION BY rec_id ORDER BY idx)) JOIN st USING (rec_id) WHERE c > a AND c > z AND c >= mean),
+ai AS (SELECT *, sum(far) OVER (PARTITION BY rec_id ORDER BY t) AS island FROM (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY rec_id ORDER BY t) >= 25)::INT, 1) AS far FROM ap)), ac AS (SELECT rec_id, island, list({{'d': d, 't': t}} ORDER BY d DESC, t DESC) AS xs FROM ai GROUP BY ALL),
+bt AS (SELECT rec_id, x.t AS beat FROM (SELECT rec_id, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: abs(y.t - x[1].t) < 25)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS x FROM ac)),
+nb AS (SELECT rec_id, beat, row_number() OVER w AS k, lead(beat) OVER w AS nx, lead(beat, 5) OVER w AS ending FROM bt WINDOW w AS (PARTITION BY rec_id ORDER BY beat)),
+zn AS (SELECT sm.rec_id, beat, k, idx, c FROM nb JOIN sm ON sm.rec_id = nb.rec_id AND idx >= beat + 10 AND idx < least(beat + 25, nx - 10)),
+zp AS (SELECT rec_id, beat, k, idx AS t, c AS d FROM (SELECT *, lag(c) OVER w AS a, lead(c) OVER w AS z FROM zn WINDOW w AS (PARTITION BY rec_id, beat ORDER BY idx)) WHERE c > a AND c > z),
+ze AS (SELECT p.rec_id, p.beat, p.k, t, d, max(idx) FILTER (idx < t AND c > d) AS lo, min(idx) FILTER (idx > t AND c > d) AS hi FROM zp p JOIN zn USING (rec_id, beat) GROUP BY ALL),
+zq AS (SELECT e.rec_id, e.k, t, d - greatest(min(c) FILTER (idx <= t AND idx > coalesce(lo, -1)), min(c) FILTER (idx >= t AND idx < coalesce(hi, 1e18))) AS prom FROM ze e JOIN zn USING (rec_id, beat) GROUP BY e.rec_id, e.k, t, d),
+tp AS (SELECT nb.rec_id, nb.k, max(c) AS top FROM nb JOIN sm ON sm.rec_id = nb.rec_id AND idx >= beat AND idx < coalesce(nx, 1e18) GROUP BY ALL),
+sr AS (SELECT nb.rec_id, k, beat AS start, ending, max(top) OVER (PARTITION BY nb.rec_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) * 0.05 AS bar FROM nb JOIN tp USING (rec_id, k)),
+ct AS (SELECT s.rec_id, s.k, s.start, s.ending, count(*) AS n, min(t) AS first FROM sr s JOIN zq ON zq.rec_id = s.rec_id AND zq.k BETWEEN s.k AND s.k + 3 WHERE prom >= bar AND ending IS NOT NULL GROUP BY ALL),
+bs AS (SELECT rec_id, arg_max({{'s': start, 'e': ending, 'n': n, 'f': first}}, {{'n': n, 's': -start}}) AS b FROM ct GROUP BY rec_id)
+SELECT st.rec_id, coalesce(b.s, 0)::BIGINT AS start, coalesce(b.e, least(250, n))::BIGINT AS "end", coalesce(b.n, 0)::BIGINT AS n_secondary, b.f::BIGINT AS first FROM st LEFT JOIN bs USING (rec_id)""")
 def win25_twave_region(spark: SparkSession, sf: str) -> DataFrame:
-    """The part of each frame in which secondary peaks stand out most, with their number and first place."""
-    found = D.detect(_signals(spark, sf), "twave", D.twave_region).select(F.col("rec_id").alias("key"), "peaks")
-    place = lambda k: F.try_element_at("peaks", F.lit(k)) + F.col("key.start_idx")
-    return found.select("key.rec_id", "key.frame_idx", place(1).alias("start"), place(2).alias("end"), (F.size("peaks") - 2).alias("n_secondary"), place(3).alias("first"))
+    """The stretch of five intervals of each series in which secondary peaks stand out most; beats are maxima half a second apart."""
+    s = samples(spark, sf).select("rec_id", "idx", F.col("c").alias("v"))
+    mean = s.groupBy("rec_id").agg((F.sum("v") / F.count("*")).alias("mean"))
+    beats = K.spaced(K.local_maxima(s).join(mean, "rec_id").where("v >= mean").select("rec_id", "idx", "v"), 25).select("rec_id", "idx")
+    return T.prominent_stretch(s, beats, RATE)
 
 
 @query()

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pulsemill.functions import filters as fl, scalars as S, thresholds as th
-from pulsemill.operators import augment, consensus, detectors as D, features as P, fills, joins as J, quality as Q, spectral, windows as W
+from pulsemill.operators import augment, consensus, detectors as D, features as P, fills, joins as J, quality as Q, secondary, spectral, windows as W
 
 
 def peaks(spark, rows):
@@ -290,14 +290,18 @@ def test_front_end_drops_unusual_heights():
     assert len(kept) == len(plain) - 1 and np.abs(kept - at[5]).min() > 50
 
 
-def test_secondary_peaks_show_where_t_waves_are():
+def test_secondary_peaks_show_where_t_waves_are(spark):
     x = np.zeros(4000)
     marks = list(range(200, 3900, 200))
     x[marks] = 10.0
     x[np.array(marks[8:13]) + 75] = 3.0
-    start, end, *found = th.secondary_region(x, marks, 250.0)
-    assert start in marks[5:9] and end == start + 1000 and set(found) <= {m + 75 for m in marks} and len(found) == 4
-    assert th.secondary_region(x, marks[:3], 250.0) == [0, 1250]
+    signal = spark.createDataFrame([(r, i, float(v)) for r in ("waves", "few") for i, v in enumerate(x)] + [("none", 0, 1.0)], "rec_id string, idx long, v double")
+    beats = spark.createDataFrame([("waves", m) for m in marks] + [("few", m) for m in marks[:3]], "rec_id string, idx long")
+    got = {r.rec_id: tuple(r)[1:] for r in secondary.prominent_stretch(signal, beats, 250.0).collect()}
+    # of the stretches with all of four waves before their last interval the earliest
+    assert got == {"waves": (marks[8], marks[13], 4, marks[8] + 75), "few": (0, 1250, 0, None), "none": (0, 1, 0, None)}
+    found = secondary.secondary_peaks(signal, beats, 250.0).collect()
+    assert sorted((r.beat, r.idx, r.prominence) for r in found if r.rec_id == "waves") == [(m, m + 75, 3.0) for m in marks[8:13]]
 
 
 def test_alignment_moves_and_clips(spark):

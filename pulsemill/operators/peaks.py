@@ -87,7 +87,7 @@ def spaced(peaks: DataFrame, distance: int, at: str = "idx", v: str = "v") -> Da
     return dealt.mapInArrow(run, rows.schema).drop("_island")
 
 
-class _Skyline:
+class Skyline:
     """The values that no later one has passed, each with what is needed to tell its prominence once one passes it: the least value on
     its left as far as the next higher one, the least one since the value below it on the stack, and the least one behind it."""
 
@@ -127,13 +127,13 @@ def prominences(signal: DataFrame, peaks: DataFrame, at: str = "idx", v: str = "
     rows = valid.join(peaks.select(KEY, F.col(at).cast("long").alias("_at"), F.lit(True).alias("_peak")), [KEY, "_at"], "left").withColumn("_peak", F.coalesce("_peak", F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sky, kind = None, _Skyline(), None
+        now, sky, kind = None, Skyline(), None
         for batch in batches:
             kind, out = batch.schema.field(KEY).type, []
             for rec, place, x, peak in zip(*(batch.column(c).to_pylist() for c in (KEY, "_at", "_v", "_peak"))):
                 if rec != now:
                     out += [(now, *f) for f in sky.end()]
-                    now, sky = rec, _Skyline()
+                    now, sky = rec, Skyline()
                 out += [(rec, *f) for f in sky.add(place, x, peak)]
             if out:
                 yield made(out, kind)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import joins, peaks
+from ..functions.filters import find_peaks
+from . import joins, scan
+from .folds import _changes
+from .peaks import Skyline
 from .windows import KEY, by
 
 #: Where a secondary peak may lie after a beat and before the next one, in seconds, its least prominence as a share of
@@ -13,34 +20,73 @@ from .windows import KEY, by
 AFTER, WITHIN, SHARE, DEFAULT_S = 0.2, 0.5, 0.05, 5.0
 
 
-def secondary_peaks(signal: DataFrame, beats: DataFrame, fs: float) -> DataFrame:
-    """rec_id, beat, idx, prominence of the local maxima of signal(rec_id, idx, v) in the zone of each of beats(rec_id, idx), which goes
-    from AFTER to WITHIN behind it and ends AFTER before the next one. Peaks and prominences are those of a zone alone; the last
-    beat has no zone."""
+def zone_peaks(x: np.ndarray) -> list[tuple[int, float]]:
+    """Place and prominence of the local maxima of a short signal."""
+    sky, maxima = Skyline(), set(find_peaks(x).tolist()) if len(x) > 2 else set()
+    found = [f for i, v in enumerate(x.tolist()) for f in sky.add(i, v, i in maxima)] + sky.end()
+    return sorted((i, prominence) for i, _, prominence in found)
+
+
+def intervals(signal: DataFrame, beats: DataFrame, fs: float, width: float = scan.RANGE_SAMPLES) -> DataFrame:
+    """rec_id, beat, top, peaks for each of beats(rec_id, idx) of signal(rec_id, idx, v): the largest sample from the beat to the next one,
+    and place and prominence of the local maxima in its zone, which goes from AFTER to WITHIN behind it and ends AFTER before the
+    next one; the last beat has no zone. Maxima and prominences are those of a zone alone.
+
+    Samples find their beat range by range, and an interval is worked on by itself; only its zone is held.
+    """
     hold, reach = int(AFTER * fs), int(WITHIN * fs)
-    zones = beats.select(KEY, F.col("idx").alias("beat"), F.lead("idx").over(by("idx")).alias("next")).where("next is not null")
-    marks = zones.select(KEY, F.col("beat").alias("idx"), "beat", F.least(F.col("beat") + reach, F.col("next") - hold).alias("end"))
-    held = joins.last_before(signal.select(KEY, "idx", "v"), marks, {"beat": "beat", "end": "end"}, "idx", "idx", width=1 << 20)
-    zone = held.where((F.col("idx") >= F.col("beat") + hold) & (F.col("idx") < F.col("end"))).select(F.struct(KEY, "beat").alias(KEY), "idx", "v")
-    found = peaks.prominences(zone, peaks.local_maxima(zone))
-    return found.select(f"{KEY}.{KEY}", f"{KEY}.beat", "idx", "prominence")
+    until = F.least(F.col("idx") + reach, F.lead("idx").over(by("idx")) - hold)
+    marks = beats.select(KEY, "idx", F.col("idx").alias("beat"), F.when(F.lead("idx").over(by("idx")).isNotNull(), until).alias("until"))
+    held = joins.last_before(signal.select(KEY, "idx", F.col("v").cast("double").alias("v")), marks, {"beat": "beat", "until": "until"}, "idx", "idx", width=width).where("beat is not null")
+    zone = (F.col("idx") >= F.col("beat") + hold) & (F.col("idx") < F.col("until"))
+    rows = held.select(KEY, "beat", "idx", "v", F.coalesce(zone, F.lit(False)).alias("zone"))
+    keys = [KEY, "beat"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, top, first, parts = None, 0.0, 0, []
+
+        def made(kind: pa.DataType) -> pa.RecordBatch:
+            found = [{"idx": first + i, "prominence": p} for i, p in zone_peaks(np.concatenate(parts))] if parts else []
+            kinds = (kind, pa.int64(), pa.float64(), pa.list_(pa.struct([("idx", pa.int64()), ("prominence", pa.float64())])))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*now, top, found), kinds)], [*keys, "top", "peaks"])
+
+        kind = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.schema.field(KEY).type
+            v, inside = batch.column("v").to_numpy(zero_copy_only=False), batch.column("zone").to_numpy(zero_copy_only=False)
+            cuts = [0, *np.flatnonzero(_changes(batch, keys)).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                own = tuple(batch.column(c)[a].as_py() for c in keys)
+                if own != now:
+                    if now is not None:
+                        yield made(kind)
+                    now, top, parts = own, -np.inf, []
+                top = max(top, float(v[a:b].max()))
+                if inside[a:b].any():
+                    if not parts:
+                        first = batch.column("idx")[a + int(inside[a:b].argmax())].as_py()
+                    parts.append(v[a:b][inside[a:b]])
+        if now is not None:
+            yield made(kind)
+
+    kind = signal.schema[KEY].dataType.simpleString()
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "idx").mapInArrow(run, f"{KEY} {kind}, beat long, top double, peaks array<struct<idx: long, prominence: double>>")
 
 
 def prominent_stretch(signal: DataFrame, beats: DataFrame, fs: float, stretch: int = 5) -> DataFrame:
     """rec_id, start, end, n_secondary, first: of each recording the stretch of so many intervals between beats(rec_id, idx) in which, but
     for its last interval, the most secondary peaks stand out by SHARE of its largest sample, the earliest of equals; from its first
     beat to the one behind it, with their number and first place. A recording without any has its first DEFAULT_S seconds."""
-    order = by("idx")
-    ahead = order.rowsBetween(0, stretch - 1)
-    numbered = beats.select(KEY, "idx", F.row_number().over(order).alias("k"), F.lead("idx", stretch).over(order).alias("end"))
-    marks = beats.select(KEY, "idx", F.col("idx").alias("beat"))
-    tops = joins.last_before(signal.select(KEY, "idx", "v"), marks, {"beat": "beat"}, "idx", "idx", width=1 << 20).where("beat is not null").groupBy(KEY, F.col("beat").alias("idx")).agg(F.max("v").alias("top"))
-    rows = numbered.join(tops, [KEY, "idx"]).withColumn("bar", F.max("top").over(ahead) * SHARE)
-    stretches = rows.where("end is not null").select(KEY, "k", F.col("idx").alias("start"), "end", "bar")
-    found = secondary_peaks(signal, beats, fs).join(numbered.select(KEY, F.col("idx").alias("beat"), F.col("k").alias("of")), [KEY, "beat"])
-    near = found.select(KEY, "idx", "prominence", F.explode(F.sequence(F.greatest(F.lit(1), F.col("of") - (stretch - 2)), F.col("of"))).alias("k"))
-    counts = near.join(stretches, [KEY, "k"]).where("prominence >= bar").groupBy(KEY, "k", "start", "end").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
-    best = counts.groupBy(KEY).agg(F.max_by(F.struct("start", "end", "n", "first"), F.struct("n", (-F.col("start")).alias("early"))).alias("b"))
+    order = by("beat")
+    rows = intervals(signal, beats, fs).withColumns({
+        "end": F.lead("beat", stretch).over(order),
+        "bar": F.max("top").over(order.rowsBetween(0, stretch - 1)) * SHARE,
+        "near": F.flatten(F.collect_list("peaks").over(order.rowsBetween(0, stretch - 2))),
+    })
+    found = rows.where("end is not null").withColumn("own", F.filter("near", lambda p: p["prominence"] >= F.col("bar"))).where(F.size("own") > 0)
+    best = found.groupBy(KEY).agg(F.max_by(F.struct(F.col("beat").alias("start"), "end", F.size("own").cast("long").alias("n"), F.array_min("own.idx").alias("first")), F.struct(F.size("own").alias("n"), (-F.col("beat")).alias("early"))).alias("b"))
     length = signal.groupBy(KEY).agg((F.max("idx") + 1).alias("n"))
     none = {"start": F.lit(0).cast("long"), "end": F.least(F.lit(int(DEFAULT_S * fs)), "n").cast("long"), "n": F.lit(0).cast("long")}
     got = length.join(best, KEY, "left")

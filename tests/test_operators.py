@@ -300,8 +300,9 @@ def test_secondary_peaks_show_where_t_waves_are(spark):
     got = {r.rec_id: tuple(r)[1:] for r in secondary.prominent_stretch(signal, beats, 250.0).collect()}
     # of the stretches with all of four waves before their last interval the earliest
     assert got == {"waves": (marks[8], marks[13], 4, marks[8] + 75), "few": (0, 1250, 0, None), "none": (0, 1, 0, None)}
-    found = secondary.secondary_peaks(signal, beats, 250.0).collect()
-    assert sorted((r.beat, r.idx, r.prominence) for r in found if r.rec_id == "waves") == [(m, m + 75, 3.0) for m in marks[8:13]]
+    found = [r for r in secondary.intervals(signal, beats, 250.0, 37).collect() if r.rec_id == "waves"]
+    assert len(found) == len(marks) and all(r.top == 10.0 for r in found)
+    assert sorted((r.beat, *p) for r in found for p in r.peaks) == [(m, m + 75, 3.0) for m in marks[8:13]]
 
 
 def test_alignment_moves_and_clips(spark):

@@ -201,20 +201,6 @@ def win25_twave_region(spark: SparkSession, sf: str) -> DataFrame:
     return T.prominent_stretch(s, beats, RATE)
 
 
-@query()
-def sqi09_kmeans_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Windows in four clusters of standardised features."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    from .quality import frame_sqi
-
-    names = ["ratio", "snr", "skew", "kurt", "score"]
-    x = VectorAssembler(inputCols=names, outputCol="raw").transform(frame_sqi(spark, sf))
-    x = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x).transform(x)
-    return KMeans(k=4, seed=42, maxIter=20).fit(x).transform(x).select("rec_id", F.col("prediction").alias("cluster"))
-
-
 @query()
 def aug02_to_aug15_augmented(spark: SparkSession, sf: str) -> DataFrame:
     """Noisy versions of every frame with the log of what was done to each."""

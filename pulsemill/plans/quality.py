@@ -142,7 +142,7 @@ def _rules(spark: SparkSession, sf: str) -> DataFrame:
     s = frame_samples(spark, sf)
     c = s.withColumn("s", F.signum(F.col("v") - F.avg("v").over(Window.partitionBy(REC)))).withColumn("d", F.abs(F.col("s") - F.lag("s").over(W.by("idx"))))
     shape = c.groupBy(REC).agg(F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurt"), (F.sum("d") / (2 * F.count("*"))).alias("zcr"))
-    b = _bands(spark, sf).select(REC, (F.col("qrs") / F.col("total")).alias("share"), (10 * F.log10(F.col("qrs") / F.col("noise"))).alias("snr"), (F.col("pulse") / F.col("total")).alias("pshare"))
+    b = _bands(spark, sf).select(REC, (F.col("qrs") / F.col("total")).alias("share"), (10 * F.log10(F.col("qrs") / F.col("noise"))).alias("snr"), (F.col("pulse") / F.col("total")).alias("pshare"), "total")
     r = b.join(shape, REC).join(histogram_entropy(s.select(REC, "v")), REC)
     return r.withColumn("ecg", Q.ecg_rules(F.col("share"), F.col("snr"), F.col("kurt"), F.col("zcr"))).withColumn("ppg", Q.ppg_rules(F.col("pshare"), F.col("skew"), F.col("entropy"), F.col("kurt")))
 
@@ -311,3 +311,18 @@ def agg19_template_sqi(spark: SparkSession, sf: str) -> DataFrame:
     tm = u.groupBy(REC, "j").agg(F.percentile("v", 0.5).alias("m"))
     r = u.join(tm, [REC, "j"]).groupBy(REC, "i").agg(F.corr("v", "m").alias("r"))
     return r.groupBy(REC).agg(F.round(F.avg(F.greatest(F.lit(0.0), F.col("r"))), 6).alias("template_sqi"))
+
+
+#: Features of a window's optical and electric signal that clusters are made of.
+CLUSTERED = ("ppg_skew", "ppg_kurtosis", "ppg_entropy", "ppg_rel_power", "ppg_zcr", "ppg_total_power", "ecg_skew", "ecg_kurtosis", "ecg_rel_power_qrs", "ecg_zcr", "ecg_total_power")
+
+
+@query()
+def sqi09_kmeans_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames in four clusters of eleven features; a frame's optical signal is the next frame."""
+    from ..operators import clusters
+
+    r = _rules(spark, sf)
+    ecg = r.select(REC, F.col("skew").alias("ecg_skew"), F.col("kurt").alias("ecg_kurtosis"), F.col("share").alias("ecg_rel_power_qrs"), F.col("zcr").alias("ecg_zcr"), F.col("total").alias("ecg_total_power"))
+    ppg = r.select((F.col(REC) - 1).alias(REC), F.col("skew").alias("ppg_skew"), F.col("kurt").alias("ppg_kurtosis"), F.col("entropy").alias("ppg_entropy"), F.col("pshare").alias("ppg_rel_power"), F.col("zcr").alias("ppg_zcr"), F.col("total").alias("ppg_total_power"))
+    return clusters.kmeans(ecg.join(ppg, REC), list(CLUSTERED))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import fills
+from ..operators import fills, selection as O
 from .bindings import EV, FS, SM, events, frame_samples, samples
 from .registry import query
 
@@ -35,10 +35,10 @@ def prj01_decode_words(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {SM}, m AS (SELECT *, quantile_cont(v, 0.5) OVER p AS md FROM sm WINDOW p AS (PARTITION BY rec_id)), d AS (SELECT *, quantile_cont(abs(v - md), 0.5) OVER (PARTITION BY rec_id) AS mad, avg(v) OVER (PARTITION BY rec_id) AS mean FROM m)
 SELECT rec_id, idx, round(CASE WHEN mad > 1e-9 THEN (v - md) / (1.4826 * mad) ELSE v - mean END, 6) AS z FROM d""")
 def prj02_src04_robust_z(spark: SparkSession, sf: str) -> DataFrame:
-    """Median and deviation are two aggregates joined back: a window of percentiles would hold each series for every row."""
+    """Median and deviation are selected and joined back: a window of percentiles would hold each series for every row."""
     s = samples(spark, sf).select(REC, "idx", "v")
-    md = s.groupBy(REC).agg(F.percentile("v", 0.5).alias("md"), F.avg("v").alias("mean"))
-    mad = s.join(md, REC).groupBy(REC).agg(F.percentile(F.abs(F.col("v") - F.col("md")), 0.5).alias("mad"))
+    md = O.median(s, name="md").join(s.groupBy(REC).agg(F.avg("v").alias("mean")), REC)
+    mad = O.median(s.join(md, REC).select(REC, F.abs(F.col("v") - F.col("md")).alias("d")), "d", "mad")
     z = F.when(F.col("mad") > 1e-9, (F.col("v") - F.col("md")) / (1.4826 * F.col("mad"))).otherwise(F.col("v") - F.col("mean"))
     return s.join(md, REC).join(mad, REC).select(REC, "idx", F.round(z, 6).alias("z"))
 
@@ -87,7 +87,7 @@ def prj13_safe_names(spark: SparkSession, sf: str) -> DataFrame:
 def prj14_quantile_clip(spark: SparkSession, sf: str) -> DataFrame:
     """Samples held between two quantiles of their series."""
     s = samples(spark, sf)
-    q = s.groupBy(REC).agg(F.percentile("v", F.array(F.lit(0.005), F.lit(0.995))).alias("ends"))
+    q = O.quantiles(s, [0.005, 0.995]).withColumnRenamed("q", "ends")
     return s.join(q, REC).select(REC, "idx", F.round(F.least(F.greatest(F.col("v"), F.col("ends")[0]), F.col("ends")[1]), 6).alias("v"))
 
 
@@ -103,7 +103,7 @@ SELECT rec_id, peak_id, value FROM ev JOIN k USING (rec_id) WHERE n < 3 OR (valu
 def flt04_amplitude_outliers(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks within 1.5 standard deviations of the median amplitude, where there are three or more."""
     ev = events(spark, sf)
-    k = ev.groupBy(REC).agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("md"), F.stddev_pop("value").alias("sd"))
+    k = ev.groupBy(REC).agg(F.count("*").alias("n"), F.stddev_pop("value").alias("sd")).join(O.median(ev, "value", "md"), REC)
     near = F.col("value").between(F.col("md") - 1.5 * F.col("sd"), F.col("md") + 1.5 * F.col("sd"))
     return ev.join(k, REC).where((F.col("n") < 3) | near).select(REC, "peak_id", "value")
 

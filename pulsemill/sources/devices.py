@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import fills, scan
+from ..operators import fills, scan, selection
 
 HEADER = 100
 #: Channel codes of a four-channel export, and words that name a channel in another.
@@ -152,8 +152,8 @@ def read_word_belt(spark: SparkSession, path: str, rec_id: str, mode: str = "nor
         rows = fills.interpolate(rows.withColumn("v", S.decode_word(F.col("v").cast("long"))), empty=0.0)
         rows = rows.join(rows.groupBy("rec_id").agg(F.avg("v").alias("mean")), "rec_id").withColumn("v", F.col("v") - F.col("mean"))
     elif mode == "normalize":
-        middle = rows.groupBy("rec_id").agg(F.percentile("v", 0.5).alias("md"), F.avg("v").alias("mean"))
-        off = rows.join(middle, "rec_id").groupBy("rec_id", "md", "mean").agg(F.percentile(F.abs(F.col("v") - F.col("md")), 0.5).alias("mad"))
+        middle = rows.groupBy("rec_id").agg(F.avg("v").alias("mean")).join(selection.median(rows, name="md"), "rec_id", "left")
+        off = middle.join(selection.median(rows.join(middle, "rec_id").select("rec_id", F.abs(F.col("v") - F.col("md")).alias("d")), "d", "mad"), "rec_id", "left")
         scaled = F.try_divide(F.col("v") - F.col("md"), 1.4826 * F.col("mad"))
         rows = rows.join(off, "rec_id").withColumn("v", F.when(F.col("mad") > 1e-9, scaled).otherwise(F.col("v") - F.col("mean")))
     rows = rows.join(fs, "rec_id", "left").withColumn("fs", F.coalesce("fs", F.lit(125.0)))

@@ -23,6 +23,8 @@ from .common import materialize
 PIVOTS, MOST = 64, 4096
 #: Rows of a group, and queries, that one task solves at once; more are dealt into blocks.
 BLOCK, QUERIES = 8192, 2048
+#: Numbers of a table of rows by pivots, or by bounds, that a task holds at once.
+HELD = 1 << 21
 
 
 def quantized(vectors: DataFrame, scale: int) -> DataFrame:
@@ -57,6 +59,12 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def _slices(rows: int, width: int) -> list[tuple[int, int]]:
+    """Bounds of consecutive rows whose tables of so many columns hold about HELD numbers."""
+    step = max(1, HELD // max(1, width))
+    return [(a, min(rows, a + step)) for a in range(0, rows, step)]
+
+
 def _assign(pivots: np.ndarray):
     p = pivots.astype(np.float64)
 
@@ -65,7 +73,8 @@ def _assign(pivots: np.ndarray):
             if batch.num_rows:
                 x = matrix(batch.column("v"), p.shape[1]).astype(np.float64)
                 q = np.pad(p, ((0, 0), (0, x.shape[1] - p.shape[1])))
-                g = ((q * q).sum(axis=1) - 2 * (x @ q.T)).argmin(axis=1)
+                size = (q * q).sum(axis=1)
+                g = np.concatenate([(size - 2 * (x[a:b] @ q.T)).argmin(axis=1) for a, b in _slices(len(x), len(q))])
                 dist = np.sqrt(((x - q[g]) ** 2).sum(axis=1))
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(g.astype(np.int64)), pa.array(dist), pa.array(np.sqrt((x * x).sum(axis=1)))], ["vec_id", "v", "g", "dist", "norm"])
 
@@ -81,16 +90,17 @@ def _route(pivots: np.ndarray, groups: list[int], radius: np.ndarray, norms: np.
                 continue
             x = matrix(batch.column("v"), p.shape[1]).astype(np.float64)
             q = np.pad(p, ((0, 0), (0, x.shape[1] - p.shape[1])))
-            size = np.sqrt((x * x).sum(axis=1))[:, None]
-            to = x @ q.T
-            slack = 1e-6 * (1 + np.abs(to).max())
-            most = np.minimum(to[:, groups] + size * radius, size * norms) + slack
-            least = to[:, near_group] - size * near_dist - slack
-            # the query itself may be one of the vectors behind these bounds, hence k + 1
-            bar = np.partition(least, -(k + 1), axis=1)[:, -(k + 1)] if least.shape[1] > k else np.full(len(x), -np.inf)
-            row, col = np.nonzero(most >= bar[:, None])
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("v").take(at), pa.array(np.array(groups, np.int64)[col])], ["vec_id", "v", "g"])
+            for a, b in _slices(len(x), max(len(q), len(near_group))):
+                size = np.sqrt((x[a:b] * x[a:b]).sum(axis=1))[:, None]
+                to = x[a:b] @ q.T
+                slack = 1e-6 * (1 + np.abs(to).max())
+                most = np.minimum(to[:, groups] + size * radius, size * norms) + slack
+                least = to[:, near_group] - size * near_dist - slack
+                # the query itself may be one of the vectors behind these bounds, hence k + 1
+                bar = np.partition(least, -(k + 1), axis=1)[:, -(k + 1)] if least.shape[1] > k else np.full(b - a, -np.inf)
+                row, col = np.nonzero(most >= bar[:, None])
+                at = pa.array(row + a)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("v").take(at), pa.array(np.array(groups, np.int64)[col])], ["vec_id", "v", "g"])
 
     return run
 

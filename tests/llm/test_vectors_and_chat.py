@@ -22,6 +22,7 @@ def brute_force(rows, k, every):
 def test_top_k(spark, pivots, block, monkeypatch):
     monkeypatch.setattr(knn, "BLOCK", block)
     monkeypatch.setattr(knn, "QUERIES", 7)
+    monkeypatch.setattr(knn, "HELD", 1 << 21 if block > 16 else 100)
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(6, 12))
     rows = [(i, [float(np.float32(x)) for x in centres[i % 6] + rng.normal(size=12) * 0.2]) for i in range(400)]
@@ -56,6 +57,24 @@ def test_routing_leaves_groups_out(spark):
     assert next(route(iter([batch]))).column("g").to_pylist() == [0]
 
 
+def test_routing_holds_a_bounded_table():
+    """With the most pivots there are, a batch of rows takes slices of a few dozen, not a table of rows by bounds."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    pivots, k = rng.integers(-900, 900, (knn.MOST, 8)), 10
+    n = knn.MOST * (k + 1)
+    route = knn._route(pivots, list(range(knn.MOST)), np.full(knn.MOST, 1.0), np.full(knn.MOST, 2000.0), np.repeat(np.arange(knn.MOST), k + 1), np.full(n, 0.5), k)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(rng.integers(-900, 900, (1000, 8)).tolist())], ["vec_id", "v"])
+    tracemalloc.start()
+    sent = sum(b.num_rows for b in route(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent >= 1000 and peak < 150e6 < 1000 * n * 8
+
+
 def conversations():
     rng = random.Random(6)
     rows = []

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters as fl
-from ..operators import augment as A, detectors as D, peaks as K, secondary as T
+from ..operators import augment as A, detectors as D, noise as NZ, peaks as K, secondary as T
 from .bindings import FR, SM, frames, samples
 from .registry import query
 
@@ -131,8 +131,8 @@ def pre03_pipelines(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].join(parts[1], ["rec_id", "idx"]).join(parts[2], ["rec_id", "idx"])
 
 
-#: Samples of a frame of the detectors' signals, and of its halo on either side.
-SIZE, HALO = 256, 64
+#: Samples of a frame of the detectors' signals, a minute, and of its halo on either side, ten seconds in which levels settle.
+SIZE, HALO = int(60 * RATE), int(10 * RATE)
 
 
 def _signals(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,11 +206,47 @@ def aug02_to_aug15_augmented(spark: SparkSession, sf: str) -> DataFrame:
     """Noisy versions of every frame with the log of what was done to each."""
     x = frames(spark, sf).select("rec_id", F.lit(RATE).alias("fs"), "x")
     done = A.augment(x, seed=42)
-    return done.select("rec_id", "log", F.size("noisy").alias("n"), F.round(F.aggregate("noisy", F.lit(0.0), lambda a, v: a + v * v), 6).alias("energy"))
+    return done.select("rec_id", "log", F.size("noisy").alias("n"), F.round(F.aggregate("noisy", F.lit(0.0), lambda a, v: a + v * v), 6).alias("energy"), "noisy")
 
 
 @query()
 def aug12_jittered_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Windows of 50 samples about every 40th sample, moved by a random jitter, with the peaks inside."""
+    """Windows of 50 samples about every 40th sample, moved by a random jitter, with their largest sample."""
     s = samples(spark, sf).select("rec_id", "idx", "v")
-    return A.jittered_windows(s, every=40, size=50, jitter=20, seed=42).select("rec_id", "start", F.size("x").alias("n"), F.round(F.array_max("x"), 4).alias("top"))
+    return A.jittered_windows(s, every=40, size=50, jitter=20, seed=42).select("rec_id", "start", F.size("x").alias("n"), F.round(F.array_max("x"), 4).alias("top"), "x")
+
+
+#: Autocorrelations of two kinds of noise, for the recursion of three steps.
+LPC = f"""{SM}, nz AS (SELECT rec_id, rec_id % 2 AS kind, idx, (c - avg(c) OVER (PARTITION BY rec_id)) / 100 AS v FROM sm), lg AS (SELECT *, lag(v) OVER w AS l1, lag(v, 2) OVER w AS l2, lag(v, 3) OVER w AS l3 FROM nz WINDOW w AS (PARTITION BY rec_id ORDER BY idx)),
+ac AS (SELECT kind, count(*) AS n, sum(v * v) / sum(v * v) AS a, sum(v * l1) / sum(v * v) AS b, sum(v * l2) / sum(v * v) AS c, sum(v * l3) / sum(v * v) AS d FROM lg GROUP BY kind)"""
+
+
+def _noise(spark: SparkSession, sf: str) -> DataFrame:
+    s = samples(spark, sf).select("rec_id", "idx", "c")
+    mean = s.groupBy("rec_id").agg((F.sum("c") / F.count("*")).alias("mean"))
+    return s.join(mean, "rec_id").select("rec_id", (F.col("rec_id") % 2).alias("kind"), "idx", ((F.col("c") - F.col("mean")) / 100).alias("v"))
+
+
+@query(f"""WITH {LPC}, s AS (SELECT kind, n, b, c, d, 1 - b * b AS e1 FROM ac), k AS (SELECT *, (c - b * b) / e1 AS k2 FROM s), m AS (SELECT *, b - k2 * b AS p1, k2 AS p2, e1 * (1 - k2 * k2) AS e2 FROM k), z AS (SELECT *, (d - p1 * c - p2 * b) / e2 AS k3 FROM m)
+SELECT kind, n, round(p1 - k3 * p2, 6) AS a1, round(p2 - k3 * p1, 6) AS a2, round(k3, 6) AS a3 FROM z""")
+def aug04_noise_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictors of two kinds of noise, from sums over all their records."""
+    return NZ.predictors(_noise(spark, sf)).select("kind", "n", *[F.round(F.col("a")[i], 6).alias(f"a{i + 1}") for i in range(NZ.ORDER)])
+
+
+@query()
+def aug04_noise_at_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames with noise of either kind at 6 dB: the samples, and the ratio as measured."""
+    x = frames(spark, sf).select("rec_id", (F.col("rec_id") % 2).alias("kind"), "x")
+    noisy = NZ.with_noise(x, NZ.fit(_noise(spark, sf)), 6.0)
+    power = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v)
+    got = noisy.join(x.drop("kind"), "rec_id").withColumn("snr", 10 * F.log10(power("x") / power(F.zip_with("noisy", "x", lambda a, b: a - b))))
+    return got.select("rec_id", "kind", F.round("snr", 3).alias("snr_db"), "noisy")
+
+
+@query()
+def aug14_weak_lead_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames as windows of a weak lead, noisy, with their truth maps."""
+    crests = lambda x: F.filter(F.sequence(F.lit(1), F.size(x) - 2), lambda i: (F.get(x, i) > F.get(x, i - 1)) & (F.get(x, i) > F.get(x, i + 1)) & (F.get(x, i) > 0.15))
+    x = frames(spark, sf).select("rec_id", "x", crests(F.col("x")).alias("peaks"))
+    return NZ.weak_lead_windows(x, 100.0)

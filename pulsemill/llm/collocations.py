@@ -28,9 +28,9 @@ ROW_BYTES = 1 << 20
 #: A bitmap has 2**bits bits: one for about eight words of the corpus, and no more than 16 MB.
 LEAST_BITS, MOST_BITS = 16, 27
 #: Bucket counts that a task gathers before it hands them on, and buckets whose counts travel together.
-HELD, BLOCK = 1 << 20, 1 << 12
+HELD, BLOCK = 1 << 19, 1 << 12
 #: Encoded rows that a Python worker is handed at once.
-ROWS = 8
+ROWS = 4
 BREAKS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 #: Groups that the phrases of a lang are dealt into before the first of each, and then of all, are taken.
 SALTS = 64

@@ -41,7 +41,9 @@ def agg02_error_block(spark: SparkSession, sf: str) -> DataFrame:
     """Error of the test's values against the reference's, pair by pair in order: bias, spread, absolute, squared and relative means, median."""
     e = F.col("e")
     r = lambda c, n: F.round(F.coalesce(c, F.lit(0.0)), 5).alias(n)
-    return _pairs(spark, sf).groupBy(REC).agg(F.coalesce(F.avg("c") / 100, F.lit(0.0)).alias("bias"), r(F.stddev_pop(e), "sd"), F.coalesce(F.avg(F.abs("c")) / 100, F.lit(0.0)).alias("mae"), r(F.sqrt(F.avg(e * e)), "rmse"), r(100 * F.avg(F.abs(e) / F.col("ref")), "mape"), r(F.percentile(F.abs(e), 0.5), "median_ae"))
+    # over a reference of zero an error is infinite, and none at all is no number, as in the SQL
+    share = F.when(F.col("ref") != 0, F.abs(e) / F.col("ref")).when(F.col("ref") == 0, F.when(e != 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
+    return _pairs(spark, sf).groupBy(REC).agg(F.coalesce(F.avg("c") / 100, F.lit(0.0)).alias("bias"), r(F.stddev_pop(e), "sd"), F.coalesce(F.avg(F.abs("c")) / 100, F.lit(0.0)).alias("mae"), r(F.sqrt(F.avg(e * e)), "rmse"), r(100 * F.avg(share), "mape"), r(F.percentile(F.abs(e), 0.5), "median_ae"))
 
 
 @query(f"""{PAIR} SELECT rec_id, avg(c) / 100 AS bias, round(avg(e) - 1.96 * stddev_samp(e), 5) AS lo_samp, round(avg(e) + 1.96 * stddev_samp(e), 5) AS hi_samp, round(avg(e) - 1.96 * stddev_pop(e), 5) AS lo_pop, round(avg(e) + 1.96 * stddev_pop(e), 5) AS hi_pop FROM p GROUP BY rec_id""")

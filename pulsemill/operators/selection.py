@@ -1,8 +1,11 @@
 """Exact quantiles of large groups without a buffer of a group's values.
 
-Equal values are counted first, by partial aggregates, so that a group that holds most rows is spread. A mergeable sketch of bounded
-size cuts each group into ranges of about equally many values; within a range values are sorted and counted up, and a table of one
-row for each range carries the counts along. The ranks asked for are then read off.
+Equal values are counted first, by partial aggregates, so that a group that holds most rows is spread. Some thousand of its distinct
+values, chosen by their hash, cut each group into ranges of about equally many values; within a range values are sorted and counted up,
+and a table of one row for each range carries the counts along. The ranks asked for are then read off.
+
+The cuts must come out the same whenever a plan works them out, as the counts of ranges and the values in them are two branches of it.
+A sketch of all values would not do: it depends on the order in which parts are merged.
 """
 
 from __future__ import annotations
@@ -13,8 +16,8 @@ from pyspark.sql import functions as F
 from . import scan
 from .windows import KEY
 
-#: Ranges of a group, and the sketch's accuracy: a range's share is off by its inverse at most.
-RANGES, ACCURACY = 64, 1000
+#: Ranges of a group, values that its cuts are taken from, and an accuracy at which percentile_approx() keeps all of these.
+RANGES, PICKED, ACCURACY = 64, 4096, 1_000_000
 
 
 def quantiles(values: DataFrame, probs: list[float], v: str = "v", ranges: int = RANGES) -> DataFrame:
@@ -23,8 +26,12 @@ def quantiles(values: DataFrame, probs: list[float], v: str = "v", ranges: int =
     own = values.where(F.col(v).isNotNull()).select(KEY, F.col(v).cast("double").alias("_v"))
     counts = own.groupBy(KEY, "_v").agg(F.count("*").alias("_n"))
     cuts = [(i + 1) / ranges for i in range(ranges - 1)]
-    borders = own.groupBy(KEY).agg(F.count("*").alias("_all"), F.percentile_approx("_v", cuts, ACCURACY).alias("_cuts"))
-    rows = counts.join(borders, KEY).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).select(KEY, "_v", "_n", "_all", "_bin")
+    sizes = counts.groupBy(KEY).agg(F.sum("_n").alias("_all"), F.count("*").alias("_distinct"))
+    every = F.greatest(F.lit(1), F.ceil(F.col("_distinct") / PICKED))
+    picked = counts.join(sizes, KEY).where(F.pmod(F.xxhash64("_v"), every) == 0)
+    borders = sizes.join(picked.groupBy(KEY).agg(F.percentile_approx("_v", cuts, ACCURACY).alias("_cuts")), KEY, "left")
+    below = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= F.col("_v")))
+    rows = counts.join(borders, KEY).withColumn("_bin", below).select(KEY, "_v", "_n", "_all", "_bin")
     rows = scan.running(rows, ["_v"], F.col("_bin"), {"_upto": F.col("_n")})
     place = lambda p: p * (F.col("_all") - 1)
     ranks = [f(place(p)) for p in probs for f in (F.floor, F.ceil)]

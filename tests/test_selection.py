@@ -32,3 +32,14 @@ def test_no_buffer_of_values(spark):
     got = {r.rec_id: r.median for r in selection.median(df).collect()}
     assert got["even"] == 49.5 and got["two"] == 1.5 and got["same"] == 7.0
     assert selection.median(df.where("false")).collect() == []
+
+
+def test_large_groups_have_the_same_cuts_in_both_branches(spark):
+    rng = random.Random(11)
+    df = spark.createDataFrame([(r, round(rng.uniform(0, 1e5), 2)) for r in range(3) for _ in range(30_000)], "rec_id long, v double").repartition(16)
+    want = {r.rec_id: list(r.q) for r in df.groupBy("rec_id").agg(F.percentile("v", F.array(*map(F.lit, PROBS))).alias("q")).collect()}
+    for _ in range(3):
+        assert {r.rec_id: list(r.q) for r in selection.quantiles(df, PROBS).collect()} == want
+    # no sketch that depends on the order of merging: each group's cuts come from values picked by their hash
+    plan = selection.quantiles(df, PROBS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(_v" in plan

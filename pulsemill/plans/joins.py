@@ -199,12 +199,16 @@ SELECT rec_id, tp, fn, fp, CASE WHEN fn + fp > 1 THEN 0.0 WHEN fn = 1 AND fp = 0
 FROM sc JOIN h USING (rec_id) WHERE a IS NOT NULL""")
 def agg11_record_score(spark: SparkSession, sf: str) -> DataFrame:
     """Flag of a record by its errors, and tiers of the heart-rate error (here: of the mean values, cut to integers)."""
-    mean = lambda k: F.avg(F.when(F.col("event_type") == k, F.col("value")))
-    h = events(spark, sf).groupBy(REC).agg(mean("view").alias("a"), mean("click").alias("r")).where("a is not null")
-    off = F.abs(F.floor("a") - F.floor("r"))
+    # sums of whole cents are exact in any order, so that a mean that is a whole number is not cut to the one below
+    of = lambda k, x: F.when(F.col("event_type") == k, x)
+    cents = F.round(F.col("value") * 100).cast("long")
+    sides = [(f"{n}{side}", f(of(k, x))) for side, k in (("a", "view"), ("r", "click")) for n, f, x in (("c", F.sum, cents), ("n", F.count, F.col("value")))]
+    h = events(spark, sf).groupBy(REC).agg(*[x.alias(n) for n, x in sides]).where("na > 0")
+    whole = lambda side: F.floor(F.col(f"c{side}") / F.when(F.col(f"n{side}") > 0, 100 * F.col(f"n{side}")))
+    off = F.abs(whole("a") - whole("r"))
     tier = F.lit(0.0)
-    for share, points in ((0.2, 0.25), (0.1, 0.5), (0.05, 0.75), (0.02, 1.0)):
-        tier = F.when(off <= share * F.col("r"), points).otherwise(tier)
+    for share, points in ((20, 0.25), (10, 0.5), (5, 0.75), (2, 1.0)):
+        tier = F.when(off * 10_000 * F.col("nr") <= share * F.col("cr"), points).otherwise(tier)
     fn, fp = F.col("fn"), F.col("fp")
     flag = F.when(fn + fp > 1, 0.0).when((fn == 1) & (fp == 0), 0.3).when((fn == 0) & (fp == 1), 0.7).otherwise(1.0)
     return _cpsc(spark, sf).join(h, REC).select(REC, "tp", "fn", "fp", flag.alias("flag"), tier.alias("hr_score"))

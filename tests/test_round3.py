@@ -34,3 +34,15 @@ def test_error_over_a_reference_of_zero(spark, tmp_path):
     rows = [(u, k, v) for u, ps in pairs.items() for p in ps for k, v in zip(("click", "view"), p)]
     got, want = both(spark, tmp_path, "agg02_error_block", events=events(rows))
     assert got == want and {math.isinf(r[5]) if r[5] != "nan" else "nan" for r in got} == {True, False, "nan"}
+
+
+def test_a_whole_mean_is_not_cut_below_itself(spark, tmp_path):
+    clicks = [44.65, 47.64, 42.71] * 100
+    total = 0.0
+    for v in clicks:
+        total += v
+    assert total / len(clicks) < 45 and sum(round(v * 100) for v in clicks) == 4500 * len(clicks)
+    rows = [(1, "click", v) for v in clicks] + [(1, "view", 40.0), (2, "view", 3.0), (3, "click", 3.0)]
+    got, _ = both(spark, tmp_path, "agg11_record_score", events=events(rows))
+    # off by 5 of 45, which is over a tenth; by 4 it would be under
+    assert [(r[0], r[-1]) for r in got if r[0] != 2] == [(1, 0.25)]

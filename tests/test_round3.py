@@ -1,11 +1,15 @@
 """Odd and larger inputs on which queries once failed, against their SQL twins."""
 
 import math
+import random
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 
+from pulsemill.operators import spectral, sync
 from pulsemill.plans import ORACLES, QUERIES
 
 
@@ -46,3 +50,21 @@ def test_a_whole_mean_is_not_cut_below_itself(spark, tmp_path):
     got, _ = both(spark, tmp_path, "agg11_record_score", events=events(rows))
     # off by 5 of 45, which is over a tenth; by 4 it would be under
     assert [(r[0], r[-1]) for r in got if r[0] != 2] == [(1, 0.25)]
+
+
+@pytest.mark.parametrize("method, closed", [("squared", True), ("whole", False), ("raw", True)])
+def test_lags_of_blocks_equal_those_of_plans(spark, method, closed):
+    rng = random.Random(5)
+    wave = lambda: [rng.gauss(0, 1) for _ in range(32)]
+    rows = [(i, wave(), wave()) for i in range(40)] + [(40, [0.0] * 32, wave()), (41, None, wave()), (42, wave(), [None] + wave()[1:]), (43, [1.0, -1.0] * 16, [1.0, -1.0] * 16)]
+    df = spark.createDataFrame(rows, "rec_id long, a array<double>, b array<double>").repartition(3)
+    r = spectral.xcorr(df, 32, 6, method)
+    r = r if closed else r.where("lag < 6")
+    key = F.struct(F.round("r", 9).alias("r"), (-F.col("lag")).alias("k"))
+    want = {x.rec_id: (x.lag, x.r) for x in r.groupBy("rec_id").agg(F.max_by("lag", key).alias("lag"), F.max("r").alias("r")).collect()}
+    found = sync.best_lag(df, 32, 6, method, closed)
+    got = {x.rec_id: (x.lag, x.r) for x in found.collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+    # no row for each pair and lag
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -30,8 +30,13 @@ def local_maxima(signal: DataFrame, at: str = "idx", v: str = "v", width: float
     sure = lambda c: F.coalesce(c, F.lit(False))
     rows = rows.withColumns({"_b": before, "_a": after})
     rows = rows.select(KEY, "_at", "_v", sure(F.col("_b") < F.col("_v")).alias("_rises"), sure(F.col("_a") < F.col("_v")).alias("_falls"), (~sure(F.col("_b") == F.col("_v"))).alias("_begins"), (~sure(F.col("_a") == F.col("_v"))).alias("_ends"))
+    return middles(rows.where("(_begins and _ends and _rises and _falls) or _begins <> _ends"), at, v)
+
+
+def middles(few: DataFrame, at: str, v: str) -> DataFrame:
+    """rec_id, at, v: the middle places of the runs that rise before and fall behind, of few(rec_id, _at, _v, _rises, _falls, _begins,
+    _ends), the ends of runs of several and the peaks of one place."""
     # where a run of several begins the row of its end is the next one
-    few = rows.where("(_begins and _ends and _rises and _falls) or _begins <> _ends")
     w = by("_at")
     start = F.when(F.col("_begins"), F.struct(F.col("_at").alias("at"), F.col("_rises").alias("rises"))).otherwise(F.struct(F.lag("_at").over(w).alias("at"), F.lag("_rises").over(w).alias("rises")))
     found = few.withColumn("_from", start).where("_ends and _falls and _from.rises")

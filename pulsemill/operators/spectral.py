@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from math import pi
+from collections.abc import Iterator
+from math import exp, pi
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = "rec_id"
+#: Places of a pane of a density, and panes that a task works on at once.
+PANE, PANES = 256, 512
 
 
 def hann(n: int) -> list[float]:
@@ -82,18 +87,67 @@ def xcorr(pairs: DataFrame, n: int, max_lag: int, method: str = "squared") -> Da
     return rows.select(KEY, "lag", (r / F.col("e")).alias("r"))
 
 
-def gaussian_density(peaks: DataFrame, sigma: float, weight: str = "w", lengths: DataFrame | None = None) -> DataFrame:
-    """rec_id, t, density at whole times around peaks(rec_id, t, w): spikes smoothed by a Gaussian cut at four sigma. With lengths(rec_id,
-    n) what reaches beyond place 0 or n - 1 is reflected there (c b a | a b c), and peaks beyond are no peaks.
+def density_panes(peaks: DataFrame, sigma: float, weight: str = "w", lengths: DataFrame | None = None) -> DataFrame:
+    """rec_id, n, pane, d: the gaussian_density() at the PANE places of a pane and at one more on either side, d[0] being that at
+    pane * PANE - 1; null where no peak reaches, and outside of 0 to n - 1 if there are lengths.
 
-    A peak reaches 8 sigma + 1 places, so it is spread by a sequence and summed; no join of samples and peaks.
+    What is shuffled is a row for each peak, or two at the borders of panes, not one for each place that it reaches.
     """
     reach = int(4 * sigma + 0.5)
-    total = sum(pow(2.718281828459045, -k * k / (2 * sigma * sigma)) for k in range(-reach, reach + 1))
-    t = F.col("t") + F.col("k")
-    if lengths is not None:
-        peaks = peaks.join(lengths.select(KEY, "n"), KEY).where("t >= 0 and t < n")
-        turned = F.pmod(t, 2 * F.col("n"))
-        t = F.when(turned < F.col("n"), turned).otherwise(2 * F.col("n") - 1 - turned)
-    spread = peaks.withColumn("k", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-    return spread.groupBy(KEY, t.alias("t")).agg((F.sum(F.col(weight) * F.exp(-F.col("k") * F.col("k") / (2 * sigma * sigma))) / total).alias("density"))
+    gauss = [exp(-k * k / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
+    total, wide, bounded = sum(gauss), PANE + 2, lengths is not None
+    t = F.col("t")
+    rows = peaks.groupBy(KEY, "t").agg(F.sum(weight).alias("_w"))
+    images = F.array(t.cast("long"))
+    if lengths is None:
+        rows = rows.withColumn("n", F.lit(None).cast("long"))
+    else:
+        rows = rows.join(lengths.select(KEY, F.col("n").cast("long").alias("n")), KEY).where("t >= 0 and t < n")
+        period = 2 * F.col("n")
+        reps = F.ceil(F.lit(reach) / period)
+        turns = F.sequence(-reps, reps)
+        mirrored = F.concat(F.transform(turns, lambda j: t + j * period), F.transform(turns, lambda j: -1 - t + j * period))
+        near = F.filter(mirrored, lambda a: (a >= -reach) & (a < F.col("n") + reach))
+        images = F.when((t >= reach) & (t < F.col("n") - reach), F.array(t.cast("long"))).otherwise(near)
+    rows = rows.select(KEY, "n", "_w", F.explode(images).alias("_y"))
+    first, last = F.ceil((F.col("_y") - PANE - reach) / PANE), F.floor((F.col("_y") + reach + 1) / PANE)
+    if bounded:
+        first, last = F.greatest(first, F.lit(0).cast("long")), F.least(last, F.floor((F.col("n") - 1) / PANE))
+    rows = rows.withColumns({"_first": first, "_last": last}).where("_first <= _last")
+    rows = rows.withColumn("pane", F.explode(F.sequence("_first", "_last")))
+    panes = rows.groupBy(KEY, "n", "pane").agg(F.collect_list(F.struct(F.col("_y").cast("long").alias("y"), F.col("_w").cast("double").alias("w"))).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PANES):
+                batch = whole.slice(at, PANES)
+                m, s, pane = batch.num_rows, batch.column("s"), batch.column("pane").to_numpy()
+                of = np.repeat(np.arange(m), s.value_lengths().to_numpy())
+                y, w = (s.flatten().field(i).to_numpy() for i in (0, 1))
+                held, there = np.zeros((m, wide + 2 * reach)), np.zeros((m, wide + 2 * reach), bool)
+                put = of, y - pane[of] * PANE + 1 + reach
+                held[put], there[put] = w, True
+                d, reached = np.zeros((m, wide)), np.zeros((m, wide), bool)
+                for k, g in enumerate(gauss):
+                    d += held[:, k : k + wide] * g
+                    reached |= there[:, k : k + wide]
+                if bounded:
+                    place = pane[:, None] * PANE + np.arange(-1, PANE + 1)
+                    reached &= (place >= 0) & (place < batch.column("n").to_numpy()[:, None])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * wide, pa.int32()), pa.array((d / total).ravel(), mask=~reached.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(KEY), batch.column("n"), batch.column("pane"), lists], [KEY, "n", "pane", "d"])
+
+    return panes.mapInArrow(run, f"{KEY} {peaks.schema[KEY].dataType.simpleString()}, n long, pane long, d array<double>")
+
+
+def own_places(panes: DataFrame) -> DataFrame:
+    """rec_id, t, density and what else panes has beside n, pane and d: a row for each place of a pane that a peak reaches."""
+    more = [c for c in panes.columns if c not in (KEY, "n", "pane", "d")]
+    rows = panes.select(KEY, "pane", *more, F.posexplode(F.slice("d", 2, PANE)).alias("_i", "density")).where("density is not null")
+    return rows.select(KEY, (F.col("pane") * PANE + F.col("_i")).alias("t"), "density", *more)
+
+
+def gaussian_density(peaks: DataFrame, sigma: float, weight: str = "w", lengths: DataFrame | None = None) -> DataFrame:
+    """rec_id, t, density at whole times around peaks(rec_id, t, w): spikes smoothed by a Gaussian cut at four sigma. With lengths(rec_id,
+    n) what reaches beyond place 0 or n - 1 is reflected there (c b a | a b c), and peaks beyond are no peaks."""
+    return own_places(density_panes(peaks, sigma, weight, lengths)).select(KEY, "t", "density")

@@ -49,7 +49,7 @@ SELECT rec_id, x.t AS t, round(x.d, 6) AS density FROM h"""
 def con01_consensus_peaks(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks of the density of all detectors' beats, 300 ms apart."""
     n = _lengths(spark, sf)
-    return C.consensus_peaks(C.density(_detections(spark, sf), None, SIGMA, lengths=n), n, 0.4, APART).select(REC, "t", F.round("density", 6).alias("density"))
+    return C.agreed(_detections(spark, sf), None, SIGMA, n, 0.4, APART).select(REC, "t", F.round("density", 6).alias("density"))
 
 
 @query(f"""WITH {EV}, {WEIGHTS}, pk AS (SELECT rec_id, event_type AS detector, t_ms // 20 AS t, weight / (SELECT sum(weight) + 1e-9 FROM o) AS w FROM ev JOIN o ON o.detector = ev.event_type), {DENS}, {CONSENSUS}""")
@@ -59,7 +59,7 @@ def con02_weighted_consensus_peaks(spark: SparkSession, sf: str) -> DataFrame:
     score = F.expr("(40 * sum(cast(round(value * 100) AS bigint)) + count(*)) div (2 * count(*)) / 1000000")
     f = events(spark, sf).where("event_type <> 'error'").groupBy(F.col("event_type").alias("detector")).agg(score.alias("weight"))
     n = _lengths(spark, sf)
-    return C.consensus_peaks(C.density(_detections(spark, sf), f, SIGMA, lengths=n), n, 0.4, APART).select(REC, "t", F.round("density", 6).alias("density"))
+    return C.agreed(_detections(spark, sf), f, SIGMA, n, 0.4, APART).select(REC, "t", F.round("density", 6).alias("density"))
 
 
 GATE = f"""WITH {EV}, {WSQI}, gt AS (SELECT e.rec_id, e.t_ms, e.event_type, coalesce(bool_or(w.is_usable), false) AS ensemble FROM ev e LEFT JOIN wq w ON w.rec_id = e.rec_id AND e.t_ms >= window_idx * 5000 + 2500 AND e.t_ms < window_idx * 5000 + 7500 GROUP BY e.rec_id, e.peak_id, e.t_ms, e.event_type),

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from pulsemill.operators import spectral, sync
+from pulsemill.operators import consensus, spectral, sync
 from pulsemill.plans import ORACLES, QUERIES
 
 
@@ -68,3 +68,22 @@ def test_lags_of_blocks_equal_those_of_plans(spark, method, closed):
     assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
     # no row for each pair and lag
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_density_by_panes_equals_a_loop_and_spreads_no_peak(spark):
+    rng = random.Random(9)
+    n = {0: 7, 1: 256, 2: 257, 3: 700}
+    rows = sorted({(r, f"d{rng.randrange(3)}", rng.randrange(m)) for r, m in n.items() for _ in range(m // 8 + 2)} | {(2, "d0", 0), (2, "d0", 255), (2, "d0", 256)})
+    want = {}
+    for r, _, t in rows:
+        for k in range(-20, 21):
+            x = (t + k) % (2 * n[r])
+            x = x if x < n[r] else 2 * n[r] - 1 - x
+            want[r, x] = want.get((r, x), 0) + math.exp(-k * k / 50)
+    df, ends = spark.createDataFrame(rows, "rec_id long, detector string, t long"), spark.createDataFrame(list(n.items()), "rec_id long, n long")
+    density = consensus.density(df, None, 5.0, lengths=ends)
+    assert "sequence(-20, 20" not in density._jdf.queryExecution().optimizedPlan().toString()
+    top = {r: max(v for (q, _), v in want.items() if q == r) for r in n}
+    assert {(x.rec_id, x.t): x.density for x in density.collect()} == pytest.approx({k: v / top[k[0]] for k, v in want.items()})
+    show = lambda found: sorted((x.rec_id, x.t, x.density) for x in found.collect())
+    assert show(consensus.agreed(df, None, 5.0, ends)) == show(consensus.consensus_peaks(density, ends))

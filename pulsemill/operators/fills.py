@@ -13,7 +13,7 @@ def _around(df: DataFrame, x: str, vs: list[str], order: tuple[str, ...] = (), w
     """df with, for each column v of vs, _b_v and _a_v: the place and value of the last valid sample at or before a row and of the
     first at or after it."""
     own = {v: F.when(F.col(v).isNotNull(), F.struct(F.col(x).alias("x"), F.col(v).alias("v"))) for v in vs}
-    return scan.carried(df, list(order or (x,)), scan.every(x, width), {f"_b_{v}": m for v, m in own.items()}, {f"_a_{v}": m for v, m in own.items()})
+    return scan.carried(df, list(order or (x,)), scan.every(x, width), {f"_b_{v}": m for v, m in own.items()}, {f"_a_{v}": m for v, m in own.items()}, marks_by=[x])
 
 
 def _line(at: Column, v: str) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .windows import KEY
 
@@ -47,34 +48,47 @@ def running(rows: DataFrame, order: list[str], at: Column, sums: dict[str, Colum
     return own.withColumns(out).drop(RANGE, *[f"_{k}_{n}" for n in values for k in "xo"])
 
 
-def carried(rows: DataFrame, order: list[str], at: Column, back: dict[str, Column] | None = None, ahead: dict[str, Column] | None = None, marked: DataFrame | None = None) -> DataFrame:
+def carried(rows: DataFrame, order: list[str], at: Column, back: dict[str, Column] | None = None, ahead: dict[str, Column] | None = None, marked: DataFrame | None = None, marks_by: list[str] | None = None) -> DataFrame:
     """rows with, for each of back (new column -> value, null where a row is no mark), the last value at or before the row in the
     order of the columns `order`, and for each of ahead the first at or after it; `at` numbers ranges in that order. Marks of
     both are told in one scan. marked: those of rows that can be marks, where they are known apart, so that what else there
-    is need not be worked out twice."""
+    is need not be worked out twice. marks_by: those of the columns of `order` that tell marks apart, if fewer do."""
     values = {("b", n): x for n, x in (back or {}).items()} | {("a", n): x for n, x in (ahead or {}).items()}
     of = {key: f"_{key[0]}_{key[1]}" for key in values}
-    ready = lambda df: by_range(df, at).withColumns({f"_m{of[k]}": x for k, x in values.items()})
+    # what marks both ways is held once
+    first = {}
+    mark = {key: first.setdefault(id(x), f"_m{of[key]}") for key, x in values.items()}
+    ready = lambda df: by_range(df, at).withColumns({mark[k]: x for k, x in values.items()})
     rows, w = ready(rows), Window.partitionBy(RANGE).orderBy(*order)
-    place = lambda k: F.when(F.col(f"_m{of[k]}").isNotNull(), F.struct(*order))
-    ends = (rows if marked is None else ready(marked)).groupBy(RANGE).agg(*[(F.max_by if k[0] == "b" else F.min_by)(f"_m{of[k]}", place(k)).alias(f"_e{of[k]}") for k in values])
+    kinds, told = {f.name: f.dataType for f in rows.schema}, marks_by or order
+
+    def end(k: tuple[str, str]) -> Column:
+        """The mark that is last or first in a range, field by field, so that numbers are aggregated without a sort."""
+        m, pick = mark[k], F.max_by if k[0] == "b" else F.min_by
+        place = F.when(F.col(m).isNotNull(), F.col(told[0]) if len(told) == 1 else F.struct(*told))
+        if not isinstance(kinds[m], StructType):
+            return pick(m, place)
+        return F.when(F.count(m) > 0, F.struct(*[pick(F.col(m)[f], place).alias(f) for f in kinds[m].names]))
+
+    ends = (rows if marked is None else ready(marked)).groupBy(RANGE).agg(*[end(k).alias(f"_e{of[k]}") for k in values])
     if marked is not None:
         ends = rows.select(RANGE).distinct().join(ends, RANGE, "left")
 
     def beyond(k: tuple[str, str]) -> Column:
         if k[0] == "b":
             return F.last(f"_e{of[k]}", True).over(_along().rowsBetween(Window.unboundedPreceding, -1))
-        return F.first(f"_e{of[k]}", True).over(_along().rowsBetween(1, Window.unboundedFollowing))
+        return F.expr(f"lead(`_e{of[k]}`) ignore nulls").over(_along())
 
     def local(k: tuple[str, str]) -> Column:
         if k[0] == "b":
-            return F.last(f"_m{of[k]}", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return F.first(f"_m{of[k]}", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+            return F.last(mark[k], True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        # the next mark by lead(): a frame that ends unbounded is gone through anew for every row
+        return F.coalesce(mark[k], F.expr(f"lead(`{mark[k]}`) ignore nulls").over(w))
 
     edges = ends.select(RANGE, *[beyond(k).alias(f"_c{of[k]}") for k in values])
     own = rows.withColumns({f"_l{of[k]}": local(k) for k in values}).join(edges, RANGE, "left")
     out = {n: F.coalesce(f"_l{of[side, n]}", f"_c{of[side, n]}") for side, n in values}
-    return own.withColumns(out).drop(RANGE, *[f"_{x}{of[k]}" for k in values for x in "mlc"])
+    return own.withColumns(out).drop(RANGE, *mark.values(), *[f"_{x}{of[k]}" for k in values for x in "lc"])
 
 
 def previous(rows: DataFrame, order: list[str], at: Column, values: dict[str, Column], ahead: dict[str, Column] | None = None) -> DataFrame:

@@ -115,3 +115,14 @@ def test_files_of_many_splits(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set(key, was)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_what_is_ahead_is_no_frame_with_an_open_end(spark, table):
+    """Such a frame is gone through anew for every row; and the ends of ranges on a grid are aggregated without a sort."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    ahead = scan.carried(table, ["t_ms", "peak_id"], scan.every("t_ms", 50), None, {"m": F.col("v")})
+    points = spark.createDataFrame([("r", 0, 1.0), ("r", 40, 3.0), ("s", 7, 2.0)], "rec_id string, x long, v double")
+    grid = spark.createDataFrame([("r", -5), ("r", 0), ("r", 10), ("r", 40), ("r", 41), ("s", 8), ("t", 1)], "rec_id string, x long")
+    found = fills.on_grid(points, grid)
+    assert "unboundedfollowing" not in (plan(ahead) + plan(found)).lower() and "SortAggregate" not in plan(found)
+    assert sorted(map(tuple, found.collect()), key=str) == [("r", -5, 1.0), ("r", 0, 1.0), ("r", 10, 1.5), ("r", 40, 3.0), ("r", 41, 3.0), ("s", 8, 2.0), ("t", 1, None)]

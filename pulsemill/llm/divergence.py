@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytewords import CHUNK, bounds, cut, grouped, lowered, packed
+from .bytewords import CHUNK, bounds, cut, lowered, packed
 from .common import binary, discard, materialize
 
 #: Shares are in parts of ten to this power.
@@ -27,7 +27,7 @@ LEAST, MOST = 1 << 12, 1 << 20
 #: Rows of a matrix that one task compares with all others.
 ROWS = 256
 #: Counts that a task gathers before it hands them on.
-HELD = 1 << 18
+HELD = 1 << 19
 
 
 def letters() -> np.ndarray:
@@ -40,62 +40,77 @@ def letters() -> np.ndarray:
 LOWERED, LETTERS = lowered(), letters()
 
 
-def _terms(raw: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _terms(raw: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Where each term of a buffer starts, its number, and the terms."""
     buf = LOWERED[np.frombuffer(raw, np.uint8)]
-    s, e = bounds(LETTERS[buf])
-    if not len(s):
-        return s, s, []
-    ids, first = grouped(buf, s, e)
-    return s, ids, [buf[a:b].tobytes() for a, b in zip(s[first].tolist(), e[first].tolist())]
+    inside = LETTERS[buf]
+    s, e = bounds(inside)
+    ends = np.concatenate([[0], np.cumsum(e - s)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(ends), pa.py_buffer(buf[inside])]).dictionary_encode()
+    return s, words.indices.to_numpy().astype(np.int64), words.dictionary
 
 
-def counted(texts: list[bytes], groups: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, bytes, int, int]]:
-    """group, term, occurrences, texts that hold it; summed up over texts that are worked on together."""
+def _table(group: np.ndarray, term: pa.Array, n: np.ndarray, docs: np.ndarray) -> pa.Table:
+    return pa.table({"group": pa.array(group, pa.int64()), "term": term, "n": pa.array(n, pa.int64()), "docs": pa.array(docs, pa.int64())})
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """One row for each group and term."""
+    sums = pa.concat_tables(tables).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    return sums.select(["group", "term", "n_sum", "docs_sum"]).rename_columns(["group", "term", "n", "docs"])
+
+
+def tables(texts: list[bytes], groups: np.ndarray, most: int = CHUNK) -> Iterator[pa.Table]:
+    """group, term, n (occurrences), docs (texts that hold it); summed up over texts that are worked on together."""
     for own in packed(texts, most):
         if len(texts[own[0]]) > most:
-            found: dict[bytes, int] = {}
+            parts = []
             for a, b in cut(texts[own[0]], b"\n ", most):
                 _, ids, names = _terms(texts[own[0]][a:b])
-                for name, n in zip(names, np.bincount(ids, minlength=len(names)).tolist()):
-                    found[name] = found.get(name, 0) + n
-            yield from ((int(groups[own[0]]), name, n, 1) for name, n in found.items())
+                parts.append(_table(np.full(len(names), groups[own[0]]), names, np.bincount(ids, minlength=len(names)), np.zeros(len(names))))
+            whole = _summed(parts)
+            yield _table(whole["group"], whole["term"], whole["n"], np.ones(len(whole)))
             continue
         starts, ids, names = _terms(b"\n".join([texts[i] for i in own]))
-        if not names:
-            continue
         text = np.searchsorted(np.cumsum([0, *(len(texts[i]) + 1 for i in own[:-1])]), starts, "right") - 1
-        key, n = np.unique(text * len(names) + ids, return_counts=True)  # a term of a text, once
-        key, back = np.unique(groups[own][key // len(names)] * len(names) + key % len(names), return_inverse=True)
-        back = back.ravel()
-        for k, c, d in zip(key.tolist(), np.bincount(back, n, len(key)).astype(np.int64).tolist(), np.bincount(back, minlength=len(key)).tolist()):
-            yield k // len(names), names[k % len(names)], c, d
+        key, n = np.unique(text * max(len(names), 1) + ids, return_counts=True)  # a term of a text, once
+        text, term = np.divmod(key, max(len(names), 1))
+        yield _summed([_table(groups[own][text], names.take(pa.array(term)), n, np.ones(len(key)))])
+
+
+def counted(texts: list[bytes], groups: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, bytes, int, int]]:
+    """The rows of tables()."""
+    for t in tables(texts, groups, most):
+        yield from zip(*(c.to_pylist() for c in t.columns))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, source, term, n, docs, summed up over batches; each lang and source also has a row of the empty term."""
-    held: dict[tuple[str, str, str], list[int]] = {}
+    number: dict[tuple[str, str], int] = {}
+    held: list[pa.Table] = []
+    rows, bar = 0, HELD
 
-    def full() -> Iterator[pa.RecordBatch]:
-        rows = [(*key, *sums) for key, sums in held.items()]
-        for lo in range(0, len(rows), 1 << 15):
-            columns = zip(*rows[lo : lo + (1 << 15)])
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(),) * 3 + (pa.int64(),) * 2)], ["lang", "source", "term", "n", "docs"])
+    def full(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        names = [pa.array(c, pa.string()) for c in zip(*number)]
+        columns = [*(c.take(t["group"]) for c in names), t["term"].cast(pa.string()), t["n"], t["docs"]]
+        yield from pa.table(dict(zip(["lang", "source", "term", "n", "docs"], columns))).to_batches(max_chunksize=1 << 15)
 
     for batch in batches:
         of = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist()))
-        number = {g: i for i, g in enumerate(dict.fromkeys(of))}
-        names = list(number)
-        for g in names:
-            held.setdefault((*g, ""), [0, 0])
-        for g, term, n, docs in counted(binary(batch.column("text")), np.array([number[g] for g in of], np.int64)):
-            sums = held.setdefault((*names[g], term.decode()), [0, 0])
-            sums[0] += n
-            sums[1] += docs
-        if len(held) > HELD:
-            yield from full()
-            held = {}
-    yield from full()
+        groups = np.array([number.setdefault(g, len(number)) for g in of], np.int64)
+        for t in tables(binary(batch.column("text")), groups):
+            held.append(t)
+            rows += len(t)
+            if rows > bar:
+                held = [_summed(held)]
+                rows = len(held[0])
+                if rows > HELD:
+                    yield from full(held[0])
+                    held, rows = [], 0
+                bar = max(HELD, 2 * rows)
+    if number:
+        none = np.zeros(len(number))
+        yield from full(_summed([*held, _table(np.arange(len(number)), pa.array([b""] * len(number), pa.binary()), none, none)]))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import CLASH
 from pyspark.sql import functions as F
@@ -287,3 +288,12 @@ def test_counts_beyond_64_bits(spark):
     a, part = 9 * 10**17, 9 * 10**18
     row = spark.sql(f"SELECT CAST(CAST({a}L AS DECIMAL(20,0)) * 2000000 DIV (CAST({part}L AS DECIMAL(20,0)) + {part}L) AS LONG) AS s").first()
     assert row.s == 2_000_000 * a // (2 * part)
+
+
+def test_terms_leave_a_task_summed_up():
+    """Texts of many batches give one row for each lang, source and term, and terms are told apart by Arrow, not word by word."""
+    batch = pa.record_batch({"lang": ["a", "a", "b"], "source": ["s", "s", "s"], "text": ["xx yy xx", "XX éé", "xx"]})
+    found = [tuple(r.values()) for b in divergence._count(iter([batch] * 3)) for r in b.to_pylist()]
+    want = {("a", "s", "xx"): (9, 6), ("a", "s", "yy"): (3, 3), ("a", "s", "éé"): (3, 3), ("b", "s", "xx"): (3, 3), ("a", "s", ""): (0, 0), ("b", "s", ""): (0, 0)}
+    assert len(found) == len(want) and {r[:3]: r[3:] for r in found} == want
+    assert isinstance(divergence._terms(b"aa bb aa")[2], pa.Array)

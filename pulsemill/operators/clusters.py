@@ -22,10 +22,25 @@ def _clean(c: str) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
 
 
+def _features(rows: DataFrame, features: list[str], key: str) -> DataFrame:
+    return rows.select(key, *[_clean(c).alias(c) for c in features])
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """rows, worked out once: as a checkpoint where the session has a folder for them, or else on the executors."""
+    if not rows.sparkSession.sparkContext.getCheckpointDir():
+        return rows.localCheckpoint()
+    held = rows.persist(StorageLevel.MEMORY_AND_DISK)  # a checkpoint reads its rows twice
+    try:
+        return rows.checkpoint()
+    finally:
+        held.unpersist()
+
+
 def standardised(rows: DataFrame, features: list[str], key: str = KEY) -> DataFrame:
     """key, x: the array of the features, each less its mean and over its standard deviation, the population's; one that does not
     vary is only moved."""
-    clean = rows.select(key, *[_clean(c).alias(c) for c in features])
+    clean = _features(rows, features, key)
     m = clean.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     scaled = [(F.col(c) - (m[f"m{i}"] or 0.0)) / (m[f"s{i}"] or 1.0) for i, c in enumerate(features)]
     return clean.select(key, F.array(*scaled).alias("x"))
@@ -67,9 +82,9 @@ def kmeans(rows: DataFrame, features: list[str], k: int = 4, starts: int = 10, s
     """key, cluster (from 0): rows in k clusters of their standardised features, of `starts` starts the one of the least cost. Clusters are
     numbered in the order of their centres, so that numbers can be compared between runs. Fewer rows than k give no rows.
 
-    Starts are chosen by hashes of the key; a round is one pass for all starts, whose sums are a few numbers from each partition.
+    The features are worked out once, for their means, the rounds and the result. Starts are chosen by hashes of the key; a round is one pass for all starts, whose sums are a few numbers from each partition.
     """
-    x = standardised(rows, features, key)
+    x = standardised(_kept(_features(rows, features, key)), features, key)
     held = x.persist(StorageLevel.MEMORY_AND_DISK)  # for the rounds alone
     try:
         best = _best_centres(held, len(features), k, starts, seed, key)

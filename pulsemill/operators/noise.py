@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import KEY, by
+from .windows import KEY, by, sliced
 
 ORDER = 3
+#: Windows that a task works on at once.
+ROWS = 256
 #: Places of the inverse distribution of residues.
 TABLE = 512
 #: Fixed values of the test windows: peak-to-peak in mV, waves of the baseline with their frequencies in Hz and amplitudes as a share of
@@ -92,7 +94,7 @@ def with_noise(windows: DataFrame, models: DataFrame, snr_db: Column | float, se
     kinds = {f.name: f.dataType.simpleString() for f in ready.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, ROWS):
             out = []
             for rec, snr, x, a, width, residues in zip(*(b.column(c).to_pylist() for c in (KEY, "snr_db", "x", "a", "width", "residues"))):
                 x = np.array(x, float)
@@ -116,7 +118,7 @@ def weak_lead_windows(windows: DataFrame, fs: float, snr_db: tuple[float, float]
     kind = windows.schema[KEY].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, ROWS):
             rows = []
             for rec, x, peaks in zip(*(b.column(c).to_pylist() for c in (KEY, "x", "peaks"))):
                 rng, x = _rng(seed, rec), np.array(x, float)

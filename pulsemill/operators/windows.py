@@ -6,12 +6,22 @@ not by comparing times.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEY = "rec_id"
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, for what Python objects of a whole batch would fill memory."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, most):
+            yield batch.slice(lo, most)
+
+
 def by(*order: str) -> WindowSpec:
     return Window.partitionBy(KEY).orderBy(*order)
 

@@ -1,5 +1,6 @@
 """What tasks hold and how often rows are worked out, where it once grew with the input."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pulsemill.operators import clusters, noise
@@ -24,3 +25,15 @@ def test_windows_are_not_dealt_by_kind(spark):
     found = noise.with_noise(windows, models, 6.0)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(kind" not in plan and "BroadcastHashJoin" in plan and found.count() == 40
+
+
+def test_weak_leads_hold_a_part_of_a_batch():
+    class Windows:
+        schema = {"rec_id": type("Field", (), {"dataType": type("Kind", (), {"simpleString": staticmethod(lambda: "bigint")})})}
+
+        def mapInArrow(self, run, kind):
+            return run
+
+    batch = pa.record_batch({"rec_id": pa.array(range(1000), pa.int64()), "x": [[0.0, 1.0, 0.0]] * 1000, "peaks": [[1]] * 1000})
+    sizes = [b.num_rows for b in noise.weak_lead_windows(Windows(), 100.0)(iter([batch]))]
+    assert sum(sizes) == 1000 and max(sizes) <= noise.ROWS

@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters as fl, thresholds as th
-from .windows import KEY
+from .windows import KEY, sliced
+
+#: Signals whose samples a task holds as Python objects at once.
+ROWS = 256
 
 Kernel = Callable[[np.ndarray, float], np.ndarray]
 
@@ -322,7 +325,7 @@ def detect_all(signals: DataFrame, methods: dict[str, Callable]) -> DataFrame:
     one pass over the signals. A signal that a detector fails on, or that is null or empty, has no peaks and the error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             rows, rates = batch.column("x").to_pylist(), batch.column("fs").to_pylist()
             for name, kernel in methods.items():
                 peaks, errors = zip(*_detected(rows, rates, kernel)) if rows else ((), ())

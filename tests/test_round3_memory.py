@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pulsemill.operators import clusters, noise
+from pulsemill.operators import clusters, detectors, noise
 
 
 def test_features_of_clusters_are_worked_out_once(spark):
@@ -37,3 +37,9 @@ def test_weak_leads_hold_a_part_of_a_batch():
     batch = pa.record_batch({"rec_id": pa.array(range(1000), pa.int64()), "x": [[0.0, 1.0, 0.0]] * 1000, "peaks": [[1]] * 1000})
     sizes = [b.num_rows for b in noise.weak_lead_windows(Windows(), 100.0)(iter([batch]))]
     assert sum(sizes) == 1000 and max(sizes) <= noise.ROWS
+
+
+def test_detectors_hold_a_part_of_a_batch(spark):
+    df = spark.createDataFrame([(i, 50.0, [0.0] * 10) for i in range(300)], "rec_id long, fs double, x array<double>").coalesce(1)
+    found = detectors.detect_all(df, {"rows": lambda x, fs: [[len(x)]] * len(x)}).collect()
+    assert len(found) == 300 and max(r.peaks[0] for r in found) <= detectors.ROWS

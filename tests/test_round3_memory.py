@@ -1,8 +1,12 @@
 """What tasks hold and how often rows are worked out, where it once grew with the input."""
 
+import dataclasses
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from pulsemill.llm import common, suffixes, superkmers
 from pulsemill.operators import clusters, detectors, noise
 
 
@@ -43,3 +47,25 @@ def test_detectors_hold_a_part_of_a_batch(spark):
     df = spark.createDataFrame([(i, 50.0, [0.0] * 10) for i in range(300)], "rec_id long, fs double, x array<double>").coalesce(1)
     found = detectors.detect_all(df, {"rows": lambda x, fs: [[len(x)]] * len(x)}).collect()
     assert len(found) == 300 and max(r.peaks[0] for r in found) <= detectors.ROWS
+
+
+def test_hot_windows_take_one_worker_for_each_task(spark, monkeypatch):
+    texts = [" ".join(f"w{i * k % 97}" for i in range(300)) for k in (1, 1, 2, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(superkmers, "HOT", 0)
+    spans = superkmers.repeated_spans(common.keyed(docs), suffixes.symbols(64), "test")
+    nodes = [x.strip(" :+-*()0123456789").split(" ")[0] for x in spans._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    assert "MapInArrow" in nodes and all(pair != ("MapInArrow", "MapInArrow") for pair in zip(nodes, nodes[1:]))
+
+
+def test_ordered_slices_hold_a_part_of_a_task():
+    held = []
+
+    def repeats(strings, rank):
+        held.append(sum(map(len, strings)))
+        return np.array([len(x) for x in strings]), np.zeros(held[-1], bool)
+
+    kind = dataclasses.replace(suffixes.symbols(), repeats=repeats)
+    batch = lambda k: pa.record_batch({"h": pa.array([k] * 100), "doc_id": pa.array(range(100)), "th": pa.array([0] * 100), "s": pa.array([0] * 100), "packed": pa.array([b"x" * 1000] * 100, pa.binary())})
+    list(superkmers._count(kind)(batch(k) for k in range(50)))
+    assert sum(held) == 5_000_000 and max(held) <= 1_100_000

@@ -3,7 +3,7 @@ windows with what is true of them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +34,16 @@ def levinson(r: np.ndarray) -> np.ndarray:
     return a
 
 
-def _lags(noise: DataFrame) -> DataFrame:
-    w = by("idx")
+def _lags(noise: DataFrame, order: Sequence[str]) -> DataFrame:
+    w = by(*order)
     return noise.withColumns({f"_l{k}": F.when(F.lag("idx", k).over(w) == F.col("idx") - k, F.lag("v", k).over(w)) for k in range(1, ORDER + 1)})
 
 
-def predictors(noise: DataFrame) -> DataFrame:
+def predictors(noise: DataFrame, order: Sequence[str] = ("idx",)) -> DataFrame:
     """kind, n, a (coefficients) for each kind of noise(rec_id, kind, idx, v). Products of neighbours are summed up over all records of a
-    kind, and no record is held whole; rows that are not a number are left out, and what follows a gap has no neighbour."""
-    rows = _lags(noise.where(F.col("v").isNotNull() & ~F.isnan("v")))
+    kind, and no record is held whole; rows that are not a number are left out, and what follows a gap has no neighbour. order: columns that put
+    a record in the order of idx, where it is sorted by them already."""
+    rows = _lags(noise.where(F.col("v").isNotNull() & ~F.isnan("v")), order)
     sums = rows.groupBy("kind").agg(F.count("*").alias("n"), F.array(F.sum(F.col("v") * F.col("v")), *[F.coalesce(F.sum(F.col("v") * F.col(f"_l{k}")), F.lit(0.0)) for k in range(1, ORDER + 1)]).alias("r"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,14 +54,14 @@ def predictors(noise: DataFrame) -> DataFrame:
     return sums.mapInArrow(solve, f"kind {noise.schema['kind'].dataType.simpleString()}, n long, a array<double>")
 
 
-def fit(noise: DataFrame) -> DataFrame:
+def fit(noise: DataFrame, order: Sequence[str] = ("idx",)) -> DataFrame:
     """predictors(noise) with width (of the kernel, Scott's rule) and residues (TABLE values of the inverse distribution, by a sketch of
     bounded size)."""
-    models = predictors(noise)
+    models = predictors(noise, order)
     left = F.col("v")
     for k in range(1, ORDER + 1):
         left = left - F.col("a")[k - 1] * F.col(f"_l{k}")
-    residues = _lags(noise.where(F.col("v").isNotNull() & ~F.isnan("v"))).join(F.broadcast(models), "kind").select("kind", "n", "a", left.alias("e")).where("e is not null")
+    residues = _lags(noise.where(F.col("v").isNotNull() & ~F.isnan("v")), order).join(F.broadcast(models), "kind").select("kind", "n", "a", left.alias("e")).where("e is not null")
     places = [(i + 0.5) / TABLE for i in range(TABLE)]
     return residues.groupBy("kind", "n", "a").agg((F.stddev_pop("e") * F.pow(F.count("*"), F.lit(-0.2))).alias("width"), F.percentile_approx("e", places, 10_000).alias("residues"))
 

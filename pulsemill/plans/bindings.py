@@ -43,13 +43,27 @@ def peaks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return events(spark, sf_dir).where(F.col("event_type") == kind).drop("event_type")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Line items that a task sorts. Where there are more for each of the session's shuffle partitions, they go to more tasks.
+DEALT = 500_000
+#: The columns that line items of a supplier are put in order by.
+ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with rec_id for l_suppkey, dealt by it to so many tasks that what one of them sorts does not grow with the table."""
+    found = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnRenamed("l_suppkey", "rec_id")
+    tasks = -(-found.count() // DEALT)
+    return found.repartition(tasks, "rec_id") if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else found
+
+
+def samples(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """rec_id, idx (from 0), v (price), c (price in cents: a whole number, so that sums are exact in any order), q (quantity),
-    l_orderkey, l_partkey."""
-    order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        F.col("l_suppkey").alias("rec_id"), (F.row_number().over(order) - 1).cast("long").alias("idx"),
-        F.col("l_extendedprice").alias("v"), F.round(F.col("l_extendedprice") * 100).alias("c"), F.col("l_quantity").alias("q"), "l_orderkey", "l_partkey")
+    l_orderkey, l_partkey, and more columns of line items. Rows are sorted by ORDER; what is asked for in that order is not sorted again,
+    and what is asked for by rec_id is not shuffled again: a name given after the window would hide both from Spark."""
+    order = Window.partitionBy("rec_id").orderBy(*ORDER)
+    return lines(spark, sf_dir).select(
+        "rec_id", (F.row_number().over(order) - 1).cast("long").alias("idx"),
+        F.col("l_extendedprice").alias("v"), F.round(F.col("l_extendedprice") * 100).alias("c"), F.col("l_quantity").alias("q"), "l_orderkey", "l_partkey", *more)
 
 
 #: Signals of 20 samples a second: prices as they are, smoothed, or added up, by turns of 150 samples.

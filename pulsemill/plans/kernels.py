@@ -7,12 +7,12 @@ the recurrence is a recursive query.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters as fl
 from ..operators import augment as A, detectors as D, noise as NZ, peaks as K, secondary as T
-from .bindings import FR, SM, frames, samples
+from .bindings import FR, ORDER, SM, frames, samples
 from .registry import query
 
 RATE, N = 50.0, 64
@@ -222,23 +222,24 @@ ac AS (SELECT kind, count(*) AS n, sum(v * v) / sum(v * v) AS a, sum(v * l1) / s
 
 
 def _noise(spark: SparkSession, sf: str) -> DataFrame:
-    s = samples(spark, sf).select("rec_id", "idx", "c")
-    mean = s.groupBy("rec_id").agg((F.sum("c") / F.count("*")).alias("mean"))
-    return s.join(mean, "rec_id").select("rec_id", (F.col("rec_id") % 2).alias("kind"), "idx", ((F.col("c") - F.col("mean")) / 100).alias("v"))
+    # the mean by a window and lags in the order of the line items: one sort, where a join and an order by idx take three
+    s = samples(spark, sf, *(c for c in ORDER if c not in ("l_orderkey", "l_partkey")))
+    mean = F.avg("c").over(Window.partitionBy("rec_id"))
+    return s.select("rec_id", (F.col("rec_id") % 2).alias("kind"), "idx", ((F.col("c") - mean) / 100).alias("v"), *ORDER)
 
 
 @query(f"""WITH {LPC}, s AS (SELECT kind, n, b, c, d, 1 - b * b AS e1 FROM ac), k AS (SELECT *, (c - b * b) / e1 AS k2 FROM s), m AS (SELECT *, b - k2 * b AS p1, k2 AS p2, e1 * (1 - k2 * k2) AS e2 FROM k), z AS (SELECT *, (d - p1 * c - p2 * b) / e2 AS k3 FROM m)
 SELECT kind, n, round(p1 - k3 * p2, 6) AS a1, round(p2 - k3 * p1, 6) AS a2, round(k3, 6) AS a3 FROM z""")
 def aug04_noise_model(spark: SparkSession, sf: str) -> DataFrame:
     """Predictors of two kinds of noise, from sums over all their records."""
-    return NZ.predictors(_noise(spark, sf)).select("kind", "n", *[F.round(F.col("a")[i], 6).alias(f"a{i + 1}") for i in range(NZ.ORDER)])
+    return NZ.predictors(_noise(spark, sf), ORDER).select("kind", "n", *[F.round(F.col("a")[i], 6).alias(f"a{i + 1}") for i in range(NZ.ORDER)])
 
 
 @query()
 def aug04_noise_at_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """Frames with noise of either kind at 6 dB: the samples, and the ratio as measured."""
     x = frames(spark, sf).select("rec_id", (F.col("rec_id") % 2).alias("kind"), "x")
-    noisy = NZ.with_noise(x, NZ.fit(_noise(spark, sf)), 6.0)
+    noisy = NZ.with_noise(x, NZ.fit(_noise(spark, sf), ORDER), 6.0)
     power = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v)
     got = noisy.join(x.drop("kind"), "rec_id").withColumn("snr", 10 * F.log10(power("x") / power(F.zip_with("noisy", "x", lambda a, b: a - b))))
     return got.select("rec_id", "kind", F.round("snr", 3).alias("snr_db"), "noisy")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pulsemill.llm import common, suffixes, superkmers
 from pulsemill.operators import clusters, detectors, noise
+from pulsemill.plans import QUERIES, bindings
+from test_round3 import both
 
 
 def test_features_of_clusters_are_worked_out_once(spark):
@@ -69,3 +71,16 @@ def test_ordered_slices_hold_a_part_of_a_task():
     batch = lambda k: pa.record_batch({"h": pa.array([k] * 100), "doc_id": pa.array(range(100)), "th": pa.array([0] * 100), "s": pa.array([0] * 100), "packed": pa.array([b"x" * 1000] * 100, pa.binary())})
     list(superkmers._count(kind)(batch(k) for k in range(50)))
     assert sum(held) == 5_000_000 and max(held) <= 1_100_000
+
+
+def test_line_items_are_sorted_once_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bindings, "DEALT", 50)
+    n = 1000
+    zero = lambda kind: pa.array([0] * n, kind)
+    table = pa.table({
+        "l_orderkey": pa.array(range(n), pa.int64()), "l_partkey": zero(pa.int64()), "l_suppkey": pa.array([i % 7 for i in range(n)], pa.int64()), "l_linenumber": zero(pa.int32()),
+        "l_quantity": zero(pa.float64()), "l_extendedprice": pa.array([(i * i * 31) % 9973 / 100 for i in range(n)], pa.float64()), "l_shipdate": zero(pa.timestamp("us"))})
+    got, want = both(spark, tmp_path, "aug04_noise_model", lineitem=table)
+    assert got == want and len(got) == 2
+    plan = QUERIES["aug04_noise_model"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "hashpartitioning(rec_id" in plan and ", 20), REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 2

@@ -46,12 +46,13 @@ def middles(few: DataFrame, at: str, v: str) -> DataFrame:
 def highest_first(places: np.ndarray, heights: np.ndarray, distance: int) -> np.ndarray:
     """Which of the peaks, in order of place, stay if, from the highest down, each that stays removes those less than `distance` away;
     of equally high ones the later goes first."""
-    stays = np.ones(len(places), bool)
-    for i in np.argsort(heights, kind="stable")[::-1]:
+    lo, hi = np.searchsorted(places, places - distance, "right").tolist(), np.searchsorted(places, places + distance, "left").tolist()
+    stays = bytearray(b"\1" * len(places))
+    for i in np.argsort(heights, kind="stable")[::-1].tolist():
         if stays[i]:
-            stays[np.searchsorted(places, places[i] - distance, "right") : np.searchsorted(places, places[i] + distance, "left")] = False
-            stays[i] = True
-    return stays
+            stays[lo[i] : hi[i]] = bytes(hi[i] - lo[i])
+            stays[i] = 1
+    return np.frombuffer(stays, bool)
 
 
 def spaced(peaks: DataFrame, distance: int, at: str = "idx", v: str = "v") -> DataFrame:

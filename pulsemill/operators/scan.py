@@ -97,7 +97,9 @@ def previous(rows: DataFrame, order: list[str], at: Column, values: dict[str, Co
     sides = {"_p": (values, F.lag, F.max_by), "_n": (ahead or {}, F.lead, F.min_by)}
     sides = {c: x for c, x in sides.items() if x[0]}
     rows = by_range(rows, at).withColumns({f"_v{c}": F.struct(*[x.alias(n) for n, x in of.items()]) for c, (of, _, _) in sides.items()})
-    ends = rows.groupBy(RANGE).agg(*[pick(f"_v{c}", F.struct(*order)).alias(f"_e{c}") for c, (_, _, pick) in sides.items()])
+    # field by field, so that numbers are aggregated without a sort
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    ends = rows.groupBy(RANGE).agg(*[F.struct(*[pick(F.col(f"_v{c}")[n], place).alias(n) for n in of]).alias(f"_e{c}") for c, (of, _, pick) in sides.items()])
     edges = ends.select(RANGE, *[step(f"_e{c}").over(_along()).alias(f"_e{c}") for c, (_, step, _) in sides.items()])
     w = Window.partitionBy(RANGE).orderBy(*order)
     own = rows.withColumns({c: step(f"_v{c}").over(w) for c, (_, step, _) in sides.items()}).join(edges, RANGE, "left")

@@ -43,12 +43,16 @@ def intervals(signal: DataFrame, beats: DataFrame, fs: float, width: float = sca
     keys = [KEY, "beat"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, top, first, parts = None, 0.0, 0, []
+        # of the interval that goes on in the next batch: its keys, and its rows so far
+        now, top, first, parts, done = None, -np.inf, 0, [], []
 
         def made(kind: pa.DataType) -> pa.RecordBatch:
-            found = [{"idx": first + i, "prominence": p} for i, p in zone_peaks(np.concatenate(parts))] if parts else []
             kinds = (kind, pa.int64(), pa.float64(), pa.list_(pa.struct([("idx", pa.int64()), ("prominence", pa.float64())])))
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*now, top, found), kinds)], [*keys, "top", "peaks"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), kinds)], [*keys, "top", "peaks"])
+
+        def ended() -> None:
+            x = np.concatenate(parts) if parts else ()
+            done.append((*now, top, [{"idx": first + i, "prominence": p} for i, p in zone_peaks(x)] if len(x) > 2 else []))
 
         kind = None
         for batch in batches:
@@ -56,29 +60,36 @@ def intervals(signal: DataFrame, beats: DataFrame, fs: float, width: float = sca
                 continue
             kind = batch.schema.field(KEY).type
             v, inside = batch.column("v").to_numpy(zero_copy_only=False), batch.column("zone").to_numpy(zero_copy_only=False)
-            cuts = [0, *np.flatnonzero(_changes(batch, keys)).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                own = tuple(batch.column(c)[a].as_py() for c in keys)
+            cuts = np.concatenate([[0], np.flatnonzero(_changes(batch, keys)), [batch.num_rows]])
+            tops, zone = np.maximum.reduceat(v, cuts[:-1]).tolist(), np.flatnonzero(inside)
+            lo, x, places = np.searchsorted(zone, cuts).tolist(), v[zone], batch.column("idx").to_numpy()[zone]
+            for k, own in enumerate(zip(*(batch.column(c).take(pa.array(cuts[:-1])).to_pylist() for c in keys))):
                 if own != now:
                     if now is not None:
-                        yield made(kind)
+                        ended()
                     now, top, parts = own, -np.inf, []
-                top = max(top, float(v[a:b].max()))
-                if inside[a:b].any():
+                top = max(top, tops[k])
+                if lo[k] < lo[k + 1]:
                     if not parts:
-                        first = batch.column("idx")[a + int(inside[a:b].argmax())].as_py()
-                    parts.append(v[a:b][inside[a:b]])
+                        first = int(places[lo[k]])
+                    parts.append(x[lo[k] : lo[k + 1]])
+            # a batch for a batch: one for each interval costs more than the interval
+            if done:
+                yield made(kind)
+                done = []
         if now is not None:
+            ended()
             yield made(kind)
 
     kind = signal.schema[KEY].dataType.simpleString()
     return rows.repartition(*keys).sortWithinPartitions(*keys, "idx").mapInArrow(run, f"{KEY} {kind}, beat long, top double, peaks array<struct<idx: long, prominence: double>>")
 
 
-def prominent_stretch(signal: DataFrame, beats: DataFrame, fs: float, stretch: int = 5) -> DataFrame:
+def prominent_stretch(signal: DataFrame, beats: DataFrame, fs: float, stretch: int = 5, lengths: DataFrame | None = None) -> DataFrame:
     """rec_id, start, end, n_secondary, first: of each recording the stretch of so many intervals between beats(rec_id, idx) in which, but
     for its last interval, the most secondary peaks stand out by SHARE of its largest sample, the earliest of equals; from its first
-    beat to the one behind it, with their number and first place. A recording without any has its first DEFAULT_S seconds."""
+    beat to the one behind it, with their number and first place. A recording without any has its first DEFAULT_S seconds. lengths:
+    rec_id and n, the last idx and one, where they are known without the signal's order."""
     order = by("beat")
     rows = intervals(signal, beats, fs).withColumns({
         "end": F.lead("beat", stretch).over(order),
@@ -87,7 +98,7 @@ def prominent_stretch(signal: DataFrame, beats: DataFrame, fs: float, stretch: i
     })
     found = rows.where("end is not null").withColumn("own", F.filter("near", lambda p: p["prominence"] >= F.col("bar"))).where(F.size("own") > 0)
     best = found.groupBy(KEY).agg(F.max_by(F.struct(F.col("beat").alias("start"), "end", F.size("own").cast("long").alias("n"), F.array_min("own.idx").alias("first")), F.struct(F.size("own").alias("n"), (-F.col("beat")).alias("early"))).alias("b"))
-    length = signal.groupBy(KEY).agg((F.max("idx") + 1).alias("n"))
+    length = signal.groupBy(KEY).agg((F.max("idx") + 1).alias("n")) if lengths is None else lengths.select(KEY, "n")
     none = {"start": F.lit(0).cast("long"), "end": F.least(F.lit(int(DEFAULT_S * fs)), "n").cast("long"), "n": F.lit(0).cast("long")}
     got = length.join(best, KEY, "left")
     pick = lambda c: F.coalesce(F.col(f"b.{c}"), none[c])

@@ -196,9 +196,9 @@ SELECT st.rec_id, coalesce(b.s, 0)::BIGINT AS start, coalesce(b.e, least(250, n)
 def win25_twave_region(spark: SparkSession, sf: str) -> DataFrame:
     """The stretch of five intervals of each series in which secondary peaks stand out most; beats are maxima half a second apart."""
     s = samples(spark, sf).select("rec_id", "idx", F.col("c").alias("v"))
-    mean = s.groupBy("rec_id").agg((F.sum("v") / F.count("*")).alias("mean"))
+    mean = s.groupBy("rec_id").agg((F.sum("v") / F.count("*")).alias("mean"), F.count("*").alias("n"))
     beats = K.spaced(K.local_maxima(s).join(mean, "rec_id").where("v >= mean").select("rec_id", "idx", "v"), 25).select("rec_id", "idx")
-    return T.prominent_stretch(s, beats, RATE)
+    return T.prominent_stretch(s, beats, RATE, lengths=mean)
 
 
 @query()

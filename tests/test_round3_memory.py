@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pulsemill.llm import common, suffixes, superkmers
-from pulsemill.operators import clusters, detectors, noise
+from pulsemill.operators import clusters, detectors, noise, scan, secondary
 from pulsemill.plans import QUERIES, bindings
 from test_round3 import both
 
@@ -84,3 +84,27 @@ def test_line_items_are_sorted_once_in_tasks_of_bounded_size(spark, tmp_path, mo
     assert got == want and len(got) == 2
     plan = QUERIES["aug04_noise_model"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and "hashpartitioning(rec_id" in plan and ", 20), REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 2
+
+
+def test_neighbours_of_ranges_and_lengths_are_found_without_a_sort(spark, tmp_path):
+    rows = spark.range(20).select(F.lit(1).alias("rec_id"), F.col("id").alias("at"), (F.col("id") * 2.0).alias("v"))
+    found = scan.previous(rows, ["at"], scan.every("at", 7), {"p": F.col("v")}, {"n": F.col("v")})
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.p, r.n) for r in found.orderBy("at").collect()] == [(2.0 * i - 2 if i else None, 2.0 * i + 2 if i < 19 else None) for i in range(20)]
+    plan = secondary.prominent_stretch(rows.withColumnRenamed("at", "idx"), rows.select("rec_id", F.col("at").alias("idx")), 50.0, lengths=rows.groupBy("rec_id").agg(F.count("*").alias("n")))
+    assert "max(idx" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_intervals_that_go_on_in_the_next_batch(spark):
+    rng = np.random.default_rng(3)
+    signal = spark.createDataFrame([(r, i, float(x)) for r in ("a", "b") for i, x in enumerate(rng.normal(size=200))], "rec_id string, idx long, v double")
+    beats = spark.createDataFrame([(r, i) for r in ("a", "b") for i in range(5, 200, 45)], "rec_id string, idx long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    want, was = sorted(map(tuple, secondary.intervals(signal, beats, 50.0).collect())), spark.conf.get(key)
+    try:
+        for n in (1, 7):
+            spark.conf.set(key, str(n))
+            assert sorted(map(tuple, secondary.intervals(signal, beats, 50.0).collect())) == want
+    finally:
+        spark.conf.set(key, was)
+    assert len(want) == 10 and sum(len(r[3]) for r in want) > 10 and all(not r[3] for r in want if r[1] == 185)

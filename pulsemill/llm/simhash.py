@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary, materialize
@@ -100,7 +100,7 @@ def _node(sides: tuple[str, ...]) -> Column:
     return F.col(sides[0]) if len(sides) == 1 else F.xxhash64(*sides)
 
 
-def _near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+def _near(x: np.ndarray, y: np.ndarray, most: int | np.ndarray) -> np.ndarray:
     """Whether rows of x and y, a column for each 64 bits, differ in at most so many bits."""
     return np.bitwise_count(x ^ y).sum(axis=-1) <= most
 
@@ -123,8 +123,9 @@ def _tree(fps: np.ndarray, most: int) -> tuple[list, list]:
     return left, right
 
 
-def _linker(most: int, sides: tuple[str, ...]):
+def _linker(most: int | tuple[int, ...], sides: tuple[str, ...]):
     names = [f"{end}{i}" for end in "ab" for i in range(len(sides))]
+    limit = (lambda t: most) if isinstance(most, int) else (lambda t: np.array(most)[t])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -136,10 +137,10 @@ def _linker(most: int, sides: tuple[str, ...]):
             fps = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
             pair = bounds[:-1][size == 2]
             a, b = fps[pair], fps[pair + 1]
-            near = _near(a, b, most)
+            near = _near(a, b, limit(rows[pair, 0]))
             left, right = [a[near]], [b[near]]
             for s, n in zip(bounds[:-1][size > 2], size[size > 2]):
-                x, y = _tree(fps[s : s + n], most)
+                x, y = _tree(fps[s : s + n], limit(rows[s, 0]))
                 left += x
                 right += y
             ends = np.concatenate([np.concatenate(left), np.concatenate(right)], axis=1).view(np.int64)
@@ -168,11 +169,11 @@ def block_pairs(of: Column) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
 
 
-def linked(rows: DataFrame, sides: tuple[str, ...], most: int) -> DataFrame:
+def linked(rows: DataFrame, sides: tuple[str, ...], most: int | tuple[int, ...]) -> DataFrame:
     """Edges a, b as links() gives them between the fingerprints of rows (t, k, *sides) that share t and k and differ in
-    at most so many bits."""
-    full = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(full, ["t", "k"])
+    at most so many bits, by t if there are several numbers."""
+    # counted where the rows of a key have met: a count by itself would shuffle all keys once more
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("t", "k"))).where("n > 1")
     blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("long")
     rows = (
         rows.withColumn("blocks", F.when(F.col("n") > BLOCK, blocks).otherwise(F.lit(1).cast("long")))

@@ -199,16 +199,22 @@ SELECT rec_id, tp, fn, fp, CASE WHEN fn + fp > 1 THEN 0.0 WHEN fn = 1 AND fp = 0
 FROM sc JOIN h USING (rec_id) WHERE a IS NOT NULL""")
 def agg11_record_score(spark: SparkSession, sf: str) -> DataFrame:
     """Flag of a record by its errors, and tiers of the heart-rate error (here: of the mean values, cut to integers)."""
-    # sums of whole cents are exact in any order, so that a mean that is a whole number is not cut to the one below
+    # sums of decimals are exact in any order, so that a mean that is a whole number is not cut to the one below; sides with a value
+    # that is no decimal of 8 places (too fine, too large or not a number) have means of doubles, as in the SQL
+    value = F.col("value")
+    exact = value.try_cast("decimal(18,8)")
+    other = value.isNotNull() & ~exact.cast("double").eqNullSafe(value)
     of = lambda k, x: F.when(F.col("event_type") == k, x)
-    cents = F.round(F.col("value") * 100).cast("long")
-    sides = [(f"{n}{side}", f(of(k, x))) for side, k in (("a", "view"), ("r", "click")) for n, f, x in (("c", F.sum, cents), ("n", F.count, F.col("value")))]
+    sides = [(f"{n}{side}", f(of(k, x))) for side, k in (("a", "view"), ("r", "click")) for n, f, x in (("s", F.sum, exact), ("n", F.count, value), ("m", F.avg, value), ("o", F.bool_or, other))]
     h = events(spark, sf).groupBy(REC).agg(*[x.alias(n) for n, x in sides]).where("na > 0")
-    whole = lambda side: F.floor(F.col(f"c{side}") / F.when(F.col(f"n{side}") > 0, 100 * F.col(f"n{side}")))
-    off = F.abs(whole("a") - whole("r"))
+    some = lambda side: F.when(F.col(f"n{side}") > 0, F.col(f"n{side}"))
+    whole = lambda side: ((F.col(f"s{side}") - F.pmod(f"s{side}", some(side))) / some(side)).cast("long")
+    off, rough = F.abs(whole("a") - whole("r")), F.abs(F.floor("ma") - F.floor("mr"))
+    doubles = F.coalesce("oa", F.lit(False)) | F.coalesce("or", F.lit(False))
     tier = F.lit(0.0)
     for share, points in ((20, 0.25), (10, 0.5), (5, 0.75), (2, 1.0)):
-        tier = F.when(off * 10_000 * F.col("nr") <= share * F.col("cr"), points).otherwise(tier)
+        near = F.when(doubles, rough <= share / 100 * F.col("mr")).otherwise(off * 100 * F.col("nr") <= share * F.col("sr"))
+        tier = F.when(near, points).otherwise(tier)
     fn, fp = F.col("fn"), F.col("fp")
     flag = F.when(fn + fp > 1, 0.0).when((fn == 1) & (fp == 0), 0.3).when((fn == 0) & (fp == 1), 0.7).otherwise(1.0)
     return _cpsc(spark, sf).join(h, REC).select(REC, "tp", "fn", "fp", flag.alias("flag"), tier.alias("hr_score"))
